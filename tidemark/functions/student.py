@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -47,7 +48,7 @@ def two_sided_p(t: float, df: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     p = [two_sided_p(float(a), float(b)) for a, b in zip(t.astype(float), df.astype(float))]
     return pd.Series(p, index=t.index, dtype="float64")

@@ -53,25 +53,37 @@ def vintage_pairs(schedule: DataFrame, available: DataFrame) -> DataFrame:
     return both.select(*PAIR)
 
 
-def pair_vintages(schedule: DataFrame, obs: DataFrame) -> DataFrame:
+def pair_vintages(
+    schedule: DataFrame, obs: DataFrame, available: DataFrame | None = None
+) -> DataFrame:
     """Old and new value of every cell for every pair of consecutive vintages.
 
-    Each observation is tagged as the old or the new side of the pairs it
-    belongs to and both sides meet in one aggregation, which also pads the
-    shorter vintage with NULL.
+    A short table of links says in which pairs a vintage is the new and in
+    which the old side, so the observations are read once; both sides meet in
+    one aggregation, which also pads the shorter vintage with NULL.  Quarters
+    sharing a pair are attached afterwards.  ``available`` lists the vintages
+    that exist when that is known without scanning ``obs``.
     """
-    pairs = vintage_pairs(schedule, obs)
-    new = obs.join(pairs, ["model", "vintage"]).select(
-        *PAIR, "series_id", "period", F.lit(None).cast("double").alias("old"),
-        F.col("value").alias("new"),
-    )
-    before = obs.withColumnRenamed("vintage", "vintage_old")
-    old = before.join(pairs, ["model", "vintage_old"]).select(
-        *PAIR, "series_id", "period", F.col("value").alias("old"),
-        F.lit(None).cast("double").alias("new"),
+    pairs = vintage_pairs(schedule, obs if available is None else available)
+    steps = pairs.select("model", "vintage_old", F.col("vintage").alias("vintage_new")).distinct()
+    links = steps.withColumn(
+        "_link",
+        F.explode(
+            F.array(
+                F.struct(F.col("vintage_old").alias("vintage"), F.lit(False).alias("is_new")),
+                F.struct(F.col("vintage_new").alias("vintage"), F.lit(True).alias("is_new")),
+            )
+        ),
+    ).select("model", "vintage_old", "vintage_new", "_link.*")
+    cells = obs.join(links, ["model", "vintage"]).groupBy(
+        "model", "vintage_old", "vintage_new", "series_id", "period"
+    ).agg(
+        F.max(F.when(~F.col("is_new"), F.col("value"))).alias("old"),
+        F.max(F.when(F.col("is_new"), F.col("value"))).alias("new"),
     )
-    return new.unionByName(old).groupBy(*PAIR, "series_id", "period").agg(
-        F.max("old").alias("old"), F.max("new").alias("new")
+    named = cells.withColumnRenamed("vintage_new", "vintage")
+    return named.join(pairs, ["model", "vintage_old", "vintage"]).select(
+        *PAIR, "series_id", "period", "old", "new"
     )
 
 
@@ -80,7 +92,7 @@ def select_params(schedule: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     Before the target quarter starts the previous quarter's estimates apply,
     afterwards the quarter's own, also once the next quarter has begun.
-    ``catalogue`` maps (model, param_quarter) to est_vintage.
+    ``catalogue`` maps param_quarter, or (model, param_quarter), to est_vintage.
     """
     early = F.col("vintage") < cal.quarter_start("quarter")
     chosen = schedule.withColumn(
@@ -88,7 +100,8 @@ def select_params(schedule: DataFrame, catalogue: DataFrame) -> DataFrame:
     ).withColumn(
         "param_quarter", F.when(early, cal.previous_quarter("quarter")).otherwise(F.col("quarter"))
     )
-    keys = ["model", "param_quarter"] if "model" in schedule.columns else ["param_quarter"]
+    both = "model" in schedule.columns and "model" in catalogue.columns
+    keys = ["model", "param_quarter"] if both else ["param_quarter"]
     return chosen.join(catalogue, keys)
 
 

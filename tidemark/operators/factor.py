@@ -1,8 +1,377 @@
-from pyspark.sql import DataFrame
+"""Factor-model building blocks that scale within a panel as joins and aggregates.
+
+``z`` panels have model, vintage, series_id, period and a standardised value.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.impact import with_category
+from tidemark.schema import PANEL, SERIES, TENT
+
+LAG_NAMES = [f"f{k}" for k in range(len(TENT))]
+FLUSH_CELLS = 4_000_000
+
 
 def block_table(spec: DataFrame, blocks: list[str]) -> DataFrame:
     """Series by block matrix of 0/1 loadings."""
     cols = [F.array_contains("blocks", b).cast("int").alias(b) for b in blocks]
     return spec.select("model", "series_id", *cols)
+
+
+def in_block(z: DataFrame, spec: DataFrame, block: str) -> DataFrame:
+    """Observations of the series that load on one block."""
+    members = spec.where(F.array_contains("blocks", block)).select("model", "series_id")
+    return z.join(members, ["model", "series_id"], "left_semi")
+
+
+# ---------------------------------------------------------------- covariance
+
+
+def _partial_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairwise sums of the periods a task holds, one square block per panel.
+
+    A row carries one period of a panel as arrays, so no pair of observations
+    is ever a row; only the summed entries leave the task.
+    """
+    sums: dict[tuple, dict[str, list]] = {}
+    held = 0
+
+    def drain() -> Iterator[pd.DataFrame]:
+        for (model, vintage), part in sums.items():
+            names = sorted({s for ids in part["ids"] for s in ids})
+            place = {s: k for k, s in enumerate(names)}
+            x = np.full((len(part["ids"]), len(names)), np.nan)
+            for r, (ids, values) in enumerate(zip(part["ids"], part["values"])):
+                x[r, [place[s] for s in ids]] = values
+            seen = (~np.isnan(x)).astype("float64")
+            filled = np.nan_to_num(x)
+            together = seen.T @ seen
+            i, j = np.nonzero(np.triu(together))
+            one, both = filled.T @ seen, filled.T @ filled
+            label = np.array(names, dtype=object)
+            yield pd.DataFrame(
+                {
+                    "model": model, "vintage": vintage, "series_i": label[i], "series_j": label[j],
+                    "n": together[i, j], "si": one[i, j], "sj": one.T[i, j], "sij": both[i, j],
+                }
+            )
+        sums.clear()
+
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            part = sums.setdefault((row.model, row.vintage), {"ids": [], "values": []})
+            part["ids"].append(list(row.ids))
+            part["values"].append(np.asarray(row.values_, dtype="float64"))
+            held += len(row.ids)
+        if held > FLUSH_CELLS:
+            yield from drain()
+            held = 0
+    yield from drain()
+
+
+def panel_gram(z: DataFrame, value: str = "z") -> DataFrame:
+    """Sample covariance of every pair of series over their common periods (i <= j)."""
+    known = z.where(F.col(value).isNotNull())
+    rows = known.groupBy(*PANEL, "period").agg(
+        F.collect_list("series_id").alias("ids"), F.collect_list(value).alias("values_")
+    )
+    parts = rows.select(*PANEL, "ids", "values_").mapInPandas(
+        _partial_moments,
+        "model string, vintage date, series_i string, series_j string, "
+        "n double, si double, sj double, sij double",
+    )
+    total = parts.groupBy(*PANEL, "series_i", "series_j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")]
+    )
+    n = F.col("n")
+    cov = F.try_divide(F.col("sij") - F.col("si") * F.col("sj") / n, n - 1)
+    return total.select(*PANEL, "series_i", "series_j", n.cast("bigint").alias("n"), cov.alias("cov"))
+
+
+def leading_vector(gram: DataFrame) -> DataFrame:
+    """Leading eigenvector of each panel's covariance, signed to a non-negative sum."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["series_i"]) | set(pdf["series_j"]))
+        place = {s: k for k, s in enumerate(names)}
+        square = np.zeros((len(names), len(names)))
+        i, j = pdf["series_i"].map(place), pdf["series_j"].map(place)
+        square[i, j] = square[j, i] = pdf["cov"].fillna(0.0)
+        v = np.linalg.eigh(square)[1][:, -1]
+        return pd.DataFrame(
+            {
+                "model": pdf["model"].iloc[0], "vintage": pdf["vintage"].iloc[0],
+                "series_id": names, "loading": -v if v.sum() < 0 else v,
+            }
+        )
+
+    schema = "model string, vintage date, series_id string, loading double"
+    return gram.groupBy(*PANEL).applyInPandas(solve, schema)
+
+
+def factor_scores(z: DataFrame, loadings: DataFrame, value: str = "z") -> DataFrame:
+    """Factor by period: the panel projected on the loadings."""
+    return z.join(loadings, SERIES).groupBy(*PANEL, "period").agg(
+        F.sum(F.col(value) * F.col("loading")).alias("f")
+    )
+
+
+def first_factor(z: DataFrame, value: str = "z") -> tuple[DataFrame, DataFrame]:
+    """Loadings and scores of a block's first principal component."""
+    loadings = leading_vector(panel_gram(z, value))
+    return loadings, factor_scores(z, loadings, value)
+
+
+# ---------------------------------------------------------------- regressions
+
+
+def factor_lags(factor: DataFrame) -> DataFrame:
+    """f_t .. f_{t-4}; one panel's calendar per group."""
+    by_time = Window.partitionBy(*PANEL).orderBy("period")
+    return factor.withColumns({n: F.lag("f", k).over(by_time) for k, n in enumerate(LAG_NAMES)})
+
+
+def tent_sum() -> Column:
+    return sum((F.col(n) * w for n, w in zip(LAG_NAMES[1:], TENT[1:])), F.col(LAG_NAMES[0]) * TENT[0])
+
+
+def restricted_loadings(
+    quarterly: DataFrame, lags: DataFrame, value: str = "z", filled: str | None = None
+) -> DataFrame:
+    """Loadings of quarterly series on five lags, proportional to (1, 2, 3, 2, 1).
+
+    The restriction leaves one free number, the slope on the tent sum of the
+    lags.  With fewer than seven observations the ``filled`` column is used.
+    """
+    ready = lags.where(F.col(LAG_NAMES[-1]).isNotNull()).select(
+        *PANEL, "period", tent_sum().alias("tent")
+    )
+    tent = F.col("tent")
+
+    def slope(c: str) -> Column:
+        square = F.sum(F.when(F.col(c).isNotNull(), tent * tent))
+        return F.try_divide(F.sum(F.col(c) * tent), square)
+
+    thin = slope(filled) if filled else F.lit(None).cast("double")
+    fitted = quarterly.join(ready, [*PANEL, "period"]).groupBy(*SERIES).agg(
+        F.when(F.count(value) >= len(TENT) + 2, slope(value)).otherwise(thin).alias("b")
+    )
+    return fitted.select(*SERIES, "b", *[(F.col("b") * w).alias(f"c{k}") for k, w in enumerate(TENT)])
+
+
+def ar1(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """x_t on x_{t-1} without intercept and the variance of the residual, in one aggregate."""
+    before = F.lag(value).over(Window.partitionBy(*keys).orderBy("period"))
+    both = df.withColumn("_x", F.col(value)).withColumn("_l", before).where(
+        F.col("_x").isNotNull() & F.col("_l").isNotNull()
+    )
+    x, lagged = F.col("_x"), F.col("_l")
+    sums = both.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(lagged).alias("sl"),
+        F.sum(x * x).alias("sxx"), F.sum(x * lagged).alias("sxl"), F.sum(lagged * lagged).alias("sll"),
+    )
+    b = F.try_divide(F.col("sxl"), F.col("sll"))
+    total = F.col("sx") - F.col("b") * F.col("sl")
+    square = F.col("sxx") - 2 * F.col("b") * F.col("sxl") + F.col("b") * F.col("b") * F.col("sll")
+    return sums.withColumn("b", b).select(
+        *keys, "n", "b",
+        F.try_divide(square - total * total / F.col("n"), F.col("n") - 1).alias("residual_variance"),
+    )
+
+
+def block_residuals(z: DataFrame, loadings: DataFrame, lags: DataFrame, value: str = "z") -> DataFrame:
+    """Subtract the fitted part of a block; months without five lags stay as they are.
+
+    ``loadings`` has one row per series with c0..c4.  Series outside the block
+    pass through.
+    """
+    coefs = [f"c{k}" for k in range(len(TENT))]
+    ready = lags.where(F.col(LAG_NAMES[-1]).isNotNull()).select(*PANEL, "period", *LAG_NAMES)
+    joined = z.join(loadings.select(*SERIES, *coefs), SERIES, "left").join(
+        ready, [*PANEL, "period"], "left"
+    )
+    fitted = sum(
+        (F.col(c) * F.col(f) for c, f in zip(coefs[1:], LAG_NAMES[1:])), F.col("c0") * F.col("f0")
+    )
+    return joined.withColumn("residual", F.col(value) - F.coalesce(fitted, F.lit(0.0))).drop(
+        *coefs, *LAG_NAMES
+    )
+
+
+def em_converged(trace: DataFrame, threshold: float = 1e-4) -> DataFrame:
+    """Relative likelihood change per iteration; the rule holds from the fourth one on."""
+    run = Window.partitionBy("model", "est_vintage").orderBy("iteration")
+    now, before = F.col("loglik"), F.lag("loglik").over(run)
+    level = (F.abs(now) + F.abs(before)) / 2
+    return trace.withColumn("change", F.try_divide(F.abs(now - before), level)).withColumns(
+        {
+            "converged": F.coalesce(
+                (F.col("iteration") >= 4) & (F.col("change") < threshold), F.lit(False)
+            ),
+            "decreased": F.coalesce(now - before < -1e-3, F.lit(False)),
+        }
+    )
+
+
+# ---------------------------------------------------------------- local level
+
+
+def local_level(obs: DataFrame, level_var: float, noise_var: float, value: str = "value") -> DataFrame:
+    """Scalar Kalman filter of every series as one JVM-side fold over its months.
+
+    The level starts at zero with a large variance; missing months only add
+    level variance.
+    """
+    series = obs.groupBy(*SERIES).agg(
+        F.sort_array(F.collect_list(F.struct("period", F.col(value).alias("x")))).alias("xs")
+    )
+    start = F.struct(
+        F.lit(0.0).alias("a"), F.lit(1e6).alias("p"), F.lit(0.0).alias("ll"), F.lit(0).alias("n")
+    )
+
+    def step(s: Column, row: Column) -> Column:
+        p, x = s["p"] + level_var, row["x"]
+        f, miss = p + noise_var, x - s["a"]
+        hit = x.isNotNull()
+        return F.struct(
+            F.when(hit, s["a"] + p / f * miss).otherwise(s["a"]).alias("a"),
+            F.when(hit, p * noise_var / f).otherwise(p).alias("p"),
+            F.when(hit, s["ll"] - 0.5 * (F.log(f) + miss * miss / f)).otherwise(s["ll"]).alias("ll"),
+            F.when(hit, s["n"] + 1).otherwise(s["n"]).alias("n"),
+        )
+
+    out = series.withColumn("s", F.aggregate("xs", start, step))
+    return out.select(
+        *SERIES, F.col("s.a").alias("level"), F.col("s.p").alias("variance"),
+        F.col("s.ll").alias("loglik"), F.col("s.n").alias("observations"),
+    )
+
+
+# ---------------------------------------------------------------- parameter tables
+
+# params: model, est_vintage, name, i, j, v.  Rows of C are spec positions (from 0), its
+# columns states; block b occupies the states 5b .. 5b+4.
+
+
+def _matrix(params: DataFrame, name: str) -> DataFrame:
+    return params.where(F.col("name") == name)
+
+
+def _named(spec: DataFrame) -> DataFrame:
+    return spec.select("model", "series_id", "frequency", (F.col("spec_pos") - 1).alias("i"))
+
+
+def loading_tables(params: DataFrame, spec: DataFrame, blocks: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Monthly loadings per block, and the five lag loadings of quarterly series on the first block."""
+    width = len(TENT)
+    keys = ["model", "est_vintage", "series_id"]
+    rows = _matrix(params, "C").where(F.col("j") < width * len(blocks)).join(
+        _named(spec), ["model", "i"]
+    )
+    monthly = rows.where((F.col("frequency") == "m") & (F.col("j") % width == 0)).groupBy(*keys).agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("j") == width * b, F.col("v"))), F.lit(0.0)).alias(name)
+            for b, name in enumerate(blocks)
+        ]
+    )
+    quarterly = rows.where((F.col("frequency") == "q") & (F.col("j") < width)).groupBy(*keys).agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("j") == k, F.col("v"))), F.lit(0.0)).alias(f"f1_lag{k}")
+            for k in range(width)
+        ]
+    )
+    return monthly, quarterly
+
+
+def ar_tables(params: DataFrame, n_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """AR coefficient and residual variance of every factor and every idiosyncratic term."""
+    diagonal = params.where((F.col("i") == F.col("j")) & F.col("name").isin("A", "Q"))
+    table = diagonal.groupBy("model", "est_vintage", F.col("i").alias("state")).agg(
+        F.coalesce(F.sum(F.when(F.col("name") == "A", F.col("v"))), F.lit(0.0)).alias("ar"),
+        F.sum(F.when(F.col("name") == "Q", F.col("v"))).alias("residual_variance"),
+    ).where(F.col("residual_variance").isNotNull())
+    first_idio = len(TENT) * n_blocks
+    return table.where(F.col("state") < first_idio), table.where(F.col("state") >= first_idio)
+
+
+def common_component(params: DataFrame, states: DataFrame, spec: DataFrame, n_factor_states: int) -> DataFrame:
+    """C_i f_t in units, by series and month: a join on the state index and a sum.
+
+    ``states`` has model, est_vintage, period, j, state.
+    """
+    names = _named(spec).select("model", "i", "series_id")
+    loadings = _matrix(params, "C").where(F.col("j") < n_factor_states).select(
+        "model", "est_vintage", "i", "j", "v"
+    )
+    keys = ["model", "est_vintage"]
+    scale = (
+        params.where(F.col("name").isin("Mx", "Wx"))
+        .groupBy(*keys, "i")
+        .agg(
+            F.sum(F.when(F.col("name") == "Mx", F.col("v"))).alias("mx"),
+            F.sum(F.when(F.col("name") == "Wx", F.col("v"))).alias("wx"),
+        )
+    )
+    common = loadings.join(states, [*keys, "j"]).groupBy(*keys, "i", "period").agg(
+        F.sum(F.col("v") * F.col("state")).alias("common_z")
+    )
+    return common.join(scale, [*keys, "i"]).join(names, ["model", "i"]).select(
+        *keys, "series_id", "period", "common_z",
+        (F.col("wx") * F.col("common_z") + F.col("mx")).alias("common"),
+    )
+
+
+def common_and_residual(common: DataFrame, obs: DataFrame) -> DataFrame:
+    """Observed value split into common and own part with their shares."""
+    keys = ["model", "est_vintage", "series_id", "period"]
+    both = common.join(obs.select(*keys, F.col("value").alias("total")), keys)
+    rest = F.col("total") - F.col("common")
+    return both.select(
+        *keys, "total", "common", rest.alias("residual"),
+        F.try_divide("common", "total").alias("share_common"),
+        F.try_divide(rest, F.col("total")).alias("share_residual"),
+    )
+
+
+def component_share(weights: DataFrame, keys: list[str]) -> DataFrame:
+    """Weight per component and its share of the total, 0 when the total is 0."""
+    sums = weights.groupBy(*keys, "category").agg(F.sum("weight").alias("weight"))
+    total = F.sum("weight").over(Window.partitionBy(*keys))
+    return sums.withColumn("share_common", F.coalesce(F.try_divide(F.col("weight"), total), F.lit(0.0)))
+
+
+def component_contributions(
+    params: DataFrame, spec: DataFrame, target: str, mapping: DataFrame, summary: DataFrame,
+    n_factor_states: int,
+) -> DataFrame:
+    """Target's common part split over components by the similarity of loadings.
+
+    The weight of a series is the inner product of its loadings with the
+    target's; the target itself is left out.  ``summary`` has one row per
+    (model, est_vintage) with the target's total, common and residual.
+    """
+    keys = ["model", "est_vintage"]
+    named = _matrix(params, "C").where(F.col("j") < n_factor_states).join(
+        _named(spec).select("model", "i", "series_id"), ["model", "i"]
+    )
+    own = named.where(F.col("series_id") == target).select(*keys, "j", F.col("v").alias("target_v"))
+    others = named.where(F.col("series_id") != target)
+    weights = others.join(own, [*keys, "j"]).groupBy(*keys, "series_id").agg(
+        F.sum(F.col("v") * F.col("target_v")).alias("weight")
+    )
+    shares = component_share(with_category(weights, mapping), keys)
+    return cross_summary(summary, shares, keys).withColumn(
+        "contribution", F.col("share_common") * F.col("common")
+    )
+
+
+def cross_summary(summary: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """One summary row per key beside each of the key's parts."""
+    return summary.join(parts, keys)

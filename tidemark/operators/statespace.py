@@ -1,0 +1,370 @@
+"""Small dense state-space helpers that run inside one Spark task per panel.
+
+The state holds, in this order, five lags of each block factor, one
+idiosyncratic term per monthly series and five lags of the idiosyncratic term
+of each quarterly series.  Every block has one factor and every moving part is
+an AR(1), so the whole transition is described by its driving positions.
+Measurement noise is a constant small variance.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+from tidemark.operators.spline import spline_through
+from tidemark.schema import TENT
+
+LAGS = len(TENT)
+NOISE = 1e-4  # fixed value: measurement variance of every series
+QUARTERLY_AR = 0.1  # fixed value: starting AR coefficient of quarterly idiosyncratic terms
+QUARTERLY_VAR_DIVISOR = 19.0  # fixed value: sum of the squared tent weights
+TENT_ROW = np.array(TENT)
+
+
+@dataclass
+class Layout:
+    """Positions of the state vector; monthly series come before quarterly ones."""
+
+    n_monthly: int
+    n_quarterly: int
+    blocks: np.ndarray  # series x block, boolean
+
+    @property
+    def n_series(self) -> int:
+        return self.n_monthly + self.n_quarterly
+
+    @property
+    def n_blocks(self) -> int:
+        return self.blocks.shape[1]
+
+    @property
+    def size(self) -> int:
+        return LAGS * (self.n_blocks + self.n_quarterly) + self.n_monthly
+
+    def factor(self, b: int) -> int:
+        return LAGS * b
+
+    def idio(self, series: int) -> int:
+        start = LAGS * self.n_blocks
+        if series < self.n_monthly:
+            return start + series
+        return start + self.n_monthly + LAGS * (series - self.n_monthly)
+
+    def chains(self) -> list[tuple[int, int]]:
+        """(driving position, length) of every AR(1) chain."""
+        long = [self.factor(b) for b in range(self.n_blocks)]
+        long += [self.idio(i) for i in range(self.n_monthly, self.n_series)]
+        short = [self.idio(i) for i in range(self.n_monthly)]
+        return [(k, LAGS) for k in long] + [(k, 1) for k in short]
+
+    def loaded(self, series: int) -> np.ndarray:
+        return np.flatnonzero(self.blocks[series])
+
+
+@dataclass
+class Params:
+    A: np.ndarray
+    C: np.ndarray
+    Q: np.ndarray
+    Z_0: np.ndarray
+    V_0: np.ndarray
+
+
+def blank(layout: Layout) -> Params:
+    """All-zero parameters with the fixed structure (lag shifts, own terms, tents) in place."""
+    m, n = layout.size, layout.n_series
+    p = Params(np.zeros((m, m)), np.zeros((n, m)), np.zeros((m, m)), np.zeros(m), np.zeros((m, m)))
+    for k, length in layout.chains():
+        for lag in range(1, length):
+            p.A[k + lag, k + lag - 1] = 1.0
+    for i in range(n):
+        k = layout.idio(i)
+        if i < layout.n_monthly:
+            p.C[i, k] = 1.0
+        else:
+            p.C[i, k : k + LAGS] = TENT_ROW
+    return p
+
+
+def set_chain(p: Params, k: int, length: int, ar: float, var: float, start: bool = False) -> None:
+    """Write one AR(1) chain; with ``start`` also its stationary covariance."""
+    p.A[k, k], p.Q[k, k] = ar, var
+    if start:
+        bounded = float(np.clip(ar, -0.98, 0.98))
+        gap = np.abs(np.subtract.outer(np.arange(length), np.arange(length)))
+        p.V_0[k : k + length, k : k + length] = var / (1.0 - bounded**2) * bounded**gap
+
+
+# ---------------------------------------------------------------- filter and smoother
+
+
+@dataclass
+class Gains:
+    """Everything the filter and smoother need that does not depend on the data values."""
+
+    seen: list[np.ndarray]
+    load: list[np.ndarray]
+    inverse: list[np.ndarray]
+    carry: list[np.ndarray]  # transition of the prediction error
+    gain: list[np.ndarray]
+    prior: np.ndarray
+    logdet: float
+
+
+def filter_gains(observed: np.ndarray, p: Params) -> Gains:
+    """Covariance half of the Kalman filter for a pattern of observed cells.
+
+    Step 0 is the initial state and has no observation, so the same recursion
+    covers it.
+    """
+    steps, m = observed.shape[0] + 1, p.A.shape[0]
+    g = Gains([], [], [], [], [], np.empty((steps, m, m)), 0.0)
+    cov = p.V_0.copy()
+    for t in range(steps):
+        g.prior[t] = cov
+        rows = np.flatnonzero(observed[t - 1]) if t else np.empty(0, dtype=int)
+        load = p.C[rows]
+        spread = cov @ load.T
+        inverse = np.linalg.inv(load @ spread + NOISE * np.eye(len(rows)))
+        gain = spread @ inverse
+        if len(rows):
+            g.logdet += np.linalg.slogdet(inverse)[1]
+        carry = p.A - (p.A @ gain) @ load
+        cov = carry @ cov @ p.A.T + p.Q
+        cov = 0.5 * (cov + cov.T)
+        for part, value in zip(
+            (g.seen, g.load, g.inverse, g.carry, g.gain), (rows, load, inverse, carry, gain)
+        ):
+            part.append(value)
+    return g
+
+
+def smooth_means(g: Gains, p: Params, y: np.ndarray, start: np.ndarray):
+    """Smoothed state means for one or many data sets sharing a pattern.
+
+    ``y`` is periods x series x sets, ``start`` state x sets.  Returns the
+    smoothed and the filtered means (steps x state x sets) and the weighted
+    squared innovations per set.
+    """
+    steps, m, sets = len(g.seen), p.A.shape[0], y.shape[2]
+    predicted = np.empty((steps, m, sets))
+    updated = np.empty((steps, m, sets))
+    scaled, mean, fit = [], start.copy(), np.zeros(sets)
+    for t in range(steps):
+        predicted[t] = mean
+        miss = (y[t - 1, g.seen[t]] if t else y[0, g.seen[0]]) - g.load[t] @ mean
+        white = g.inverse[t] @ miss
+        fit += np.einsum("ik,ik->k", miss, white)
+        scaled.append(white)
+        updated[t] = mean + g.gain[t] @ miss
+        mean = p.A @ updated[t]
+    smoothed = np.empty_like(predicted)
+    back = np.zeros((m, sets))
+    for t in range(steps - 1, -1, -1):
+        back = g.load[t].T @ scaled[t] + g.carry[t].T @ back
+        smoothed[t] = predicted[t] + g.prior[t] @ back
+    return smoothed, updated, fit
+
+
+def smooth_covariances(g: Gains):
+    """Smoothed covariances and lag-one covariances (of step t+1 with step t)."""
+    steps, m = g.prior.shape[0], g.prior.shape[1]
+    cov, cross = np.empty_like(g.prior), np.empty((steps - 1, m, m))
+    info = np.zeros((m, m))
+    for t in range(steps - 1, -1, -1):
+        if t < steps - 1:
+            cross[t] = (np.eye(m) - g.prior[t + 1] @ info) @ g.carry[t] @ g.prior[t]
+        info = g.load[t].T @ g.inverse[t] @ g.load[t] + g.carry[t].T @ info @ g.carry[t]
+        cov[t] = g.prior[t] - g.prior[t] @ info @ g.prior[t]
+    return cov, cross
+
+
+def kalman(y: np.ndarray, p: Params):
+    """Smoothed means, covariances, lag-one covariances and log-likelihood of one panel.
+
+    The 2 pi constant is left out, as the stopping rule relates the change of
+    the likelihood to its level.
+    """
+    g = filter_gains(~np.isnan(y), p)
+    smoothed, updated, fit = smooth_means(g, p, y[:, :, None], p.Z_0[:, None])
+    cov, cross = smooth_covariances(g)
+    return smoothed[:, :, 0], cov, cross, 0.5 * (g.logdet - fit[0]), updated[:, :, 0], g
+
+
+# ---------------------------------------------------------------- starting values
+
+
+def trim_rows(x: np.ndarray, share: float) -> np.ndarray:
+    """Drop leading and trailing rows whose missing share is above ``share``."""
+    missing = np.isnan(x).mean(axis=1)
+    keep = np.flatnonzero(missing < 1.0 if share >= 1 else missing <= share)
+    return x[keep[0] : keep[-1] + 1] if len(keep) else x[:0]
+
+
+def fill_series(x: np.ndarray, k: int = 3) -> np.ndarray:
+    """Spline inside, median outside, the outside then smoothed over 2k+1 rows."""
+    out = spline_through(x)
+    hole = np.isnan(out)
+    if hole.all():
+        return np.zeros_like(out)
+    out[hole] = np.median(out[~hole])
+    padded = np.concatenate([np.full(k, out[0]), out, np.full(k, out[-1])])
+    mean = np.convolve(padded, np.full(2 * k + 1, 1.0 / (2 * k + 1)), mode="valid")
+    return np.where(hole, mean, out)
+
+
+def ar1(x: np.ndarray) -> tuple[float, float]:
+    """AR(1) coefficient without intercept and its residual variance."""
+    if len(x) < 3:
+        return 0.0, NOISE
+    level = float(x[:-1] @ x[:-1])
+    b = float(x[:-1] @ x[1:]) / level if level > 0 else 0.0
+    return b, max(float(np.var(x[1:] - b * x[:-1], ddof=1)), 1e-12)
+
+
+def leading_direction(x: np.ndarray) -> np.ndarray:
+    """First eigenvector of the covariance of the columns, summing to a non-negative number."""
+    v = np.linalg.eigh(np.atleast_2d(np.cov(x, rowvar=False)))[1][:, -1]
+    return -v if v.sum() < 0 else v
+
+
+def initial_params(x: np.ndarray, layout: Layout) -> Params:
+    """Block-by-block principal components and OLS on the filled standardised panel."""
+    p = blank(layout)
+    raw = trim_rows(x, 0.8)
+    full = np.column_stack([fill_series(raw[:, i]) for i in range(raw.shape[1])])
+    gap = np.isnan(raw)
+    gap[: LAGS - 1] = True
+    rest, nm = full.copy(), layout.n_monthly
+    for b in range(layout.n_blocks):
+        k = layout.factor(b)
+        members = np.flatnonzero(layout.blocks[:, b])
+        monthly = members[members < nm]
+        if not len(monthly):
+            continue
+        v = leading_direction(rest[:, monthly])
+        f = rest[:, monthly] @ v
+        p.C[monthly, k] = v
+        windows = np.lib.stride_tricks.sliding_window_view(f, LAGS)[:, ::-1]
+        quarter = windows @ TENT_ROW
+        for i in members[members >= nm]:
+            seen = ~gap[LAGS - 1 :, i]
+            if seen.sum() < LAGS + 2:
+                seen = np.ones_like(seen)
+            z, target = quarter[seen], rest[LAGS - 1 :, i][seen]
+            p.C[i, k : k + LAGS] = (z @ target) / max(float(z @ z), 1e-12) * TENT_ROW
+        rest[LAGS - 1 :] -= windows @ p.C[:, k : k + LAGS].T
+        set_chain(p, k, LAGS, *ar1(f[LAGS - 2 :]), start=True)
+    for i in range(layout.n_series):
+        seen = np.flatnonzero(~gap[:, i])
+        if i < nm:
+            span = rest[seen[0] : seen[-1] + 1, i] if len(seen) else rest[:0, i]
+            set_chain(p, layout.idio(i), 1, *ar1(span), start=True)
+        else:
+            var = float(np.var(rest[seen, i], ddof=1)) if len(seen) > 1 else 1.0
+            own = (1.0 - QUARTERLY_AR**2) * max(var, 1e-12) / QUARTERLY_VAR_DIVISOR
+            set_chain(p, layout.idio(i), LAGS, QUARTERLY_AR, own, start=True)
+    return p
+
+
+# ---------------------------------------------------------------- EM
+
+
+def em_step(y: np.ndarray, p: Params, layout: Layout, keep_start_cov: bool = False):
+    """One expectation-maximisation step; returns new parameters and the old log-likelihood.
+
+    Measurement errors are independent across series, so loadings solve one
+    small system per series whose moments are sums over that series' observed
+    periods.  Quarterly loadings follow the tent, which leaves one free number
+    per block and turns the restricted problem into an ordinary one.
+    """
+    z, cov, cross, loglik, _, _ = kalman(y, p)
+    periods = y.shape[0]
+    new = Params(p.A.copy(), p.C.copy(), p.Q.copy(), z[0].copy(), p.V_0.copy())
+    for k, length in layout.chains():
+        now = z[1:, k] @ z[1:, k] + cov[1:, k, k].sum()
+        before = z[:-1, k] @ z[:-1, k] + cov[:-1, k, k].sum()
+        both = z[1:, k] @ z[:-1, k] + cross[:, k, k].sum()
+        if before <= 0:
+            continue
+        a = both / before
+        set_chain(new, k, length, a, max((now - a * both) / periods, 1e-12))
+        if not keep_start_cov:
+            new.V_0[k : k + length, k : k + length] = cov[0, k : k + length, k : k + length]
+    seen = ~np.isnan(y)
+    known = np.where(seen, y, 0.0)
+    states, spread = z[1:], cov[1:]
+    for i in range(layout.n_series):
+        heads = LAGS * layout.loaded(i)
+        heads = heads[p.V_0[heads, heads] > 0]
+        rows = seen[:, i]
+        if not len(heads) or not rows.any():
+            continue
+        own = layout.idio(i)
+        if i < layout.n_monthly:
+            mix, mine, w = np.eye(len(heads)), np.array([own]), np.ones(1)
+            cols = heads
+        else:
+            cols = (heads[:, None] + np.arange(LAGS)).ravel()
+            mix = np.kron(np.eye(len(heads)), TENT_ROW[:, None])
+            mine, w = own + np.arange(LAGS), TENT_ROW
+        f, e = states[rows][:, cols], states[rows][:, mine] @ w
+        moment = f.T @ f + spread[rows][:, cols][:, :, cols].sum(axis=0)
+        shared = spread[rows][:, mine][:, :, cols].sum(axis=0)
+        target = (known[rows, i] - e) @ f - w @ shared
+        free = np.linalg.solve(mix.T @ moment @ mix, mix.T @ target)
+        new.C[i, cols] = mix @ free
+    return new, loglik
+
+
+def has_converged(now: float, before: float, threshold: float) -> bool:
+    level = (abs(now) + abs(before) + np.finfo(float).eps) / 2.0
+    return abs(now - before) / level < threshold
+
+
+def fit(x: np.ndarray, layout: Layout, threshold: float, max_iter: int, keep_start_cov: bool = False):
+    """Estimate on a standardised panel; returns parameters and the likelihood trace."""
+    p = initial_params(x, layout)
+    y, trace = trim_rows(x, 1.0), []
+    for step in range(max_iter):
+        p, loglik = em_step(y, p, layout, keep_start_cov)
+        trace.append(loglik)
+        if step > 2 and has_converged(loglik, trace[-2], threshold):
+            break
+    return p, trace
+
+
+# ---------------------------------------------------------------- news
+
+
+def decompose_update(old: np.ndarray, new: np.ndarray, p: Params, row: int, target: int):
+    """Nowcasts before and after an update and the weight of every released cell.
+
+    A smoothed value is linear in the data for a given pattern of observed
+    cells, so the weight of a cell is the response to a unit in that cell
+    alone; all responses are computed side by side with shared gains.
+    Returns y_old, y_rev, y_new and, per released cell, its row, series,
+    forecast and weight, all in standardised units.
+    """
+    revised = np.where(np.isnan(old), np.nan, new)
+    g_old = filter_gains(~np.isnan(old), p)
+    start = p.Z_0[:, None]
+    z_old = smooth_means(g_old, p, old[:, :, None], start)[0]
+    same = np.array_equal(np.isnan(old), np.isnan(revised))
+    g_rev = g_old if same else filter_gains(~np.isnan(revised), p)
+    z_rev = smooth_means(g_rev, p, revised[:, :, None], start)[0]
+    cells = np.argwhere(np.isnan(old) & ~np.isnan(new))
+    probes = np.zeros((*new.shape, len(cells) + 1))
+    probes[:, :, 0] = new
+    for k, (t, i) in enumerate(cells):
+        probes[t, i, k + 1] = 1.0
+    heads = np.zeros((p.A.shape[0], len(cells) + 1))
+    heads[:, 0] = p.Z_0
+    z_new = smooth_means(filter_gains(~np.isnan(new), p), p, probes, heads)[0]
+    answer = p.C[target] @ z_new[row + 1]
+    forecast = np.einsum("km,km->k", p.C[cells[:, 1]], z_rev[cells[:, 0] + 1, :, 0])
+    y_old = float(p.C[target] @ z_old[row + 1, :, 0])
+    y_rev = float(p.C[target] @ z_rev[row + 1, :, 0])
+    return y_old, y_rev, float(answer[0]), cells, forecast, answer[1:]

@@ -1,0 +1,162 @@
+"""The weekly back-test: every target quarter, vintage pair and model in one job.
+
+Each pair of vintages becomes one packed row (its cells as an array, bounded
+by series x months) that meets its packed parameters in an ordinary join;
+tasks then work row by row.  A pair that cannot be evaluated yields its error
+text instead of disappearing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions import calendar as cal
+from tidemark.operators import asof, score, statespace
+from tidemark.plans.common import ensure_checkpoint_dir, spread
+from tidemark.plans.estimate import (
+    fit_factor_model, layout_of, pack_params, prepare_panels, unpack_params,
+)
+
+UPDATE_DDL = (
+    "model string, quarter string, vintage date, params_used string, y_old double, y_rev double, "
+    "y_new double, impact_revisions double, impact_releases double, "
+    "news array<struct<series_id string, period date, forecast double, actual double, "
+    "weight double, impact double>>, error string"
+)
+
+
+def pack_pairs(pairs: DataFrame, spec: DataFrame) -> DataFrame:
+    """One row per (model, quarter, pair) with its cells; spec order rides along."""
+    order = spec.select("model", "series_id", "spec_pos")
+    cells = F.collect_list(F.struct("spec_pos", "period", "old", "new")).alias("cells")
+    return pairs.join(order, ["model", "series_id"]).groupBy(
+        "model", "quarter", "vintage_old", "vintage"
+    ).agg(cells)
+
+
+def pack_spec(spec: DataFrame) -> DataFrame:
+    """The series of each model in spec order as one array."""
+    entries = F.collect_list(F.struct("spec_pos", "series_id", "frequency", "blocks"))
+    return spec.groupBy("model").agg(F.sort_array(entries).alias("series"))
+
+
+def _grid(cells, n_series: int, start, target) -> tuple[np.ndarray, np.ndarray, pd.DatetimeIndex]:
+    """Old and new matrices on a common monthly grid reaching past the target month."""
+    frame = pd.DataFrame.from_records([(c["spec_pos"], c["period"], c["old"], c["new"]) for c in cells],
+                                      columns=["pos", "period", "old", "new"])
+    frame["period"] = pd.to_datetime(frame["period"])
+    first, last = min(frame["period"].min(), pd.Timestamp(start)), frame["period"].max()
+    months = pd.date_range(first, last + pd.DateOffset(months=12), freq="MS")
+    if pd.Timestamp(target) > months[-1]:
+        raise ValueError("period is beyond the one-year horizon")
+    row, col = months.get_indexer(frame["period"]), frame["pos"].to_numpy() - 1
+    sides = []
+    for side in ("old", "new"):
+        x = np.full((len(months), n_series), np.nan)
+        x[row, col] = frame[side].to_numpy("float64")
+        sides.append(x)
+    return sides[0], sides[1], months
+
+
+def _update(row, target_series: str, blocks: list[str]) -> dict:
+    series = pd.DataFrame.from_records([e if isinstance(e, dict) else e.asDict() for e in row.series])
+    layout = layout_of(series, blocks)
+    p, mean, sd = unpack_params(row.params, layout)
+    old, new, months = _grid(row.cells, layout.n_series, row.sample_start, row.target)
+    scale = lambda x: (x - mean) / sd
+    goal = int(np.flatnonzero(series["series_id"] == target_series)[0])
+    at = int(months.get_indexer([pd.Timestamp(row.target)])[0])
+    y_old, y_rev, y_new, cells, forecast, weight = statespace.decompose_update(
+        scale(old), scale(new), p, at, goal
+    )
+    in_units = lambda y: float(sd[goal] * y + mean[goal])
+    news, total = [], 0.0
+    for (t, i), f, w in zip(cells, forecast, weight):
+        expected, actual = float(sd[i] * f + mean[i]), float(new[t, i])
+        unit_weight = float(w * sd[goal] / sd[i])
+        impact = unit_weight * (actual - expected)
+        total += impact
+        news.append(
+            {
+                "series_id": series["series_id"].iloc[i], "period": months[t].date(),
+                "forecast": expected, "actual": actual, "weight": unit_weight, "impact": impact,
+            }
+        )
+    return {
+        "y_old": in_units(y_old), "y_rev": in_units(y_rev), "y_new": in_units(y_new),
+        "impact_revisions": in_units(y_rev) - in_units(y_old), "impact_releases": total,
+        "news": news, "error": None,
+    }
+
+
+def evaluate_pairs(
+    pairs: DataFrame, spec: DataFrame, params: DataFrame, catalogue: DataFrame, target_series: str,
+    blocks: list[str], sample_start: str,
+) -> DataFrame:
+    """Old, revised and new nowcast of every pair with the news of its released cells.
+
+    ``pairs`` holds transformed values; ``catalogue`` maps (model,
+    param_quarter) to the estimation vintage whose parameters apply.
+    """
+    names = [part.strip().split()[0] for part in UPDATE_DDL.split("news array")[0].split(",") if part.strip()]
+    names += ["news", "error"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                head = {k: getattr(row, k) for k in ("model", "quarter", "vintage", "params_used")}
+                try:
+                    body = _update(row, target_series, blocks)
+                except Exception as ex:  # recorded per pair
+                    body = {"error": repr(ex), "news": []}
+                yield pd.DataFrame([{**dict.fromkeys(names), **head, **body}])[names]
+
+    chosen = asof.select_params(pack_pairs(pairs, spec), catalogue)
+    work = chosen.join(pack_params(params), ["model", "est_vintage"]).join(pack_spec(spec), "model")
+    work = work.withColumn("target", cal.target_month("quarter")).withColumn(
+        "sample_start", F.lit(sample_start).cast("date")
+    )
+    return spread(work, "model", "quarter", "vintage").mapInPandas(run, UPDATE_DDL)
+
+
+def nowcast_table(updates: DataFrame, actuals: DataFrame) -> DataFrame:
+    """Scored nowcast rows of the evaluated pairs."""
+    return score.score(updates.where(F.col("error").isNull()), actuals)
+
+
+def news_table(updates: DataFrame) -> DataFrame:
+    """One row per released cell."""
+    return updates.select("model", "quarter", "vintage", F.explode("news").alias("n")).select(
+        "model", "quarter", "vintage", "n.*"
+    )
+
+
+def failures(updates: DataFrame) -> DataFrame:
+    return updates.where(F.col("error").isNotNull()).select("model", "quarter", "vintage", "error")
+
+
+def run_backtest(
+    vintages: DataFrame, spec: DataFrame, schedule: DataFrame, catalogue: DataFrame, target_series: str,
+    blocks: list[str], sample_start: str, threshold: float = 1e-4, max_iter: int = 5000,
+    available: DataFrame | None = None,
+) -> DataFrame:
+    """Estimate on the catalogue's vintages, then evaluate every scheduled pair.
+
+    ``vintages`` is the untransformed long panel by vintage.  It is transformed
+    once for both steps.  The estimates are costly and small, so they are
+    written to the checkpoint folder and survive a lost executor.
+    """
+    ensure_checkpoint_dir(vintages.sparkSession)
+    panels = prepare_panels(vintages, spec)
+    wanted = catalogue.select(F.col("est_vintage").alias("vintage")).distinct()
+    params = fit_factor_model(
+        panels.join(wanted, "vintage", "left_semi"), spec, blocks, threshold, max_iter
+    ).checkpoint()
+    observed = panels.where(F.col("value").isNotNull())
+    pairs = asof.pair_vintages(schedule, observed, available)
+    return evaluate_pairs(pairs, spec, params, catalogue, target_series, blocks, sample_start)

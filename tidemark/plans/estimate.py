@@ -1,0 +1,191 @@
+"""Estimate factor models for many panels, one Spark task per panel.
+
+Spark selects, transforms and standardises all panels at once and shuffles
+each one, a bounded series x month matrix, to its own task.  The iteration
+stays inside the task because it touches nothing but that matrix.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators import panel, statespace
+from tidemark.plans.common import spread
+from tidemark.schema import PANEL, PARAMS_DDL
+
+OUT_DDL = PARAMS_DDL + ", error string"
+
+
+def prepare_panels(obs: DataFrame, spec: DataFrame, drop: int = 3, start: str | None = None) -> DataFrame:
+    """Transformed long panel: selection, dense months, transformation, initial rows dropped.
+
+    The sample start applies after the transformation, whose lags reach back.
+    """
+    grid = panel.dense_monthly(panel.with_spec(obs, spec))
+    out = panel.drop_initial(panel.transform_series(grid), drop)
+    out = panel.sample_from(out, start) if start else out
+    return out.select("model", "vintage", "series_id", "period", F.col("x").alias("value"))
+
+
+def with_layout(panels: DataFrame, spec: DataFrame) -> DataFrame:
+    """Attach what a task needs to order a panel: position, frequency and blocks."""
+    return panels.join(
+        spec.select("model", "series_id", "spec_pos", "frequency", "blocks"), ["model", "series_id"]
+    )
+
+
+def layout_of(series: pd.DataFrame, blocks: list[str]) -> statespace.Layout:
+    """Layout from one row per series in spec order (monthly first)."""
+    member = np.array([[b in set(names) for b in blocks] for names in series["blocks"]])
+    monthly = int((series["frequency"] == "m").sum())
+    return statespace.Layout(monthly, len(series) - monthly, member)
+
+
+def matrix_of(pdf: pd.DataFrame, value: str) -> np.ndarray:
+    """Period x series matrix in spec order."""
+    wide = pdf.set_index(["period", "spec_pos"])[value].unstack()
+    return wide.sort_index().sort_index(axis=1).to_numpy("float64")
+
+
+def scale_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column means and standard deviations; a constant or empty series keeps its own units."""
+    n = (~np.isnan(x)).sum(axis=0)
+    mean = np.where(n > 0, np.nansum(x, axis=0) / np.maximum(n, 1), 0.0)
+    var = np.nansum((x - mean) ** 2, axis=0) / np.maximum(n - 1, 1)
+    return mean, np.where(var > 0, np.sqrt(var), 1.0)
+
+
+def param_rows(p: statespace.Params, mean: np.ndarray, sd: np.ndarray, trace: list[float]) -> pd.DataFrame:
+    """Coordinate form of the estimates; zeros of matrices are left out."""
+    parts = []
+    for name, value in [("A", p.A), ("C", p.C), ("Q", p.Q), ("V_0", p.V_0)]:
+        i, j = np.nonzero(value)
+        parts.append(pd.DataFrame({"name": name, "i": i, "j": j, "v": value[i, j]}))
+    for name, value in [("Z_0", p.Z_0), ("Mx", mean), ("Wx", sd), ("loglik", np.array(trace))]:
+        parts.append(pd.DataFrame({"name": name, "i": np.arange(len(value)), "j": 0, "v": value}))
+    noise = np.arange(p.C.shape[0])
+    parts.append(pd.DataFrame({"name": "R", "i": noise, "j": noise, "v": statespace.NOISE}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def fit_factor_model(
+    panels: DataFrame, spec: DataFrame, blocks: list[str], threshold: float = 1e-4, max_iter: int = 5000,
+    keep_start_cov: bool = False,
+) -> DataFrame:
+    """Parameter table of every (model, vintage) panel; a failed panel yields its error text."""
+
+    def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = {"model": pdf["model"].iloc[0], "est_vintage": pdf["vintage"].iloc[0]}
+        try:
+            series = pdf.drop_duplicates("spec_pos").sort_values("spec_pos")
+            layout = layout_of(series, blocks)
+            x = matrix_of(pdf, "value")
+            mean, sd = scale_of(x)
+            p, trace = statespace.fit((x - mean) / sd, layout, threshold, max_iter, keep_start_cov)
+            out = param_rows(p, mean, sd, trace).assign(error=None)
+        except Exception as ex:  # one bad panel must not stop the others
+            out = pd.DataFrame([{"name": "error", "i": 0, "j": 0, "v": None, "error": repr(ex)}])
+        return out.assign(**first)[["model", "est_vintage", "name", "i", "j", "v", "error"]]
+
+    ready = spread(with_layout(panels, spec), *PANEL)
+    return ready.groupBy(*PANEL).applyInPandas(estimate, OUT_DDL)
+
+
+def likelihood_trace(params: DataFrame) -> DataFrame:
+    return params.where(F.col("name") == "loglik").select(
+        "model", "est_vintage", (F.col("i") + 1).alias("iteration"), F.col("v").alias("loglik")
+    )
+
+
+# ---------------------------------------------------------------- states under given parameters
+
+
+def pack_params(params: DataFrame) -> DataFrame:
+    """One row per estimated panel holding its parameter entries."""
+    entries = F.collect_list(F.struct("name", "i", "j", "v")).alias("params")
+    return params.where(F.col("name") != "error").groupBy("model", "est_vintage").agg(entries)
+
+
+def unpack_params(entries, layout: statespace.Layout):
+    """Parameters, means and standard deviations from packed entries."""
+    m, n = layout.size, layout.n_series
+    p = statespace.Params(
+        np.zeros((m, m)), np.zeros((n, m)), np.zeros((m, m)), np.zeros(m), np.zeros((m, m))
+    )
+    mean, sd = np.zeros(n), np.ones(n)
+    vectors = {"Z_0": p.Z_0, "Mx": mean, "Wx": sd}
+    matrices = {"A": p.A, "C": p.C, "Q": p.Q, "V_0": p.V_0}
+    for e in entries:
+        if e["name"] in matrices:
+            matrices[e["name"]][e["i"], e["j"]] = e["v"]
+        elif e["name"] in vectors:
+            vectors[e["name"]][e["i"]] = e["v"]
+    return p, mean, sd
+
+
+STATES_DDL = (
+    "model string, est_vintage date, period date, kind string, j int, state double, variance double, "
+    "filtered double"
+)
+
+
+def smoothed_states(panels: DataFrame, params: DataFrame, spec: DataFrame, blocks: list[str]) -> DataFrame:
+    """Filtered and smoothed states and smoothed series of every panel under its own estimates.
+
+    Rows of kind ``state`` hold the factor states, rows of kind ``series`` the
+    smoothed standardised value of each series.
+    """
+
+    def smooth(key, data: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
+        columns = ["model", "est_vintage", "period", "kind", "j", "state", "variance", "filtered"]
+        if data.empty or packed.empty:
+            return pd.DataFrame(columns=columns)
+        series = data.drop_duplicates("spec_pos").sort_values("spec_pos")
+        layout = layout_of(series, blocks)
+        p, mean, sd = unpack_params(packed["params"].iloc[0], layout)
+        x = (matrix_of(data, "value") - mean) / sd
+        z, cov, _, _, filtered, _ = statespace.kalman(x, p)
+        periods = np.sort(data["period"].unique())
+        top = statespace.LAGS * layout.n_blocks
+        wide = {
+            "state": (z[1:, :top], np.einsum("tii->ti", cov)[1:, :top], filtered[1:, :top]),
+            "series": (
+                z[1:] @ p.C.T, np.einsum("im,tmn,in->ti", p.C, cov[1:], p.C), filtered[1:] @ p.C.T,
+            ),
+        }
+        parts = []
+        for kind, (value, var, now) in wide.items():
+            t, j = np.meshgrid(np.arange(len(periods)), np.arange(value.shape[1]), indexing="ij")
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "period": periods[t.ravel()], "kind": kind, "j": j.ravel(),
+                        "state": value.ravel(), "variance": var.ravel(), "filtered": now.ravel(),
+                    }
+                )
+            )
+        out = pd.concat(parts, ignore_index=True)
+        return out.assign(model=key[0], est_vintage=key[1])[columns]
+
+    left = with_layout(panels, spec).withColumnRenamed("vintage", "est_vintage")
+    left = spread(left, "model", "est_vintage").groupBy("model", "est_vintage")
+    right = spread(pack_params(params), "model", "est_vintage").groupBy("model", "est_vintage")
+    return left.cogroup(right).applyInPandas(smooth, STATES_DDL)
+
+
+def smoothed_panel(states: DataFrame, params: DataFrame, spec: DataFrame) -> DataFrame:
+    """Smoothed series, standardised and in units."""
+    keys = ["model", "est_vintage"]
+    scale = params.where(F.col("name").isin("Mx", "Wx")).groupBy(*keys, F.col("i").alias("j")).agg(
+        F.sum(F.when(F.col("name") == "Mx", F.col("v"))).alias("mx"),
+        F.sum(F.when(F.col("name") == "Wx", F.col("v"))).alias("wx"),
+    )
+    names = spec.select("model", "series_id", (F.col("spec_pos") - 1).alias("j"))
+    rows = states.where(F.col("kind") == "series").join(scale, [*keys, "j"]).join(names, ["model", "j"])
+    return rows.select(
+        *keys, "series_id", "period", F.col("state").alias("x_smooth"),
+        (F.col("wx") * F.col("state") + F.col("mx")).alias("value_smooth"),
+    )

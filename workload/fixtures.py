@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
-from tidemark.operators import asof, news as news_ops, panel, score
+from tidemark.operators import asof, factor, news as news_ops, panel, score
+from tidemark.plans.common import materialise
 from tidemark.sources.files import parse_spec
 
 # First month not covered completely, the panel's vintage date,
@@ -155,7 +156,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     upto = Window.partitionBy("model", "series_id", "period").orderBy("release_date")
     return fact_events(spark, sf_dir).select(
         "model", "series_id", "period", "release_date",
-        (F.sum("amount").over(upto).cast("double") / 1000).alias("value"),
+        (F.sum("amount").over(upto).cast("double") / 100000).alias("value"),
     )
 
 
@@ -183,7 +184,16 @@ def vintage_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.pair_vintages(schedule(spark, sf_dir), vintage_obs(spark, sf_dir))
+    return asof.pair_vintages(
+        schedule(spark, sf_dir), vintage_obs(spark, sf_dir), available_vintages(spark, sf_dir)
+    )
+
+
+def available_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scheduled Fridays on which a model has published anything."""
+    began = fact_events(spark, sf_dir).groupBy("model").agg(F.min("release_date").alias("began"))
+    weeks = schedule(spark, sf_dir).select("vintage").distinct()
+    return weeks.join(began, F.col("vintage") >= F.col("began")).select("model", "vintage")
 
 
 def quarter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,14 +253,18 @@ def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nowcast(spark: SparkSession, sf_dir: str, variant: str = "a") -> DataFrame:
+def nowcast(
+    spark: SparkSession, sf_dir: str, variant: str = "a", weekly: DataFrame | None = None,
+    official: DataFrame | None = None,
+) -> DataFrame:
     """Scored weekly nowcasts of one model variant.
 
     Variant b lacks its fifth week in first quarters, so pairing by date and
     by position differ.
     """
     week = Window.partitionBy("model", "quarter").orderBy("vintage")
-    y = estimates(spark, sf_dir).select(
+    weekly = estimates(spark, sf_dir) if weekly is None else weekly
+    y = weekly.select(
         "model", "quarter", "vintage", F.col(f"y_{variant}").alias("y_new"),
         F.row_number().over(week).alias("n"),
     )
@@ -264,13 +278,20 @@ def nowcast(spark: SparkSession, sf_dir: str, variant: str = "a") -> DataFrame:
         (0.25 * change).alias("impact_revisions"), (0.75 * change).alias("impact_releases"),
         F.when(early, "prev").otherwise("curr").alias("params_used"),
     )
-    return score.score(rows, actuals(spark, sf_dir))
+    return score.score(rows, actuals(spark, sf_dir) if official is None else official)
+
+
+def both_nowcasts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both variants from one written table of estimates."""
+    weekly = materialise(estimates(spark, sf_dir), "estimates")
+    official = materialise(actuals(spark, sf_dir), "actuals")
+    return tuple(nowcast(spark, sf_dir, v, weekly, official) for v in "ab")
 
 
 def first_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_events(spark, sf_dir).groupBy("model", "series_id", "period").agg(
         F.min("release_date").alias("vintage"),
-        (F.min_by("amount", "release_date").cast("double") / 1000).alias("actual"),
+        (F.min_by("amount", "release_date").cast("double") / 100000).alias("actual"),
     )
 
 
@@ -313,3 +334,127 @@ def estimation_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return started.groupBy(F.col("quarter").alias("param_quarter")).agg(
         F.min("vintage").alias("est_vintage")
     )
+
+
+# ---------------------------------------------------------------- factor-model fixtures
+
+
+def panel_x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = panel.drop_initial(transformed(spark, sf_dir), 3)
+    return out.select("model", "vintage", "series_id", "period", F.col("x").alias("value"), "frequency")
+
+
+def panel_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.standardise(panel_x(spark, sf_dir))
+
+
+def mean_factor(z: DataFrame) -> DataFrame:
+    """Cross-section mean by month: a factor that SQL can state."""
+    return z.groupBy("model", "vintage", "period").agg(F.avg("z").alias("f"))
+
+
+def simple_loadings(z: DataFrame, lags: DataFrame) -> DataFrame:
+    """c0..c4: slope on the current factor for monthly, tent loadings for quarterly series."""
+    f = lags.select("model", "vintage", "period", "f")
+    both = z.where(F.col("frequency") == "m").join(f, ["model", "vintage", "period"])
+    square = F.sum(F.when(F.col("z").isNotNull(), F.col("f") * F.col("f")))
+    monthly = both.groupBy("model", "vintage", "series_id").agg(
+        F.try_divide(F.sum(F.col("z") * F.col("f")), square).alias("c0")
+    )
+    monthly = monthly.withColumns({f"c{k}": F.lit(0.0) for k in range(1, 5)})
+    quarterly = factor.restricted_loadings(z.where(F.col("frequency") == "q"), lags).drop("b")
+    return monthly.unionByName(quarterly)
+
+
+def simple_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinate parameter table made of slopes, AR fits and scales of the static panel."""
+    z = materialise(panel_z(spark, sf_dir), "panel_z")
+    place = spec(spark, sf_dir).select("model", "series_id", (F.col("spec_pos") - 1).alias("i"), "category")
+    lags = factor.factor_lags(mean_factor(z))
+    keys = ["model", F.col("vintage").alias("est_vintage")]
+    loads = simple_loadings(z, lags).join(place, ["model", "series_id"])
+    own = F.array_position(F.array(*[F.lit(r) for r in REGIONS]), F.col("category")).cast("int") * 5
+    entries = F.array(
+        *[F.struct(F.lit(k).alias("j"), F.col(f"c{k}").alias("v")) for k in range(5)],
+        F.struct(own.alias("j"), (F.col("c0") / 2).alias("v")),
+    )
+    c = loads.withColumn("_e", F.explode(entries)).select(
+        *keys, F.lit("C").alias("name"), "i", F.col("_e.j").alias("j"), F.col("_e.v").alias("v")
+    )
+    ar = factor.ar1(z, ["model", "vintage", "series_id"], "z").join(place, ["model", "series_id"])
+    state = F.when(F.col("i") < 20, 30 + F.col("i")).otherwise(50 + 5 * (F.col("i") - 20))
+    dynamics = ar.withColumn("k", state).withColumn(
+        "_e",
+        F.explode(
+            F.array(
+                F.struct(F.lit("A").alias("name"), F.col("b").alias("v")),
+                F.struct(F.lit("Q").alias("name"), F.col("residual_variance").alias("v")),
+            )
+        ),
+    ).select(*keys, "_e.name", F.col("k").alias("i"), F.col("k").alias("j"), "_e.v")
+    scale = panel.scale_stats(z).join(place, ["model", "series_id"]).withColumn(
+        "_e",
+        F.explode(
+            F.array(
+                F.struct(F.lit("Mx").alias("name"), F.col("mx").alias("v")),
+                F.struct(F.lit("Wx").alias("name"), F.col("wx").alias("v")),
+            )
+        ),
+    ).select(*keys, "_e.name", "i", F.lit(0).alias("j"), "_e.v")
+    return materialise(c.unionByName(dynamics).unionByName(scale), "params")
+
+
+# ---------------------------------------------------------------- back-test fixtures
+
+TARGET = "TOTAL"
+BLOCKS = ["Global", "AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLEEAST"]
+
+
+def tracked_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly nations and the quarterly total they are meant to track, all in changes."""
+    nations = spec(spark, sf_dir).where(F.col("model") == segments(spark, sf_dir).agg(F.min("model")).scalar())
+    place = Window.partitionBy("model").orderBy("series_id")
+    monthly = nations.select(
+        F.lit("all").alias("model"), "series_id", "series_name", F.lit("m").alias("frequency"), "units",
+        F.lit("chg").alias("transformation"), "category", "blocks",
+    ).withColumn("spec_pos", F.row_number().over(place))
+    total = nations.groupBy().agg((F.count(F.lit(1)) + 1).cast("int").alias("spec_pos")).select(
+        F.lit("all").alias("model"), F.lit(TARGET).alias("series_id"), F.lit("All orders").alias("series_name"),
+        F.lit("q").alias("frequency"), F.lit("USD").alias("units"), F.lit("chg").alias("transformation"),
+        F.lit("Total").alias("category"), F.array(F.lit("Global")).alias("blocks"), "spec_pos",
+    )
+    return monthly.unionByName(total)
+
+
+def tracked_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published amounts of the nations and of the quarterly total, all segments together."""
+    events = fact_events(spark, sf_dir).groupBy("series_id", "period", "release_date").agg(
+        F.sum("amount").alias("amount")
+    )
+    cells = F.array(
+        F.struct("series_id", "period"),
+        F.struct(F.lit(TARGET).alias("series_id"), cal.quarter_third_month("period").alias("period")),
+    )
+    both = events.withColumn("_c", F.explode(cells)).groupBy(
+        "_c.series_id", "_c.period", "release_date"
+    ).agg(F.sum("amount").alias("amount"))
+    upto = Window.partitionBy("series_id", "period").orderBy("release_date")
+    return both.select(
+        F.lit("all").alias("model"), "series_id", "period", "release_date",
+        (F.sum("amount").over(upto).cast("double") / 1000000).alias("value"),
+    )
+
+
+def tracked_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final change of the quarterly total."""
+    final = tracked_facts(spark, sf_dir).where(F.col("series_id") == TARGET).groupBy("model", "period").agg(
+        F.max("value").alias("value")
+    )
+    by_time = Window.partitionBy("model").orderBy("period")
+    change = F.col("value") - F.lag("value").over(by_time)
+    return final.select("model", cal.quarter_label("period").alias("quarter"), change.alias("actual"))
+
+
+def vintages_of(spark: SparkSession, sf_dir: str, known: DataFrame) -> DataFrame:
+    """As-of panel of the given facts on every scheduled vintage."""
+    return asof.value_as_of(known, schedule(spark, sf_dir))

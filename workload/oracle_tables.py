@@ -112,7 +112,7 @@ GROUP BY 1, 2, 3, 4
 
 TABLES["facts"] = """
 SELECT model, series_id, period, release_date,
-       CAST(sum(amount) OVER (PARTITION BY model, series_id, period ORDER BY release_date) AS DOUBLE) / 1000
+       CAST(sum(amount) OVER (PARTITION BY model, series_id, period ORDER BY release_date) AS DOUBLE) / 100000
        AS value
 FROM fact_events
 """
@@ -239,7 +239,7 @@ WHERE back = 1
 
 TABLES["first_releases"] = """
 SELECT model, series_id, period, min(release_date) AS vintage,
-       CAST(arg_min(amount, release_date) AS DOUBLE) / 1000 AS actual
+       CAST(arg_min(amount, release_date) AS DOUBLE) / 100000 AS actual
 FROM fact_events GROUP BY 1, 2, 3
 """
 
@@ -273,3 +273,75 @@ TABLES["news_cat"] = """
 SELECT n.*, coalesce(c.category, 'Other') AS category
 FROM news n LEFT JOIN categories c ON c.series_id = n.series_id
 """
+
+TABLES["mean_factor"] = """
+SELECT model, vintage, period, avg(z) AS f FROM panel_z GROUP BY 1, 2, 3
+"""
+
+TABLES["lags"] = """
+SELECT *, f AS f0, lag(f, 1) OVER w AS f1, lag(f, 2) OVER w AS f2, lag(f, 3) OVER w AS f3, lag(f, 4) OVER w AS f4
+FROM mean_factor WINDOW w AS (PARTITION BY model, vintage ORDER BY period)
+"""
+
+TABLES["tents"] = """
+SELECT model, vintage, period, f0 + 2 * f1 + 3 * f2 + 2 * f3 + f4 AS tent FROM lags WHERE f4 IS NOT NULL
+"""
+
+TABLES["tent_loadings"] = """
+SELECT z.model, z.vintage, z.series_id, CASE WHEN count(z) >= 7
+  THEN sum(z * tent) / nullif(sum(tent * tent) FILTER (z IS NOT NULL), 0) END AS b
+FROM panel_z z JOIN tents t ON t.model = z.model AND t.vintage = z.vintage AND t.period = z.period
+WHERE z.frequency = 'q' GROUP BY 1, 2, 3
+"""
+
+TABLES["simple_loadings"] = """
+SELECT z.model, z.vintage, z.series_id, sum(z * f) / nullif(sum(f * f) FILTER (z IS NOT NULL), 0) AS c0,
+  CAST(0 AS DOUBLE) AS c1, CAST(0 AS DOUBLE) AS c2, CAST(0 AS DOUBLE) AS c3, CAST(0 AS DOUBLE) AS c4
+FROM panel_z z JOIN mean_factor m ON m.model = z.model AND m.vintage = z.vintage AND m.period = z.period
+WHERE z.frequency = 'm' GROUP BY 1, 2, 3
+UNION ALL SELECT model, vintage, series_id, b, 2 * b, 3 * b, 2 * b, b FROM tent_loadings
+"""
+
+TABLES["ar_fits"] = """
+SELECT *, (sq - total * total / n) / nullif(n - 1, 0) AS residual_variance
+FROM (SELECT *, sx - b * sl AS total, sxx - 2 * b * sxl + b * b * sll AS sq
+      FROM (SELECT model, vintage, series_id, count(*) AS n, sum(x) AS sx, sum(l) AS sl, sum(x * x) AS sxx,
+              sum(x * l) AS sxl, sum(l * l) AS sll, sum(x * l) / nullif(sum(l * l), 0) AS b
+            FROM (SELECT *, z AS x, lag(z) OVER (PARTITION BY model, vintage, series_id ORDER BY period) AS l
+                  FROM panel_z)
+            WHERE x IS NOT NULL AND l IS NOT NULL GROUP BY 1, 2, 3))
+"""
+
+TABLES["place"] = """
+SELECT model, series_id, spec_pos - 1 AS i, category, frequency,
+  CASE category WHEN 'AFRICA' THEN 1 WHEN 'AMERICA' THEN 2 WHEN 'ASIA' THEN 3 WHEN 'EUROPE' THEN 4 ELSE 5 END AS b
+FROM spec_t
+"""
+
+TABLES["param_c"] = """
+SELECT l.model, l.vintage AS est_vintage, p.series_id, p.i, p.frequency, p.category, j, v FROM (
+  SELECT model, vintage, series_id, 0 AS j, c0 AS v FROM simple_loadings
+  UNION ALL SELECT model, vintage, series_id, 1, c1 FROM simple_loadings
+  UNION ALL SELECT model, vintage, series_id, 2, c2 FROM simple_loadings
+  UNION ALL SELECT model, vintage, series_id, 3, c3 FROM simple_loadings
+  UNION ALL SELECT model, vintage, series_id, 4, c4 FROM simple_loadings
+  UNION ALL SELECT s.model, vintage, s.series_id, 5 * q.b, c0 / 2 FROM simple_loadings s
+    JOIN place q ON q.model = s.model AND q.series_id = s.series_id) l
+JOIN place p ON p.model = l.model AND p.series_id = l.series_id
+"""
+
+TABLES["commons"] = """
+SELECT c.model, c.est_vintage, c.series_id, l.period, sum(c.v * l.state) AS common_z
+FROM param_c c JOIN (
+  SELECT model, vintage, period, CAST(replace(name, 'f', '') AS INTEGER) AS j, state
+  FROM (SELECT model, vintage, period, f0, f1, f2, f3, f4 FROM lags)
+  UNPIVOT (state FOR name IN (f0, f1, f2, f3, f4))) l
+  ON l.model = c.model AND l.vintage = c.est_vintage AND l.j = c.j
+WHERE c.j < 5 GROUP BY 1, 2, 3, 4
+"""
+
+TABLES["common_units"] = """
+SELECT c.*, s.wx * c.common_z + s.mx AS common
+FROM commons c JOIN (SELECT DISTINCT model, vintage, series_id, mx, wx FROM panel_z) s
+  ON s.model = c.model AND s.vintage = c.est_vintage AND s.series_id = c.series_id
+"""

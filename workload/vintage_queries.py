@@ -1,10 +1,9 @@
 """Queries over the bitemporal panel: as-of values, pairs of vintages, news."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import calendar as cal
-from tidemark.operators import asof, impact, news, panel, reshape
+from tidemark.operators import asof, news
+from tidemark.plans.common import materialise
 from workload import fixtures as fx
 from workload.registry import query
 
@@ -37,7 +36,7 @@ def fact_versions(spark, d):
 SELECT o_orderkey, model, series_id, day, value, release_date
 FROM (SELECT o_orderkey, c_mktsegment AS model, n_name AS series_id, CAST(o_orderdate AS DATE) AS day
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) l
-ASOF LEFT JOIN (SELECT model AS m, series_id AS s, release_date, CAST(sum(amount) AS DOUBLE) / 1000 AS value
+ASOF LEFT JOIN (SELECT model AS m, series_id AS s, release_date, CAST(sum(amount) AS DOUBLE) / 100 AS value
                 FROM fact_events GROUP BY 1, 2, 3) r
   ON l.model = r.m AND l.series_id = r.s AND l.day >= r.release_date""", "value")
 def asof_join(spark, d):
@@ -46,7 +45,7 @@ def asof_join(spark, d):
         fx._customers(spark, d), F.col("o_custkey") == F.col("c_custkey")
     ).select("o_orderkey", "model", "series_id", F.col("o_orderdate").cast("date").alias("day"))
     weekly = fx.fact_events(spark, d).groupBy("model", "series_id", "release_date").agg(
-        (F.sum("amount").cast("double") / 1000).alias("value")
+        (F.sum("amount").cast("double") / 100).alias("value")
     )
     return asof.asof_join(
         orders, weekly, ["model", "series_id"], "day", "release_date", ["value", "release_date"]
@@ -71,7 +70,7 @@ def select_params(spark, d):
 
 @query("vintage_pairs", "SELECT model, quarter, vintage_old, vintage FROM pairs")
 def vintage_pairs(spark, d):
-    return asof.vintage_pairs(fx.schedule(spark, d), fx.vintage_obs(spark, d))
+    return asof.vintage_pairs(fx.schedule(spark, d), fx.available_vintages(spark, d))
 
 
 _SUM = """count(*) AS cells, count(old) AS old_cells, count(new) AS new_cells,
@@ -162,11 +161,9 @@ FROM cell_pairs c JOIN region_weights w ON w.model = c.model AND w.series_id = c
 GROUP BY 1, 2, 3"""
 
 
-def evaluations(spark, d):
+def evaluations(pairs, weights):
     """Weighted panel totals of the old, the revised and the new view of every pair."""
-    cells = news.revised_view(fx.cell_pairs(spark, d)).join(
-        fx.region_weights(spark, d), ["model", "series_id"]
-    )
+    cells = news.revised_view(pairs).join(weights, ["model", "series_id"])
     w = F.col("weight")
     return cells.groupBy("model", "quarter", "vintage").agg(
         *[
@@ -179,18 +176,17 @@ def evaluations(spark, d):
 @query("revision_impact", f"SELECT *, y_rev - y_old AS impact_revisions FROM ({_WEIGHTED})",
        "y_old y_rev y_new impact_revisions")
 def revision_impact(spark, d):
-    return news.revision_impact(evaluations(spark, d))
+    return news.revision_impact(evaluations(fx.cell_pairs(spark, d), fx.region_weights(spark, d)))
 
 
 def decomposed(spark, d):
     """Linear nowcast of every pair: zero forecasts, so a release counts with its whole value."""
-    flat = fx.cell_pairs(spark, d).select(
-        "model", "quarter", "vintage", "series_id", "period", "old", "new", F.lit(0.0).alias("forecast")
-    )
-    rows = news.news(flat, flat)
-    impacts = news.release_impacts(rows, fx.region_weights(spark, d), ["model", "series_id"])
+    pairs = materialise(fx.cell_pairs(spark, d), "cell_pairs")
+    weights = materialise(fx.region_weights(spark, d), "weights")
+    zero = news.released_cells(pairs).withColumn("forecast", F.lit(0.0))
+    impacts = news.release_impacts(news.news(pairs, zero), weights, ["model", "series_id"])
     totals = news.total_impact(impacts)
-    head = news.revision_impact(evaluations(spark, d)).join(totals, ["model", "quarter", "vintage"], "left")
+    head = news.revision_impact(evaluations(pairs, weights)).join(totals, ["model", "quarter", "vintage"], "left")
     return head.withColumn("impact_releases", F.coalesce("impact_releases", F.lit(0.0))), impacts
 
 
