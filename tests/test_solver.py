@@ -1,0 +1,179 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.helpers import day, month, spec_frame
+from tidemark.operators import factor, news, statespace
+from tidemark.plans import backtest, estimate
+from tidemark.schema import OBS_DDL
+
+
+def small_model(seed=0, periods=12):
+    rng = np.random.default_rng(seed)
+    layout = statespace.Layout(3, 1, np.ones((4, 1), bool))
+    p = statespace.blank(layout)
+    for k, length in layout.chains():
+        statespace.set_chain(p, k, length, 0.5, 0.7, start=True)
+    p.C[:3, 0] = [0.9, 0.5, -0.3]
+    p.C[3, :5] = 0.2 * statespace.TENT_ROW
+    p.Z_0[:] = 0.1
+    y = rng.normal(size=(periods, 4))
+    y[np.arange(periods) % 3 != 2, 3] = np.nan
+    y[rng.random(y.shape) < 0.2] = np.nan
+    return layout, p, y
+
+
+def joint(y, p):
+    """Smoother and likelihood from the joint normal distribution of all states."""
+    T, n = y.shape
+    m = p.A.shape[0]
+    mean, var = [p.Z_0], [p.V_0]
+    for _ in range(T):
+        mean.append(p.A @ mean[-1])
+        var.append(p.A @ var[-1] @ p.A.T + p.Q)
+    S = np.zeros(((T + 1) * m, (T + 1) * m))
+    for a in range(T + 1):
+        block = var[a]
+        for b in range(a, T + 1):
+            S[b * m:(b + 1) * m, a * m:(a + 1) * m] = block
+            S[a * m:(a + 1) * m, b * m:(b + 1) * m] = block.T
+            block = p.A @ block
+    H = np.zeros((T * n, (T + 1) * m))
+    for t in range(T):
+        H[t * n:(t + 1) * n, (t + 1) * m:(t + 2) * m] = p.C
+    seen = ~np.isnan(y).ravel()
+    H, obs, mu = H[seen], y.ravel()[seen], np.concatenate(mean)
+    F_ = H @ S @ H.T + statespace.NOISE * np.eye(len(obs))
+    miss = obs - H @ mu
+    gain = S @ H.T @ np.linalg.inv(F_)
+    ll = -0.5 * (np.linalg.slogdet(F_)[1] + miss @ np.linalg.solve(F_, miss))
+    return (mu + gain @ miss).reshape(T + 1, m), S - gain @ H @ S, ll
+
+
+def test_smoother_equals_joint_distribution():
+    layout, p, y = small_model()
+    z, cov, cross, ll, _, g = statespace.kalman(y, p)
+    want, V, want_ll = joint(y, p)
+    m = layout.size
+    assert np.allclose(z, want) and ll == pytest.approx(want_ll)
+    for t in range(13):
+        assert np.allclose(cov[t], V[t * m:(t + 1) * m, t * m:(t + 1) * m])
+        assert (np.diag(cov[t]) <= np.diag(g.prior[t]) + 1e-12).all()
+    for t in range(12):
+        assert np.allclose(cross[t], V[(t + 1) * m:(t + 2) * m, t * m:(t + 1) * m])
+
+
+def test_fully_observed_data_is_returned():
+    layout, p, y = small_model(1)
+    full = np.random.default_rng(2).normal(size=y.shape)
+    z = statespace.kalman(full, p)[0]
+    assert np.abs(z[1:] @ p.C.T - full).max() < 1e-2
+
+
+def test_em_never_lowers_the_likelihood_and_keeps_the_tent():
+    rng = np.random.default_rng(4)
+    layout = statespace.Layout(6, 2, np.array([[True, k % 2 == 0, k % 2 == 1] for k in range(8)]))
+    f = np.zeros(70)
+    for t in range(1, 70):
+        f[t] = 0.7 * f[t - 1] + rng.normal()
+    x = f[4:, None] * rng.normal(1, 0.3, 8) + rng.normal(size=(66, 8))
+    x[np.arange(66) % 3 != 2, 6:] = np.nan
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x = (x - np.nanmean(x, 0)) / np.nanstd(x, 0, ddof=1)
+    p, trace = statespace.fit(x, layout, 1e-5, 25)
+    assert (np.diff(trace) > -1e-6).all()
+    assert np.allclose(p.C[6, :5], p.C[6, 0] * statespace.TENT_ROW)
+
+
+def test_tent_regression_equals_restricted_least_squares():
+    rng = np.random.default_rng(6)
+    X, y = rng.normal(size=(40, 5)), rng.normal(size=40)
+    R = np.array([[2, -1, 0, 0, 0], [3, 0, -1, 0, 0], [2, 0, 0, -1, 0], [1, 0, 0, 0, -1]], float)
+    G = np.linalg.inv(X.T @ X)
+    free = G @ X.T @ y
+    want = free - G @ R.T @ np.linalg.inv(R @ G @ R.T) @ R @ free
+    tent = X @ statespace.TENT_ROW
+    assert np.allclose(tent @ y / (tent @ tent) * statespace.TENT_ROW, want)
+
+
+def test_weights_explain_the_update():
+    layout, p, new = small_model(7, 18)
+    old = new.copy()
+    old[-3:] = np.nan
+    new = new.copy()
+    new[:5] += 0.3
+    y_old, y_rev, y_new, cells, forecast, weight = statespace.decompose_update(old, new, p, 17, 3)
+    actual = new[cells[:, 0], cells[:, 1]]
+    assert y_new - y_rev == pytest.approx(np.sum(weight * (actual - forecast)))
+    assert y_rev != y_old
+    assert y_new == pytest.approx(p.C[3] @ joint(new, p)[0][18])
+
+
+def panel_rows(seed, vintage, periods):
+    rng = np.random.default_rng(seed)
+    f = np.cumsum(rng.normal(size=periods))
+    rows = []
+    for i, s in enumerate(["a", "b", "c", "q"]):
+        x = f * (1 + 0.2 * i) + rng.normal(size=periods)
+        for t in range(periods):
+            if s == "q" and t % 3 != 2:
+                continue
+            rows.append(("m", day(vintage), s, month("2000-01-01", t), float(x[t])))
+    return rows
+
+
+def spec_of(spark):
+    return spec_frame(spark, [("a", "m", "lin", ["G"]), ("b", "m", "lin", ["G"]), ("c", "m", "lin", ["G"]), ("q", "q", "lin", ["G"])])
+
+
+def test_estimation_job_isolates_bad_panels(spark):
+    rows = panel_rows(1, "2005-01-07", 48)
+    rows += [("bad", *r[1:]) for r in rows] + [("bad", *rows[0][1:])]  # a duplicated cell
+    spec = spec_of(spark)
+    both = spec.unionByName(spec.withColumn("model", F.lit("bad")))
+    out = estimate.fit_factor_model(spark.createDataFrame(rows, OBS_DDL), both, ["G"], 1e-4, 6).collect()
+    assert {r["model"] for r in out if r["name"] == "error"} == {"bad"}
+    assert all(r["error"] for r in out if r["name"] == "error")
+    ll = [r["v"] for r in sorted((r for r in out if r["name"] == "loglik"), key=lambda r: r["i"])]
+    assert len(ll) == 6 and ll == sorted(ll)
+
+
+def test_backtest_adds_up(spark):
+    full = panel_rows(2, "2004-01-02", 48)
+    weeks = ["2003-12-26", "2004-01-02", "2004-01-09"]
+    rows = []
+    for k, w in enumerate(weeks):
+        cut = month("2000-01-01", 44 + k)
+        rows += [(m, day(w), s, p, v + 0.01 * k) for m, _, s, p, v in full if p <= cut]
+    obs, spec = spark.createDataFrame(rows, OBS_DDL), spec_of(spark)
+    schedule = spark.createDataFrame([("2004_q1", day(w)) for w in weeks], "quarter string, vintage date")
+    cat = spark.createDataFrame(
+        [("2003_q4", day(weeks[0])), ("2004_q1", day(weeks[1]))], "param_quarter string, est_vintage date"
+    )
+    done = backtest.run_backtest(obs, spec, schedule, cat, "q", ["G"], "2000-01-01", 1e-3, 5).collect()
+    assert [r["error"] for r in done] == [None, None] and {r["params_used"] for r in done} == {"curr"}
+    for r in done:
+        assert r["y_new"] == pytest.approx(r["y_old"] + r["impact_revisions"] + r["impact_releases"])
+        assert r["impact_releases"] == pytest.approx(sum(n["impact"] for n in r["news"]))
+        assert len(r["news"]) in (3, 4)
+    assert news.check_decomposition(spark.createDataFrame(done, backtest.UPDATE_DDL)).count() == 0
+
+
+def test_first_factor_matches_eigh(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 1)) * [1, 2, 0.5] + rng.normal(size=(30, 3))
+    rows = [("m", day("2005-01-07"), f"s{i}", month("2000-01-01", t), float(x[t, i])) for t in range(30) for i in range(3)]
+    z = spark.createDataFrame(rows, OBS_DDL).withColumnRenamed("value", "z")
+    v = np.linalg.eigh(np.cov(x, rowvar=False))[1][:, -1]
+    v = -v if v.sum() < 0 else v
+    loadings, scores = factor.first_factor(z)
+    assert [r["loading"] for r in loadings.orderBy("series_id").collect()] == pytest.approx(list(v))
+    assert [r["f"] for r in scores.orderBy("period").collect()] == pytest.approx(list(x @ v))
+
+
+def test_convergence_rule_starts_with_the_fourth_iteration(spark):
+    rows = [("m", day("2005-01-07"), i + 1, v) for i, v in enumerate([-100.0, -100.0, -100.0, -100.0, -120.0])]
+    trace = spark.createDataFrame(rows, "model string, est_vintage date, iteration int, loglik double")
+    got = factor.em_converged(trace).orderBy("iteration").collect()
+    assert [r["converged"] for r in got] == [False, False, False, True, False]
+    assert [r["decreased"] for r in got] == [False, False, False, False, True]

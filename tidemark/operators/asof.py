@@ -151,38 +151,37 @@ def asof_join(
     columns: list[str],
     bucket: str = "MM",
 ) -> DataFrame:
-    """Last ``right`` row at or before each ``left`` row of the same key.
+    """Last ``right`` row at or before each ``left`` row of the same key; unmatched rows keep NULL.
 
-    A key may be hot, so the ordered windows run on (key, time bucket).  What a
+    A key may be hot, so only distinct (key, time) pairs, combined on the map
+    side, enter ordered windows, and those run on (key, time bucket).  What a
     bucket needs from earlier ones is the last right row before it, carried by
-    a second window over one summary row per bucket.
+    a second window over one summary row per bucket.  Of several right rows at
+    the same time the largest by ``columns`` counts.
     """
     keys = list(on)
     side = F.struct(*[F.col(c) for c in columns])
-    rows_r = right.select(
-        *keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), side.alias("_right"),
-        F.lit(None).cast(left.schema).alias("_left"),
+    known = right.groupBy(*keys, F.col(right_ts).alias("_ts")).agg(F.max(side).alias("_right"))
+    asked = left.select(*keys, F.col(left_ts).alias("_ts")).distinct()
+    times = known.withColumn("_ask", F.lit(False)).unionByName(
+        asked.withColumn("_ask", F.lit(True)), allowMissingColumns=True
+    ).groupBy(*keys, "_ts").agg(F.max("_right").alias("_right"), F.max("_ask").alias("_ask"))
+    times = times.withColumn("_bucket", F.date_trunc(bucket, "_ts"))
+    tails = times.groupBy(*keys, "_bucket").agg(
+        F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_ts"))).alias("_tail")
     )
-    rows_l = left.select(
-        *keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"),
-        F.lit(None).cast(rows_r.schema["_right"].dataType).alias("_right"),
-        F.struct(*[F.col(c) for c in left.columns]).cast(left.schema).alias("_left"),
-    )
-    both = rows_r.unionByName(rows_l).withColumn("_bucket", F.date_trunc(bucket, "_ts"))
-    last_right = F.when(F.col("_side") == 0, F.struct("_ts", "_right"))
-    summary = both.groupBy(*keys, "_bucket").agg(F.max_by("_right", F.when(
-        F.col("_side") == 0, F.col("_ts"))).alias("_tail"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(
+    carried = tails.select(
         *keys, "_bucket", F.last("_tail", ignorenulls=True).over(earlier).alias("_carry")
     )
-    within = Window.partitionBy(*keys, "_bucket").orderBy("_ts", "_side").rowsBetween(
-        Window.unboundedPreceding, 0
+    within = Window.partitionBy(*keys, "_bucket").orderBy("_ts").rowsBetween(Window.unboundedPreceding, 0)
+    seen = times.withColumn("_seen", F.last("_right", ignorenulls=True).over(within)).where("_ask")
+    answers = seen.join(carried, [*keys, "_bucket"]).select(
+        *keys, F.col("_ts").alias(left_ts), F.coalesce("_seen", "_carry").alias("_best")
+    )
+    return left.join(answers, [*keys, left_ts], "left").select(
+        *[left[c] for c in left.columns], *[F.col("_best")[c].alias(c) for c in columns]
     )
-    seen = both.withColumn("_seen", F.last(last_right, ignorenulls=True).over(within)["_right"])
-    matched = seen.where(F.col("_side") == 1).join(carried, [*keys, "_bucket"])
-    best = F.coalesce("_seen", "_carry")
-    return matched.select("_left.*", *[best[c].alias(c) for c in columns])
 
 
 def backfill(base: DataFrame, extra: DataFrame) -> DataFrame:

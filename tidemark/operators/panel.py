@@ -114,18 +114,18 @@ def transform_series(dense: DataFrame, out: str = "x") -> DataFrame:
     """
     v = F.col("value")
     code, freq = F.col("transformation"), F.col("frequency")
-    step = (
-        F.when(freq == "m", F.lit(1))
-        .when(freq == "q", F.lit(3))
-        .otherwise(F.raise_error(F.concat(F.lit("unsupported frequency: "), freq)).cast("int"))
-    )
+    step = F.when(freq == "q", F.lit(3)).otherwise(F.lit(1))
     back1, back3, back12 = (F.lag("value", k).over(by_period()) for k in (1, 3, 12))
     prev = F.when(step == 1, back1).otherwise(back3)
     on_grid = (freq == "m") | (F.month("period") % 3 == 0)
     ratio, yearly = F.try_divide(v, prev), F.try_divide(v, back12)
     growth = 100 * (F.log(v) - F.log(prev))
     x = (
-        F.when(code == "lin", v)
+        F.when(
+            ~freq.isin("m", "q"),
+            F.raise_error(F.concat(F.lit("unsupported frequency: "), freq)).cast("double"),
+        )
+        .when(code == "lin", v)
         .when(code == "log", F.log(v))
         .when(code == "chg", F.when(on_grid, v - prev))
         .when(code == "ch1", F.when(on_grid, v - back12))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,15 +86,39 @@ def wide_to_long(wide: DataFrame, keys: list[str], date: str = "Date") -> DataFr
     return cells.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
+def _vintage_day(path: Column) -> Column:
+    return F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})[^/]*(/[^/]*)?$", 1).cast("date")
+
+
+def _melt_csv(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells of whole vintage files; every file names its own columns."""
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            wide = pd.read_csv(io.BytesIO(row.content))
+            wide.columns = [c.strip() for c in wide.columns]
+            wide["Date"] = pd.to_datetime(wide["Date"]).dt.date
+            cells = wide.melt("Date", var_name="series_id", value_name="value")
+            cells["value"] = pd.to_numeric(cells["value"], errors="coerce")
+            out = cells.rename(columns={"Date": "period"}).assign(vintage=row.vintage)
+            yield out[["vintage", "series_id", "period", "value"]]
+
+
 def read_vintages(spark: SparkSession, path: str, model: str, fmt: str = "csv") -> DataFrame:
     """All vintage files of a directory as one long table.
 
     The vintage is the date in the file name (``2017-01-06.csv``) or in a
-    ``vintage=`` directory.
+    ``vintage=`` directory.  Files may hold different series.
     """
-    day = F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})[^/]*(/[^/]*)?$", 1)
-    wide = _read(spark, path, fmt).withColumn("vintage", day.cast("date"))
-    long = wide_to_long(wide.drop("model"), ["vintage"])
+    if fmt == "csv":
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+        long = files.select(_vintage_day(F.col("path")).alias("vintage"), "content").mapInPandas(
+            _melt_csv, "vintage date, series_id string, period date, value double"
+        )
+        long = long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    else:
+        wide = spark.read.format(fmt).option("mergeSchema", True).load(path)
+        wide = wide.withColumn("vintage", _vintage_day(F.input_file_name())).drop("model")
+        long = wide_to_long(wide, ["vintage"])
     return long.select(F.lit(model).alias("model"), "vintage", "series_id", "period", "value")
 
 

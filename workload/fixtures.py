@@ -1,8 +1,10 @@
 """Spark side of the test panels, derived from the driver's tables.
 
-Every table is read whole.  Orders are aggregated by customer and lines by
-order before the joins, so neither a hot customer nor a hot order reaches a
-join with more rows than it has dates.
+Every table is read whole.  Orders meet their customer first and lines their
+order once; both are joins to a unique key, where adaptive execution splits a
+hot customer or order over several tasks, and the aggregate behind them
+combines on the map side.  Money is summed as whole units of 0.01 or 0.0001,
+which is exact and stays in primitive arithmetic.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def money(c: str) -> Column:
-    return F.col(c).cast("decimal(18,2)")
+def cents(c: str) -> Column:
+    return F.round(F.col(c) * 100).cast("bigint")
 
 
 def raw_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,24 +89,26 @@ def spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.explode(names).alias("model"), "*")
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("series_id"))
     return table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", F.col("c_mktsegment").alias("model")
     ).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
 
 
-def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order value by model, nation and month."""
+def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their model, nation and month."""
     day = F.col("o_orderdate").cast("date")
-    monthly = (
-        table(spark, sf_dir, "orders")
-        .where(day < F.lit(END).cast("date"))
-        .groupBy("o_custkey", cal.month_start(day).alias("month"))
-        .agg(F.sum(money("o_totalprice")).alias("amount"))
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", day.alias("ordered"), cal.month_start(day).alias("month")
     )
-    joined = monthly.join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy("model", "series_id", "month").agg(F.sum("amount").alias("amount"))
+    return orders.join(customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+
+
+def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order value in cents by model, nation and month."""
+    complete = placed_orders(spark, sf_dir).where(F.col("ordered") < F.lit(END).cast("date"))
+    return complete.groupBy("model", "series_id", "month").agg(F.sum(cents("o_totalprice")).alias("amount"))
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +119,7 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         cells.where(F.col("period") < F.lit(END).cast("date"))
         .groupBy("model", "series_id", "period")
-        .agg((F.lit(100) + F.sum("amount").cast("double") / 10000).alias("value"))
+        .agg((F.lit(100) + F.sum("amount").cast("double") / 100 / 10000).alias("value"))
         .select("model", F.lit(PANEL_VINTAGE).cast("date").alias("vintage"), "series_id", "period", "value")
     )
 
@@ -130,33 +134,34 @@ def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts published by model, nation, order month and release week (Friday)."""
-    ship, order = F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")
-    net = money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", ship.alias("ship")).agg(
-        F.sum(net).alias("amount")
-    )
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", order.alias("ordered"), cal.month_start(order).alias("period")
-    )
-    released = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .where(F.col("ship") >= F.col("ordered"))
-        .groupBy("o_custkey", "period", cal.friday_on_or_after("ship").alias("release_date"))
-        .agg(F.sum("amount").alias("amount"))
-    )
-    joined = released.join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy("model", "series_id", "period", "release_date").agg(
-        F.sum("amount").alias("amount")
+    """Amounts (in 0.0001) published by model, nation, order month and release week (Friday)."""
+    ship = F.col("l_shipdate").cast("date")
+    net = cents("l_extendedprice") * (100 - cents("l_discount"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", ship.alias("ship"), net.alias("net"))
+    shipped = lines.join(placed_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+    return (
+        shipped.where(F.col("ship") >= F.col("ordered"))
+        .groupBy("model", "series_id", F.col("month").alias("period"), cal.friday_on_or_after("ship").alias("release_date"))
+        .agg(F.sum("net").alias("amount"))
     )
 
 
+def money(amount) -> Column:
+    """Units of 0.0001 as a number."""
+    return (F.col(amount) if isinstance(amount, str) else amount).cast("double") / 10000
+
+
+def wide_sum(c: str) -> Column:
+    """Sum that cannot overflow over the whole table."""
+    return F.sum(F.col(c).cast("decimal(38,0)"))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bitemporal facts: the published value of a cell grows with every release."""
     upto = Window.partitionBy("model", "series_id", "period").orderBy("release_date")
     return fact_events(spark, sf_dir).select(
         "model", "series_id", "period", "release_date",
-        (F.sum("amount").over(upto).cast("double") / 100000).alias("value"),
+        (money(F.sum("amount").over(upto)) / 100000).alias("value"),
     )
 
 
@@ -205,10 +210,10 @@ def quarter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final growth of each quarter over the one before it."""
-    final = quarter_totals(spark, sf_dir).groupBy("model", "quarter").agg(F.sum("amount").alias("amount"))
+    final = quarter_totals(spark, sf_dir).groupBy("model", "quarter").agg(wide_sum("amount").alias("amount"))
     prior = final.select("model", F.col("quarter").alias("pq"), F.col("amount").alias("prior"))
     growth = final.withColumn("pq", cal.previous_quarter("quarter")).join(prior, ["model", "pq"])
-    ratio = F.col("amount").cast("double") / F.col("prior").cast("double")
+    ratio = money("amount") / money("prior")
     return growth.join(quarters(spark, sf_dir), "quarter").select(
         "model", "quarter", (100 * (ratio - 1)).alias("actual")
     )
@@ -229,11 +234,11 @@ def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     prior = asked.withColumn("quarter", cal.previous_quarter("target"))
     asks = own.unionByName(prior).select(
         "model", "quarter", F.col("vintage").alias("d"), "target",
-        F.lit(0).cast("decimal(38,4)").alias("amount"),
+        F.lit(0).cast("bigint").alias("amount"),
     )
     released = totals.select(
         "model", "quarter", F.col("release_date").alias("d"),
-        F.lit(None).cast("string").alias("target"), F.col("amount").cast("decimal(38,4)").alias("amount"),
+        F.lit(None).cast("string").alias("target"), "amount",
     )
     upto = Window.partitionBy("model", "quarter").orderBy("d").rangeBetween(Window.unboundedPreceding, 0)
     running = released.unionByName(asks).withColumn("known", F.sum("amount").over(upto))
@@ -246,7 +251,7 @@ def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = cal.quarter_start("quarter")
     length = F.datediff(F.add_months(start, 3), start)
     share = F.greatest(F.lit(0), F.least(F.datediff("vintage", start), length)) / length
-    growth = 100 * (F.col("cur").cast("double") / F.col("prev").cast("double") - 1)
+    growth = 100 * (money("cur") / money("prev") - 1)
     return sides.where(F.col("prev") > 0).select(
         "model", "quarter", "vintage", growth.alias("y_a"),
         (growth * (0.5 + 0.5 * share)).alias("y_b"),
@@ -291,17 +296,17 @@ def both_nowcasts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def first_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_events(spark, sf_dir).groupBy("model", "series_id", "period").agg(
         F.min("release_date").alias("vintage"),
-        (F.min_by("amount", "release_date").cast("double") / 100000).alias("actual"),
+        (money(F.min_by("amount", "release_date")) / 100000).alias("actual"),
     )
 
 
 def region_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight of a series: its region's share of the model's published amount."""
-    amounts = fact_events(spark, sf_dir).groupBy("model", "series_id").agg(F.sum("amount").alias("amount"))
+    amounts = fact_events(spark, sf_dir).groupBy("model", "series_id").agg(wide_sum("amount").alias("amount"))
     joined = amounts.join(spec(spark, sf_dir).select("model", "series_id", "category"), ["model", "series_id"])
-    share = F.sum("amount").over(Window.partitionBy("model", "category")).cast("double") / F.sum(
-        "amount"
-    ).over(Window.partitionBy("model")).cast("double")
+    share = money(F.sum("amount").over(Window.partitionBy("model", "category"))) / money(
+        F.sum("amount").over(Window.partitionBy("model"))
+    )
     return joined.select("model", "series_id", share.alias("weight"))
 
 
@@ -441,7 +446,7 @@ def tracked_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     upto = Window.partitionBy("series_id", "period").orderBy("release_date")
     return both.select(
         F.lit("all").alias("model"), "series_id", "period", "release_date",
-        (F.sum("amount").over(upto).cast("double") / 1000000).alias("value"),
+        (money(F.sum("amount").over(upto)) / 1000000).alias("value"),
     )
 
 

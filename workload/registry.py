@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 DIGITS = 6
 # Exact decimal halves are common in means of money amounts and the two engines round
 # them differently; a tiny shift on both sides moves them off the boundary.
-SHIFT = 3e-8
+SHIFT = 3.1415926e-8
 
 
 def _needed(sql: str, seen: list[str]) -> list[str]:
@@ -32,7 +32,7 @@ def render(sql: str, doubles: list[str]) -> str:
     """Put the table expressions a query uses in front of it and round its doubles."""
     ctes = [f"{name} AS MATERIALIZED (\n{TABLES[name].strip()}\n)" for name in _needed(sql, [])]
     ctes.append(f"result AS (\n{sql.strip()}\n)")
-    rounded = ", ".join(f"round({c} + {SHIFT:.8f}, {DIGITS}) + 0.0 AS {c}" for c in doubles)
+    rounded = ", ".join(f"round({c} + {SHIFT:.15f}, {DIGITS}) + 0.0 AS {c}" for c in doubles)
     star = f"* REPLACE ({rounded})" if doubles else "*"
     return "WITH " + ",\n".join(ctes) + f"\nSELECT {star} FROM result"
 

@@ -41,11 +41,9 @@ ASOF LEFT JOIN (SELECT model AS m, series_id AS s, release_date, CAST(sum(amount
   ON l.model = r.m AND l.series_id = r.s AND l.day >= r.release_date""", "value")
 def asof_join(spark, d):
     """Latest weekly publication of the customer's nation known when an order came in."""
-    orders = fx.table(spark, d, "orders").join(
-        fx._customers(spark, d), F.col("o_custkey") == F.col("c_custkey")
-    ).select("o_orderkey", "model", "series_id", F.col("o_orderdate").cast("date").alias("day"))
+    orders = fx.placed_orders(spark, d).select("o_orderkey", "model", "series_id", F.col("ordered").alias("day"))
     weekly = fx.fact_events(spark, d).groupBy("model", "series_id", "release_date").agg(
-        (F.sum("amount").cast("double") / 100).alias("value")
+        (fx.money(F.sum("amount")) / 100).alias("value")
     )
     return asof.asof_join(
         orders, weekly, ["model", "series_id"], "day", "release_date", ["value", "release_date"]
@@ -235,7 +233,7 @@ def backfill(spark, d):
     )
     extra = fx.order_cells(spark, d).join(monthly, ["model", "series_id"]).select(
         "model", F.lit(fx.PANEL_VINTAGE).cast("date").alias("vintage"), "series_id",
-        F.col("month").alias("period"), (F.col("amount").cast("double") / 1000).alias("value"),
+        F.col("month").alias("period"), (F.col("amount").cast("double") / 100 / 1000).alias("value"),
     )
     filled = asof.backfill(base, extra)
     return filled.join(monthly, ["model", "series_id"], "left_semi")
