@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
+from tidemark.storage import materialise
 
 FACT = ["model", "series_id", "period"]
 PAIR = ["model", "quarter", "vintage_old", "vintage"]
@@ -64,7 +65,8 @@ def pair_vintages(
     sharing a pair are attached afterwards.  ``available`` lists the vintages
     that exist when that is known without scanning ``obs``.
     """
-    pairs = vintage_pairs(schedule, obs if available is None else available)
+    # written out so that its true size is known and the planner can broadcast it
+    pairs = materialise(vintage_pairs(schedule, obs if available is None else available), "pairs")
     steps = pairs.select("model", "vintage_old", F.col("vintage").alias("vintage_new")).distinct()
     links = steps.withColumn(
         "_link",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.storage import ensure_checkpoint_dir, materialise
+
+__all__ = ["ensure_checkpoint_dir", "materialise", "spread"]
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over all task slots by key.
@@ -18,29 +19,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     slots = max(int(conf), df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(slots, *[F.col(k) for k in keys])
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a local one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="run-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a result that several branches read to the shared folder and read it back.
-
-    Cuts the lineage with a table that outlives executors, and spares every
-    branch the recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

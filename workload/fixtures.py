@@ -16,6 +16,7 @@ from tidemark.functions import calendar as cal
 from tidemark.operators import asof, factor, news as news_ops, panel, score
 from tidemark.plans.common import materialise
 from tidemark.sources.files import parse_spec
+from workload.scope import shared
 
 # First month not covered completely, the panel's vintage date,
 # and the first and last tracked quarter.
@@ -83,6 +84,10 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared("spec", sf_dir, lambda: _spec(spark, sf_dir))
+
+
+def _spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parsed spec, repeated for every model (market segment)."""
     one = parse_spec(raw_spec(spark, sf_dir), model="x", position="Position").drop("model")
     names = segments(spark, sf_dir).agg(F.sort_array(F.collect_set("model"))).scalar()
@@ -106,12 +111,21 @@ def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared("order_cells", sf_dir, lambda: _order_cells(spark, sf_dir))
+
+
+def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order value in cents by model, nation and month."""
     complete = placed_orders(spark, sf_dir).where(F.col("ordered") < F.lit(END).cast("date"))
-    return complete.groupBy("model", "series_id", "month").agg(F.sum(cents("o_totalprice")).alias("amount"))
+    cells = complete.groupBy("model", "series_id", "month").agg(F.sum(cents("o_totalprice")).alias("amount"))
+    return cells
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared("obs", sf_dir, lambda: _obs(spark, sf_dir))
+
+
+def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixed-frequency index panel on a base of 100: quarterly series sit on the third month."""
     freq = spec(spark, sf_dir).select("model", "series_id", "frequency")
     period = F.when(F.col("frequency") == "q", cal.quarter_third_month("month")).otherwise(F.col("month"))
@@ -134,16 +148,21 @@ def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared("fact_events", sf_dir, lambda: _fact_events(spark, sf_dir))
+
+
+def _fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts (in 0.0001) published by model, nation, order month and release week (Friday)."""
     ship = F.col("l_shipdate").cast("date")
     net = cents("l_extendedprice") * (100 - cents("l_discount"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", ship.alias("ship"), net.alias("net"))
     shipped = lines.join(placed_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
-    return (
+    events = (
         shipped.where(F.col("ship") >= F.col("ordered"))
         .groupBy("model", "series_id", F.col("month").alias("period"), cal.friday_on_or_after("ship").alias("release_date"))
         .agg(F.sum("net").alias("amount"))
     )
+    return events
 
 
 def money(amount) -> Column:
@@ -166,12 +185,17 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared("quarters", sf_dir, lambda: _quarters(spark, sf_dir))
+
+
+def _quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target quarters: the order quarters inside the tracked span."""
     day = F.trunc(F.col("o_orderdate").cast("date"), "QUARTER")
     found = table(spark, sf_dir, "orders").select(day.alias("q")).distinct()
-    return found.where(
+    tracked = found.where(
         F.col("q").between(F.lit(FIRST_QUARTER).cast("date"), F.lit(LAST_QUARTER).cast("date"))
     ).select(cal.quarter_label("q").alias("quarter"))
+    return tracked
 
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +209,10 @@ def month_end_fridays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vintage_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared("vintage_obs", sf_dir, lambda: _vintage_obs(spark, sf_dir))
+
+
+def _vintage_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.value_as_of(facts(spark, sf_dir), schedule(spark, sf_dir))
 
 
@@ -195,10 +223,9 @@ def cell_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def available_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scheduled Fridays on which a model has published anything."""
-    began = fact_events(spark, sf_dir).groupBy("model").agg(F.min("release_date").alias("began"))
-    weeks = schedule(spark, sf_dir).select("vintage").distinct()
-    return weeks.join(began, F.col("vintage") >= F.col("began")).select("model", "vintage")
+    """Scheduled Fridays by model; publication began before the first of them."""
+    weeks = schedule(spark, sf_dir).agg(F.collect_set("vintage")).scalar()
+    return segments(spark, sf_dir).select("model", F.explode(weeks).alias("vintage"))
 
 
 def quarter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +236,10 @@ def quarter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared("actuals", sf_dir, lambda: _actuals(spark, sf_dir))
+
+
+def _actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final growth of each quarter over the one before it."""
     final = quarter_totals(spark, sf_dir).groupBy("model", "quarter").agg(wide_sum("amount").alias("amount"))
     prior = final.select("model", F.col("quarter").alias("pq"), F.col("amount").alias("prior"))
@@ -220,6 +251,10 @@ def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared("estimates", sf_dir, lambda: _estimates(spark, sf_dir))
+
+
+def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As-of growth of the target quarter on every scheduled vintage.
 
     The published amount of a quarter is a running total over release weeks;
@@ -258,18 +293,14 @@ def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nowcast(
-    spark: SparkSession, sf_dir: str, variant: str = "a", weekly: DataFrame | None = None,
-    official: DataFrame | None = None,
-) -> DataFrame:
+def nowcast(spark: SparkSession, sf_dir: str, variant: str = "a") -> DataFrame:
     """Scored weekly nowcasts of one model variant.
 
     Variant b lacks its fifth week in first quarters, so pairing by date and
     by position differ.
     """
     week = Window.partitionBy("model", "quarter").orderBy("vintage")
-    weekly = estimates(spark, sf_dir) if weekly is None else weekly
-    y = weekly.select(
+    y = estimates(spark, sf_dir).select(
         "model", "quarter", "vintage", F.col(f"y_{variant}").alias("y_new"),
         F.row_number().over(week).alias("n"),
     )
@@ -283,14 +314,7 @@ def nowcast(
         (0.25 * change).alias("impact_revisions"), (0.75 * change).alias("impact_releases"),
         F.when(early, "prev").otherwise("curr").alias("params_used"),
     )
-    return score.score(rows, actuals(spark, sf_dir) if official is None else official)
-
-
-def both_nowcasts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Both variants from one written table of estimates."""
-    weekly = materialise(estimates(spark, sf_dir), "estimates")
-    official = materialise(actuals(spark, sf_dir), "actuals")
-    return tuple(nowcast(spark, sf_dir, v, weekly, official) for v in "ab")
+    return score.score(rows, actuals(spark, sf_dir))
 
 
 def first_releases(spark: SparkSession, sf_dir: str) -> DataFrame:

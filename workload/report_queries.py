@@ -380,7 +380,7 @@ def ordered_vintages(spark, d):
 
 
 def pairs(spark, d, positional=False):
-    return compare.pair_models(*fx.both_nowcasts(spark, d), positional)
+    return compare.pair_models(fx.nowcast(spark, d, "a"), fx.nowcast(spark, d, "b"), positional)
 
 
 _PAIRS = """SELECT a.model, a.quarter, a.vintage, a.error AS error_a, b.error AS error_b
