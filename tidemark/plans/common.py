@@ -14,8 +14,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over all task slots by key.
 
     The explicit partition count keeps AQE from merging a few small but
-    compute-heavy panels into one task.
+    compute-heavy panels into one task; several per slot even out the load.
     """
     conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    slots = max(int(conf), df.sparkSession.sparkContext.defaultParallelism)
+    slots = max(int(conf), 4 * df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(slots, *[F.col(k) for k in keys])

@@ -37,6 +37,29 @@ def first_factor_scores(spark, d):
     return factor.first_factor(z)[1]
 
 
+@query("first_factor_is_eigenvector", """
+SELECT model, vintage, count(DISTINCT series_id) AS n, CAST(1 AS DOUBLE) AS norm, CAST(0 AS DOUBLE) AS residual
+FROM panel_z WHERE z IS NOT NULL GROUP BY 1, 2""", "norm residual")
+def first_factor_is_eigenvector(spark, d):
+    """Unit length, and the covariance maps the vector onto a multiple of itself."""
+    gram = materialise(factor.panel_gram(fx.panel_z(spark, d)), "gram")
+    v = materialise(factor.leading_vector(gram), "vector")
+    entry = F.struct(F.col("series_i").alias("row"), F.col("series_j").alias("series_id"))
+    other = F.struct(F.col("series_j").alias("row"), F.col("series_i").alias("series_id"))
+    sides = F.when(F.col("series_i") == F.col("series_j"), F.array(entry)).otherwise(F.array(entry, other))
+    full = gram.withColumn("_s", F.explode(sides)).select("model", "vintage", "_s.*", "cov")
+    image = full.join(v, KEYS).groupBy("model", "vintage", F.col("row").alias("series_id")).agg(
+        F.sum(F.coalesce("cov", F.lit(0.0)) * F.col("loading")).alias("gv")
+    )
+    both = image.join(v, KEYS)
+    gv, x = F.col("gv"), F.col("loading")
+    # |Gv|^2 |v|^2 - (v'Gv)^2 vanishes exactly when Gv is a multiple of v
+    gap = F.sum(gv * gv) * F.sum(x * x) - F.sum(gv * x) * F.sum(gv * x)
+    return both.groupBy("model", "vintage").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.sum(x * x)).alias("norm"), gap.alias("residual")
+    )
+
+
 @query("factor_lags", "SELECT * FROM lags", "f f0 f1 f2 f3 f4")
 def factor_lags(spark, d):
     return lags(spark, d)
@@ -226,6 +249,15 @@ def likelihood_trace(spark, d):
     return factor.em_converged(estimate.likelihood_trace(fitted(spark, d)), 1e-3)
 
 
+@query("fit_failures", "SELECT model FROM panel_x WHERE false")
+def fit_failures(spark, d):
+    """Must be empty: panels whose estimation failed or whose likelihood ever fell."""
+    params = materialise(fitted(spark, d), "params")
+    trace = factor.em_converged(estimate.likelihood_trace(params), 1e-3)
+    fell = trace.where("decreased").select("model")
+    return params.where(F.col("name") == "error").select("model").unionByName(fell)
+
+
 @query("factor_ar_table")
 def factor_ar_table(spark, d):
     return factor.ar_tables(fitted(spark, d), len(fx.BLOCKS))[0]
@@ -248,6 +280,20 @@ def smoothed_panel(spark, d):
     return estimate.smoothed_panel(states, params, fx.spec(spark, d))
 
 
+@query("smoothed_matches_observed", """
+SELECT model, vintage AS est_vintage, count(z) AS observed, CAST(0 AS BIGINT) AS off FROM panel_z GROUP BY 1, 2""")
+def smoothed_matches_observed(spark, d):
+    """With a small measurement variance the smoothed series passes through the observations."""
+    states, params = _states(spark, d)
+    smooth = estimate.smoothed_panel(states, params, fx.spec(spark, d))
+    z = fx.panel_z(spark, d).withColumnRenamed("vintage", "est_vintage")
+    both = smooth.join(z.where(F.col("z").isNotNull()), ["model", "est_vintage", "series_id", "period"])
+    far = F.abs(F.col("x_smooth") - F.col("z")) > 0.05
+    return both.groupBy("model", "est_vintage").agg(
+        F.count(F.lit(1)).alias("observed"), F.count_if(far).alias("off")
+    )
+
+
 def updates(spark, d):
     plan = fx.schedule(spark, d)
     published = fx.fact_events(spark, d).agg(F.min("release_date")).scalar()

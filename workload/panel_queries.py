@@ -258,6 +258,22 @@ def interpolate_cubic(spark, d):
     return panel.interpolate_cubic(fx.dense(spark, d))
 
 
+@query("cubic_keeps_knots", """
+SELECT model, series_id, count(value) AS observed, CAST(0 AS BIGINT) AS changed,
+  count(*) FILTER (value IS NULL AND period > lo AND period < hi) AS filled
+FROM (SELECT *, min(period) FILTER (value IS NOT NULL) OVER (PARTITION BY model, series_id) AS lo,
+        max(period) FILTER (value IS NOT NULL) OVER (PARTITION BY model, series_id) AS hi FROM dense)
+GROUP BY 1, 2""")
+def cubic_keeps_knots(spark, d):
+    """The spline changes no observation and fills exactly the months between the first and the last."""
+    grid = fx.dense(spark, d).withColumn("given", F.col("value"))
+    known, now = F.col("given").isNotNull(), F.col("value")
+    return panel.interpolate_cubic(grid).groupBy("model", "series_id").agg(
+        F.count("given").alias("observed"), F.count_if(known & (now != F.col("given"))).alias("changed"),
+        F.count_if(~known & now.isNotNull()).alias("filled"),
+    )
+
+
 @query("fill_median", """
 SELECT model, vintage, series_id, period,
   coalesce(value, median(value) OVER (PARTITION BY model, vintage, series_id)) AS value FROM dense""", "value")

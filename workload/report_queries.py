@@ -421,7 +421,20 @@ def one_sample_t(spark, d):
     return compare.one_sample_t(compare.loss_differentials(pairs(spark, d)), "d_squared", ["model"], p_value=False)
 
 
-@query("one_sample_t_with_p")
+def _p(t: str, df: str) -> str:
+    """Two-sided Student-t p-value for whole degrees of freedom as a finite trigonometric sum."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = (f"sin({angle}) * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * "
+            f"pow(cos({angle}), 2 * k) for k in range(CAST({df} // 2 AS BIGINT))])")
+    odd = (f"2 / pi() * ({angle} + coalesce(sin({angle}) * list_sum([sqrt(pi()) / 2 * "
+           f"exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * pow(cos({angle}), 2 * k + 1) "
+           f"for k in range(CAST(({df} - 1) // 2 AS BIGINT))]), 0))")
+    return f"CASE WHEN {t} IS NULL THEN NULL WHEN ({df}) % 2 = 0 THEN 1 - {even} ELSE 1 - {odd} END"
+
+
+@query("one_sample_t_with_p", f"""
+SELECT *, {_p('t', '(n - 1)')} AS p
+FROM (SELECT model, {_t('d_squared')} AS t, count(d_squared) AS n FROM ({_losses(_PAIRS)}) GROUP BY 1)""", "t p")
 def one_sample_t_with_p(spark, d):
     return compare.one_sample_t(compare.loss_differentials(pairs(spark, d)), "d_squared", ["model"])
 
@@ -452,6 +465,9 @@ def compare_models_by_position(spark, d):
     return compare.compare_models(pairs(spark, d, True), YEAR, ["model"], p_value=False)
 
 
-@query("compare_models_with_p")
+@query("compare_models_with_p", f"""
+SELECT *, {_p('t_squared', '(pairs - 1)')} AS p_squared, {_p('t_absolute', '(pairs - 1)')} AS p_absolute,
+  {_p('t_signed', '(pairs - 1)')} AS p_signed FROM ({_compare_sql(_PAIRS)})""",
+       _TS + " p_squared p_absolute p_signed")
 def compare_models_with_p(spark, d):
     return compare.compare_models(pairs(spark, d), YEAR, ["model"])
