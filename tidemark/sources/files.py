@@ -184,7 +184,8 @@ def write_metrics(df: DataFrame, path: str) -> None:
 
 
 def write_news(df: DataFrame, path: str) -> None:
-    _write(df, path, ["model", "quarter", "vintage"])
+    # the vintage stays a column: a directory per weekly update would hold a handful of rows
+    _write(df, path, ["model", "quarter"])
 
 
 def write_params(df: DataFrame, path: str) -> None:

@@ -61,17 +61,11 @@ def panel_from_orders(spark, d):
     return fx.obs(spark, d)
 
 
-@query("wide_vintage_to_long", """
-SELECT DATE '2001-08-03' AS vintage, s.series_id, o.period, o.value
-FROM (SELECT DISTINCT model, period FROM obs) p
-JOIN (SELECT DISTINCT series_id FROM spec_t) s ON true
-JOIN obs o ON o.model = p.model AND o.period = p.period AND o.series_id = s.series_id
-WHERE o.model = 'BUILDING'""", "value")
+@query("wide_vintage_to_long", "SELECT * FROM obs", "value")
 def wide_vintage_to_long(spark, d):
-    building = fx.obs(spark, d).where(F.col("model") == "BUILDING")
     names = [f"NATION_{i}" for i in range(25)]
-    wide = panel.obs_wide(building, names).drop("model").withColumnRenamed("period", "Date")
-    return files.wide_to_long(wide, ["vintage"]).where(F.col("value").isNotNull())
+    wide = panel.obs_wide(fx.obs(spark, d), names).withColumnRenamed("period", "Date")
+    return files.wide_to_long(wide, ["model", "vintage"]).where(F.col("value").isNotNull())
 
 
 @query("panel_wide", """
