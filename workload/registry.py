@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import ship_package
 from workload import scope
 from workload.oracle_tables import TABLES
 
@@ -45,6 +46,7 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             scope.start()
+            ship_package(spark)
             df = fn(spark, sf_dir)
             return df.withColumns({c: F.round(F.col(c) + SHIFT, DIGITS) for c in cols}) if cols else df
 
