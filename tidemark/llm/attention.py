@@ -26,8 +26,8 @@ REST = 16
 HASHED = 16
 HIDDEN, GATE = 16, 8
 #: Bound on the labelled documents that the network is fitted on.
-SAMPLE = 4000
-EPOCHS, RATE, DECAY = 250, 0.02, 1e-3
+SAMPLE = 2000
+EPOCHS, RATE, DECAY = 120, 0.03, 1e-3
 
 #: Characters that count as symbols, and others that end sentences or clauses.
 SYMBOLS, STOPS = b"#*$%&|<>=_{}[]\\/^~@", b".,;:?"
@@ -135,6 +135,8 @@ def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, see
         "judge": np.zeros(HIDDEN),
         "judge_bias": np.zeros(1),
     }
+    weights = {k: v.astype(np.float32) for k, v in weights.items()}
+    x, y = x.astype(np.float32), y.astype(np.float32)
     share = (y.sum() + 0.5) / (len(y) + 1)
     weights["judge_bias"][0] = np.log(share / (1 - share))
     if len(x):
