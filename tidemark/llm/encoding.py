@@ -140,7 +140,7 @@ def library_encoder(path: str) -> PieceEncoder | Callable:
     def whole(text: str) -> bytes:
         return to_bytes(made.encode(text, add_special_tokens=False).ids)
 
-    ranked = _ranked(setup)
+    ranked = ranked_encoder(setup)
 
     def many(texts: list[str]) -> list[bytes]:
         return [to_bytes(ranked(t)) if ranked and t and max(t) <= LAST_LATIN else whole(t) for t in texts]
@@ -156,7 +156,7 @@ def library_encoder(path: str) -> PieceEncoder | Callable:
     return PieceEncoder(many, whole, [t["content"] for t in added]) if by_pieces else _Whole(whole)
 
 
-def _ranked(setup: dict) -> Callable[[str], list[int]] | None:
+def ranked_encoder(setup: dict) -> Callable[[str], list[int]] | None:
     """The same merges through a faster library; None where ids don't follow the order of the merges.
 
     Used for Latin text alone, whose letters, digits and spaces are the same in every version of Unicode.

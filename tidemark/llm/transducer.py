@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_folder, text_of
-from tidemark.llm.encoding import WORD_PATTERN, PieceEncoder, byte_characters, safe_pieces, to_bytes
+from tidemark.llm.common import new_folder, stored, text_of
+from tidemark.llm.encoding import LAST_LATIN, WORD_PATTERN, PieceEncoder, byte_characters, ranked_encoder, safe_pieces, to_bytes
 
 #: Words in the lexicon. A bound on the file that is sent to the executors, not on the words that are encoded.
 LEXICON_WORDS = 65_536
@@ -53,6 +53,7 @@ class Merger:
             a, b = m.split(" ") if isinstance(m, str) else m
             self.pair[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.pattern = regex.compile(WORD_PATTERN)
+        self.ranked = ranked_encoder(setup)
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
@@ -102,6 +103,12 @@ class Merger:
     def words(self, text: str) -> list[bytes]:
         return [w.encode() for w in self.pattern.findall(text)]
 
+    def ids_of(self, word: str) -> bytes:
+        """Packed ids of one word; Latin words are merged by a library that knows the same ranks."""
+        if self.ranked and max(word) <= LAST_LATIN:
+            return to_bytes(self.ranked(word))
+        return to_bytes(self.merge(word.encode()))
+
     def encode_whole(self, text: str) -> bytes:
         """Ids of a text that holds special strings: these become their own ids."""
         out, at = [], 0
@@ -228,15 +235,27 @@ class Lexicon:
     def ids_of(self, number: int) -> bytes:
         return self.ids[self.ids_from[number] : self.ids_from[number + 1]].astype("<u4").tobytes()
 
+    def packed(self, numbers: np.ndarray) -> list[bytes]:
+        """Ids of many words; empty for -1."""
+        if not len(self.ids):
+            return [b""] * len(numbers)
+        raw = np.asarray(self.ids).astype("<u4").tobytes()
+        at = np.where(numbers < 0, 0, numbers)
+        first, end = self.ids_from[at] * 4, np.where(numbers < 0, self.ids_from[at], self.ids_from[at + 1]) * 4
+        return [raw[a:b] for a, b in zip(first.tolist(), end.tolist())]
+
 
 def lexicon_encoder(lexicon: Lexicon, vocabulary: Merger) -> PieceEncoder:
     """Encoder of whole texts: pieces are cut into words, known words take ids from the lexicon."""
 
+    findall = vocabulary.pattern.findall
+
     def pieces(texts: list[str]) -> list[bytes]:
-        cut = [vocabulary.words(t) for t in texts]
+        cut = [findall(t) for t in texts]
         distinct = list({w for ws in cut for w in ws})
-        found = lexicon.find(distinct)
-        ids = {w: lexicon.ids_of(n) if n >= 0 else to_bytes(vocabulary.merge(w)) for w, n in zip(distinct, found.tolist())}
+        found = lexicon.find([w.encode() for w in distinct])
+        known = lexicon.packed(found)
+        ids = {w: k if n >= 0 else vocabulary.ids_of(w) for w, n, k in zip(distinct, found.tolist(), known)}
         return [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in cut]
 
     return PieceEncoder(pieces, vocabulary.encode_whole, list(vocabulary.special))
@@ -282,15 +301,30 @@ def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield flush(counts)
 
 
+def count_step(n: Column) -> Column:
+    """Lower end of the step of a count: its four top bits."""
+    drop = F.greatest(F.lit(0), F.length(F.bin(n)) - 4)
+    return (F.floor(n / F.pow(F.lit(2), drop)) * F.pow(F.lit(2), drop)).cast("bigint")
+
+
 def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", words: int = LEXICON_WORDS) -> str:
     """Count the words of all texts, compile the most frequent and ship the file; returns its name.
 
-    Only the ``words`` most frequent (ties by the word) come to the driver.  A corpus without
-    words gives an empty lexicon.
+    At most ``words`` words come to the driver: those of a count as high as possible.  A corpus
+    in which no word occurs twice gives an empty lexicon.
     """
     spark = docs.sparkSession
     counted = docs.select(text_of(docs, text).alias("text")).mapInArrow(_word_counter, "word binary, n bigint")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    totals = stored(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "words")
+    # The least count whose words are not too many, from a table of counts in log-linear steps.
+    steps = totals.groupBy(count_step(F.col("n")).alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    least, taken = None, 0
+    for row in steps:
+        taken += row["words"]
+        if taken > words:
+            break
+        least = row["step"]
+    top = totals.filter(F.col("n") >= F.lit(least)) if least is not None else totals.limit(0)
     vocabulary = merger(tokenizer)
     arrays = compile_lexicon({bytes(r["word"]): vocabulary.merge(bytes(r["word"])) for r in top.collect()})
     path = os.path.join(tempfile.mkdtemp(prefix="run-"), "lexicon")
