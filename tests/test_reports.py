@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import day
-from tidemark.functions.student import two_sided_p
+from tidemark.functions.student import student_p
 from tidemark.operators import compare, impact, reshape, score
 from tidemark.plans import reports
 from tidemark.schema import NEWS_DDL
@@ -98,12 +98,44 @@ def test_matrix_rejects_duplicates(spark):
         reshape.impact_matrix(news.unionByName(news), ["2019-01-04"]).collect()
 
 
-def test_p_values():
-    for t in (0.0, 0.3, 1.0, 2.5, -6.4, 40.0):
-        assert two_sided_p(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(abs(t)), abs=1e-12)
-        assert two_sided_p(t, 2) == pytest.approx(1 - abs(t) / math.sqrt(2 + t * t), abs=1e-12)
-    assert two_sided_p(2.0, 10) == pytest.approx(0.07338803, rel=1e-6)
-    assert math.isnan(two_sided_p(float("nan"), 5)) and math.isnan(two_sided_p(1.0, 0))
+def p_of(spark, rows):
+    frame = spark.createDataFrame(rows, "t double, df double")
+    return [r["p"] for r in frame.select(student_p("t", "df").alias("p")).collect()]
+
+
+def t_density(x, df):
+    return math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+
+
+def simpson_tail(t, df, width=60.0, n=20000):
+    """Two-sided tail by quadrature of the density on a mapped axis, for moderate df."""
+    h = width / n
+    total = 0.0
+    for k in range(n + 1):
+        total += t_density(t + k * h, df) * (1 if k in (0, n) else 4 if k % 2 else 2)
+    return 2 * total * h / 3
+
+
+def test_p_values(spark):
+    ts = (0.0, 0.3, 1.0, 2.5, -6.4, 40.0)
+    assert p_of(spark, [(t, 1.0) for t in ts]) == pytest.approx([1 - 2 / math.pi * math.atan(abs(t)) for t in ts], abs=1e-12)
+    assert p_of(spark, [(t, 2.0) for t in ts]) == pytest.approx([1 - abs(t) / math.sqrt(2 + t * t) for t in ts], abs=1e-12)
+    assert p_of(spark, [(2.0, 10.0)])[0] == pytest.approx(0.07338803, rel=1e-6)
+    assert p_of(spark, [(float("nan"), 5.0), (1.0, 0.0), (None, 3.0), (1.0, None)]) == [None] * 4
+
+
+def test_p_values_of_every_size(spark):
+    got = p_of(spark, [(t, float(df)) for df in (9, 30, 101, 1000) for t in (0.5, 2.0, 3.5)])
+    want = [simpson_tail(t, df) for df in (9, 30, 101, 1000) for t in (0.5, 2.0, 3.5)]
+    assert got == pytest.approx(want, rel=1e-5, abs=1e-9)
+    # On both sides of the switch, and towards the normal distribution.
+    for t in (0.1, 1.0, 1.96, 3.0, 5.0):
+        below, above = p_of(spark, [(t, 1000.0), (t, 1001.0)])
+        assert 0 <= below - above < 2e-3 * below
+        large = p_of(spark, [(t, float(df)) for df in (10**3, 10**4, 10**5, 10**6, 10**9)])
+        normal = math.erfc(t / math.sqrt(2))
+        assert all(a >= b - 1e-12 for a, b in zip(large, large[1:])) and large[-1] == pytest.approx(normal, rel=1e-7)
+        assert large[1] == pytest.approx(simpson_tail(t, 10**4, 12.0), rel=1e-7)
 
 
 def test_pairing_by_vintage_and_position(spark):

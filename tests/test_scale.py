@@ -1,12 +1,14 @@
 """Results must not depend on skew, and plans must stay free of joins without keys."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tidemark.functions import calendar as cal
-from tidemark.operators import asof, factor, panel
+from tidemark.operators import asof, panel
 
 DIR = "/root/testdata/sf0.001"
 
@@ -73,22 +75,30 @@ def test_hot_cell_collapses_before_the_window(spark):
     assert known.count() == want.count() == both.where("value = w").count()
 
 
-def test_gram_is_the_same_in_one_or_many_parts(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(40, 5))
-    x[rng.random(x.shape) < 0.3] = np.nan
-    rows = [("m", f"s{i}", t, float(x[t, i])) for t in range(40) for i in range(5) if not np.isnan(x[t, i])]
-    z = spark.createDataFrame(rows, "model string, series_id string, t int, z double").select(
-        "model", F.lit("2010-01-01").cast("date").alias("vintage"), "series_id",
-        F.add_months(F.lit("2000-01-01").cast("date"), F.col("t")).alias("period"), "z",
-    )
-    small, factor.FLUSH_CELLS = factor.FLUSH_CELLS, 7
-    try:
-        got = {(r["series_i"], r["series_j"]): (r["n"], r["cov"]) for r in factor.panel_gram(z).collect()}
-    finally:
-        factor.FLUSH_CELLS = small
-    for i in range(5):
-        for j in range(i, 5):
-            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
-            n, cov = got[(f"s{i}", f"s{j}")]
-            assert n == ok.sum() and cov == pytest.approx(np.cov(x[ok, i], x[ok, j])[0, 1])
+def scans(df) -> dict:
+    """How often the executed plans of a query read each table of the driver."""
+    found = {}
+    for name in re.findall(r"FileScan parquet .*?/(\w+)\.parquet", plan_of(df)):
+        found[name] = found.get(name, 0) + 1
+    return found
+
+
+@pytest.mark.parametrize("name", ["value_as_of", "vintage_diff", "release_impacts", "accuracy_by_year", "compare_models", "panel_gram"])
+def test_large_tables_are_not_read_again(spark, name, monkeypatch):
+    """The stored aggregates read orders and lineitem, once; what follows reads neither."""
+    from workload import fixtures
+
+    read = []
+    real = fixtures.table
+    monkeypatch.setattr(fixtures, "table", lambda s, d, n: read.append(n) or real(s, d, n))
+    df = entry_points.queries()[name](spark, DIR)
+    assert read.count("lineitem") <= 1 and read.count("orders") <= 1
+    again = scans(df)
+    assert "lineitem" not in again and "orders" not in again
+
+
+@pytest.mark.parametrize("name", ["released_cells", "revised_cells", "news", "release_impacts", "vintage_diff"])
+def test_changes_need_no_table_of_all_cells(spark, name):
+    """No plan pairs every known cell with every vintage: the releases are exploded over no calendar."""
+    plan = plan_of(entry_points.queries()[name](spark, DIR))
+    assert "sequence(_since" not in plan

@@ -76,3 +76,44 @@ def test_news_and_params_round_trip(spark, tmp_path):
     assert got == {"2019-01-04": 1, "2019-01-18": 2}
     files.write_params(spark.createDataFrame([("m", day("2019-01-04"), "A", 0, 1, 0.5)], PARAMS_DDL), str(tmp_path / "p"))
     assert files.read_params(spark, str(tmp_path / "p")).first()["v"] == 0.5
+
+
+def test_numbers_that_are_none_are_errors(spark, tmp_path):
+    for k, bad in enumerate(('"1,234.5"', "abc")):
+        folder = tmp_path / f"v{k}"
+        folder.mkdir()
+        write(folder / "2017-01-06.csv", f"Date,A\n2016-11-01,1\n2016-12-01,{bad}\n")
+        with pytest.raises(Exception, match="not a number"):
+            files.read_vintages(spark, str(folder), "base").collect()
+
+
+def test_columns_are_read_by_name(spark, tmp_path):
+    head = "y_new,vintage,y_old,error,abs_error,perc_error,impact_revisions,impact_releases,variance_so_far,params_used\n"
+    write(tmp_path / "nowcast_2017_q1.csv", head + "2.3,2016-12-09,2.4,-1.6,1.6,,0.003,-0.15,0.006,prev\n")
+    row = files.read_result_files(spark, f"{tmp_path}/*.csv", "base").first()
+    assert (row["y_new"], row["y_old"], row["perc_error"], row["step_variance"]) == (2.3, 2.4, None, 0.006)
+    with pytest.raises(ValueError, match="rmse"):
+        files.read_metric_files(spark, f"{tmp_path}/*.csv", "base")
+
+
+def test_files_with_another_header_are_errors(spark, tmp_path):
+    write(tmp_path / "metrics_2017_q1.csv", "quarter,rmse,mae,bias,mpe\n2017_q1,1,2,3,4\n")
+    write(tmp_path / "metrics_2017_q2.csv", "quarter,mae,rmse,bias,mpe\n2017_q2,1,2,3,4\n")
+    with pytest.raises(Exception):
+        files.read_metric_files(spark, f"{tmp_path}/*.csv", "base").collect()
+
+
+def test_stored_vintages_are_read_back(spark, tmp_path):
+    rows = [(m, day(v), "a", day("2016-12-01"), x) for m, v, x in (("m", "2017-01-06", 1.0), ("m", "2017-01-13", None), ("n", "2017-01-06", 3.0))]
+    table = spark.createDataFrame(rows, "model string, vintage date, series_id string, period date, value double")
+    files.write_vintages(table, str(tmp_path / "v"))
+    assert sorted(map(str, files.read_vintages(spark, str(tmp_path / "v"), fmt="parquet").collect())) == sorted(map(str, table.collect()))
+    assert files.read_vintages(spark, str(tmp_path / "v"), "n", "parquet").first()["value"] == 3.0
+
+
+def test_duplicate_cells_are_errors(spark):
+    from tidemark.operators import panel
+
+    table = spark.createDataFrame([("m", day("2017-01-06"), "a", day("2016-12-01"), x) for x in (1.0, 2.0)], "model string, vintage date, series_id string, period date, value double")
+    with pytest.raises(Exception, match="more than one value"):
+        panel.obs_wide(table, ["a"]).collect()

@@ -29,16 +29,46 @@ def put(spark, rows, path, ddl=DDL):
 
 def test_upsert_equals_batch_over_several_runs(spark, tmp_path):
     src = str(tmp_path / "in")
-    rows = []
+    rows, sizes = [], []
     for first in (0, 20, 10):  # the last files carry older releases
         put(spark, rows_of(first, 8), src)
         rows += rows_of(first, 8)
-        stored = drain(spark, streams.vintage_updates(streams.read_files(spark, src, DDL)), tmp_path, "append")
-    got = {(r["series_id"], r["period"]): r["value"] for r in streams.current_values(stored).collect()}
+        updates = streams.vintage_updates(streams.read_files(spark, src, DDL))
+        streams.upsert_vintages(updates, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        panel = streams.read_panel(spark, f"{tmp_path}/out", updates.schema)
+        sizes.append(panel.count())
+    got = {(r["series_id"], r["period"]): r["value"] for r in panel.collect()}
     want = {}
     for _, s, p, rel, v in sorted(rows, key=lambda r: r[3]):
         want[(s, p)] = v
-    assert got == want
+    assert got == want and sizes[-1] == len(want)
+
+
+def test_a_batch_writes_only_the_partitions_it_touches(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for rows in (rows_of(0, 4, "a") + rows_of(0, 4, "b"), rows_of(9, 2, "b")):
+        put(spark, rows, src)
+        updates = streams.vintage_updates(streams.read_files(spark, src, DDL))
+        streams.upsert_vintages(updates, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "out/batch_id=1").iterdir() if p.is_dir()) == ["model=b"]
+    panel = streams.read_panel(spark, f"{tmp_path}/out", updates.schema)
+    assert {r["model"]: r["n"] for r in panel.groupBy("model").agg(F.count("*").alias("n")).collect()} == {"a": 4, "b": 4}
+    assert panel.where("model = 'b' AND value >= 9").count() == 2
+    earlier = streams.read_panel(spark, f"{tmp_path}/out", updates.schema, before=1)
+    assert earlier.count() == 8
+
+
+def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame(rows_of(0, 6), DDL)
+    rows.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    part = next(p for p in (tmp_path / "parts").iterdir() if p.name.startswith("part-"))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/events.parquet").write_bytes(part.read_bytes())
+    rows.repartition(3).write.parquet(str(tmp_path / "many/events.parquet"))
+    for base in ("one", "many"):
+        stream = streams.read_table(spark, str(tmp_path / base), "events.parquet", DDL)
+        stored = drain(spark, streams.vintage_updates(stream), tmp_path / f"out-{base}", "append")
+        assert stored.count() == 6
 
 
 def test_running_accuracy_equals_batch(spark, tmp_path):

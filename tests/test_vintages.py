@@ -42,6 +42,70 @@ def test_hole_in_the_schedule_breaks_both_pairs(spark):
     ]
 
 
+def brute_changes(rows, weeks):
+    """Cells that differ between consecutive weeks, from the last value released by each."""
+    known = lambda v: {
+        (s, day(p)): x for s, p, r, x in sorted(rows, key=lambda q: (q[2], q[3])) if day(r) <= v
+    }
+    out = {}
+    for a, b in zip(weeks, weeks[1:]):
+        old, new = known(a), known(b)
+        for c in old.keys() | new.keys():
+            if old.get(c) != new.get(c):
+                out[(a, b, *c)] = (old.get(c), new.get(c))
+    return out
+
+
+def test_changed_cells_on_an_irregular_schedule(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for s in "abc":
+        for p in ("2000-01-01", "2000-02-01", "2000-03-01"):
+            for k in sorted(rng.choice(200, 14, replace=False)):
+                rows.append((s, p, str(day("2000-01-05") + dt.timedelta(int(k))), float(rng.integers(0, 4))))
+    rows.append((*rows[-1][:3], 9.0))  # a second value on the same day: the larger one counts
+    # gaps of 1 to 40 days, several releases between two vintages; two quarters share some pairs
+    weeks = sorted({day("1999-12-30") + dt.timedelta(int(k)) for k in np.cumsum(rng.integers(1, 40, 14))})
+    schedule = spark.createDataFrame([("2000_q1", w) for w in weeks] + [("2000_q2", w) for w in weeks[4:]], "quarter string, vintage date")
+    have = spark.createDataFrame([("m", w) for w in weeks], "model string, vintage date")
+    facts = facts_frame(spark, rows)
+    pairs = asof.vintage_pairs(schedule, have)
+    cells = asof.changed_cells(facts, pairs).collect()
+    for quarter, part in (("2000_q1", weeks), ("2000_q2", weeks[4:])):
+        got = {(r["vintage_old"], r["vintage"], r["series_id"], r["period"]): (r["old"], r["new"]) for r in cells if r["quarter"] == quarter}
+        assert got == brute_changes(rows, part)
+    # The same rows as those that differ in the full listing, and the same counts of unchanged cells.
+    full = news.vintage_diff(asof.pair_vintages(schedule, asof.value_as_of(facts, have), have))
+    by_cell = {(r["quarter"], r["vintage"], r["status"]): r["n"] for r in full.groupBy("quarter", "vintage", "status").agg(F.count("*").alias("n")).collect()}
+    counts = news.status_counts(asof.changed_cells(facts, pairs), asof.known_cells(facts, pairs.select("model", F.col("vintage_old").alias("vintage"))), pairs)
+    assert {(r["quarter"], r["vintage"], r["status"]): r["cells"] for r in counts.collect()} == by_cell
+
+
+def test_withdrawn_and_returning_cells(spark):
+    rows = [("a", "2000-01-01", "2000-01-07", 1.0), ("a", "2000-01-01", "2000-01-14", None), ("a", "2000-01-01", "2000-01-21", 1.0)]
+    facts = spark.createDataFrame([("m", s, day(p), day(r), v) for s, p, r, v in rows], "model string, series_id string, period date, release_date date, value double")
+    weeks = [day("2000-01-07") + dt.timedelta(7 * k) for k in range(3)]
+    have = spark.createDataFrame([("m", w) for w in weeks], "model string, vintage date")
+    schedule = have.selectExpr("'2000_q1' AS quarter", "vintage")
+    pairs = asof.vintage_pairs(schedule, have)
+    status = [(r["vintage"], r["status"]) for r in news.vintage_diff(asof.changed_cells(facts, pairs)).orderBy("vintage").collect()]
+    assert status == [(weeks[1], "withdrawn"), (weeks[2], "released")]
+    assert {r["vintage"]: r["cells"] for r in asof.known_cells(facts, have).collect()} == dict(zip(weeks, (1, 0, 1)))
+
+
+def test_missing_parameters_keep_their_rows(spark):
+    schedule = spark.createDataFrame([("2017_q1", day("2016-12-30")), ("2017_q1", day("2017-01-06"))], "quarter string, vintage date")
+    cat = spark.createDataFrame([("2017_q1", day("2017-01-06"))], "param_quarter string, est_vintage date")
+    rows = asof.select_params(schedule, cat).orderBy("vintage").collect()
+    assert [(r["est_vintage"], r["missing"]) for r in rows] == [(None, "no parameters for 2016_q4"), (day("2017-01-06"), None)]
+
+
+def test_decomposition_counts_what_it_checked(spark):
+    rows = [("m", "q", 1.0, 2.0, 0.25, 0.75), ("m", "q", 1.0, 2.0, 0.25, 0.5), ("m", "q", 1.0, 2.0, None, 0.5), ("m", "r", 0.0, 0.0, 0.0, 0.0)]
+    table = spark.createDataFrame(rows, "model string, quarter string, y_old double, y_new double, impact_revisions double, impact_releases double")
+    assert {r["quarter"]: (r["checked"], r["gaps"]) for r in news.check_decomposition(table).collect()} == {"q": (3, 2), "r": (1, 0)}
+
+
 def _pairs(spark):
     old = obs_frame(spark, {"a": [1, 2, None], "b": [5, None, None], "gone": [7]}, vintage="2017-01-06")
     new = obs_frame(spark, {"a": [1, 3, 4], "b": [5, 6, 8], "gone": [None]}, vintage="2017-01-13")

@@ -44,6 +44,10 @@ def previous_quarter(quarter) -> Column:
     return quarter_label(F.add_months(quarter_start(quarter), -3))
 
 
+def next_quarter(quarter) -> Column:
+    return quarter_label(F.add_months(quarter_start(quarter), 3))
+
+
 def target_month(period) -> Column:
     """Grid month of a target period such as ``2017q1``, ``2017_q1`` or ``2017m5``."""
     text = F.lower(F.regexp_replace(_col(period), "_", ""))

@@ -22,6 +22,7 @@ def transformed_unit(
 ) -> Column:
     """Unit of a series after its transformation."""
     u, c, f = F.col(units), F.col(code), F.col(frequency)
+    # The labels shown for each kind of unit.
     return (
         F.when(u == "Index", F.lit("Index"))
         .when((c == "chg") & u.contains("%"), F.lit("Ppt. change"))
@@ -30,8 +31,3 @@ def transformed_unit(
         .when((c == "pca") & (f == "q"), F.lit("QoQ AR %"))
         .otherwise(F.concat(u, F.lit(" ["), c, F.lit("]")))
     )
-
-
-def frequency_name(frequency: str = "frequency") -> Column:
-    f = F.col(frequency)
-    return F.when(f == "m", "Monthly").when(f == "q", "Quarterly")

@@ -1,54 +1,72 @@
-"""Two-sided Student-t p-value as an Arrow-batched function of aggregated rows."""
+"""Two-sided Student-t p-value as a column expression."""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        step = 1.0
-        for coef in (even, odd):
-            d = 1.0 + coef * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + coef / c
-            c = c if abs(c) > tiny else tiny
-            step = c * d
-            h *= step
-        if abs(step - 1.0) < 1e-15:
-            break
-    return h
-
-
-def two_sided_p(t: float, df: float) -> float:
-    """P(|T| >= |t|) for Student's t with ``df`` degrees of freedom."""
-    if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
-        return math.nan
-    a, b, x = df / 2.0, 0.5, df / (df + t * t)
-    if x >= 1.0:
-        return 1.0
-    if x <= 0.0:
-        return 0.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
-
-
-@F.pandas_udf(T.DoubleType())
-def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    p = [two_sided_p(float(a), float(b)) for a, b in zip(t.astype(float), df.astype(float))]
-    return pd.Series(p, index=t.index, dtype="float64")
+
+#: Degrees of freedom up to which the finite sum is used; beyond, the normal approximation
+#: below is exact to about 1e-12.
+EXACT_DF = 1000
+#: Terms of the error-function series (for z < 3) and depth of the tail fraction (for z >= 3).
+SERIES_TERMS, FRACTION_DEPTH = 60, 80
+
+
+def _finite_sum(t: Column, df: Column) -> Column:
+    """P(|T| >= |t|) for whole df: a sum of df / 2 terms in the cosine of atan(t / sqrt(df))."""
+    theta = F.atan(t / F.sqrt(df))
+    square = F.pow(F.cos(theta), 2)
+    odd = df % 2 == 1
+    # Each term is the one before it times cos^2 and a ratio of two neighbouring numbers.
+    last = F.when(odd, (df - 3) / 2).otherwise((df - 2) / 2).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def step(state: Column, k: Column) -> Column:
+        ratio = F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        term = state["term"] * square * ratio
+        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
+
+    terms = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(terms, start, step)["total"]
+    sine, cosine = F.sin(theta), F.cos(theta)
+    inside = F.when(odd, (theta + F.when(df > 1, sine * cosine * total).otherwise(0.0)) * (2 / math.pi)).otherwise(sine * total)
+    return F.greatest(F.lit(0.0), 1 - inside)
+
+
+def normal_tail(z: Column) -> Column:
+    """P(|Z| >= z) of a standard normal, z >= 0: a power series near the middle, a fraction in the tail."""
+    half = z / math.sqrt(2)
+    start = F.struct(half.alias("term"), half.alias("total"))
+
+    def series(state: Column, k: Column) -> Column:
+        term = -state["term"] * half * half / k
+        return F.struct(term.alias("term"), (state["total"] + term / (2 * k + 1)).alias("total"))
+
+    middle = 1 - 2 / math.sqrt(math.pi) * F.aggregate(F.sequence(F.lit(1), F.lit(SERIES_TERMS)), start, series)["total"]
+    fraction = F.aggregate(F.sequence(F.lit(FRACTION_DEPTH), F.lit(1)), F.lit(0.0), lambda acc, k: k / (z + acc))
+    tail = math.sqrt(2 / math.pi) * F.exp(-z * z / 2) / (z + fraction)
+    return F.when(z < 3, middle).otherwise(tail)
+
+
+def _large(t: Column, df: Column) -> Column:
+    """Normal deviate of a large df by the expansion of log(1 + t^2 / df) in 1 / df."""
+    a = df - 0.5
+    b = 48 * a * a
+    y2 = a * F.log1p(t * t / df)
+    y = F.sqrt(y2)
+    z = y + (y2 * y + 3 * y) / b - (4 * F.pow(y, 7) + 33 * F.pow(y, 5) + 240 * F.pow(y, 3) + 855 * y) / (10 * b * (b + 0.8 * F.pow(y, 4) + 100))
+    return normal_tail(z)
+
+
+def student_p(t: Column | str, df: Column | str) -> Column:
+    """P(|T| >= |t|) for Student's t with a whole number of degrees of freedom.
+
+    NULL where t or df is NULL or NaN, or df is not positive.
+    """
+    t, df = (F.col(c) if isinstance(c, str) else c for c in (t, df))
+    size, whole = F.abs(t.cast("double")), df.cast("double")
+    known = size.isNotNull() & whole.isNotNull() & ~F.isnan(size) & ~F.isnan(whole) & (whole > 0)
+    p = F.when(whole <= EXACT_DF, _finite_sum(size, whole)).otherwise(_large(size, whole))
+    return F.when(known, p)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
-from tidemark.storage import materialise
 
 FACT = ["model", "series_id", "period"]
 PAIR = ["model", "quarter", "vintage_old", "vintage"]
@@ -63,10 +62,10 @@ def pair_vintages(
     which the old side, so the observations are read once; both sides meet in
     one aggregation, which also pads the shorter vintage with NULL.  Quarters
     sharing a pair are attached afterwards.  ``available`` lists the vintages
-    that exist when that is known without scanning ``obs``.
+    that exist when that is known without scanning ``obs``.  The result holds
+    every unchanged cell too; ``changed_cells`` gives the others without it.
     """
-    # written out so that its true size is known and the planner can broadcast it
-    pairs = materialise(vintage_pairs(schedule, obs if available is None else available), "pairs")
+    pairs = vintage_pairs(schedule, obs if available is None else available)
     steps = pairs.select("model", "vintage_old", F.col("vintage").alias("vintage_new")).distinct()
     links = steps.withColumn(
         "_link",
@@ -89,12 +88,69 @@ def pair_vintages(
     )
 
 
+def changed_cells(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cells whose value differs between the two vintages of a pair, from the releases alone.
+
+    ``pairs`` comes from ``vintage_pairs``.  A release changes a cell in the
+    pair whose days it falls into; of several between two vintages the last
+    counts, and the old value is the one before the first of them.  So the
+    work is one row per release and not one per cell and vintage.  A step that
+    several quarters share is resolved once.
+    """
+    once = facts.groupBy(*FACT, "release_date").agg(F.max("value").alias("value"))
+    release = Window.partitionBy(*FACT).orderBy("release_date")
+    versions = once.withColumn("before", F.lag("value").over(release))
+    steps = pairs.select("model", "vintage_old", "vintage").distinct()
+    days = steps.withColumn(
+        "release_date",
+        F.explode(F.sequence(F.date_add("vintage_old", 1), F.col("vintage"), F.expr("interval 1 day"))),
+    )
+    cells = versions.join(days, ["model", "release_date"]).groupBy(
+        "model", "vintage_old", "vintage", "series_id", "period"
+    ).agg(
+        F.min_by(F.struct("before"), "release_date")["before"].alias("old"),
+        F.max_by(F.struct("value"), "release_date")["value"].alias("new"),
+    )
+    moved = cells.where(~F.col("old").eqNullSafe(F.col("new")))
+    return moved.join(pairs, ["model", "vintage_old", "vintage"]).select(
+        *PAIR, "series_id", "period", "old", "new"
+    )
+
+
+def level_at(changes: DataFrame, vintages: DataFrame, amounts: list[str]) -> DataFrame:
+    """Running totals of daily changes on every vintage.
+
+    ``changes`` has model, day and the amounts, a few rows a day; ``vintages``
+    (model, vintage).  A vintage before the first change has zeros.
+    """
+    asked = vintages.select("model", F.col("vintage").alias("day")).distinct()
+    asked = asked.select("*", *[F.lit(None).cast("double").alias(a) for a in amounts], F.lit(True).alias("_ask"))
+    daily = changes.groupBy("model", "day").agg(*[F.sum(F.col(a).cast("double")).alias(a) for a in amounts])
+    upto = Window.partitionBy("model").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
+    both = daily.withColumn("_ask", F.lit(False)).unionByName(asked)
+    totals = both.withColumns({a: F.coalesce(F.sum(a).over(upto), F.lit(0.0)) for a in amounts})
+    return totals.where("_ask").select("model", F.col("day").alias("vintage"), *amounts)
+
+
+def known_cells(facts: DataFrame, vintages: DataFrame) -> DataFrame:
+    """Number of cells with a value on every vintage: (model, vintage, cells)."""
+    once = facts.groupBy(*FACT, "release_date").agg(F.max("value").alias("value"))
+    release = Window.partitionBy(*FACT).orderBy("release_date")
+    had = F.coalesce(F.lag("value").over(release).isNotNull(), F.lit(False))
+    step = F.col("value").isNotNull().cast("int") - had.cast("int")
+    changes = once.withColumn("cells", step).where("cells <> 0")
+    daily = changes.groupBy("model", F.col("release_date").alias("day")).agg(F.sum("cells").alias("cells"))
+    return level_at(daily, vintages, ["cells"]).withColumn("cells", F.col("cells").cast("bigint"))
+
+
 def select_params(schedule: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Parameter set of every scheduled vintage.
 
     Before the target quarter starts the previous quarter's estimates apply,
     afterwards the quarter's own, also once the next quarter has begun.
     ``catalogue`` maps param_quarter, or (model, param_quarter), to est_vintage.
+    Every scheduled row is kept: one whose quarter has no estimates has a NULL
+    est_vintage and says so in ``missing``.
     """
     early = F.col("vintage") < cal.quarter_start("quarter")
     chosen = schedule.withColumn(
@@ -104,7 +160,10 @@ def select_params(schedule: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
     both = "model" in schedule.columns and "model" in catalogue.columns
     keys = ["model", "param_quarter"] if both else ["param_quarter"]
-    return chosen.join(catalogue, keys)
+    reason = F.concat(F.lit("no parameters for "), F.col("param_quarter"))
+    return chosen.join(catalogue, keys, "left").withColumn(
+        "missing", F.when(F.col("est_vintage").isNull(), reason)
+    )
 
 
 # ---------------------------------------------------------------- as-of values
@@ -121,27 +180,30 @@ def fact_versions(facts: DataFrame, horizon: Column) -> DataFrame:
 def value_as_of(facts: DataFrame, vintages: DataFrame) -> DataFrame:
     """The panel as it was known on every vintage date.
 
-    Versions are turned into validity intervals first and meet the vintages on
-    the calendar month, an equi-join, so no version is compared with a vintage
-    outside the months in which it was current.
+    The vintages are numbered.  Each release date is mapped to the first
+    vintage that knows it, so a version is current from its own number up to
+    the one before the next version's, and an explode over that range of
+    numbers gives exactly the rows of the result.
     """
     dates = vintages.select("vintage").distinct()
-    horizon = dates.agg(F.max("vintage")).scalar()
-    versions = fact_versions(facts, horizon).where(F.col("release_date") <= F.col("valid_to"))
-    by_month = versions.withColumn(
-        "_month",
-        F.explode(
-            F.sequence(
-                cal.month_start("release_date"), cal.month_start("valid_to"),
-                F.expr("interval 1 month"),
-            )
-        ),
+    numbered = dates.withColumn("_n", F.row_number().over(Window.orderBy("vintage")))
+    # One row per day on which anything was released or a vintage was taken.
+    days = facts.select(F.col("release_date").alias("day")).distinct().withColumn(
+        "_n", F.lit(None).cast("int")
+    ).unionByName(numbered.select(F.col("vintage").alias("day"), "_n")).groupBy("day").agg(F.max("_n").alias("_n"))
+    ahead = Window.orderBy("day").rowsBetween(0, Window.unboundedFollowing)
+    whole = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = days.select(
+        F.col("day").alias("release_date"), F.min("_n").over(ahead).alias("_since"), F.max("_n").over(whole).alias("_last")
     )
-    weekly = dates.withColumn("_month", cal.month_start("vintage"))
-    current = by_month.join(weekly, "_month").where(
-        F.col("vintage").between(F.col("release_date"), F.col("valid_to"))
+    once = facts.groupBy(*FACT, "release_date").agg(F.max("value").alias("value"))
+    release = Window.partitionBy(*FACT).orderBy("release_date")
+    versions = once.join(first, "release_date").withColumn(
+        "_until", F.coalesce(F.lead("_since").over(release), F.col("_last") + 1) - 1
     )
-    return current.select("model", "vintage", "series_id", "period", "value")
+    current = versions.where(F.col("_since") <= F.col("_until"))
+    spread = current.withColumn("_n", F.explode(F.sequence("_since", "_until")))
+    return spread.join(numbered, "_n").select("model", "vintage", "series_id", "period", "value")
 
 
 def asof_join(
@@ -189,21 +251,15 @@ def asof_join(
 def backfill(base: DataFrame, extra: DataFrame) -> DataFrame:
     """Keep base values, fill their holes from ``extra``; only base dates survive.
 
-    A series that base lacks altogether is created on all base dates.
+    A series that base lacks altogether is created on all base dates, as is a
+    date that a base series lacks.
     """
     keys = ["model", "vintage", "series_id", "period"]
-    tagged = base.select(*keys, F.col("value").alias("_base"), F.lit(None).cast("double").alias("_extra"))
+    dates = base.groupBy("model", "vintage").agg(F.sort_array(F.collect_set("period")).alias("_dates"))
+    marked = base.select(*keys, F.col("value").alias("_base"), F.lit(None).cast("double").alias("_extra"))
     fetched = extra.select(*keys, F.lit(None).cast("double").alias("_base"), F.col("value").alias("_extra"))
-    dates = base.select("model", "vintage", "period").distinct()
-    series = base.select("model", "vintage", "series_id").unionByName(
-        extra.select("model", "vintage", "series_id")
-    ).distinct()
-    cells = dates.join(series, ["model", "vintage"]).select(
-        *keys, F.lit(None).cast("double").alias("_base"), F.lit(None).cast("double").alias("_extra")
-    )
-    merged = cells.withColumn("_grid", F.lit(True)).unionByName(
-        tagged.unionByName(fetched).withColumn("_grid", F.lit(False))
-    )
-    return merged.groupBy(*keys).agg(
-        F.coalesce(F.max("_base"), F.max("_extra")).alias("value"), F.max("_grid").alias("_grid")
-    ).where("_grid").drop("_grid")
+    # One row per series carries the calendar of its panel; cells off the calendar drop out.
+    cells = marked.unionByName(fetched).groupBy(*keys).agg(F.max("_base").alias("_base"), F.max("_extra").alias("_extra"))
+    series = cells.groupBy("model", "vintage", "series_id").agg(F.count(F.lit(1)).alias("_n")).join(dates, ["model", "vintage"])
+    grid = series.select("model", "vintage", "series_id", F.explode("_dates").alias("period"))
+    return grid.join(cells, keys, "left").select(*keys, F.coalesce("_base", "_extra").alias("value"))

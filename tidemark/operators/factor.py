@@ -5,18 +5,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.impact import with_category
 from tidemark.schema import PANEL, SERIES, TENT
+from tidemark.storage import materialise
 
 LAG_NAMES = [f"f{k}" for k in range(len(TENT))]
-FLUSH_CELLS = 4_000_000
+#: Fixed value: a likelihood that falls by more than this counts as falling.
+FALL = -1e-3
 
 
 def block_table(spec: DataFrame, blocks: list[str]) -> DataFrame:
@@ -25,108 +23,96 @@ def block_table(spec: DataFrame, blocks: list[str]) -> DataFrame:
     return spec.select("model", "series_id", *cols)
 
 
-def in_block(z: DataFrame, spec: DataFrame, block: str) -> DataFrame:
-    """Observations of the series that load on one block."""
-    members = spec.where(F.array_contains("blocks", block)).select("model", "series_id")
-    return z.join(members, ["model", "series_id"], "left_semi")
+def in_blocks(z: DataFrame, spec: DataFrame) -> DataFrame:
+    """Observations once for every block that their series loads on, with the block's name."""
+    members = spec.select("model", "series_id", F.explode("blocks").alias("block"))
+    return z.join(members, ["model", "series_id"])
 
 
 # ---------------------------------------------------------------- covariance
 
 
-def _partial_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairwise sums of the periods a task holds, one square block per panel.
+def panel_gram(z: DataFrame, value: str = "z", by: list[str] = PANEL) -> DataFrame:
+    """Sample covariance of every pair of series over their common periods (i <= j).
 
-    A row carries one period of a panel as arrays, so no pair of observations
-    is ever a row; only the summed entries leave the task.
+    The pairs of one block of series are the result, so a block is meant to be
+    small; ``by`` names what makes a block.
     """
-    sums: dict[tuple, dict[str, list]] = {}
-    held = 0
-
-    def drain() -> Iterator[pd.DataFrame]:
-        for (model, vintage), part in sums.items():
-            names = sorted({s for ids in part["ids"] for s in ids})
-            place = {s: k for k, s in enumerate(names)}
-            x = np.full((len(part["ids"]), len(names)), np.nan)
-            for r, (ids, values) in enumerate(zip(part["ids"], part["values"])):
-                x[r, [place[s] for s in ids]] = values
-            seen = (~np.isnan(x)).astype("float64")
-            filled = np.nan_to_num(x)
-            together = seen.T @ seen
-            i, j = np.nonzero(np.triu(together))
-            one, both = filled.T @ seen, filled.T @ filled
-            label = np.array(names, dtype=object)
-            yield pd.DataFrame(
-                {
-                    "model": model, "vintage": vintage, "series_i": label[i], "series_j": label[j],
-                    "n": together[i, j], "si": one[i, j], "sj": one.T[i, j], "sij": both[i, j],
-                }
-            )
-        sums.clear()
-
-    for pdf in batches:
-        for row in pdf.itertuples(index=False):
-            part = sums.setdefault((row.model, row.vintage), {"ids": [], "values": []})
-            part["ids"].append(list(row.ids))
-            part["values"].append(np.asarray(row.values_, dtype="float64"))
-            held += len(row.ids)
-        if held > FLUSH_CELLS:
-            yield from drain()
-            held = 0
-    yield from drain()
-
-
-def panel_gram(z: DataFrame, value: str = "z") -> DataFrame:
-    """Sample covariance of every pair of series over their common periods (i <= j)."""
     known = z.where(F.col(value).isNotNull())
-    rows = known.groupBy(*PANEL, "period").agg(
-        F.collect_list("series_id").alias("ids"), F.collect_list(value).alias("values_")
+    keys = [*by, "period"]
+    left = known.select(*keys, F.col("series_id").alias("series_i"), F.col(value).alias("_i"))
+    right = known.select(*keys, F.col("series_id").alias("series_j"), F.col(value).alias("_j"))
+    both = left.join(right, keys).where(F.col("series_i") <= F.col("series_j"))
+    return both.groupBy(*by, "series_i", "series_j").agg(
+        F.count(F.lit(1)).alias("n"), F.covar_samp("_i", "_j").alias("cov")
     )
-    parts = rows.select(*PANEL, "ids", "values_").mapInPandas(
-        _partial_moments,
-        "model string, vintage date, series_i string, series_j string, "
-        "n double, si double, sj double, sij double",
+
+
+#: Squarings of the covariance matrix, which raise it to the power 2**SQUARINGS, and the largest
+#: share of a unit vector by which its image may miss a multiple of it.
+SQUARINGS, TOLERANCE = 14, 1e-7
+
+
+def square_matrix(gram: DataFrame, by: list[str] = PANEL) -> DataFrame:
+    """Both triangles of a covariance table as entries (i, j, v); NULL counts as 0."""
+    v = F.coalesce("cov", F.lit(0.0)).alias("v")
+    upper = gram.select(*by, F.col("series_i").alias("i"), F.col("series_j").alias("j"), v)
+    lower = gram.where("series_i <> series_j").select(*by, F.col("series_j").alias("i"), F.col("series_i").alias("j"), v)
+    return upper.unionByName(lower)
+
+
+def leading_vector(gram: DataFrame, by: list[str] = PANEL) -> DataFrame:
+    """Leading eigenvector of each block's covariance, signed to a non-negative sum.
+
+    The matrices of all blocks, shifted by their largest row sum so that no
+    eigenvalue is negative, are squared together by a join and a sum, and
+    scaled to trace 1, until only the leading direction is left; each square is
+    stored, as the next one reads it twice.  The largest column is the vector,
+    of equal ones the first by name; a sum of 0 leaves its sign.
+    Where its image is no multiple of it within ``TOLERANCE`` the rows fail; a
+    block without any variance has NULL loadings.
+    """
+    entries = materialise(square_matrix(gram, by), "gram")
+    rows = entries.groupBy(*by, "i").agg(F.sum(F.abs("v")).alias("_s")).groupBy(*by).agg(F.max("_s").alias("_s"))
+    diagonal = F.when(F.col("i") == F.col("j"), F.col("_s")).otherwise(0.0)
+    power = entries.join(rows, by).select(*by, "i", "j", (F.col("v") + diagonal).alias("v"))
+    for _ in range(SQUARINGS):
+        left = power.select(*by, "i", F.col("j").alias("k"), F.col("v").alias("_l"))
+        right = power.select(*by, F.col("i").alias("k"), "j", F.col("v").alias("_r"))
+        product = left.join(right, [*by, "k"]).groupBy(*by, "i", "j").agg(F.sum(F.col("_l") * F.col("_r")).alias("v"))
+        trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("v"))).over(Window.partitionBy(*by))
+        power = materialise(product.withColumn("v", F.try_divide("v", trace)), "power")
+    largest = power.where("i = j").groupBy(*by).agg(F.min_by("i", F.struct(-F.round("v", 9), "i")).alias("j"))
+    series = entries.select(*by, "i").distinct()
+    column = series.join(power.join(largest, [*by, "j"]).select(*by, "i", "v"), [*by, "i"], "left")
+    column = column.withColumn("v", F.coalesce("v", F.lit(0.0)))
+    block = Window.partitionBy(*by)
+    sign = F.when(F.round(F.sum("v").over(block), 9) < 0, -1.0).otherwise(1.0)
+    unit = column.select(*by, "i", F.try_divide(sign * F.col("v"), F.sqrt(F.sum(F.col("v") * F.col("v")).over(block))).alias("x"))
+    image = entries.join(unit.select(*by, F.col("i").alias("j"), F.col("x").alias("_x")), [*by, "j"]).groupBy(*by, "i").agg(
+        F.sum(F.col("v") * F.col("_x")).alias("gx")
     )
-    total = parts.groupBy(*PANEL, "series_i", "series_j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")]
+    both = unit.join(image, [*by, "i"])
+    value = F.sum(F.col("x") * F.col("gx")).over(block)
+    miss = F.sqrt(F.sum(F.pow(F.col("gx") - F.col("value") * F.col("x"), 2)).over(block)) / F.nullif(F.abs("value"), F.lit(0.0))
+    checked = both.withColumn("value", value).withColumn("miss", miss)
+    failed = F.raise_error(F.lit("the leading direction of a block was not reached")).cast("double")
+    return checked.select(
+        *by, F.col("i").alias("series_id"), F.when(F.col("miss") > TOLERANCE, failed).otherwise(F.col("x")).alias("loading")
     )
-    n = F.col("n")
-    cov = F.try_divide(F.col("sij") - F.col("si") * F.col("sj") / n, n - 1)
-    return total.select(*PANEL, "series_i", "series_j", n.cast("bigint").alias("n"), cov.alias("cov"))
-
-
-def leading_vector(gram: DataFrame) -> DataFrame:
-    """Leading eigenvector of each panel's covariance, signed to a non-negative sum."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["series_i"]) | set(pdf["series_j"]))
-        place = {s: k for k, s in enumerate(names)}
-        square = np.zeros((len(names), len(names)))
-        i, j = pdf["series_i"].map(place), pdf["series_j"].map(place)
-        square[i, j] = square[j, i] = pdf["cov"].fillna(0.0)
-        v = np.linalg.eigh(square)[1][:, -1]
-        return pd.DataFrame(
-            {
-                "model": pdf["model"].iloc[0], "vintage": pdf["vintage"].iloc[0],
-                "series_id": names, "loading": -v if v.sum() < 0 else v,
-            }
-        )
-
-    schema = "model string, vintage date, series_id string, loading double"
-    return gram.groupBy(*PANEL).applyInPandas(solve, schema)
 
 
-def factor_scores(z: DataFrame, loadings: DataFrame, value: str = "z") -> DataFrame:
-    """Factor by period: the panel projected on the loadings."""
-    return z.join(loadings, SERIES).groupBy(*PANEL, "period").agg(
+def factor_scores(z: DataFrame, loadings: DataFrame, value: str = "z", by: list[str] = PANEL) -> DataFrame:
+    """Factor by period: the block projected on the loadings."""
+    return z.join(loadings, [*by, "series_id"]).groupBy(*by, "period").agg(
         F.sum(F.col(value) * F.col("loading")).alias("f")
     )
 
 
-def first_factor(z: DataFrame, value: str = "z") -> tuple[DataFrame, DataFrame]:
-    """Loadings and scores of a block's first principal component."""
-    loadings = leading_vector(panel_gram(z, value))
-    return loadings, factor_scores(z, loadings, value)
+def first_factor(z: DataFrame, value: str = "z", by: list[str] = PANEL) -> tuple[DataFrame, DataFrame]:
+    """Loadings and scores of the first principal component of every block."""
+    loadings = leading_vector(panel_gram(z, value, by), by)
+    return loadings, factor_scores(z, loadings, value, by)
 
 
 # ---------------------------------------------------------------- regressions
@@ -174,16 +160,12 @@ def ar1(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
     x, lagged = F.col("_x"), F.col("_l")
     sums = both.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(lagged).alias("sl"),
-        F.sum(x * x).alias("sxx"), F.sum(x * lagged).alias("sxl"), F.sum(lagged * lagged).alias("sll"),
+        F.count(F.lit(1)).alias("n"), F.sum(x * lagged).alias("sxl"), F.sum(lagged * lagged).alias("sll"),
+        F.var_samp(x).alias("vx"), F.var_samp(lagged).alias("vl"), F.covar_samp(x, lagged).alias("vxl"),
     )
     b = F.try_divide(F.col("sxl"), F.col("sll"))
-    total = F.col("sx") - F.col("b") * F.col("sl")
-    square = F.col("sxx") - 2 * F.col("b") * F.col("sxl") + F.col("b") * F.col("b") * F.col("sll")
-    return sums.withColumn("b", b).select(
-        *keys, "n", "b",
-        F.try_divide(square - total * total / F.col("n"), F.col("n") - 1).alias("residual_variance"),
-    )
+    spread = F.col("vx") - 2 * F.col("b") * F.col("vxl") + F.col("b") * F.col("b") * F.col("vl")
+    return sums.withColumn("b", b).select(*keys, "n", "b", spread.alias("residual_variance"))
 
 
 def block_residuals(z: DataFrame, loadings: DataFrame, lags: DataFrame, value: str = "z") -> DataFrame:
@@ -215,7 +197,7 @@ def em_converged(trace: DataFrame, threshold: float = 1e-4) -> DataFrame:
             "converged": F.coalesce(
                 (F.col("iteration") >= 4) & (F.col("change") < threshold), F.lit(False)
             ),
-            "decreased": F.coalesce(now - before < -1e-3, F.lit(False)),
+            "decreased": F.coalesce(now - before < FALL, F.lit(False)),
         }
     )
 
@@ -354,8 +336,8 @@ def component_contributions(
     """Target's common part split over components by the similarity of loadings.
 
     The weight of a series is the inner product of its loadings with the
-    target's; the target itself is left out.  ``summary`` has one row per
-    (model, est_vintage) with the target's total, common and residual.
+    target's; the target itself is left out.  ``summary`` has the target's
+    total, common and residual for each (model, est_vintage), by period or not.
     """
     keys = ["model", "est_vintage"]
     named = _matrix(params, "C").where(F.col("j") < n_factor_states).join(

@@ -1,7 +1,7 @@
 """What changed between two vintages and what it does to the nowcast.
 
-Inputs are the cell pairs of ``pair_vintages``: model, quarter, vintage_old,
-vintage, series_id, period, old, new.  News is keyed by series and period, so
+Inputs are the cell pairs of ``pair_vintages``, or only those that differ from
+``changed_cells``: model, quarter, vintage_old, vintage, series_id, period, old, new.  News is keyed by series and period, so
 several periods of one series released in the same week all count.
 """
 
@@ -41,6 +41,31 @@ def released_series(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(*PAIR, "series_id").agg(F.bool_or(hit).alias("released"))
 
 
+def series_released(pairs: DataFrame, first_known: DataFrame, changes: DataFrame) -> DataFrame:
+    """Like ``released_series``, from the releases: per known series of a pair, whether anything was released.
+
+    ``pairs`` are those of ``vintage_pairs``; ``first_known`` (model, series_id, since) says since when a series has
+    values, ``changes`` are the changed cells.
+    """
+    known = pairs.join(first_known, "model").where(F.col("since") <= F.col("vintage")).select(*PAIR, "series_id")
+    hit = released_cells(changes).select(*PAIR, "series_id").distinct().withColumn("released", F.lit(True))
+    return known.join(hit, [*PAIR, "series_id"], "left").withColumn("released", F.coalesce("released", F.lit(False)))
+
+
+def status_counts(changes: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cells by status for every pair, without listing the unchanged ones.
+
+    ``known`` (model, vintage, cells) counts the cells with a value on a vintage; those of the old vintage that were
+    neither revised nor withdrawn are unchanged.  A status without cells has no row.
+    """
+    moved = vintage_diff(changes).groupBy(*PAIR, "status").agg(F.count(F.lit(1)).alias("cells"))
+    start = pairs.join(known.withColumnRenamed("vintage", "vintage_old"), ["model", "vintage_old"])
+    lost = moved.where(F.col("status") != "released").select(*PAIR, F.lit("unchanged").alias("status"), (-F.col("cells")).alias("cells"))
+    stay = start.select(*PAIR, F.lit("unchanged").alias("status"), "cells").unionByName(lost)
+    stay = stay.groupBy(*PAIR, "status").agg(F.sum("cells").alias("cells"))
+    return moved.unionByName(stay).where("cells > 0")
+
+
 def revised_cells(pairs: DataFrame) -> DataFrame:
     """Cells known in both vintages whose value changed."""
     both = F.col("old").isNotNull() & F.col("new").isNotNull()
@@ -82,9 +107,10 @@ def total_impact(news_rows: DataFrame) -> DataFrame:
 
 
 def check_decomposition(nowcast: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Rows in which y_old + revisions + releases misses y_new."""
+    """Per target, how many updates were checked and in how many y_old + revisions + releases misses y_new."""
     gap = F.col("y_new") - F.col("y_old") - F.col("impact_revisions") - F.col("impact_releases")
-    return nowcast.withColumn("gap", gap).where(F.abs("gap") > tolerance)
+    missed = gap.isNull() | (F.abs(gap) > tolerance)
+    return nowcast.groupBy("model", "quarter").agg(F.count(F.lit(1)).alias("checked"), F.count_if(missed).alias("gaps"))
 
 
 def update_report(nowcast: DataFrame, news_rows: DataFrame) -> DataFrame:

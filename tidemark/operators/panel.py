@@ -26,10 +26,6 @@ def by_period() -> WindowSpec:
     return by_series().orderBy("period")
 
 
-def null_if_nan(c: str) -> Column:
-    return F.when(~F.isnan(c), F.col(c))
-
-
 # ---------------------------------------------------------------- selection
 
 
@@ -69,16 +65,17 @@ def quarter_to_third_month(raw: DataFrame, date: str = "period") -> DataFrame:
     return raw.withColumn(date, cal.quarter_third_month(date))
 
 
-def dense_monthly(obs: DataFrame, horizon: int = 0) -> DataFrame:
+def dense_monthly(obs: DataFrame, horizon: int = 0, edges: DataFrame | None = None) -> DataFrame:
     """Give every series one row per month of its panel, plus ``horizon`` empty months.
 
-    Each observation opens a run of months that ends before the next one, so
+    ``edges`` (model, vintage, first, last) gives the span of each panel where it is known;
+    else it is taken from ``obs``, which is then read twice.  Each observation opens a run of months that ends before the next one, so
     the missing months come out of an explode on the series' own partition and
     no scaffold has to be joined.
     """
-    edges = obs.groupBy(*PANEL).agg(
-        F.min("period").alias("_lo"), F.add_months(F.max("period"), horizon).alias("_hi")
-    )
+    if edges is None:
+        edges = obs.groupBy(*PANEL).agg(F.min("period").alias("first"), F.max("period").alias("last"))
+    edges = edges.select(*PANEL, F.col("first").alias("_lo"), F.add_months("last", horizon).alias("_hi"))
     attrs = [c for c in obs.columns if c not in CELL + ["value"]]
     keyed = obs.join(edges, PANEL)
     first = F.row_number().over(by_period()) == 1
@@ -314,11 +311,8 @@ def panel_header(obs: DataFrame) -> DataFrame:
 
 
 def obs_wide(obs: DataFrame, series: list[str], value: str = "value") -> DataFrame:
-    """Period by series matrix with the columns in the given order."""
-    return obs.groupBy(*PANEL, "period").pivot("series_id", series).agg(F.first(value))
-
-
-def null_nan_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: null_if_nan(c) for c in columns})
-
-
+    """Period by series matrix with the columns in the given order; a cell with two rows is an error."""
+    once = F.when(F.count(value) <= 1, F.max(value)).otherwise(
+        F.raise_error(F.lit("more than one value for a series and period")).cast("double")
+    )
+    return obs.groupBy(*PANEL, "period").pivot("series_id", series).agg(once)

@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
-import io
 import re
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
 from tidemark.schema import FREQUENCIES, METRICS_DDL, NEWS_DDL, NOWCAST_DDL, PARAMS_DDL, PANEL
 
+# The columns of a spec sheet and the form of its block columns.
 SPEC_FIELDS = ["SeriesID", "SeriesName", "Frequency", "Units", "Transformation", "Category"]
+BLOCK_PREFIX = r"Block[0-9]+-"
+# Other names of a result column.
+RESULT_NAMES = {"variance": "step_variance", "variance_so_far": "step_variance"}
 
 
-def _read(spark: SparkSession, path: str, fmt: str, schema: str | None = None) -> DataFrame:
+def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return (reader.schema(schema) if schema else reader).load(path)
+    return (reader.option("header", True) if fmt == "csv" else reader).load(path)
+
+
+def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """CSV files that share a header, as text columns.
+
+    A file whose header differs from the first one's, or a row with more or fewer fields, is an error.
+    """
+    names = spark.read.option("header", True).csv(paths).columns
+    schema = ", ".join(f"`{n}` string" for n in names)
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+    return reader.csv(paths).toDF(*[n.strip() for n in names])
+
+
+def number(column: str) -> Column:
+    """A text column as numbers; empty and NaN are NULL, anything else that is no number is an error."""
+    text = F.trim(F.col(f"`{column}`"))
+    value = F.expr(f"try_cast(trim(`{column}`) AS double)")
+    bad = F.raise_error(F.concat(F.lit(f"{column}: not a number: "), text)).cast("double")
+    blank = text.isNull() | (text == "") | (F.lower(text) == "nan")
+    return F.when(blank, F.lit(None).cast("double")).when(value.isNull(), bad).otherwise(value)
+
+
+def day(column: str) -> Column:
+    """A text column as dates; anything that is no date is an error."""
+    text = F.trim(F.col(f"`{column}`"))
+    value = F.expr(f"try_cast(trim(`{column}`) AS date)")
+    bad = F.raise_error(F.concat(F.lit(f"{column}: not a date: "), text)).cast("date")
+    return F.when(text.isNull() | (text == ""), F.lit(None).cast("date")).when(value.isNull(), bad).otherwise(value)
 
 
 # ---------------------------------------------------------------- spec
@@ -41,7 +69,7 @@ def parse_spec(raw: DataFrame, model: str, position: str | None = None) -> DataF
     if not blocks:
         raise ValueError("spec has no block column")
     flags = {c: F.coalesce(F.col(f"`{c}`").cast("int"), F.lit(0)) for c in blocks}
-    names = {c: re.sub(r"Block[0-9]+-", "", c) for c in blocks}
+    names = {c: re.sub(BLOCK_PREFIX, "", c) for c in blocks}
     order = F.col(position) if position else F.monotonically_increasing_id()
     used = sheet.withColumn("_file_pos", order).where(F.col("Model").cast("int") == 1)
     global_ok = F.when(flags[blocks[0]] == 1, F.lit(True)).otherwise(
@@ -90,34 +118,42 @@ def _vintage_day(path: Column) -> Column:
     return F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})[^/]*(/[^/]*)?$", 1).cast("date")
 
 
-def _melt_csv(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cells of whole vintage files; every file names its own columns."""
-    for pdf in batches:
-        for row in pdf.itertuples(index=False):
-            wide = pd.read_csv(io.BytesIO(row.content))
-            wide.columns = [c.strip() for c in wide.columns]
-            wide["Date"] = pd.to_datetime(wide["Date"]).dt.date
-            cells = wide.melt("Date", var_name="series_id", value_name="value")
-            cells["value"] = pd.to_numeric(cells["value"], errors="coerce")
-            out = cells.rename(columns={"Date": "period"}).assign(vintage=row.vintage)
-            yield out[["vintage", "series_id", "period", "value"]]
+def _csv_vintages(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of all CSV vintages below a directory; files with the same header are read together."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path)
+    first = F.split(F.decode(F.substring("content", 1, 1 << 20), "UTF-8"), "\r?\n", 2)[0]
+    # One row for each header that occurs, with its files: vintages number in the hundreds.
+    found = files.groupBy(first.alias("header")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    parts = []
+    for row in found.orderBy("header").collect():
+        wide = read_csv(spark, row["paths"])
+        if "Date" not in wide.columns:
+            raise ValueError(f"{row['paths'][0]} has no column Date")
+        series = [c for c in wide.columns if c != "Date"]
+        dated = wide.select(
+            _vintage_day(F.input_file_name()).alias("vintage"), day("Date").alias("period"), *[number(c).alias(c) for c in series]
+        )
+        parts.append(dated.unpivot(["vintage", "period"], series, "series_id", "value"))
+    if not parts:
+        raise ValueError(f"no vintage files below {path}")
+    return reduce(DataFrame.unionByName, parts)
 
 
-def read_vintages(spark: SparkSession, path: str, model: str, fmt: str = "csv") -> DataFrame:
-    """All vintage files of a directory as one long table.
+def read_vintages(spark: SparkSession, path: str, model: str | None = None, fmt: str = "csv") -> DataFrame:
+    """All vintages of a directory as one long table.
 
-    The vintage is the date in the file name (``2017-01-06.csv``) or in a
-    ``vintage=`` directory.  Files may hold different series.
+    CSV files, and Parquet files with one column per series, are dated by their name (``2017-01-06.csv``)
+    or a ``vintage=`` directory and belong to ``model``; files may hold different series.  What
+    ``write_vintages`` stored is read back as it is, of one model or of all.
     """
     if fmt == "csv":
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-        long = files.select(_vintage_day(F.col("path")).alias("vintage"), "content").mapInPandas(
-            _melt_csv, "vintage date, series_id string, period date, value double"
-        )
-        long = long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+        long = _csv_vintages(spark, path)
     else:
-        wide = spark.read.format(fmt).option("mergeSchema", True).load(path)
-        wide = wide.withColumn("vintage", _vintage_day(F.input_file_name())).drop("model")
+        stored = spark.read.format(fmt).option("mergeSchema", True).load(path)
+        if {"series_id", "period", "value"} <= set(stored.columns):
+            long = stored.select("model", "vintage", "series_id", "period", "value")
+            return long.where(F.col("model") == model) if model else long
+        wide = stored.withColumn("vintage", _vintage_day(F.input_file_name())).drop("model")
         long = wide_to_long(wide, ["vintage"])
     return long.select(F.lit(model).alias("model"), "vintage", "series_id", "period", "value")
 
@@ -135,21 +171,30 @@ def quarter_of_file() -> Column:
     return F.regexp_extract(F.input_file_name(), r"(\d{4}_q[1-4])[^/]*$", 1)
 
 
+def _named(raw: DataFrame, texts: list[str], dates: list[str], numbers: list[str]) -> DataFrame:
+    """Columns by name, whatever their order in the file; each with the quarter in its file's name."""
+    known = {RESULT_NAMES.get(c.lower(), c.lower()): c for c in raw.columns}
+    missing = [c for c in [*texts, *dates, *numbers] if c not in known]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)}")
+    return raw.select(
+        quarter_of_file().alias("quarter"),
+        *[day(known[c]).alias(c) for c in dates],
+        *[number(known[c]).alias(c) for c in numbers],
+        *[F.col(f"`{known[c]}`").alias(c) for c in texts],
+    )
+
+
 def read_result_files(spark: SparkSession, pattern: str, model: str) -> DataFrame:
     """Loose per-quarter CSV files; the quarter is taken from the file name."""
-    names = (
-        "vintage date, y_old double, y_new double, error double, abs_error double, "
-        "perc_error double, impact_revisions double, impact_releases double, "
-        "step_variance double, params_used string"
-    )
-    rows = _read(spark, pattern, "csv", names)
-    return rows.select(F.lit(model).alias("model"), quarter_of_file().alias("quarter"), "*")
+    numbers = "y_old y_new error abs_error perc_error impact_revisions impact_releases step_variance".split()
+    rows = _named(read_csv(spark, pattern), ["params_used"], ["vintage"], numbers)
+    return rows.select(F.lit(model).alias("model"), "quarter", "vintage", *numbers, "params_used")
 
 
 def read_metric_files(spark: SparkSession, pattern: str, model: str) -> DataFrame:
-    names = "quarter string, rmse double, mae double, bias double, mpe double"
-    rows = _read(spark, pattern, "csv", names).withColumn("quarter", quarter_of_file())
-    return rows.select(F.lit(model).alias("model"), "*")
+    numbers = "rmse mae bias mpe".split()
+    return _named(read_csv(spark, pattern), [], [], numbers).select(F.lit(model).alias("model"), "quarter", *numbers)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a local one only where none is set."""
+    """The shared checkpoint folder the cluster names.
+
+    Where none is set, a session on this machine gets a folder of its own that goes when
+    Python ends; on a cluster the setting is required.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -21,6 +27,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="run-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
@@ -30,10 +37,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several branches read to the shared folder and read it back.
 
     Cuts the lineage with a table that outlives executors, and spares every
-    branch the recomputation.
+    branch the recomputation.  All tables of a session lie below one folder, named by its
+    application, which can be removed once the session has ended.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,14 +1,16 @@
 """Structured Streaming jobs that keep vintage and accuracy tables up to date.
 
 Every micro-batch overwrites its own ``batch_id`` directory, so a batch that
-is replayed after a failure replaces itself; readers resolve the latest row
-per key with an aggregate.
+is replayed after a failure replaces itself.  The panel of current values is
+kept by merging a batch into the partitions it touches; the windowed and
+running tables hold one row per key and batch, of which readers take the last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 WEEK = "7 days"
@@ -24,6 +26,14 @@ def read_files(
     return reader.parquet(path)
 
 
+def read_table(spark: SparkSession, folder: str, name: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
+    """File stream of the table ``folder/name``, be it one file or a folder of part files."""
+    found = spark.read.schema(schema).parquet(f"{folder}/{name}").inputFiles()
+    if found and found[0].rstrip("/").endswith(f"/{name}"):
+        return read_files(spark, folder, schema, name, files_per_batch)
+    return read_files(spark, f"{folder}/{name}", schema, "*.parquet", files_per_batch)
+
+
 def write_batches(
     stream: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = True
 ) -> StreamingQuery:
@@ -59,10 +69,51 @@ def vintage_updates(facts: DataFrame) -> DataFrame:
     )
 
 
-def current_values(stored: DataFrame) -> DataFrame:
-    """Panel made of the latest release of every cell; ties go to the larger value."""
-    once = latest(stored, ["model", "series_id", "period"], F.struct("release", "value"))
-    return once.select("model", "series_id", "period", "release", "value")
+CELL = ["model", "series_id", "period"]
+PARTITION = ["model", "month"]
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Latest release of every cell; ties go to the larger value."""
+    return latest(rows.select(*CELL, "release", "value"), CELL, F.struct("release", "value"))
+
+
+def upsert_vintages(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keep the current panel below ``path``: every batch merges into the partitions it touches.
+
+    A partition is a model's month.  A batch writes the merged partitions to its own ``batch_id``
+    directory and leaves all others alone; a reader takes each partition from the last batch that
+    wrote it.  A batch that is replayed reads only what earlier batches wrote, so it repeats itself.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = _merged(batch).withColumn("month", F.trunc("period", "MM"))
+        before = read_panel(spark, path, batch.schema, batch_id) if batch_id else None
+        if before is not None:
+            touched = fresh.select(*PARTITION).distinct()
+            held = before.join(touched, PARTITION, "left_semi")
+            fresh = _merged(held.unionByName(fresh)).withColumn("month", F.trunc("period", "MM"))
+        out = fresh.select("series_id", "period", "release", "value", *PARTITION)
+        out.write.mode("overwrite").partitionBy(*PARTITION).parquet(f"{path}/batch_id={batch_id}")
+
+    writer = stream.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_panel(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The panel that ``upsert_vintages`` keeps, as of the batches below ``before`` or of all."""
+    kinds = {f.name: f.dataType for f in schema.fields}
+    layout = T.StructType(
+        [T.StructField(c, kinds[c]) for c in ("series_id", "period", "release", "value")]
+        + [T.StructField("model", kinds["model"]), T.StructField("month", T.DateType()), T.StructField("batch_id", T.IntegerType())]
+    )
+    stored = spark.read.schema(layout).option("basePath", path).parquet(path)
+    if before is not None:
+        stored = stored.where(F.col("batch_id") < before)
+    # Directory names alone say which batch wrote a partition last.
+    last = stored.groupBy(*PARTITION).agg(F.max("batch_id").alias("batch_id"))
+    return stored.join(last, [*PARTITION, "batch_id"], "left_semi").select(*CELL, "release", "value", "month")
 
 
 # ---------------------------------------------------------------- weekly windows

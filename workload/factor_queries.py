@@ -1,17 +1,20 @@
-"""Queries over factor-model building blocks, estimation and the back-test."""
+"""Queries over factor-model building blocks."""
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import factor, score
-from tidemark.operators.news import check_decomposition
-from tidemark.plans import backtest, estimate
-from tidemark.plans.common import materialise
+from tidemark.storage import materialise
 from workload import fixtures as fx
 from workload.registry import query
 
 KEYS = ["model", "vintage", "series_id"]
 
 
+def stored_z(spark, d):
+    """The standardised panel, stored: a covariance reads it twice."""
+    return materialise(fx.panel_z(spark, d), "panel_z")
+
+
 def lags(spark, d):
     return factor.factor_lags(fx.mean_factor(fx.panel_z(spark, d)))
 
@@ -23,41 +26,76 @@ FROM panel_z a JOIN panel_z b ON b.model = a.model AND b.vintage = a.vintage AND
   AND a.series_id <= b.series_id
 WHERE a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY 1, 2, 3, 4""", "cov")
 def panel_gram(spark, d):
-    return factor.panel_gram(fx.panel_z(spark, d))
+    return factor.panel_gram(stored_z(spark, d))
+
+
+def _power_sql(source: str, by: str) -> str:
+    """Leading eigenvectors by squaring matrices of lists, shifted to be positive; signed to a non-negative sum.
+
+    ``source`` has the key columns ``by``, series_id, period and z; one covariance matrix per key.
+    """
+    keys = by.split(", ")
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    same = " AND ".join(f"e.{k} = s.{k}" for k in keys)
+    a = ", ".join(f"a.{k}" for k in keys)
+    s = ", ".join(f"s.{k}" for k in keys)
+    return f"""
+WITH RECURSIVE src AS (SELECT * FROM ({source}) WHERE z IS NOT NULL),
+entries AS (SELECT {a}, a.series_id AS i, b.series_id AS j, coalesce(covar_samp(a.z, b.z), 0) AS v
+  FROM src a JOIN src b ON {on} AND a.period = b.period GROUP BY ALL),
+names AS (SELECT {by}, list(DISTINCT i ORDER BY i) AS ids FROM entries GROUP BY {by}),
+cells AS (SELECT {s}, x.i, y.j FROM names s, LATERAL (SELECT unnest(s.ids) AS i) x, LATERAL (SELECT unnest(s.ids) AS j) y),
+full_rows AS (SELECT {s}, s.i, list(coalesce(v, 0) ORDER BY s.j) AS g
+  FROM cells s LEFT JOIN entries e ON {same} AND e.i = s.i AND e.j = s.j GROUP BY {s}, s.i),
+mats AS (SELECT {by}, list(i ORDER BY i) AS ids, list(g ORDER BY i) AS g FROM full_rows GROUP BY {by}),
+shifted AS (SELECT {by}, ids, list_transform(range(len(g)), lambda a: list_transform(range(len(g)),
+    lambda b: g[a + 1][b + 1] + CASE WHEN a = b THEN list_max(list_transform(g, lambda r: list_sum(list_transform(r, lambda x: abs(x))))) ELSE 0 END)) AS m
+  FROM mats),
+it AS (
+  SELECT {by}, ids, 0 AS n, m FROM shifted
+  UNION ALL
+  SELECT {by}, ids, n + 1, list_transform(w, lambda r: list_transform(r, lambda x: x / nullif(list_sum(list_transform(range(len(w)), lambda k: w[k + 1][k + 1])), 0)))
+  FROM (SELECT {by}, ids, n, list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q))) AS w FROM it WHERE n < 16)),
+picked AS (SELECT {by}, ids, m[list_position(list_transform(range(len(m)), lambda k: round(m[k + 1][k + 1], 9)),
+    list_max(list_transform(range(len(m)), lambda k: round(m[k + 1][k + 1], 9))))] AS c FROM it WHERE n = 16),
+done AS (SELECT {by}, ids, list_transform(c, lambda x: CASE WHEN round(list_sum(c), 9) < 0 THEN -1 ELSE 1 END * x / nullif(sqrt(list_dot_product(c, c)), 0)) AS v FROM picked)
+SELECT {by}, unnest(ids) AS series_id, unnest(v) AS loading FROM done"""
 
 
-@query("first_factor_loadings")
+_LOADINGS = _power_sql("SELECT model, vintage, series_id, period, z FROM panel_z", "model, vintage")
+_BLOCKS = """SELECT z.model, z.vintage, b.block, z.series_id, z.period, z.z FROM panel_z z JOIN (
+  SELECT model, series_id, unnest(['Global', replace(category, ' ', '')]) AS block FROM spec_t) b
+  ON b.model = z.model AND b.series_id = z.series_id"""
+BLOCK = ["model", "vintage", "block"]
+
+
+@query("first_factor_loadings", _LOADINGS, "loading")
 def first_factor_loadings(spark, d):
-    return factor.leading_vector(factor.panel_gram(fx.panel_z(spark, d)))
+    return factor.leading_vector(factor.panel_gram(stored_z(spark, d)))
 
 
-@query("first_factor_scores")
+@query("first_factor_scores", f"""
+SELECT z.model, z.vintage, z.block, z.period, sum(z.z * l.loading) AS f
+FROM ({_BLOCKS}) z JOIN ({_power_sql(_BLOCKS, "model, vintage, block")}) l
+  ON l.model = z.model AND l.vintage = z.vintage AND l.block = z.block AND l.series_id = z.series_id
+GROUP BY 1, 2, 3, 4""", "f")
 def first_factor_scores(spark, d):
-    z = factor.in_block(fx.panel_z(spark, d), fx.spec(spark, d), "EUROPE")
-    return factor.first_factor(z)[1]
-
-
-@query("first_factor_is_eigenvector", """
-SELECT model, vintage, count(DISTINCT series_id) AS n, CAST(1 AS DOUBLE) AS norm, CAST(0 AS DOUBLE) AS residual
-FROM panel_z WHERE z IS NOT NULL GROUP BY 1, 2""", "norm residual")
-def first_factor_is_eigenvector(spark, d):
-    """Unit length, and the covariance maps the vector onto a multiple of itself."""
-    gram = materialise(factor.panel_gram(fx.panel_z(spark, d)), "gram")
-    v = materialise(factor.leading_vector(gram), "vector")
-    entry = F.struct(F.col("series_i").alias("row"), F.col("series_j").alias("series_id"))
-    other = F.struct(F.col("series_j").alias("row"), F.col("series_i").alias("series_id"))
-    sides = F.when(F.col("series_i") == F.col("series_j"), F.array(entry)).otherwise(F.array(entry, other))
-    full = gram.withColumn("_s", F.explode(sides)).select("model", "vintage", "_s.*", "cov")
-    image = full.join(v, KEYS).groupBy("model", "vintage", F.col("row").alias("series_id")).agg(
-        F.sum(F.coalesce("cov", F.lit(0.0)) * F.col("loading")).alias("gv")
-    )
-    both = image.join(v, KEYS)
-    gv, x = F.col("gv"), F.col("loading")
-    # |Gv|^2 |v|^2 - (v'Gv)^2 vanishes exactly when Gv is a multiple of v
-    gap = F.sum(gv * gv) * F.sum(x * x) - F.sum(gv * x) * F.sum(gv * x)
-    return both.groupBy("model", "vintage").agg(
-        F.count(F.lit(1)).alias("n"), F.sqrt(F.sum(x * x)).alias("norm"), gap.alias("residual")
+    """The first factor of every block."""
+    z = materialise(factor.in_blocks(stored_z(spark, d), fx.spec(spark, d)), "blocks")
+    return factor.first_factor(z, by=BLOCK)[1]
+
+
+@query("first_factor_variance", f"""
+SELECT l.model, l.vintage, count(*) AS n, sum(l.loading * l.loading) AS norm,
+  (SELECT count(*) FROM panel_z q WHERE q.model = l.model AND q.vintage = l.vintage AND q.z IS NOT NULL) AS cells
+FROM ({_LOADINGS}) l GROUP BY 1, 2""", "norm")
+def first_factor_variance(spark, d):
+    """Unit length of the leading vector, beside the size of its panel."""
+    z = stored_z(spark, d)
+    v = factor.leading_vector(factor.panel_gram(z)).groupBy("model", "vintage").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("loading") * F.col("loading")).alias("norm")
     )
+    return v.join(z.groupBy("model", "vintage").agg(F.count("z").alias("cells")), ["model", "vintage"])
 
 
 @query("factor_lags", "SELECT * FROM lags", "f f0 f1 f2 f3 f4")
@@ -155,6 +193,13 @@ def quarterly_loading_table(spark, d):
     return factor.loading_tables(fx.simple_params(spark, d), fx.spec(spark, d), fx.BLOCKS)[1]
 
 
+@query("factor_ar_table", """
+SELECT model, vintage AS est_vintage, 0 AS state, coalesce(b, 0) AS ar, residual_variance
+FROM factor_ar WHERE residual_variance IS NOT NULL""", "ar residual_variance")
+def factor_ar_table(spark, d):
+    return factor.ar_tables(fx.simple_params(spark, d), len(fx.BLOCKS))[0]
+
+
 @query("idiosyncratic_ar_table", """
 SELECT a.model, a.vintage AS est_vintage, CASE WHEN p.i < 20 THEN 30 + p.i ELSE 50 + 5 * (p.i - 20) END AS state,
   coalesce(a.b, 0) AS ar, a.residual_variance
@@ -202,19 +247,20 @@ WITH w AS (
   SELECT o.model, o.est_vintage, o.series_id, sum(o.v * t.v) AS weight
   FROM param_c o JOIN param_c t ON t.model = o.model AND t.est_vintage = o.est_vintage AND t.j = o.j
   WHERE t.series_id = 'NATION_12' AND o.series_id <> 'NATION_12' AND o.j < 30 GROUP BY 1, 2, 3),
-s AS (SELECT w.model, w.est_vintage, coalesce(c.category, 'Other') AS category, sum(weight) AS weight
+s AS (SELECT w.model, w.est_vintage, coalesce(c.category, 'Other') AS category, sum(weight) AS weight,
+        sum(sum(weight)) OVER (PARTITION BY w.model, w.est_vintage) AS all_weight
       FROM w LEFT JOIN categories c ON c.series_id = w.series_id GROUP BY 1, 2, 3),
-r AS (SELECT * FROM ({_SPLIT}) WHERE series_id = 'NATION_12' AND period = DATE '2001-06-01')
-SELECT s.model, s.est_vintage, r.total, r.common, r.residual, s.category, s.weight,
-  coalesce(s.weight / nullif(sum(s.weight) OVER (PARTITION BY s.model, s.est_vintage), 0), 0) AS share_common,
-  r.common * coalesce(s.weight / nullif(sum(s.weight) OVER (PARTITION BY s.model, s.est_vintage), 0), 0) AS contribution
+r AS (SELECT * FROM ({_SPLIT}) WHERE series_id = 'NATION_12')
+SELECT s.model, s.est_vintage, r.period, r.total, r.common, r.residual, s.category, s.weight,
+  coalesce(s.weight / nullif(s.all_weight, 0), 0) AS share_common,
+  r.common * coalesce(s.weight / nullif(s.all_weight, 0), 0) AS contribution
 FROM s JOIN r ON r.model = s.model AND r.est_vintage = s.est_vintage""",
        "total common residual weight share_common contribution")
 def component_contributions(spark, d):
     params = fx.simple_params(spark, d)
-    target = split(spark, d, params).where(
-        (F.col("series_id") == "NATION_12") & (F.col("period") == F.lit("2001-06-01").cast("date"))
-    ).select("model", "est_vintage", "total", "common", "residual")
+    target = split(spark, d, params).where(F.col("series_id") == "NATION_12").select(
+        "model", "est_vintage", "period", "total", "common", "residual"
+    )
     return factor.component_contributions(
         params, fx.spec(spark, d), "NATION_12", fx.categories(spark, d), target, 30
     )
@@ -229,95 +275,3 @@ GROUP BY 1, 2""", "weight share_common")
 def component_share(spark, d):
     weights = factor.with_category(fx.region_weights(spark, d), fx.categories(spark, d))
     return factor.component_share(weights, ["model"])
-
-
-# ---------------------------------------------------------------- estimation and back-test
-
-
-def fitted(spark, d, panels=None):
-    panels = fx.panel_x(spark, d).drop("frequency") if panels is None else panels
-    return estimate.fit_factor_model(panels, fx.spec(spark, d), fx.BLOCKS, threshold=1e-3, max_iter=40)
-
-
-@query("fit_factor_model")
-def fit_factor_model(spark, d):
-    return fitted(spark, d)
-
-
-@query("likelihood_trace")
-def likelihood_trace(spark, d):
-    return factor.em_converged(estimate.likelihood_trace(fitted(spark, d)), 1e-3)
-
-
-@query("fit_failures", "SELECT model FROM panel_x WHERE false")
-def fit_failures(spark, d):
-    """Must be empty: panels whose estimation failed or whose likelihood ever fell."""
-    params = materialise(fitted(spark, d), "params")
-    trace = factor.em_converged(estimate.likelihood_trace(params), 1e-3)
-    fell = trace.where("decreased").select("model")
-    return params.where(F.col("name") == "error").select("model").unionByName(fell)
-
-
-@query("factor_ar_table")
-def factor_ar_table(spark, d):
-    return factor.ar_tables(fitted(spark, d), len(fx.BLOCKS))[0]
-
-
-def _states(spark, d):
-    panels = materialise(fx.panel_x(spark, d).drop("frequency"), "panel_x")
-    params = materialise(fitted(spark, d, panels), "params")
-    return estimate.smoothed_states(panels, params, fx.spec(spark, d), fx.BLOCKS), params
-
-
-@query("smoothed_states")
-def smoothed_states(spark, d):
-    return _states(spark, d)[0]
-
-
-@query("smoothed_panel")
-def smoothed_panel(spark, d):
-    states, params = _states(spark, d)
-    return estimate.smoothed_panel(states, params, fx.spec(spark, d))
-
-
-@query("smoothed_matches_observed", """
-SELECT model, vintage AS est_vintage, count(z) AS observed, CAST(0 AS BIGINT) AS off FROM panel_z GROUP BY 1, 2""")
-def smoothed_matches_observed(spark, d):
-    """With a small measurement variance the smoothed series passes through the observations."""
-    states, params = _states(spark, d)
-    smooth = estimate.smoothed_panel(states, params, fx.spec(spark, d))
-    z = fx.panel_z(spark, d).withColumnRenamed("vintage", "est_vintage")
-    both = smooth.join(z.where(F.col("z").isNotNull()), ["model", "est_vintage", "series_id", "period"])
-    far = F.abs(F.col("x_smooth") - F.col("z")) > 0.05
-    return both.groupBy("model", "est_vintage").agg(
-        F.count(F.lit(1)).alias("observed"), F.count_if(far).alias("off")
-    )
-
-
-def updates(spark, d):
-    plan = fx.schedule(spark, d)
-    published = fx.fact_events(spark, d).agg(F.min("release_date")).scalar()
-    weeks = plan.select(F.lit("all").alias("model"), "vintage").distinct().where(F.col("vintage") >= published)
-    return backtest.run_backtest(
-        fx.vintages_of(spark, d, fx.tracked_facts(spark, d)), fx.tracked_spec(spark, d), plan,
-        fx.estimation_vintages(spark, d), fx.TARGET, fx.BLOCKS, "1995-01-01", threshold=1e-3, max_iter=15,
-        available=weeks,
-    )
-
-
-@query("backtest_nowcasts")
-def backtest_nowcasts(spark, d):
-    return backtest.nowcast_table(updates(spark, d), fx.tracked_actuals(spark, d))
-
-
-@query("backtest_news")
-def backtest_news(spark, d):
-    return backtest.news_table(updates(spark, d))
-
-
-@query("backtest_gaps", "SELECT model, quarter, vintage FROM nowcast_a WHERE y_new IS NULL")
-def backtest_gaps(spark, d):
-    """Must be empty: the solver's revisions and releases add up, and no pair failed."""
-    done = materialise(updates(spark, d), "updates")
-    gaps = check_decomposition(done).select("model", "quarter", "vintage")
-    return gaps.unionByName(backtest.failures(done).drop("error"))

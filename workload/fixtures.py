@@ -1,6 +1,8 @@
 """Spark side of the test panels, derived from the driver's tables.
 
-Every table is read whole.  Orders meet their customer first and lines their
+Every table is read whole, and the two large ones once: order cells and fact
+events are aggregated to calendar x series and stored in the shared folder at
+the start of a query, and all its branches read them there.  Orders meet their customer first and lines their
 order once; both are joins to a unique key, where adaptive execution splits a
 hot customer or order over several tasks, and the aggregate behind them
 combines on the map side.  Money is summed as whole units of 0.01 or 0.0001,
@@ -14,15 +16,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
 from tidemark.operators import asof, factor, news as news_ops, panel, score
-from tidemark.plans.common import materialise
 from tidemark.sources.files import parse_spec
+from tidemark.storage import materialise
 from workload.scope import shared
 
-# First month not covered completely, the panel's vintage date,
-# and the first and last tracked quarter.
-END = "2001-08-01"
-PANEL_VINTAGE = "2001-08-03"
-FIRST_QUARTER, LAST_QUARTER = "1996-01-01", "2001-04-01"
 EXCLUDED_YEAR = 2000
 EXTENDED_ONLY = ["NATION_3", "NATION_8", "NATION_15"]
 
@@ -79,19 +76,15 @@ def raw_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.unionByName(unused)
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("model")).distinct()
-
-
 def spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared("spec", sf_dir, lambda: _spec(spark, sf_dir))
 
 
 def _spec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parsed spec, repeated for every model (market segment)."""
+    """The parsed spec for every model (market segment): the series of the nations of its customers."""
     one = parse_spec(raw_spec(spark, sf_dir), model="x", position="Position").drop("model")
-    names = segments(spark, sf_dir).agg(F.sort_array(F.collect_set("model"))).scalar()
-    return one.select(F.explode(names).alias("model"), "*")
+    used = customers(spark, sf_dir).select("model", "series_id").distinct()
+    return used.join(one, "series_id").select("model", *one.columns)
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,14 +104,30 @@ def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared("order_cells", sf_dir, lambda: _order_cells(spark, sf_dir))
+    """Order value in cents by model, nation and complete month."""
+    return order_months(spark, sf_dir).where(F.col("month") < month_end(spark, sf_dir)).drop("last_day")
+
+
+def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order value by model, nation and month with the last order day; stored, as several branches read it."""
+
+    def build() -> DataFrame:
+        cells = placed_orders(spark, sf_dir).groupBy("model", "series_id", "month").agg(
+            F.sum(cents("o_totalprice")).alias("amount"), F.max("ordered").alias("last_day")
+        )
+        return materialise(cells, "order-months")
+
+    return shared("order_months", sf_dir, build)
+
 
+def first_open_month(last_day: Column) -> Column:
+    """First month that the orders up to ``last_day`` don't cover completely."""
+    return F.trunc(F.date_add(last_day, 1), "MM")
 
-def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order value in cents by model, nation and month."""
-    complete = placed_orders(spark, sf_dir).where(F.col("ordered") < F.lit(END).cast("date"))
-    cells = complete.groupBy("model", "series_id", "month").agg(F.sum(cents("o_totalprice")).alias("amount"))
-    return cells
+
+def month_end(spark: SparkSession, sf_dir: str) -> Column:
+    """First day after the complete months of the orders."""
+    return order_months(spark, sf_dir).agg(first_open_month(F.max("last_day"))).scalar()
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,15 +135,20 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixed-frequency index panel on a base of 100: quarterly series sit on the third month."""
+    """Mixed-frequency index panel on a base of 100: quarterly series sit on the third month.
+
+    Its vintage is the first Friday after the last complete month; a quarter
+    whose third month is not complete has no value yet.
+    """
+    end = month_end(spark, sf_dir)
     freq = spec(spark, sf_dir).select("model", "series_id", "frequency")
     period = F.when(F.col("frequency") == "q", cal.quarter_third_month("month")).otherwise(F.col("month"))
     cells = order_cells(spark, sf_dir).join(freq, ["model", "series_id"]).withColumn("period", period)
     return (
-        cells.where(F.col("period") < F.lit(END).cast("date"))
+        cells.where(F.col("period") < end)
         .groupBy("model", "series_id", "period")
         .agg((F.lit(100) + F.sum("amount").cast("double") / 100 / 10000).alias("value"))
-        .select("model", F.lit(PANEL_VINTAGE).cast("date").alias("vintage"), "series_id", "period", "value")
+        .select("model", cal.friday_on_or_after(end).alias("vintage"), "series_id", "period", "value")
     )
 
 
@@ -148,21 +162,27 @@ def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared("fact_events", sf_dir, lambda: _fact_events(spark, sf_dir))
-
-
-def _fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts (in 0.0001) published by model, nation, order month and release week (Friday)."""
-    ship = F.col("l_shipdate").cast("date")
-    net = cents("l_extendedprice") * (100 - cents("l_discount"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", ship.alias("ship"), net.alias("net"))
-    shipped = lines.join(placed_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
-    events = (
-        shipped.where(F.col("ship") >= F.col("ordered"))
-        .groupBy("model", "series_id", F.col("month").alias("period"), cal.friday_on_or_after("ship").alias("release_date"))
-        .agg(F.sum("net").alias("amount"))
-    )
-    return events
+    return fact_weeks(spark, sf_dir).drop("last_day")
+
+
+def fact_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts (in 0.0001) published by model, nation, order month and release week (Friday); stored.
+
+    A line is published when it ships, but not before its order exists.
+    """
+
+    def build() -> DataFrame:
+        ship = F.col("l_shipdate").cast("date")
+        net = cents("l_extendedprice") * (100 - cents("l_discount"))
+        lines = table(spark, sf_dir, "lineitem").select("l_orderkey", ship.alias("ship"), net.alias("net"))
+        shipped = lines.join(placed_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+        known = F.greatest("ship", "ordered")
+        events = shipped.groupBy(
+            "model", "series_id", F.col("month").alias("period"), cal.friday_on_or_after(known).alias("release_date")
+        ).agg(F.sum("net").alias("amount"), F.max("ordered").alias("last_day"))
+        return materialise(events, "fact-weeks")
+
+    return shared("fact_weeks", sf_dir, build)
 
 
 def money(amount) -> Column:
@@ -189,13 +209,13 @@ def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target quarters: the order quarters inside the tracked span."""
-    day = F.trunc(F.col("o_orderdate").cast("date"), "QUARTER")
-    found = table(spark, sf_dir, "orders").select(day.alias("q")).distinct()
-    tracked = found.where(
-        F.col("q").between(F.lit(FIRST_QUARTER).cast("date"), F.lit(LAST_QUARTER).cast("date"))
-    ).select(cal.quarter_label("q").alias("quarter"))
-    return tracked
+    """Target quarters: the complete order quarters that have a quarter before them."""
+    day = F.trunc("period", "QUARTER")
+    whole = F.trunc(first_open_month(F.max("last_day")), "QUARTER")
+    span = fact_weeks(spark, sf_dir)
+    first, end = span.agg(F.min(day)).scalar(), span.agg(whole).scalar()
+    found = span.select(day.alias("q")).distinct().where((F.col("q") > first) & (F.col("q") < end))
+    return found.select(cal.quarter_label("q").alias("quarter"))
 
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,16 +236,34 @@ def _vintage_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.value_as_of(facts(spark, sf_dir), schedule(spark, sf_dir))
 
 
+def available_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vintages that exist: the weeks in which a model published, less some that were lost."""
+    weeks = fact_events(spark, sf_dir).select("model", F.col("release_date").alias("vintage")).distinct()
+    number = (F.datediff("vintage", F.lit("1970-01-02").cast("date")) / 7).cast("int") + F.length("model")
+    return weeks.where(number % 19 != 7)
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.vintage_pairs(schedule(spark, sf_dir), available_vintages(spark, sf_dir))
+
+
 def cell_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.pair_vintages(
         schedule(spark, sf_dir), vintage_obs(spark, sf_dir), available_vintages(spark, sf_dir)
     )
 
 
-def available_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scheduled Fridays by model; publication began before the first of them."""
-    weeks = schedule(spark, sf_dir).agg(F.collect_set("vintage")).scalar()
-    return segments(spark, sf_dir).select("model", F.explode(weeks).alias("vintage"))
+def changed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.changed_cells(facts(spark, sf_dir), pairs(spark, sf_dir))
+
+
+def irregular_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracking dates that keep no rhythm: fourth quarters every other week, others a day early in even weeks."""
+    week = Window.partitionBy("quarter").orderBy("vintage")
+    numbered = schedule(spark, sf_dir).withColumn("n", F.row_number().over(week))
+    kept = numbered.where(~F.col("quarter").endswith("q4") | (F.col("n") % 2 == 1))
+    early = F.when((F.col("n") % 2 == 0), F.date_sub("vintage", 1)).otherwise(F.col("vintage"))
+    return kept.select("quarter", early.alias("vintage"))
 
 
 def quarter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,8 +301,8 @@ def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     plan = schedule(spark, sf_dir)
     totals = quarter_totals(spark, sf_dir)
-    names = segments(spark, sf_dir).agg(F.sort_array(F.collect_set("model"))).scalar()
-    asked = plan.select(F.explode(names).alias("model"), F.col("quarter").alias("target"), "vintage")
+    begun = totals.select("model", cal.next_quarter("quarter").alias("quarter")).distinct()
+    asked = begun.join(plan, "quarter").select("model", F.col("quarter").alias("target"), "vintage")
     own = asked.withColumn("quarter", F.col("target"))
     prior = asked.withColumn("quarter", cal.previous_quarter("target"))
     asks = own.unionByName(prior).select(
@@ -358,11 +396,18 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estimation_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First scheduled vintage inside each quarter: the data its parameters are estimated on."""
+    """Date on which the parameters of each quarter are estimated, by quarter.
+
+    The first scheduled vintage inside the quarter; for the quarter before the
+    first target, which has no schedule, its first Friday.  Every tenth quarter
+    was never estimated.
+    """
     started = schedule(spark, sf_dir).where(F.col("vintage") >= cal.quarter_start("quarter"))
-    return started.groupBy(F.col("quarter").alias("param_quarter")).agg(
-        F.min("vintage").alias("est_vintage")
-    )
+    found = started.groupBy(F.col("quarter").alias("param_quarter")).agg(F.min("vintage").alias("est_vintage"))
+    first = quarters(spark, sf_dir).agg(F.min("quarter").alias("q")).select(cal.previous_quarter("q").alias("param_quarter"))
+    start = first.withColumn("est_vintage", cal.friday_on_or_after(cal.quarter_start("param_quarter")))
+    number = F.year("est_vintage") * 4 + F.quarter("est_vintage")
+    return found.unionByName(start).where(number % 10 != 3)
 
 
 # ---------------------------------------------------------------- factor-model fixtures
@@ -421,6 +466,15 @@ def simple_params(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ),
     ).select(*keys, "_e.name", F.col("k").alias("i"), F.col("k").alias("j"), "_e.v")
+    factor_ar = factor.ar1(mean_factor(z), ["model", "vintage"], "f").withColumn(
+        "_e",
+        F.explode(
+            F.array(
+                F.struct(F.lit("A").alias("name"), F.col("b").alias("v")),
+                F.struct(F.lit("Q").alias("name"), F.col("residual_variance").alias("v")),
+            )
+        ),
+    ).select(*keys, "_e.name", F.lit(0).alias("i"), F.lit(0).alias("j"), "_e.v")
     scale = panel.scale_stats(z).join(place, ["model", "series_id"]).withColumn(
         "_e",
         F.explode(
@@ -430,60 +484,7 @@ def simple_params(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ),
     ).select(*keys, "_e.name", "i", F.lit(0).alias("j"), "_e.v")
-    return materialise(c.unionByName(dynamics).unionByName(scale), "params")
+    return materialise(c.unionByName(dynamics).unionByName(factor_ar).unionByName(scale), "params")
 
 
-# ---------------------------------------------------------------- back-test fixtures
-
-TARGET = "TOTAL"
 BLOCKS = ["Global", "AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLEEAST"]
-
-
-def tracked_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly nations and the quarterly total they are meant to track, all in changes."""
-    nations = spec(spark, sf_dir).where(F.col("model") == segments(spark, sf_dir).agg(F.min("model")).scalar())
-    place = Window.partitionBy("model").orderBy("series_id")
-    monthly = nations.select(
-        F.lit("all").alias("model"), "series_id", "series_name", F.lit("m").alias("frequency"), "units",
-        F.lit("chg").alias("transformation"), "category", "blocks",
-    ).withColumn("spec_pos", F.row_number().over(place))
-    total = nations.groupBy().agg((F.count(F.lit(1)) + 1).cast("int").alias("spec_pos")).select(
-        F.lit("all").alias("model"), F.lit(TARGET).alias("series_id"), F.lit("All orders").alias("series_name"),
-        F.lit("q").alias("frequency"), F.lit("USD").alias("units"), F.lit("chg").alias("transformation"),
-        F.lit("Total").alias("category"), F.array(F.lit("Global")).alias("blocks"), "spec_pos",
-    )
-    return monthly.unionByName(total)
-
-
-def tracked_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published amounts of the nations and of the quarterly total, all segments together."""
-    events = fact_events(spark, sf_dir).groupBy("series_id", "period", "release_date").agg(
-        F.sum("amount").alias("amount")
-    )
-    cells = F.array(
-        F.struct("series_id", "period"),
-        F.struct(F.lit(TARGET).alias("series_id"), cal.quarter_third_month("period").alias("period")),
-    )
-    both = events.withColumn("_c", F.explode(cells)).groupBy(
-        "_c.series_id", "_c.period", "release_date"
-    ).agg(F.sum("amount").alias("amount"))
-    upto = Window.partitionBy("series_id", "period").orderBy("release_date")
-    return both.select(
-        F.lit("all").alias("model"), "series_id", "period", "release_date",
-        (money(F.sum("amount").over(upto)) / 1000000).alias("value"),
-    )
-
-
-def tracked_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Final change of the quarterly total."""
-    final = tracked_facts(spark, sf_dir).where(F.col("series_id") == TARGET).groupBy("model", "period").agg(
-        F.max("value").alias("value")
-    )
-    by_time = Window.partitionBy("model").orderBy("period")
-    change = F.col("value") - F.lag("value").over(by_time)
-    return final.select("model", cal.quarter_label("period").alias("quarter"), change.alias("actual"))
-
-
-def vintages_of(spark: SparkSession, sf_dir: str, known: DataFrame) -> DataFrame:
-    """As-of panel of the given facts on every scheduled vintage."""
-    return asof.value_as_of(known, schedule(spark, sf_dir))

@@ -23,26 +23,35 @@ FROM raw_spec
 
 TABLES["segments"] = "SELECT DISTINCT c_mktsegment AS model FROM customer"
 
-TABLES["spec_t"] = "SELECT model, spec_one.* FROM spec_one, segments"
+TABLES["spec_t"] = """
+SELECT model, spec_one.*
+FROM (SELECT DISTINCT c_mktsegment AS model, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+JOIN spec_one ON series_id = name
+"""
+
+TABLES["order_span"] = """
+SELECT CAST(date_trunc('month', max(CAST(o_orderdate AS DATE)) + 1) AS DATE) AS month_end
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+"""
 
 TABLES["order_cells"] = """
 SELECT c_mktsegment AS model, n_name AS series_id,
        CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
        sum(CAST(o_totalprice AS DECIMAL(18,2))) AS amount
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE CAST(o_orderdate AS DATE) < DATE '2001-08-01'
+WHERE CAST(o_orderdate AS DATE) < (SELECT month_end FROM order_span)
 GROUP BY 1, 2, 3
 """
 
 TABLES["obs"] = """
-SELECT model, DATE '2001-08-03' AS vintage, series_id, period,
+SELECT model, (SELECT CAST(month_end + CAST((12 - isodow(month_end)) % 7 AS INTEGER) AS DATE) FROM order_span) AS vintage, series_id, period,
        100 + CAST(sum(amount) AS DOUBLE) / 10000 AS value
 FROM (SELECT c.model, c.series_id, c.amount,
              CASE WHEN s.frequency = 'q'
                   THEN CAST(date_trunc('quarter', c.month) + INTERVAL 2 MONTH AS DATE)
                   ELSE c.month END AS period
       FROM order_cells c JOIN spec_t s ON s.model = c.model AND s.series_id = c.series_id)
-WHERE period < DATE '2001-08-01'
+WHERE period < (SELECT month_end FROM order_span)
 GROUP BY 1, 2, 3, 4
 """
 
@@ -100,13 +109,14 @@ FROM (SELECT *, avg(value) OVER s AS mx, stddev_samp(value) OVER s AS wx FROM pa
 """
 
 TABLES["fact_events"] = """
-SELECT c_mktsegment AS model, n_name AS series_id,
-       CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
-       CAST(CAST(l_shipdate AS DATE) + CAST((12 - isodow(l_shipdate)) % 7 AS INTEGER) AS DATE) AS release_date,
-       sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS amount
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE)
+SELECT model, series_id, period,
+       CAST(known + CAST((12 - isodow(known)) % 7 AS INTEGER) AS DATE) AS release_date, sum(net) AS amount
+FROM (SELECT c_mktsegment AS model, n_name AS series_id,
+             CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
+             greatest(CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)) AS known,
+             CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS net
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+      JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 GROUP BY 1, 2, 3, 4
 """
 
@@ -122,11 +132,16 @@ SELECT *, lead(release_date) OVER (PARTITION BY model, series_id, period ORDER B
 FROM facts
 """
 
+TABLES["fact_span"] = """
+SELECT date_trunc('quarter', min(day)) AS first_quarter, date_trunc('quarter', date_trunc('month', max(day) + 1)) AS open_quarter
+FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+      JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+"""
+
 TABLES["quarters"] = """
-SELECT DISTINCT year(o_orderdate) || '_q' || quarter(o_orderdate) AS quarter,
-       CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q_start
-FROM orders
-WHERE date_trunc('quarter', o_orderdate) BETWEEN DATE '1996-01-01' AND DATE '2001-04-01'
+SELECT DISTINCT year(period) || '_q' || quarter(period) AS quarter, CAST(date_trunc('quarter', period) AS DATE) AS q_start
+FROM fact_events, fact_span
+WHERE date_trunc('quarter', period) > first_quarter AND date_trunc('quarter', period) < open_quarter
 """
 
 TABLES["schedule"] = """
@@ -142,13 +157,17 @@ FROM fact_versions f JOIN (SELECT DISTINCT vintage FROM schedule) v
   ON v.vintage >= f.release_date AND (f.next_release IS NULL OR v.vintage < f.next_release)
 """
 
+TABLES["available"] = """
+SELECT DISTINCT model, release_date AS vintage FROM fact_events
+WHERE ((release_date - DATE '1970-01-02') // 7 + length(model)) % 19 <> 7
+"""
+
 TABLES["pairs"] = """
 SELECT p.*, s.model FROM (
   SELECT quarter, vintage, lag(vintage) OVER (PARTITION BY quarter ORDER BY vintage) AS vintage_old
   FROM schedule) p
-JOIN (SELECT DISTINCT model, vintage FROM vintage_obs) s ON s.vintage = p.vintage
-JOIN (SELECT DISTINCT model, vintage FROM vintage_obs) t
-  ON t.vintage = p.vintage_old AND t.model = s.model
+JOIN available s ON s.vintage = p.vintage
+JOIN available t ON t.vintage = p.vintage_old AND t.model = s.model
 """
 
 TABLES["new_side"] = """
@@ -312,6 +331,14 @@ FROM (SELECT *, sx - b * sl AS total, sxx - 2 * b * sxl + b * b * sll AS sq
             WHERE x IS NOT NULL AND l IS NOT NULL GROUP BY 1, 2, 3))
 """
 
+TABLES["factor_ar"] = """
+SELECT model, vintage, count(*) AS n, sum(x * l) / nullif(sum(l * l), 0) AS b,
+  var_samp(x) - 2 * (sum(x * l) / nullif(sum(l * l), 0)) * covar_samp(x, l)
+  + (sum(x * l) / nullif(sum(l * l), 0)) * (sum(x * l) / nullif(sum(l * l), 0)) * var_samp(l) AS residual_variance
+FROM (SELECT model, vintage, f AS x, lag(f) OVER (PARTITION BY model, vintage ORDER BY period) AS l FROM mean_factor)
+WHERE x IS NOT NULL AND l IS NOT NULL GROUP BY 1, 2
+"""
+
 TABLES["place"] = """
 SELECT model, series_id, spec_pos - 1 AS i, category, frequency,
   CASE category WHEN 'AFRICA' THEN 1 WHEN 'AMERICA' THEN 2 WHEN 'ASIA' THEN 3 WHEN 'EUROPE' THEN 4 ELSE 5 END AS b
@@ -330,6 +357,18 @@ SELECT l.model, l.vintage AS est_vintage, p.series_id, p.i, p.frequency, p.categ
 JOIN place p ON p.model = l.model AND p.series_id = l.series_id
 """
 
+TABLES["all_params"] = """
+SELECT model, est_vintage, 'C' AS name, i, j, v FROM param_c
+UNION ALL SELECT a.model, a.vintage, e.name, k, k, CASE WHEN e.name = 'A' THEN a.b ELSE a.residual_variance END
+FROM (SELECT r.*, CASE WHEN p.i < 20 THEN 30 + p.i ELSE 50 + 5 * (p.i - 20) END AS k
+      FROM ar_fits r JOIN place p ON p.model = r.model AND p.series_id = r.series_id) a, (VALUES ('A'), ('Q')) AS e(name)
+UNION ALL SELECT f.model, f.vintage, e.name, 0, 0, CASE WHEN e.name = 'A' THEN f.b ELSE f.residual_variance END
+FROM factor_ar f, (VALUES ('A'), ('Q')) AS e(name)
+UNION ALL SELECT z.model, z.vintage, e.name, p.i, 0, CASE WHEN e.name = 'Mx' THEN z.mx ELSE z.wx END
+FROM (SELECT DISTINCT model, vintage, series_id, mx, wx FROM panel_z) z
+JOIN place p ON p.model = z.model AND p.series_id = z.series_id, (VALUES ('Mx'), ('Wx')) AS e(name)
+"""
+
 TABLES["commons"] = """
 SELECT c.model, c.est_vintage, c.series_id, l.period, sum(c.v * l.state) AS common_z
 FROM param_c c JOIN (

@@ -61,20 +61,30 @@ def panel_from_orders(spark, d):
     return fx.obs(spark, d)
 
 
-@query("wide_vintage_to_long", "SELECT * FROM obs", "value")
+def series_names(spark, d) -> list[str]:
+    """Names of all series: one for each row of the nation table."""
+    return sorted(r["n_name"] for r in fx.table(spark, d, "nation").select("n_name").distinct().collect())
+
+
+@query("wide_vintage_to_long", """
+SELECT p.model, p.vintage, s.n_name AS series_id, p.period, o.value
+FROM (SELECT DISTINCT model, vintage, period FROM obs) p CROSS JOIN (SELECT DISTINCT n_name FROM nation) s
+LEFT JOIN obs o ON o.model = p.model AND o.vintage = p.vintage AND o.period = p.period AND o.series_id = s.n_name""", "value")
 def wide_vintage_to_long(spark, d):
-    names = [f"NATION_{i}" for i in range(25)]
-    wide = panel.obs_wide(fx.obs(spark, d), names).withColumnRenamed("period", "Date")
-    return files.wide_to_long(wide, ["model", "vintage"]).where(F.col("value").isNotNull())
+    """Every cell of the wide panel, the empty ones too."""
+    wide = panel.obs_wide(fx.obs(spark, d), series_names(spark, d)).withColumnRenamed("period", "Date")
+    return files.wide_to_long(wide, ["model", "vintage"])
+
 
+# The oracle has to name its columns: the nations of the driver's table.
+_NATIONS = [f"NATION_{k}" for k in range(25)]
 
-@query("panel_wide", """
-SELECT model, vintage, period,
-  max(value) FILTER (series_id = 'NATION_1') AS nation_1, max(value) FILTER (series_id = 'NATION_0') AS nation_0,
-  max(value) FILTER (series_id = 'NATION_7') AS nation_7
-FROM obs GROUP BY 1, 2, 3""", "nation_1 nation_0 nation_7")
+
+@query("panel_wide", f"""
+SELECT model, vintage, period, {", ".join(f"max(value) FILTER (series_id = '{n}') AS {n.lower()}" for n in _NATIONS)}
+FROM obs GROUP BY 1, 2, 3""", " ".join(n.lower() for n in _NATIONS))
 def panel_wide(spark, d):
-    out = panel.obs_wide(fx.obs(spark, d), ["NATION_1", "NATION_0", "NATION_7"])
+    out = panel.obs_wide(fx.obs(spark, d), series_names(spark, d))
     return out.toDF(*[c.lower() for c in out.columns])
 
 
@@ -242,30 +252,83 @@ WINDOW near AS (PARTITION BY model, vintage, series_id ORDER BY period
                 ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"""
 
 
+def _cubic_sql(source: str) -> str:
+    """Not-a-knot spline of every series: a forward and a backward pass over its knots."""
+    key = "model, vintage, series_id"
+    on = "ON b.model = a.model AND b.vintage = a.vintage AND b.series_id = a.series_id"
+    return f"""
+WITH RECURSIVE grid AS (
+  SELECT model, vintage, series_id, period, value, value IS NULL AS was_missing, year(period) * 12 + month(period) AS t FROM {source}),
+steps AS (
+  SELECT *, lead(t) OVER w - t AS h, (lead(value) OVER w - value) / (lead(t) OVER w - t) AS s,
+    CAST(row_number() OVER w AS INTEGER) - 1 AS k, CAST(count(*) OVER (PARTITION BY {key}) AS INTEGER) AS n
+  FROM grid WHERE value IS NOT NULL WINDOW w AS (PARTITION BY {key} ORDER BY t)),
+around AS (SELECT *, lag(h) OVER w AS p, lag(s) OVER w AS sp FROM steps WINDOW w AS (PARTITION BY {key} ORDER BY t)),
+eqs AS (
+  SELECT *, 6 * (s - sp) AS r,
+    CASE WHEN k = 1 THEN 0.0 WHEN k = n - 2 THEN p - h * h / p ELSE p END AS lo,
+    CASE WHEN n = 3 THEN 3.0 * (p + h) ELSE 2.0 * (p + h) + CASE WHEN k = 1 THEN p * (p + h) / h ELSE 0 END
+      + CASE WHEN k = n - 2 THEN h * (p + h) / p ELSE 0 END END AS mid,
+    CASE WHEN k = n - 2 THEN 0.0 WHEN k = 1 THEN h - p * p / h ELSE h END AS up
+  FROM around WHERE k BETWEEN 1 AND n - 2),
+fore AS (
+  SELECT {key}, k, n, up / mid AS c, r / mid AS d FROM eqs WHERE k = 1
+  UNION ALL
+  SELECT a.model, a.vintage, a.series_id, b.k, b.n, b.up / (b.mid - b.lo * a.c), (b.r - b.lo * a.d) / (b.mid - b.lo * a.c)
+  FROM fore a JOIN eqs b {on} AND b.k = a.k + 1),
+back AS (
+  SELECT {key}, k, n, d AS m FROM fore WHERE k = n - 2
+  UNION ALL
+  SELECT a.model, a.vintage, a.series_id, b.k, b.n, b.d - b.c * a.m FROM back a JOIN fore b {on} AND b.k = a.k - 1),
+ends AS (
+  SELECT a.model, a.vintage, a.series_id, a.k, a.t, a.value AS y, a.h, a.n, b.m, x.m AS m1, y.m AS m2, u.m AS w1, v.m AS w2,
+    f.h AS h0, f2.h AS h1, g.h AS g0, g2.h AS g1
+  FROM steps a LEFT JOIN back b {on} AND b.k = a.k
+  LEFT JOIN back x ON x.model = a.model AND x.vintage = a.vintage AND x.series_id = a.series_id AND x.k = 1
+  LEFT JOIN back y ON y.model = a.model AND y.vintage = a.vintage AND y.series_id = a.series_id AND y.k = 2
+  LEFT JOIN back u ON u.model = a.model AND u.vintage = a.vintage AND u.series_id = a.series_id AND u.k = a.n - 2
+  LEFT JOIN back v ON v.model = a.model AND v.vintage = a.vintage AND v.series_id = a.series_id AND v.k = a.n - 3
+  LEFT JOIN steps f ON f.model = a.model AND f.vintage = a.vintage AND f.series_id = a.series_id AND f.k = 0
+  LEFT JOIN steps f2 ON f2.model = a.model AND f2.vintage = a.vintage AND f2.series_id = a.series_id AND f2.k = 1
+  LEFT JOIN steps g ON g.model = a.model AND g.vintage = a.vintage AND g.series_id = a.series_id AND g.k = a.n - 2
+  LEFT JOIN steps g2 ON g2.model = a.model AND g2.vintage = a.vintage AND g2.series_id = a.series_id AND g2.k = a.n - 3),
+bends AS (
+  SELECT {key}, k, t, y, h, CASE WHEN n < 3 THEN 0.0 WHEN n = 3 THEN m1 WHEN k = 0 THEN ((h0 + h1) * m1 - h0 * m2) / h1
+    WHEN k = n - 1 THEN ((g1 + g0) * w1 - g0 * w2) / g1 ELSE m END AS m FROM ends),
+spans AS (SELECT *, lead(t) OVER w AS t1, lead(y) OVER w AS y1, lead(m) OVER w AS m1 FROM bends WINDOW w AS (PARTITION BY {key} ORDER BY t))
+SELECT g.model, g.vintage, g.series_id, g.period, g.was_missing, CASE WHEN g.value IS NOT NULL THEN g.value WHEN z.t IS NOT NULL THEN
+  (z.t1 - g.t) / z.h * z.y + (g.t - z.t) / z.h * z.y1
+  + ((pow((z.t1 - g.t) / z.h, 3) - (z.t1 - g.t) / z.h) * z.m + (pow((g.t - z.t) / z.h, 3) - (g.t - z.t) / z.h) * z.m1) * z.h * z.h / 6 END AS value
+FROM grid g LEFT JOIN spans z ON z.model = g.model AND z.vintage = g.vintage AND z.series_id = g.series_id AND g.t > z.t AND g.t < z.t1"""
+
+
 @query("interpolate_linear", f"SELECT model, vintage, series_id, period, value FROM ({_linear_sql('dense')})", "value")
 def interpolate_linear(spark, d):
     return panel.interpolate_linear(fx.dense(spark, d))
 
 
-@query("interpolate_cubic")
+@query("interpolate_cubic", f"SELECT model, vintage, series_id, period, value FROM ({_cubic_sql('dense')})", "value")
 def interpolate_cubic(spark, d):
     return panel.interpolate_cubic(fx.dense(spark, d))
 
 
-@query("cubic_keeps_knots", """
-SELECT model, series_id, count(value) AS observed, CAST(0 AS BIGINT) AS changed,
-  count(*) FILTER (value IS NULL AND period > lo AND period < hi) AS filled
-FROM (SELECT *, min(period) FILTER (value IS NOT NULL) OVER (PARTITION BY model, series_id) AS lo,
-        max(period) FILTER (value IS NOT NULL) OVER (PARTITION BY model, series_id) AS hi FROM dense)
-GROUP BY 1, 2""")
-def cubic_keeps_knots(spark, d):
-    """The spline changes no observation and fills exactly the months between the first and the last."""
-    grid = fx.dense(spark, d).withColumn("given", F.col("value"))
-    known, now = F.col("given").isNotNull(), F.col("value")
-    return panel.interpolate_cubic(grid).groupBy("model", "series_id").agg(
-        F.count("given").alias("observed"), F.count_if(known & (now != F.col("given"))).alias("changed"),
-        F.count_if(~known & now.isNotNull()).alias("filled"),
-    )
+_CUBIC_LINE = "(0.002 * u * u * u - 0.3 * u * u + 4 * u - 7)"
+_KNOTS = """SELECT model, vintage, series_id, period, value IS NULL AS hole, CAST(year(period) * 12 + month(period) - 23960 AS DOUBLE) AS u,
+  min(period) FILTER (value IS NOT NULL) OVER s AS lo, max(period) FILTER (value IS NOT NULL) OVER s AS hi,
+  count(value) OVER s AS n FROM dense WINDOW s AS (PARTITION BY model, vintage, series_id)"""
+
+
+@query("cubic_reproduces_polynomial", f"""
+SELECT model, vintage, series_id, period, CASE WHEN period BETWEEN lo AND hi THEN {_CUBIC_LINE} END AS value
+FROM ({_KNOTS}) WHERE n >= 4""", "value")
+def cubic_reproduces_polynomial(spark, d):
+    """With the panel's holes in a cubic of the month number, every filled month must lie on the cubic again."""
+    u = (cal.month_index("period") - 23960).cast("double")
+    grid = fx.dense(spark, d)
+    many = grid.groupBy("model", "vintage", "series_id").agg(F.count("value").alias("n")).where("n >= 4")
+    line = 0.002 * u * u * u - 0.3 * u * u + 4 * u - 7
+    holed = grid.withColumn("value", F.when(F.col("value").isNotNull(), line))
+    return panel.interpolate_cubic(holed).join(many.drop("n"), ["model", "vintage", "series_id"])
 
 
 @query("fill_median", """
@@ -310,7 +373,7 @@ for _method, _sql in _METHODS.items():
     _register_method(_method, _sql)
 
 
-@query("fill_method_2_cubic")
+@query("fill_method_2_cubic", _smooth_sql(_cubic_sql(_TRIMMED_80)), "value")
 def fill_method_2_cubic(spark, d):
     return panel.fill_missing(fx.dense(spark, d), 2, interpolation="cubic")
 

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
 from tidemark.operators import compare, impact, reshape, score
+from tidemark.plans import reports
 from tidemark.sources import files
+from tidemark.storage import materialise
 from workload import fixtures as fx
 from workload.registry import query
 
@@ -83,11 +85,12 @@ def nowcast_changes(spark, d):
 
 @query("chain_breaks", """
 SELECT * FROM (SELECT *, lag(y_new) OVER (PARTITION BY model, quarter ORDER BY vintage) AS previous_y_new
-  FROM (SELECT * FROM nowcast_a WHERE day(vintage) > 7))
+  FROM (SELECT n.* FROM nowcast_a n JOIN available a ON a.model = n.model AND a.vintage = n.vintage))
 WHERE abs(y_old - previous_y_new) > 1e-9""", ROW + " previous_y_new")
 def chain_breaks(spark, d):
-    """Breaks left where the first week of each month is missing."""
-    return score.chain_breaks(fx.nowcast(spark, d).where(F.dayofmonth("vintage") > 7))
+    """Breaks left where a model's vintage was lost."""
+    kept = fx.nowcast(spark, d).join(fx.available_vintages(spark, d), ["model", "vintage"], "left_semi")
+    return score.chain_breaks(kept)
 
 
 @query("error_paths", """
@@ -352,16 +355,17 @@ def drop_metric(spark, d):
 
 
 @query("impact_matrix", """
-SELECT model, quarter, series_id, max(impact) FILTER (vintage = DATE '2000-03-03') AS v1,
-  max(impact) FILTER (vintage = DATE '2000-03-10') AS v2, max(impact) FILTER (vintage = DATE '2000-03-17') AS v3
-FROM (SELECT model, quarter, series_id, vintage, coalesce(sum(impact), 0) AS impact FROM news GROUP BY 1, 2, 3, 4)
-WHERE vintage IN (DATE '2000-03-03', DATE '2000-03-10', DATE '2000-03-17') GROUP BY 1, 2, 3""", "v1 v2 v3")
+SELECT model, quarter, series_id, CAST(vintage AS VARCHAR) AS vintage, coalesce(sum(impact), 0) AS impact
+FROM news GROUP BY 1, 2, 3, 4""", "impact")
 def impact_matrix(spark, d):
-    weekly = fx.news(spark, d).groupBy("model", "quarter", "series_id", "vintage").agg(
+    """Series by all vintages, melted again so that every cell of the matrix is compared."""
+    weekly = materialise(fx.news(spark, d), "news").groupBy("model", "quarter", "series_id", "vintage").agg(
         F.coalesce(F.sum("impact"), F.lit(0.0)).alias("impact")
     )
-    wide = reshape.impact_matrix(weekly, ["2000-03-03", "2000-03-10", "2000-03-17"])
-    return wide.toDF("model", "quarter", "series_id", "v1", "v2", "v3")
+    # One name a week: as many columns as the calendar has.
+    names = [str(r["vintage"]) for r in weekly.select("vintage").distinct().orderBy("vintage").collect()]
+    wide = reshape.impact_matrix(weekly, names)
+    return reshape.melt(wide, ["model", "quarter", "series_id"], names, "vintage", "impact").where("impact IS NOT NULL")
 
 
 @query("duplicate_news_keys", """
@@ -471,3 +475,72 @@ SELECT *, {_p('t_squared', '(pairs - 1)')} AS p_squared, {_p('t_absolute', '(pai
        _TS + " p_squared p_absolute p_signed")
 def compare_models_with_p(spark, d):
     return compare.compare_models(pairs(spark, d), YEAR, ["model"])
+
+
+# ---------------------------------------------------------------- report views
+
+
+def views(spark, d):
+    return fx.nowcast(spark, d), materialise(fx.news(spark, d), "news"), fx.categories(spark, d)
+
+
+def stacked(frames):
+    """The frames of a view under each other, every cell as one row: view, row key, column, value."""
+    rows = []
+    for name, df in frames.items():
+        numbers = [c for c, kind in df.dtypes if kind in ("double", "bigint", "int") and c not in ("year", "week", "place", "vintage_ordinal")]
+        keys = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in sorted(set(df.columns) - set(numbers))]
+        cells = df.select(F.concat_ws("|", *keys).alias("key"), *[F.col(c).cast("double").alias(c) for c in numbers])
+        rows.append(cells.unpivot(["key"], numbers, "field", "value").withColumn("part", F.lit(name)))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.where("value IS NOT NULL").select("part", "key", "field", "value")
+
+
+_LAST = "(SELECT max(quarter) FROM nowcast_a)"
+
+
+@query("quarter_report", f"""
+SELECT 'accuracy' AS part, model || '|' || quarter AS key, field, value FROM (
+  SELECT model, quarter, rmse, mae, bias, mpe FROM metrics_a WHERE quarter = {_LAST}) UNPIVOT (value FOR field IN (rmse, mae, bias, mpe))
+UNION ALL SELECT 'official', model || '|' || quarter, 'actual', y_new + error FROM final_a WHERE quarter = {_LAST}
+UNION ALL SELECT 'bias', model || '|' || quarter, field, value FROM (
+  SELECT model, quarter, avg(error) AS mean_error, CAST(avg(CASE WHEN error > 0 THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS share_positive,
+    CAST(avg(CASE WHEN error < 0 THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS share_negative FROM nowcast_a WHERE quarter = {_LAST} GROUP BY 1, 2)
+  UNPIVOT (value FOR field IN (mean_error, share_positive, share_negative))""", "value")
+def quarter_report(spark, d):
+    """Accuracy, bias and official figure in the view of the last quarter."""
+    table, news, mapping = views(spark, d)
+    last = table.agg(F.max("quarter")).scalar()
+    view = reports.quarter_report(table, news, mapping, last)
+    return stacked({k: view[k] for k in ("accuracy", "official", "bias")})
+
+
+_YEAR = "(SELECT max(CAST(substr(quarter, 1, 4) AS INTEGER)) FROM nowcast_a)"
+
+
+@query("year_report", f"""
+SELECT 'metrics' AS part, model || '|' || quarter AS key, field, value FROM (
+  SELECT model, quarter, rmse, mae, bias, mpe FROM metrics_a WHERE CAST(substr(quarter, 1, 4) AS INTEGER) = {_YEAR})
+  UNPIVOT (value FOR field IN (rmse, mae, bias, mpe))
+UNION ALL SELECT 'final_errors', model || '|' || quarter, field, value FROM (
+  SELECT model, quarter, error, abs_error FROM final_a WHERE CAST(substr(quarter, 1, 4) AS INTEGER) = {_YEAR})
+  UNPIVOT (value FOR field IN (error, abs_error))""", "value")
+def year_report(spark, d):
+    """Metrics and final errors in the view of the last year."""
+    table, news, mapping = views(spark, d)
+    last = table.agg(F.max(cal.label_year("quarter"))).scalar()
+    view = reports.year_report(table, news, mapping, last)
+    return stacked({k: view[k] for k in ("metrics", "final_errors")})
+
+
+@query("history_report", f"""
+SELECT 'final_vs_actual' AS part, model || '|' || CAST(published AS VARCHAR) || '|' || quarter AS key, field, value FROM (
+  SELECT model, quarter, CAST(q_start + INTERVAL 4 MONTH - INTERVAL 1 DAY AS DATE) AS published,
+    CASE WHEN NOT {IS_YEAR} THEN y_new END AS final_nowcast, CASE WHEN NOT {IS_YEAR} THEN y_new + error END AS actual
+  FROM final_a JOIN quarters USING (quarter)) UNPIVOT (value FOR field IN (final_nowcast, actual))""", "value")
+def history_report(spark, d):
+    """Final nowcasts beside the official figures in the view of all years."""
+    table, news, mapping = views(spark, d)
+    return stacked({"final_vs_actual": reports.history_report(table, news, mapping, [YEAR])["final_vs_actual"]})

@@ -40,16 +40,16 @@ def stored_news(spark, d):
     return files.read_news(spark, path)
 
 
-@query("stored_params", """
-SELECT model, est_vintage, 'C' AS name, i, j, v FROM param_c WHERE v IS NOT NULL""", "v")
+@query("stored_params", "SELECT * FROM all_params", "v")
 def stored_params(spark, d):
+    """All matrices and vectors: C, A, Q, Mx and Wx."""
     path = _folder(spark, "params")
     files.write_params(fx.simple_params(spark, d), path)
-    return files.read_params(spark, path).where((F.col("name") == "C") & F.col("v").isNotNull())
+    return files.read_params(spark, path)
 
 
 @query("stored_vintages", "SELECT * FROM obs", "value")
 def stored_vintages(spark, d):
     path = _folder(spark, "vintages")
     files.write_vintages(fx.obs(spark, d), path)
-    return spark.read.parquet(path).select("model", "vintage", "series_id", "period", "value")
+    return files.read_vintages(spark, path, fmt="parquet")

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import calendar as cal
-from tidemark.plans.common import ensure_checkpoint_dir
+from tidemark.storage import ensure_checkpoint_dir
 from tidemark.streaming import streams
 from workload import fixtures as fx
 from workload.registry import query
 
 
 def _events(spark, d):
-    return streams.read_files(spark, d, fx.COLUMNS["events"], "events.parquet")
+    return streams.read_table(spark, d, "events.parquet", fx.COLUMNS["events"])
 
 
 def _drain(spark, stream, mode):
@@ -34,8 +34,10 @@ def stream_vintages(spark, d):
         F.col("event_type").alias("model"), F.col("user_id").cast("string").alias("series_id"),
         F.col("ts").cast("date").alias("period"), F.col("ts").alias("release"), "value",
     )
-    stored = _drain(spark, streams.vintage_updates(facts), "append")
-    return streams.current_values(stored).drop("release")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    updates = streams.vintage_updates(facts)
+    streams.upsert_vintages(updates, f"{base}/out", f"{base}/state").awaitTermination()
+    return streams.read_panel(spark, f"{base}/out", updates.schema).drop("release", "month")
 
 
 @query("stream_weekly_windows", """
@@ -65,3 +67,36 @@ def stream_running_accuracy(spark, d):
         (20 - F.col("value")).alias("error"),
     )
     return streams.accuracy_from_sums(_drain(spark, streams.running_accuracy(errors), "update"))
+
+
+# Events that are handed over after all others, and how late the windows may still take them.
+_LATE = "event_id % 7 = 3"
+_LATENESS = 10
+
+
+@query("stream_late_events", f"""
+WITH e AS (SELECT *, {_LATE} AS late, CAST(DATE '1970-01-01' + CAST(7 * floor(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) / 7.0) AS INTEGER) AS DATE) AS week_start FROM events),
+mark AS (SELECT max(ts) - INTERVAL {_LATENESS} DAY AS closed FROM e WHERE NOT late)
+SELECT week_start, event_type, count(value) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM e, mark WHERE NOT late OR week_start + INTERVAL 7 DAY > closed GROUP BY 1, 2""", "total")
+def stream_late_events(spark, d):
+    """Weekly windows over events that arrive in several files, one a batch, the last of them late.
+
+    Late rows count as long as their week has not closed behind the watermark.
+    """
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    events = fx.table(spark, d, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("decimal(18,2)").alias("value"),
+        F.expr(_LATE).alias("late"), F.dayofmonth("ts").alias("day"),
+    )
+    # Arrivals in order of time, in one file each; then the late ones.
+    for part in (*[f"NOT late AND day BETWEEN {a} AND {b}" for a, b in ((1, 9), (10, 18), (19, 28), (29, 31))], "late"):
+        events.where(part).drop("late", "day").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    timed = streams.read_files(spark, f"{base}/in", "ts timestamp, event_type string, value decimal(18,2)", files_per_batch=1)
+    windows = streams.weekly_windows(timed, "ts", ["event_type"], "value", f"{_LATENESS} days")
+    streams.write_batches(windows, f"{base}/out", f"{base}/state", "update").awaitTermination()
+    schema = T.StructType([*windows.schema.fields, T.StructField("batch_id", T.IntegerType())])
+    final = streams.latest(streams.read_batches(spark, f"{base}/out", schema), ["week_start", "event_type"], F.col("batch_id"))
+    return final.select(
+        F.col("week_start").cast("date").alias("week_start"), "event_type", "n", F.col("total").cast("double").alias("total")
+    )

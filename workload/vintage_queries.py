@@ -1,9 +1,10 @@
 """Queries over the bitemporal panel: as-of values, pairs of vintages, news."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import calendar as cal
 from tidemark.operators import asof, news
-from tidemark.plans.common import materialise
 from workload import fixtures as fx
 from workload.registry import query
 
@@ -51,24 +52,79 @@ def asof_join(spark, d):
 
 
 @query("select_params", """
-SELECT s.quarter, s.vintage, CASE WHEN s.vintage < s.q_start THEN 'prev' ELSE 'curr' END AS params_used,
-  p.param_quarter, p.est_vintage
-FROM schedule s JOIN (
-  SELECT quarter AS param_quarter, min(vintage) FILTER (vintage >= q_start) AS est_vintage
-  FROM schedule GROUP BY 1) p
-  ON p.param_quarter = CASE WHEN s.vintage < s.q_start
-     THEN year(s.q_start - INTERVAL 3 MONTH) || '_q' || quarter(s.q_start - INTERVAL 3 MONTH)
-     ELSE s.quarter END""")
+WITH first AS (SELECT CAST(min(q_start) - INTERVAL 3 MONTH AS DATE) AS q FROM quarters),
+made AS (
+  SELECT quarter AS param_quarter, min(vintage) FILTER (vintage >= q_start) AS est_vintage FROM schedule GROUP BY 1
+  UNION ALL SELECT year(q) || '_q' || quarter(q), CAST(q + CAST((12 - isodow(q)) % 7 AS INTEGER) AS DATE) FROM first),
+asked AS (
+  SELECT quarter, vintage, CASE WHEN vintage < q_start THEN 'prev' ELSE 'curr' END AS params_used,
+    CASE WHEN vintage < q_start
+     THEN year(q_start - INTERVAL 3 MONTH) || '_q' || quarter(q_start - INTERVAL 3 MONTH) ELSE quarter END AS param_quarter
+  FROM schedule)
+SELECT a.quarter, a.vintage, a.params_used, a.param_quarter, m.est_vintage,
+  CASE WHEN m.est_vintage IS NULL THEN 'no parameters for ' || a.param_quarter END AS missing
+FROM asked a LEFT JOIN (SELECT * FROM made WHERE (year(est_vintage) * 4 + quarter(est_vintage)) % 10 <> 3) m
+  ON m.param_quarter = a.param_quarter""")
 def select_params(spark, d):
+    """Every scheduled row, also those whose quarter was never estimated."""
     plan = fx.schedule(spark, d)
     return asof.select_params(plan, fx.estimation_vintages(spark, d)).select(
-        "quarter", "vintage", "params_used", "param_quarter", "est_vintage"
+        "quarter", "vintage", "params_used", "param_quarter", "est_vintage", "missing"
     )
 
 
 @query("vintage_pairs", "SELECT model, quarter, vintage_old, vintage FROM pairs")
 def vintage_pairs(spark, d):
-    return asof.vintage_pairs(fx.schedule(spark, d), fx.available_vintages(spark, d))
+    """Pairs of scheduled vintages; the lost weeks of each model leave holes."""
+    return fx.pairs(spark, d)
+
+
+@query("lost_pairs", """
+WITH published AS (SELECT DISTINCT model, release_date AS vintage FROM fact_events),
+steps AS (SELECT quarter, vintage, lag(vintage) OVER (PARTITION BY quarter ORDER BY vintage) AS vintage_old FROM schedule)
+SELECT a.model, a.vintage AS lost, s.quarter, count(*) AS pairs
+FROM published a JOIN steps s ON a.vintage IN (s.vintage, s.vintage_old)
+JOIN published n ON n.model = a.model AND n.vintage = s.vintage
+JOIN published o ON o.model = a.model AND o.vintage = s.vintage_old
+WHERE ((a.vintage - DATE '1970-01-02') // 7 + length(a.model)) % 19 = 7 GROUP BY 1, 2, 3""")
+def lost_pairs(spark, d):
+    """Pairs that each lost vintage takes away: those of the complete list that are not among the pairs."""
+    published = fx.fact_events(spark, d).select("model", F.col("release_date").alias("vintage")).distinct()
+    lost = published.join(fx.available_vintages(spark, d), ["model", "vintage"], "left_anti").withColumnRenamed("vintage", "lost")
+    gone = asof.vintage_pairs(fx.schedule(spark, d), published).join(fx.pairs(spark, d), asof.PAIR, "left_anti")
+    sides = gone.select("model", "quarter", F.explode(F.array("vintage_old", "vintage")).alias("lost"))
+    return lost.join(sides, ["model", "lost"]).groupBy("model", "lost", "quarter").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+_IRREGULAR = """(SELECT quarter, CASE WHEN n % 2 = 0 THEN CAST(vintage - 1 AS DATE) ELSE vintage END AS vintage
+  FROM (SELECT quarter, vintage, row_number() OVER (PARTITION BY quarter ORDER BY vintage) AS n FROM schedule)
+  WHERE quarter NOT LIKE '%q4' OR n % 2 = 1)"""
+
+
+@query("irregular_vintage_changes", f"""
+WITH steps AS (SELECT quarter, vintage, lag(vintage) OVER (PARTITION BY quarter ORDER BY vintage) AS vintage_old FROM {_IRREGULAR}),
+have AS (SELECT DISTINCT model, vintage FROM steps JOIN (SELECT DISTINCT model, quarter FROM quarter_totals) USING (quarter)),
+side AS (SELECT n.model, s.* FROM steps s JOIN have n ON n.vintage = s.vintage JOIN have o ON o.vintage = s.vintage_old AND o.model = n.model),
+sides AS (
+  SELECT b.model, b.quarter, b.vintage_old, b.vintage, f.series_id, f.period,
+    max(f.value) FILTER (b.vintage_old >= f.release_date AND (f.next_release IS NULL OR b.vintage_old < f.next_release)) AS old,
+    max(f.value) FILTER (b.vintage >= f.release_date AND (f.next_release IS NULL OR b.vintage < f.next_release)) AS new
+  FROM side b JOIN fact_versions f ON f.model = b.model AND b.vintage >= f.release_date
+    AND (f.next_release IS NULL OR b.vintage_old < f.next_release)
+  GROUP BY 1, 2, 3, 4, 5, 6)
+SELECT model, quarter, vintage_old, vintage, count(*) FILTER (old IS NULL) AS released, count(*) FILTER (old <> new) AS revised,
+  sum(new) FILTER (old IS NULL OR old <> new) AS total
+FROM sides GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (old IS NULL OR old <> new) > 0""", "total")
+def irregular_vintage_changes(spark, d):
+    """Releases and revisions between tracking dates that keep no weekly rhythm."""
+    plan = fx.irregular_schedule(spark, d)
+    begun = fx.quarter_totals(spark, d).select("model", "quarter").distinct()
+    have = plan.join(begun, "quarter").select("model", "vintage")
+    cells = asof.changed_cells(fx.facts(spark, d), asof.vintage_pairs(plan, have))
+    return cells.groupBy(*asof.PAIR).agg(
+        F.count_if(F.col("old").isNull()).alias("released"), F.count_if(F.col("old").isNotNull()).alias("revised"),
+        F.sum("new").alias("total"),
+    )
 
 
 _SUM = """count(*) AS cells, count(old) AS old_cells, count(new) AS new_cells,
@@ -90,25 +146,39 @@ SELECT model, quarter, vintage, CASE WHEN old IS NULL THEN 'released' WHEN new I
   WHEN old = new THEN 'unchanged' ELSE 'revised' END AS status, count(*) AS cells
 FROM cell_pairs GROUP BY 1, 2, 3, 4""")
 def vintage_diff(spark, d):
+    """Cells by status; the unchanged ones are counted without being listed."""
+    pairs = fx.pairs(spark, d)
+    known = asof.known_cells(fx.facts(spark, d), pairs.select("model", F.col("vintage_old").alias("vintage")))
+    counts = news.status_counts(fx.changed_cells(spark, d), known, pairs)
+    return counts.select("model", "quarter", "vintage", "status", "cells")
+
+
+@query("vintage_diff_by_cell", """
+SELECT model, quarter, vintage, CASE WHEN old IS NULL THEN 'released' WHEN new IS NULL THEN 'withdrawn'
+  WHEN old = new THEN 'unchanged' ELSE 'revised' END AS status, count(*) AS cells
+FROM cell_pairs GROUP BY 1, 2, 3, 4""")
+def vintage_diff_by_cell(spark, d):
+    """The same counts from the listing of every cell of every pair."""
     diff = news.vintage_diff(fx.cell_pairs(spark, d))
     return diff.groupBy("model", "quarter", "vintage", "status").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query("released_cells", "SELECT * FROM changed_cells WHERE old IS NULL", "new")
 def released_cells(spark, d):
-    return news.released_cells(fx.cell_pairs(spark, d))
+    return news.released_cells(fx.changed_cells(spark, d))
 
 
 @query("revised_cells", "SELECT * FROM changed_cells WHERE old IS NOT NULL AND new IS NOT NULL", "old new")
 def revised_cells(spark, d):
-    return news.revised_cells(fx.cell_pairs(spark, d))
+    return news.revised_cells(fx.changed_cells(spark, d))
 
 
 @query("released_series", """
 SELECT model, quarter, vintage_old, vintage, series_id, bool_or(old IS NULL AND new IS NOT NULL) AS released
 FROM cell_pairs GROUP BY 1, 2, 3, 4, 5""")
 def released_series(spark, d):
-    return news.released_series(fx.cell_pairs(spark, d))
+    since = fx.fact_events(spark, d).groupBy("model", "series_id").agg(F.min("release_date").alias("since"))
+    return news.series_released(fx.pairs(spark, d), since, fx.changed_cells(spark, d))
 
 
 @query("revised_view", """
@@ -132,7 +202,7 @@ WHERE c.old IS NULL"""
 def news_rows(spark, d):
     plan = fx.schedule(spark, d)
     forecasts = fx.trailing_forecasts(spark, d).join(plan, "vintage")
-    return news.news(fx.cell_pairs(spark, d), forecasts)
+    return news.news(fx.changed_cells(spark, d), forecasts)
 
 
 @query("news", _NEWS, "actual forecast news")
@@ -159,8 +229,35 @@ FROM cell_pairs c JOIN region_weights w ON w.model = c.model AND w.series_id = c
 GROUP BY 1, 2, 3"""
 
 
-def evaluations(pairs, weights):
-    """Weighted panel totals of the old, the revised and the new view of every pair."""
+def evaluations(spark, d, weights):
+    """Weighted panel totals of the old, the revised and the new view of every pair.
+
+    The total on a vintage is a running sum of weighted changes over the release dates; what
+    was revised or released since comes on top.
+    """
+    w = F.col("weight")
+    once = fx.facts(spark, d)
+    upto = Window.partitionBy("model", "series_id", "period").orderBy("release_date")
+    steps = once.withColumn("step", F.col("value") - F.coalesce(F.lag("value").over(upto), F.lit(0.0)))
+    daily = steps.join(weights, ["model", "series_id"]).groupBy("model", F.col("release_date").alias("day")).agg(
+        F.sum(w * F.col("step")).alias("total")
+    )
+    pairs = fx.pairs(spark, d)
+    start = asof.level_at(daily, pairs.select("model", F.col("vintage_old").alias("vintage")), ["total"])
+    released = F.col("old").isNull()
+    moved = fx.changed_cells(spark, d).join(weights, ["model", "series_id"]).groupBy("model", "quarter", "vintage").agg(
+        F.sum(F.when(~released, w * (F.col("new") - F.col("old")))).alias("_rev"), F.sum(F.when(released, w * F.col("new"))).alias("_rel")
+    )
+    base = pairs.join(start.select("model", F.col("vintage").alias("vintage_old"), "total"), ["model", "vintage_old"])
+    both = base.join(moved, ["model", "quarter", "vintage"], "left").na.fill(0.0, ["_rev", "_rel"])
+    return both.select(
+        "model", "quarter", "vintage", F.col("total").alias("y_old"), (F.col("total") + F.col("_rev")).alias("y_rev"),
+        (F.col("total") + F.col("_rev") + F.col("_rel")).alias("y_new"),
+    )
+
+
+def evaluations_by_cell(pairs, weights):
+    """The same totals from the listing of every cell of every pair."""
     cells = news.revised_view(pairs).join(weights, ["model", "series_id"])
     w = F.col("weight")
     return cells.groupBy("model", "quarter", "vintage").agg(
@@ -174,26 +271,29 @@ def evaluations(pairs, weights):
 @query("revision_impact", f"SELECT *, y_rev - y_old AS impact_revisions FROM ({_WEIGHTED})",
        "y_old y_rev y_new impact_revisions")
 def revision_impact(spark, d):
-    return news.revision_impact(evaluations(fx.cell_pairs(spark, d), fx.region_weights(spark, d)))
+    return news.revision_impact(evaluations(spark, d, fx.region_weights(spark, d)))
 
 
 def decomposed(spark, d):
     """Linear nowcast of every pair: zero forecasts, so a release counts with its whole value."""
-    pairs = materialise(fx.cell_pairs(spark, d), "cell_pairs")
-    weights = materialise(fx.region_weights(spark, d), "weights")
-    zero = news.released_cells(pairs).withColumn("forecast", F.lit(0.0))
-    impacts = news.release_impacts(news.news(pairs, zero), weights, ["model", "series_id"])
+    weights = fx.region_weights(spark, d)
+    changes = fx.changed_cells(spark, d)
+    zero = news.released_cells(changes).withColumn("forecast", F.lit(0.0))
+    impacts = news.release_impacts(news.news(changes, zero), weights, ["model", "series_id"])
     totals = news.total_impact(impacts)
-    head = news.revision_impact(evaluations(pairs, weights)).join(totals, ["model", "quarter", "vintage"], "left")
+    head = news.revision_impact(evaluations(spark, d, weights)).join(totals, ["model", "quarter", "vintage"], "left")
     return head.withColumn("impact_releases", F.coalesce("impact_releases", F.lit(0.0))), impacts
 
 
-@query("decomposition_gaps", f"""
-SELECT model, quarter, vintage FROM ({_WEIGHTED}) WHERE y_old IS NULL""")
+@query("decomposition_gaps", """
+SELECT model, quarter, count(*) AS checked, CAST(0 AS BIGINT) AS gaps FROM pairs GROUP BY 1, 2""")
 def decomposition_gaps(spark, d):
-    """Must be empty: revisions and releases add up to the change of the nowcast."""
+    """Revisions and releases add up to the change of every nowcast, which is taken from the whole views here."""
     head, _ = decomposed(spark, d)
-    return news.check_decomposition(head).select("model", "quarter", "vintage")
+    weights = fx.region_weights(spark, d)
+    whole = evaluations_by_cell(fx.cell_pairs(spark, d), weights).select("model", "quarter", "vintage", "y_old", "y_new")
+    parts = head.select("model", "quarter", "vintage", "impact_revisions", "impact_releases")
+    return news.check_decomposition(whole.join(parts, ["model", "quarter", "vintage"], "left"))
 
 
 @query("update_report", f"""
@@ -232,7 +332,7 @@ def backfill(spark, d):
         "value", F.when(F.col("value") < 130, F.col("value"))
     )
     extra = fx.order_cells(spark, d).join(monthly, ["model", "series_id"]).select(
-        "model", F.lit(fx.PANEL_VINTAGE).cast("date").alias("vintage"), "series_id",
+        "model", cal.friday_on_or_after(fx.month_end(spark, d)).alias("vintage"), "series_id",
         F.col("month").alias("period"), (F.col("amount").cast("double") / 100 / 1000).alias("value"),
     )
     filled = asof.backfill(base, extra)
