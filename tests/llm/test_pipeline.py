@@ -14,6 +14,7 @@ from tests.llm.test_duplicates import brute_repeats, brute_simhash, grouped
 from tests.llm.test_rules_and_scores import verdicts
 from tests.llm.test_tokens import PATH, check_packing, ids_of
 from tidemark.llm import attention, packing
+from tidemark.llm.common import stored
 from tidemark.llm.queries import GOOD, ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -105,3 +106,15 @@ def test_stages_keep_the_columns(spark):
         assert [f.name for f in out.schema] == docs.columns and out.dtypes == docs.dtypes
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
     assert words(" a b") == [b"a", b"b"] and PATH
+
+
+def test_stages_on_awkward_and_empty_tables(spark, messy, empty):
+    """NULLs, odd texts, repeated rows and no rows at all go through every stage."""
+    for docs in (messy, empty):
+        docs = docs.select(*corpus_pipeline.COLUMNS)
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs.count(), stored(stage(spark, docs, DIR), "stage")
+            if name == "best-fit packing":
+                assert docs.count() >= before
+            else:
+                assert docs.columns == corpus_pipeline.COLUMNS and docs.count() <= before, name
