@@ -34,7 +34,7 @@ WINDOW = 20
 PREFIX = 5
 SPAN = WINDOW - PREFIX + 1
 #: Suffixes that one group may have before its prefix is lengthened.
-GROUP = 50_000
+GROUP = 4_000
 #: Bits of the two bitmaps (16 MB and 1 MB): a fixed size, whatever the size of the corpus.
 REPEATED_BITS, LONG_BITS = 27, 23
 
