@@ -10,15 +10,16 @@ Two equal bins of a fingerprint may agree by chance, so likeness is corrected by
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PIECE_BYTES, mix64, new_folder, text_of
+from tidemark.llm.common import PIECE_BYTES, mix64, text_of
 from tidemark.llm.wordhash import hashed_words, ngram_hashes
 
 BIN_BITS = 9
@@ -122,86 +123,82 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-FIRST, LAST = 0, 1
+#: Documents that follow each other in one range, and the most ranges that are cut.
+RANGE_ROWS, MOST_RANGES = 2000, 20_000
 
 EDIT_DDL = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
 )
+EDIT = pa.schema(
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string())]
+    + [("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+)
 
 
-def _compare(ids: list, texts: list[str], count: int) -> list[tuple]:
-    """Rows of the first ``count`` texts, each against the one after it."""
-    import hashlib
-
-    changed = [edited(a, b) for a, b in zip(texts[:count], texts[1 : count + 1])]
-    raw = [t.encode() for t in changed]
+def _compare(ids: list, texts: list[str]) -> pa.RecordBatch:
+    """Rows of all texts but the last, each against the one after it."""
+    raw = [edited(a, b).encode() for a, b in zip(texts, texts[1:])]
     own = [fingerprint(h) for _, part in _runs([t.encode() for t in texts]) for h in shingle_hashes(part)]
     other = [fingerprint(h) for _, part in _runs(raw) for h in shingle_hashes(part)]
-    return [
-        (ids[k], len(texts[k]), hashlib.sha256(raw[k]).hexdigest(), packed(own[k]), packed(other[k]), likeness(own[k], other[k]), likeness(own[k], own[k + 1]))
-        for k in range(count)
+    columns = [
+        ids[: len(raw)],
+        [len(t) for t in texts[:-1]],
+        [hashlib.sha256(r).hexdigest() for r in raw],
+        [packed(f) for f in own[:-1]],
+        [packed(f) for f in other],
+        [likeness(a, b) for a, b in zip(own, other)],
+        [likeness(a, b) for a, b in zip(own, own[1:])],
     ]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, EDIT)], schema=EDIT)
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come range by range, each ended by the text that follows its last document."""
+    ids, texts = [], []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256).to_pydict()
+            for key, text, end in zip(part["doc_id"], part["text"], part["end"]):
+                ids.append(key)
+                texts.append(text)
+                if end:
+                    if len(texts) > 1:
+                        yield _compare(ids, texts)
+                    ids, texts = [], []
+            if len(texts) > 1:
+                yield _compare(ids, texts)
+                ids, texts = ids[-1:], texts[-1:]
 
 
 def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document's fingerprint beside those of its edited text and of the next document.
 
-    Documents follow each other by key (NULL first, repeated keys by text), the last by the
-    first.  One shuffle deals them by ranges of the key; inside a range each row meets the next
-    as they stream by.  The first and last text of every range go to a table in the shared
-    folder, two rows a range, in which the last of a range meets the first of the next.
+    Documents follow each other by key (NULL first, rows that repeat a key by the hash of their
+    text), the last by the first.  The keys are cut into ranges; one shuffle brings a range
+    together, with the first text of the range after it as its end, and each row meets the next
+    as they stream by.  What goes through the driver are the edges of the ranges, at most
+    ``MOST_RANGES`` keys.
     """
-    spark = docs.sparkSession
-    plain = docs.select(F.col(key).cast("bigint").alias("doc_id"), text_of(docs, text).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = plain.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string())]
-        + [("near_edited", pa.float64()), ("near_next", pa.float64()), ("edge", pa.int32()), ("text", pa.string()), ("part", pa.int32())]
-    )
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId()
-        held: tuple | None = None  # the last row so far, which waits for the one after it
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256).to_pydict()
-                ids, texts = part["doc_id"], part["text"]
-                if held is None:
-                    yield out([(ids[0], *[None] * 6, FIRST, texts[0], number)])
-                else:
-                    ids, texts = [held[0], *ids], [held[1], *texts]
-                if len(ids) > 1:
-                    yield out([(*r, None, None, None) for r in _compare(ids, texts, len(ids) - 1)])
-                held = ids[-1], texts[-1]
-        if held is not None:
-            yield out([(held[0], *[None] * 6, LAST, held[1], number)])
-
-    path = new_folder(spark, "fingerprints")
-    ddl = EDIT_DDL + ", edge int, text string, part int"
-    dealt.mapInArrow(walk, ddl).write.parquet(path)
-    made = spark.read.schema(ddl).parquet(path)
-    firsts, lasts = (made.filter(F.col("edge") == e).select("part", "doc_id", "text") for e in (FIRST, LAST))
-    # One number for each range that has rows, in the order of the key; the last is followed by the first.
-    line = Window.orderBy("part")
-    after = firsts.select("part").withColumns(
-        {"after": F.lead("part").over(line), "start": F.min("part").over(line.rowsBetween(Window.unboundedPreceding, 0))}
-    )
-    after = after.select("part", F.coalesce("after", "start").alias("after"))
-    pairs = lasts.join(after, "part").join(firsts.select(F.col("part").alias("after"), F.col("text").alias("following")), "after")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short = pa.schema(list(schema)[:7])
-        for batch in batches:
-            part = batch.to_pydict()
-            rows = [_compare([i], [a, b], 1)[0] for i, a, b in zip(part["doc_id"], part["text"], part["following"])]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), short)], schema=short)
-
-    closed = pairs.select("doc_id", "text", "following").mapInArrow(close, EDIT_DDL)
-    return made.filter("edge IS NULL").select(*[c.split()[0] for c in EDIT_DDL.split(", ")]).unionByName(closed)
-
+    place = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
+    plain = docs.select(F.col(key).cast("bigint").alias("doc_id"), place.alias("place"), text_of(docs, text).alias("text"))
+    keys = plain.select("place")
+    ranges = min(MOST_RANGES, max(1, keys.count() // RANGE_ROWS))
+    shares = [k / ranges for k in range(1, ranges)]
+    edges = keys.agg(F.percentile_approx("place", shares, 20 * ranges).alias("e")).first()["e"] if shares else []
+    edges = np.unique(np.array(edges or [], np.int64))
+
+    @F.pandas_udf("int")
+    def range_of(places: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, places.to_numpy(), "right").astype(np.int32))
+
+    dealt = plain.withColumn("range", range_of("place")).withColumn("end", F.lit(False))
+    # The first document of every range, which is also the end of the range before it.
+    line = Window.orderBy("range")
+    first = keys.withColumn("range", range_of("place")).groupBy("range").agg(F.min("place").alias("place"))
+    before = first.withColumns({"before": F.lag("range").over(line), "last": F.max("range").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    heads = plain.join(F.broadcast(before.select("place", F.coalesce("before", "last").alias("range"))), "place")
+    ends = heads.groupBy("range").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    ends = ends.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("place"), "text", "range", F.lit(True).alias("end"))
+    rows = dealt.unionByName(ends).repartition("range").sortWithinPartitions("range", "end", "place", F.xxhash64("text"))
+    return rows.select("doc_id", "text", "end").mapInArrow(_walk, EDIT_DDL)
