@@ -108,8 +108,7 @@ def changed_cells(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     cells = versions.join(days, ["model", "release_date"]).groupBy(
         "model", "vintage_old", "vintage", "series_id", "period"
     ).agg(
-        F.min_by(F.struct("before"), "release_date")["before"].alias("old"),
-        F.max_by(F.struct("value"), "release_date")["value"].alias("new"),
+        F.min_by("before", "release_date").alias("old"), F.max_by("value", "release_date").alias("new")
     )
     moved = cells.where(~F.col("old").eqNullSafe(F.col("new")))
     return moved.join(pairs, ["model", "vintage_old", "vintage"]).select(

@@ -244,7 +244,12 @@ def available_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.vintage_pairs(schedule(spark, sf_dir), available_vintages(spark, sf_dir))
+    """Pairs of scheduled vintages; stored, as they are few and several branches join them."""
+
+    def build() -> DataFrame:
+        return materialise(asof.vintage_pairs(schedule(spark, sf_dir), available_vintages(spark, sf_dir)), "pairs")
+
+    return shared("pairs", sf_dir, build)
 
 
 def cell_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,10 +272,15 @@ def irregular_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published amount by model, order quarter and release week."""
-    return fact_events(spark, sf_dir).groupBy(
-        "model", cal.quarter_label("period").alias("quarter"), "release_date"
-    ).agg(F.sum("amount").alias("amount"))
+    """Published amount by model, order quarter and release week; stored, a few rows a week."""
+
+    def build() -> DataFrame:
+        totals = fact_events(spark, sf_dir).groupBy(
+            "model", cal.quarter_label("period").alias("quarter"), "release_date"
+        ).agg(F.sum("amount").alias("amount"))
+        return materialise(totals, "quarter-totals")
+
+    return shared("quarter_totals", sf_dir, build)
 
 
 def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
