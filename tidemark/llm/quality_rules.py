@@ -191,7 +191,8 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     them.  Repeated rows and keys each keep their row.
     """
     rated = rates(stored(measures(docs, key, text, lang, source), "measures"))
-    limit = limits(sketches(rated))
+    # Stored, so that Spark knows how small the limits are before it deals the rows.
+    limit = stored(limits(sketches(rated)), "limits")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     over = F.lit(False)
     for r in RULES:
