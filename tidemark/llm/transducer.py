@@ -277,28 +277,32 @@ def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
     pattern = regex.compile(WORD_PATTERN)
 
-    def flush(counts: Counter) -> pa.RecordBatch:
+    inner: Counter = Counter()  # pieces that follow a space, without it
+    outer: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
         totals: Counter = Counter()
-        for piece, n in counts.items():
-            for word in pattern.findall(piece):
-                totals[word] += n
+        for front, counts in ((" ", inner), ("", outer)):
+            for piece, n in counts.items():
+                for word in pattern.findall(front + piece):
+                    totals[word] += n
         kept = [(w.encode(), n) for w, n in totals.items()]
         kept = [x for x in kept if len(x[0]) <= LEXICON_BYTES]
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], schema=schema)
 
-    counts: Counter = Counter()
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            first, *rest = text.split(" ")
-            if "  " in text or (rest and rest[-1] == ""):
-                counts.update(safe_pieces(text))
+            parts = text.split(" ")
+            if "" in parts[1:]:
+                outer.update(safe_pieces(text))
             else:
-                counts[first] += 1
-                counts.update([f" {p}" for p in rest])
-            if len(counts) > 400_000:
-                yield flush(counts)
-                counts = Counter()
-    yield flush(counts)
+                outer[parts[0]] += 1
+                inner.update(parts[1:])
+            if len(inner) + len(outer) > 400_000:
+                yield flush()
+                inner.clear()
+                outer.clear()
+    yield flush()
 
 
 def count_step(n: Column) -> Column:
