@@ -1,8 +1,9 @@
 """DataFrames shared by the branches of one query run.
 
 A query often needs the same aggregate of the big tables in several branches.
-Handing every branch the same DataFrame gives Spark identical subplans, whose
-exchange it then runs once and reuses.  Nothing is kept from one run to the next.
+The builders of the large ones store their result, so that all branches read one
+table; the others hand every branch the same plan.  Nothing is kept from one run
+to the next.
 """
 
 from __future__ import annotations
