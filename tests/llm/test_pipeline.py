@@ -99,6 +99,30 @@ def test_pipeline_against_brute_force(spark, documents):
     check_packing(corpus_pipeline.run(spark, DIR).collect(), texts, packing.CAPACITY)
 
 
+def test_the_classifier_of_the_pipeline_learns_from_both_labels(spark, documents, monkeypatch):
+    """Stage 1 keeps no document with label 0, so the stage's model is fitted on the whole table."""
+    fit, seen = attention.fit, []
+
+    def watched(x, bag, y, *args):
+        seen.append(y)
+        return fit(x, bag, y, *args)
+
+    monkeypatch.setattr(attention, "fit", watched)
+    good = {v[0] for v in verdicts(documents) if v[-1]}
+    frame = spark.createDataFrame([r for r in documents if r["doc_id"] in good])
+    corpus_pipeline.classifier_stage(spark, frame, DIR).count()
+    assert len(seen) == 1 and set(seen[0].tolist()) == {0.0, 1.0}
+
+
+def test_the_sample_is_taken_from_labelled_documents(spark):
+    """Labels of documents that are not there take no place in the sample."""
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(900, 1000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1000)], "doc_id bigint, quality int")
+    known = sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(900, 1000))
+    _, _, y = attention._sampled(docs, labels, "doc_id", "text", "quality", 50)
+    assert known > 50 and len(y) == 50
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -175,12 +175,12 @@ def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, see
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passages and labels of at most ``sample`` labelled documents, picked by a hash of the key."""
+    """Passages and labels of at most ``sample`` labelled documents, picked by a hash of the key among those in ``docs``."""
     doc = F.col(key).cast("bigint")
     known = labels.select(doc.alias("doc"), F.col(label).cast("int").alias("label")).filter("doc IS NOT NULL AND label IS NOT NULL")
     known = known.filter(F.crc32(F.col("doc").cast("string").cast("binary")) % 5 != 0).groupBy("doc").agg(F.min("label").alias("label"))
-    picked = known.orderBy(F.xxhash64("doc"), "doc").limit(sample)
     plain = docs.select(doc.alias("doc"), text_of(docs, text).alias("text"))
+    picked = known.join(plain.select("doc"), "doc", "left_semi").orderBy(F.xxhash64("doc"), "doc").limit(sample)
     chosen = plain.join(picked, "doc").select("doc", "label", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
