@@ -1,10 +1,13 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.streaming import streams
+from workload import fixtures as fx
+from workload import stream_queries
 
 DDL = "model string, series_id string, period date, release timestamp, value double"
 
@@ -88,3 +91,14 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
         stored = drain(spark, stream, tmp_path, "update")
     final = streams.latest(stored, ["week_start", "model"], F.col("batch_id"))
     assert final.agg(F.sum("n")).first()[0] == 6
+
+
+def test_weekly_windows_count_files_out_of_order(spark, tmp_path):
+    """The query takes every event, however many batches the files make and whatever their order."""
+    rows = spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(days=k), k % 2, "e", 1.0) for k in range(200)], fx.COLUMNS["events"])
+    for first in (150, 0, 100, 50):
+        rows.where(f"event_id BETWEEN {first} AND {first + 49}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        time.sleep(0.05)  # files are taken in order of their time
+    final = stream_queries.stream_weekly_windows(spark, str(tmp_path), files_per_batch=1)
+    assert final.agg(F.sum("n")).first()[0] == 200
+    assert final.count() == final.select("week_start").distinct().count() == 30

@@ -120,12 +120,15 @@ def read_panel(spark: SparkSession, path: str, schema: T.StructType, before: int
 
 
 def weekly_windows(
-    stream: DataFrame, time: str, keys: list[str], value: str, lateness: str = "14 days"
+    stream: DataFrame, time: str, keys: list[str], value: str, lateness: str | None = "14 days"
 ) -> DataFrame:
-    """Sum and count per calendar week; rows later than the watermark are dropped."""
+    """Sum and count per calendar week; rows later than the watermark are dropped.
+
+    With ``lateness`` None there is no watermark: every row counts and every week stays open.
+    """
+    timed = stream if lateness is None else stream.withWatermark(time, lateness)
     return (
-        stream.withWatermark(time, lateness)
-        .groupBy(F.window(time, WEEK).alias("week"), *keys)
+        timed.groupBy(F.window(time, WEEK).alias("week"), *keys)
         .agg(F.count(value).alias("n"), F.sum(value).alias("total"))
         .select(F.col("week.start").alias("week_start"), *keys, "n", "total")
     )

@@ -12,8 +12,8 @@ from workload import fixtures as fx
 from workload.registry import query
 
 
-def _events(spark, d):
-    return streams.read_table(spark, d, "events.parquet", fx.COLUMNS["events"])
+def _events(spark, d, files_per_batch=1000):
+    return streams.read_table(spark, d, "events.parquet", fx.COLUMNS["events"], files_per_batch)
 
 
 def _drain(spark, stream, mode):
@@ -44,11 +44,12 @@ def stream_vintages(spark, d):
 SELECT CAST(DATE '1970-01-01' + CAST(7 * floor(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) / 7.0) AS INTEGER) AS DATE) AS week_start,
   event_type, count(value) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
 FROM events GROUP BY 1, 2""", "total")
-def stream_weekly_windows(spark, d):
-    timed = _events(spark, d).select(
+def stream_weekly_windows(spark, d, files_per_batch=1000):
+    """Weekly windows over all events, in whatever order their files come."""
+    timed = _events(spark, d, files_per_batch).select(
         F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("decimal(18,2)").alias("value")
     )
-    stored = _drain(spark, streams.weekly_windows(timed, "ts", ["event_type"], "value"), "update")
+    stored = _drain(spark, streams.weekly_windows(timed, "ts", ["event_type"], "value", lateness=None), "update")
     final = streams.latest(stored, ["week_start", "event_type"], F.col("batch_id"))
     return final.select(
         F.col("week_start").cast("date").alias("week_start"), "event_type", "n",
