@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from tests.llm.cases import WORDS, messy_rows, prose, shingles, words
-from tidemark.llm import components, one_permutation, simhash, suffix_trees, wordhash
+from tidemark.llm import components, near_copies, one_permutation, simhash, suffix_trees, wordhash
 
 
 def test_word_hashes_depend_on_the_word_alone():
@@ -174,6 +174,62 @@ def test_near_duplicate_groups(messy, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+# Texts of similar shingles
+
+
+def edited(rng, text, edits):
+    w = text.split()
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = "zz" + str(rng.randrange(1000))
+    return " ".join(w)
+
+
+def near_rows():
+    """Groups of near copies, chains among them, beside texts of lower similarity; some without a key."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        base = " ".join(rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(rng.randint(60, 400)))
+        texts += [base, base.upper()]
+        for _ in range(rng.randint(0, 6)):
+            texts.append(edited(rng, rng.choice(texts[-3:]), rng.randint(1, len(base.split()) // 25)))
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    alone = prose(rng, 70)
+    return rows + [(None, alone, "en", "s", 1), (None, alone, "de", "s", 2), (None, rows[0][1], "en", "s", 3), rows[1], rows[1]]
+
+
+def kept_by_brute_force(rows):
+    sets = [frozenset(shingles((t or "").encode().lower().decode(), 5)) for _, t, *_ in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    root, least = grouped(pairs, range(len(rows))), {}
+    for k, r in enumerate(rows):
+        least[root[k]] = min(least.get(root[k], (True, 0)), (r[0] is None, r[0] or 0))
+    return Counter(None if nokey else key for nokey, key in least.values())
+
+
+def test_near_copies_against_brute_force(spark, messy, empty):
+    rows = near_rows()
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
+    want = kept_by_brute_force(rows)
+    assert want[None] == 1 and len(want) < 200
+    assert Counter(r["doc_id"] for r in near_copies.keep_one(frame).collect()) == want
+    assert sum(r["doc_id"] is not None for r in simhash.keep_one(frame).collect()) > len(want)  # two bits are not enough
+    rows = [tuple(r) for r in messy.collect()]
+    kept = near_copies.keep_one(messy)
+    assert kept.columns == messy.columns and Counter(r["doc_id"] for r in kept.collect()) == kept_by_brute_force(rows)
+    assert near_copies.keep_one(empty).count() == 0
+
+
+def test_the_stage_keeps_no_near_copy(spark):
+    import corpus_pipeline
+
+    rows = [r for r in near_rows() if r[0] is not None]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_duplicate_stage(spark, frame, "")
+    assert Counter(r["doc_id"] for r in got.collect()) == kept_by_brute_force(rows)
+
+
 # Repeated windows
 
 
