@@ -69,6 +69,13 @@ def test_kept_rows_are_unchanged(messy, empty):
     assert quality_rules.keep_good(empty).columns == messy.columns
 
 
+def test_rows_that_share_a_key_have_their_own_verdict(spark):
+    good, bad = " ".join(f"word{k}" for k in range(80)), "too short"
+    rows = [(k, t, "en", "s") for k in (None, None, 7) for t in (good, bad)] + [(8, bad, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert Counter(quality_rules.keep_good(docs).collect()) == Counter({(None, good, "en", "s"): 2, (7, good, "en", "s"): 1})
+
+
 def test_buckets_are_narrow_and_ordered(spark):
     values = [*range(2000), 10**6, 10**9 + 7, 2**50 + 1]
     got = spark.createDataFrame([(v,) for v in values], "v bigint").select("v", quality_rules.bucket(F.col("v")).alias("b")).collect()

@@ -201,6 +201,15 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` whose verdict is ``kept``, with their columns as they are."""
-    verdict = judged(docs, key, text, lang, source).filter("kept").select(F.col(key).alias("__kept_key"))
-    return docs.join(verdict.distinct(), docs[key].eqNullSafe(F.col("__kept_key")), "left_semi")
+    """The rows of ``docs`` whose verdict is ``kept``, with their columns as they are.
+
+    A row is named by its key and a digest of what the rules read, so rows that share a key, or
+    have none, each get their own verdict.
+    """
+    read = [F.coalesce(docs[c].cast("string"), F.lit("")) for c in (text, lang, source)]
+    named = docs.withColumn("__digest", F.xxhash64(*read))
+    rows = named.withColumn("__row", F.struct(F.col(key).alias("key"), F.col("__digest").alias("digest")))
+    verdict = judged(rows, "__row", text, lang, source).filter("kept")
+    verdict = verdict.select(F.col("__row.key").alias("__kept_key"), F.col("__row.digest").alias("__kept_digest")).distinct()
+    same = named[key].eqNullSafe(F.col("__kept_key")) & (F.col("__digest") == F.col("__kept_digest"))
+    return named.join(verdict, same, "left_semi").drop("__digest")
