@@ -13,7 +13,7 @@ from tests.llm.cases import words
 from tests.llm.test_duplicates import brute_repeats, brute_simhash, grouped
 from tests.llm.test_rules_and_scores import verdicts
 from tests.llm.test_tokens import PATH, check_packing, ids_of
-from tidemark.llm import attention, packing
+from tidemark.llm import attention, packing, resharding
 from tidemark.llm.common import stored
 from tidemark.llm.queries import GOOD, ORACLES, QUERIES
 
@@ -72,6 +72,21 @@ def test_op4(spark, documents):
         assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sizes[k]))
 
 
+def test_op4_moves_the_whole_table(spark, documents, monkeypatch):
+    """The files of the new shards and those that stay hold every column of the documents."""
+    seen, reshard = [], resharding.reshard
+
+    def watched(docs, *args):
+        seen.append(reshard(docs, *args))
+        return seen[0]
+
+    monkeypatch.setattr(resharding, "reshard", watched)
+    QUERIES["op4_flow_resharding"](spark, DIR)
+    columns = documents[0].__fields__
+    assert set(columns) <= set(seen[0].columns)
+    assert sorted(map(tuple, seen[0].select(*columns).collect())) == sorted(map(tuple, documents))
+
+
 def test_op7_op8(spark, documents):
     fp = {r["doc_id"]: brute_simhash(r["text"]) for r in documents}
     pairs = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2]
