@@ -1,10 +1,10 @@
-"""Packing documents into token sequences by a configuration linear program.
+"""Packing documents into token sequences by configurations, greedily with multiplicative weights.
 
-A configuration is a multiset of lengths that fits into one sequence.  The linear program asks
-for the smallest total of configurations that covers the histogram of lengths; multiplicative
-weights solve it: a length gains weight while it is covered less than the others, and the best
-configuration for the weights is found by a knapsack dynamic program.  Amounts are rounded
-down to whole sequences, and what is left is packed best fit, longest first.  All of this works on the
+A configuration is a multiset of lengths that fits into one sequence.  A length gains weight
+while it is covered less than the others, and the best configuration for the weights is found
+by a knapsack dynamic program.  No fractional program is solved: each round takes whole numbers
+of configurations that fill a sequence exactly, and what is left in the end is packed best fit,
+longest first.  All of this works on the
 histogram (at most one entry for each length up to the capacity), whatever the number of
 documents.  Tasks then look up the sequence of every piece by its rank among equal lengths.
 """
