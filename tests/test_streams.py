@@ -102,3 +102,17 @@ def test_weekly_windows_count_files_out_of_order(spark, tmp_path):
     final = stream_queries.stream_weekly_windows(spark, str(tmp_path), files_per_batch=1)
     assert final.agg(F.sum("n")).first()[0] == 200
     assert final.count() == final.select("week_start").distinct().count() == 30
+
+
+def test_an_arrival_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No arrival goes through one task, and each is one batch."""
+    rows = spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=k), k % 2, "e", 1.0) for k in range(700)], fx.COLUMNS["events"])
+    rows.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(stream_queries, "ensure_checkpoint_dir", lambda spark: str(tmp_path))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        final = stream_queries.stream_late_events(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert final.agg(F.sum("n")).first()[0] > 600
+    assert len(list(tmp_path.glob("stream-*/in/part-*"))) > 5

@@ -73,6 +73,8 @@ def stream_running_accuracy(spark, d):
 # Events that are handed over after all others, and how late the windows may still take them.
 _LATE = "event_id % 7 = 3"
 _LATENESS = 10
+# More files than an arrival can have.
+_WHOLE = 2**31 - 1
 
 
 @query("stream_late_events", f"""
@@ -81,7 +83,7 @@ mark AS (SELECT max(ts) - INTERVAL {_LATENESS} DAY AS closed FROM e WHERE NOT la
 SELECT week_start, event_type, count(value) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
 FROM e, mark WHERE NOT late OR week_start + INTERVAL 7 DAY > closed GROUP BY 1, 2""", "total")
 def stream_late_events(spark, d):
-    """Weekly windows over events that arrive in several files, one a batch, the last of them late.
+    """Weekly windows over events that arrive in several batches of files, the last of them late.
 
     Late rows count as long as their week has not closed behind the watermark.
     """
@@ -90,12 +92,12 @@ def stream_late_events(spark, d):
         F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("decimal(18,2)").alias("value"),
         F.expr(_LATE).alias("late"), F.dayofmonth("ts").alias("day"),
     )
-    # Arrivals in order of time, in one file each; then the late ones.
+    # Arrivals in order of time, then the late ones; each is written by all its tasks and read as one batch.
     for part in (*[f"NOT late AND day BETWEEN {a} AND {b}" for a, b in ((1, 9), (10, 18), (19, 28), (29, 31))], "late"):
-        events.where(part).drop("late", "day").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    timed = streams.read_files(spark, f"{base}/in", "ts timestamp, event_type string, value decimal(18,2)", files_per_batch=1)
-    windows = streams.weekly_windows(timed, "ts", ["event_type"], "value", f"{_LATENESS} days")
-    streams.write_batches(windows, f"{base}/out", f"{base}/state", "update").awaitTermination()
+        events.where(part).drop("late", "day").write.mode("append").parquet(f"{base}/in")
+        timed = streams.read_files(spark, f"{base}/in", "ts timestamp, event_type string, value decimal(18,2)", files_per_batch=_WHOLE)
+        windows = streams.weekly_windows(timed, "ts", ["event_type"], "value", f"{_LATENESS} days")
+        streams.write_batches(windows, f"{base}/out", f"{base}/state", "update").awaitTermination()
     schema = T.StructType([*windows.schema.fields, T.StructField("batch_id", T.IntegerType())])
     final = streams.latest(streams.read_batches(spark, f"{base}/out", schema), ["week_start", "event_type"], F.col("batch_id"))
     return final.select(
