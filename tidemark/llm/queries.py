@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import attention, one_permutation, packing, quality_rules, resharding, simhash, suffix_trees, token_counts, transducer, warc
+from tidemark.llm import (
+    attention,
+    filter_audit,
+    one_permutation,
+    packing,
+    piece_prefixes,
+    quality_rules,
+    resharding,
+    simhash,
+    spelling,
+    suffix_trees,
+    token_counts,
+    transducer,
+    warc,
+)
 from tidemark.llm.common import new_folder
 from tidemark.storage import ship_package
 
@@ -178,3 +192,76 @@ def op9_attention_quality(spark, sf_dir):
 @query
 def op10_configuration_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op11_spelling_chunks(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def _spelling_sql() -> str:
+    """Checksums by shifts of single bits, near words by their common deletions."""
+    return f"""WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{{spelling.LEAST_CHARS},}}')) AS run FROM documents),
+k AS (SELECT id, run, count(*) AS c FROM runs GROUP BY id, run),
+b AS (SELECT run, c, flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS bytes FROM k),
+h AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(bytes, lambda x: [CAST(x AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, (s & 1) * 3988292384) END)) AS h FROM b),
+words AS (SELECT CASE WHEN h % {spelling.NOISE} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n
+    FROM h GROUP BY 1 HAVING sum(c) >= {spelling.LEAST_COUNT} AND length(word) >= {spelling.LEAST_CHARS}),
+gaps AS (SELECT word, n, pos, CASE WHEN pos < 0 THEN word ELSE left(word, pos) || substr(word, pos + 2) END AS gap FROM (SELECT word, n, unnest(range(-1, length(word))) AS pos FROM words)),
+near AS (SELECT DISTINCT x.word, y.word AS near, y.n AS m FROM gaps AS x JOIN gaps AS y ON x.gap = y.gap AND x.word <> y.word AND (x.pos = y.pos OR x.pos < 0 OR y.pos < 0)),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+named AS (SELECT word, m, n_near, min(near) AS near FROM best JOIN near USING (word, m) GROUP BY word, m, n_near),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {spelling.LEAST_RATIO} * n THEN near END AS form, CASE WHEN m >= {spelling.LEAST_RATIO} * n THEN m END AS form_n
+    FROM words LEFT JOIN named USING (word)),
+walk AS (SELECT word, word AS root FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NOT NULL),
+ends AS (SELECT walk.word, root FROM walk JOIN forms ON forms.word = root WHERE forms.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)"""
+
+
+ORACLES["op11_spelling_chunks"] = _spelling_sql()
+
+
+@query
+def op12_filter_ranks(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _filter_ranks_sql() -> str:
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    letters = "(VALUES ('A'), ('B'), ('C'), ('D'), ('E'))"
+    return f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+w AS (SELECT d.*, first, CASE WHEN trim(t, {spaces}) = '' THEN [] ELSE regexp_split_to_array(trim(t, {spaces}), '[ \\t-\\r]+') END AS w FROM d JOIN firsts USING (t)),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS fails
+    FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+p AS (SELECT a || b || c || e || g AS filter_order FROM {letters} AS v1(a), {letters} AS v2(b), {letters} AS v3(c), {letters} AS v4(e), {letters} AS v5(g)
+    WHERE len(list_distinct([a, b, c, e, g])) = 5),
+s AS (SELECT part, filter_order, step, filter_order[step] AS letter, fails, n, good, toxic, position(filter_order[step] IN fails) > 0 AS hit,
+    length(translate(fails, filter_order[1:step - 1], '')) = length(fails) AS alive FROM m, p, range(1, 6) AS r(step)),
+o AS (SELECT part, filter_order, step, letter, CAST(sum(CASE WHEN alive AND NOT hit THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN alive AND hit THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN hit AND NOT alive THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS BIGINT) AS unique_fails, CAST(sum(CASE WHEN alive AND hit THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN alive AND hit THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM s GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM o"""
+
+
+ORACLES["op12_filter_ranks"] = _filter_ranks_sql()
+
+@query
+def op13_piece_prefixes(spark, sf_dir):
+    coded = piece_prefixes.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
