@@ -187,9 +187,9 @@ def block_residuals(z: DataFrame, loadings: DataFrame, lags: DataFrame, value: s
     )
 
 
-def em_converged(trace: DataFrame, threshold: float = 1e-4) -> DataFrame:
-    """Relative likelihood change per iteration; the rule holds from the fourth one on."""
-    run = Window.partitionBy("model", "est_vintage").orderBy("iteration")
+def em_converged(trace: DataFrame, threshold: float = 1e-4, keys: list[str] = ["model", "est_vintage"]) -> DataFrame:
+    """Relative likelihood change per iteration; the rule holds from the fourth one on.  ``keys`` name a fit."""
+    run = Window.partitionBy(*keys).orderBy("iteration")
     now, before = F.col("loglik"), F.lag("loglik").over(run)
     level = (F.abs(now) + F.abs(before)) / 2
     return trace.withColumn("change", F.try_divide(F.abs(now - before), level)).withColumns(

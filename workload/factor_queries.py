@@ -147,24 +147,28 @@ def em_converged(spark, d):
     return factor.em_converged(trace, 0.01)
 
 
-@query("local_level", """
+def local_level_sql(source: str, by: str) -> str:
+    """The filter with variances 4 and 25 as a recursion over the rows of ``source`` in order of period."""
+    k = ", ".join(f"k.{c}" for c in by.split(", "))
+    on = " AND ".join(f"d.{c} = k.{c}" for c in by.split(", "))
+    return f"""
 WITH RECURSIVE numbered AS (
-  SELECT model, vintage, series_id, value,
-    CAST(row_number() OVER (PARTITION BY model, vintage, series_id ORDER BY period) AS INTEGER) AS n FROM dense),
+  SELECT {by}, value, CAST(row_number() OVER (PARTITION BY {by} ORDER BY period) AS INTEGER) AS n FROM {source}),
 k AS (
-  SELECT DISTINCT model, vintage, series_id, 0 AS n, CAST(0 AS DOUBLE) AS a, CAST(1e6 AS DOUBLE) AS p,
-    CAST(0 AS DOUBLE) AS ll, 0 AS hits FROM numbered
+  SELECT DISTINCT {by}, 0 AS n, CAST(0 AS DOUBLE) AS a, CAST(1e6 AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS ll, 0 AS hits FROM numbered
   UNION ALL
-  SELECT k.model, k.vintage, k.series_id, d.n,
+  SELECT {k}, d.n,
     CASE WHEN value IS NULL THEN a ELSE a + (p + 4) / (p + 4 + 25) * (value - a) END,
     CASE WHEN value IS NULL THEN p + 4 ELSE (p + 4) * 25 / (p + 4 + 25) END,
     CASE WHEN value IS NULL THEN ll
       ELSE ll - 0.5 * (ln(p + 4 + 25) + (value - a) * (value - a) / (p + 4 + 25)) END,
     CASE WHEN value IS NULL THEN hits ELSE hits + 1 END
-  FROM k JOIN numbered d ON d.model = k.model AND d.vintage = k.vintage AND d.series_id = k.series_id
-    AND d.n = k.n + 1)
-SELECT model, vintage, series_id, a AS level, p AS variance, ll AS loglik, hits AS observations
-FROM k WHERE n = (SELECT max(n) FROM numbered)""", "level variance loglik")
+  FROM k JOIN numbered d ON {on} AND d.n = k.n + 1)
+SELECT {by}, a AS level, p AS variance, ll AS loglik, hits AS observations
+FROM k WHERE n = (SELECT max(n) FROM numbered)"""
+
+
+@query("local_level", local_level_sql("dense", "model, vintage, series_id"), "level variance loglik")
 def local_level(spark, d):
     return factor.local_level(fx.dense(spark, d), 4.0, 25.0)
 
