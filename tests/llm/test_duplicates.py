@@ -221,6 +221,48 @@ def test_near_copies_against_brute_force(spark, messy, empty):
     assert near_copies.keep_one(empty).count() == 0
 
 
+def edited_copies(n, edits, size=300):
+    rng = random.Random(n)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    for k in range(n):
+        text = base[:]
+        for _ in range(edits):
+            text[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+        yield k, " ".join(text)
+
+
+def test_pairs_of_one_group_grow_with_its_texts(spark, monkeypatch):
+    counts, check = [], near_copies._checked
+
+    def watched(pairs, sets):
+        counts[-1] += pairs.count()
+        return check(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "_checked", watched)
+    for n in (200, 400, 800):
+        counts.append(0)
+        rows = list(edited_copies(n, 3))
+        kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert [r["doc_id"] for r in kept.collect()] == [0]
+    assert all(c <= near_copies.BANDS * n for c, n in zip(counts, (200, 400, 800)))
+    assert counts[2] < 3 * counts[1] < 9 * counts[0]  # four times as many if all pairs were listed
+
+
+def test_fingerprints_discard_no_similar_pair():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 2000))
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        y = np.concatenate([x[: n - int(n * rng.random() * 0.3)], rng.integers(0, 1 << 63, int(n * rng.random() * 0.2)).astype(np.uint64)])
+        both, either = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+        a, b = near_copies.fingerprint(x), near_copies.fingerprint(y)
+        differ = int(np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum())
+        assert differ <= either - both
+        assert np.abs(near_copies.distances(a) - near_copies.distances(b)).max() <= differ
+        if 100 * both >= 80 * either:
+            assert 180 * differ <= 20 * (len(x) + len(y))
+
+
 def test_the_stage_keeps_no_near_copy(spark):
     import corpus_pipeline
 

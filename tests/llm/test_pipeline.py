@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.cases import words
-from tests.llm.test_duplicates import brute_repeats, brute_simhash, grouped
+from tests.llm.test_duplicates import brute_repeats, brute_simhash, grouped, kept_by_brute_force
 from tests.llm.test_rules_and_scores import verdicts
 from tests.llm.test_tokens import PATH, check_packing, ids_of
 from tidemark.llm import attention, packing, resharding
@@ -101,13 +101,12 @@ def test_pipeline_against_brute_force(spark, documents):
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
     good = {v[0] for v in verdicts(documents) if v[-1]}
     docs = [r for r in documents if r["doc_id"] in good]
-    frame = spark.createDataFrame(docs)
-    model = attention.train(frame, labels)
+    model = attention.train(spark.createDataFrame(documents), labels)
     score = {r["doc_id"]: float(model.score(*attention.passages([r["text"].encode()]))[0]) for r in docs}
     docs = [r for r in docs if score[r["doc_id"]] >= GOOD]
-    fp = {r["doc_id"]: brute_simhash(r["text"]) for r in docs}
-    root = grouped([(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2], fp)
-    docs = [r for r in docs if root[r["doc_id"]] == r["doc_id"]]
+    left = kept_by_brute_force(docs)
+    assert 0 < len(left) < len(docs)
+    docs = [r for r in docs if r["doc_id"] in left]
     cut = brute_repeats([(r["doc_id"], r["text"]) for r in docs])
     texts = [(r["doc_id"], cut[r["doc_id"]][2] if cut[r["doc_id"]][1] else r["text"]) for r in docs]
     assert 50 < len(texts) < len(documents)
