@@ -111,6 +111,16 @@ def test_reshard(spark, old, new):
     check_shards(got, docs, new)
 
 
+def test_columns_of_any_name(spark):
+    names = ["first", "end", "base", "hit", "moved", "shard", "class", "rows", "lo", "extra"]
+    docs = spark.createDataFrame([(k, "t" * (k % 7), *range(10)) for k in range(60)], "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names)).repartition(3)
+    first = new_folder(spark, "old")
+    resharding.lay_out(docs, first, F.lit(0))
+    got = resharding.reshard(docs, first, new_folder(spark, "new"), 4)
+    check_shards(got.collect(), docs, 4)
+    assert sorted(map(tuple, got.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_reshard_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, extra string")
     first = new_folder(spark, "old")

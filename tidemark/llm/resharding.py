@@ -147,7 +147,8 @@ def reshard(docs: DataFrame, old: str, new: str, shards: int) -> DataFrame:
     """Move the table laid out below ``old`` to ``shards`` shards; returns its rows with __new_shard and __slot.
 
     ``docs`` gives the columns.  Files that lose rows are written again below ``new``, in the
-    shards their rows belong to; the other files are read where they are.  Slots of a shard
+    shards their rows belong to; the other files are read where they are.  Columns keep whatever
+    names they have (names that begin with two underscores are the library's).  Slots of a shard
     count from 0 without a gap.  Repeated rows, NULLs and an empty table need no special care:
     a row is known by its file and its place there.
     """
@@ -158,9 +159,11 @@ def reshard(docs: DataFrame, old: str, new: str, shards: int) -> DataFrame:
     runs = stored(runs.join(hit, "__file"), "placements")
 
     def put(where: str) -> DataFrame:
-        at = (F.col("__row") >= F.col("first")) & (F.col("__row") < F.col("end"))
-        there = rows.join(runs.filter(where).withColumnRenamed("__file", "__of"), (F.col("__file") == F.col("__of")) & at)
-        return there.select(*docs.columns, SIZE, NEW, (F.col("base") + F.col("__row")).alias(SLOT))
+        # The documents may have columns of any name, so those of the runs get names of their own.
+        run = runs.filter(where).select(F.col("__file").alias("__of"), NEW, *(F.col(c).alias(f"__run_{c}") for c in ("first", "end", "base")))
+        at = (F.col("__row") >= F.col("__run_first")) & (F.col("__row") < F.col("__run_end"))
+        there = rows.join(run, (F.col("__file") == F.col("__of")) & at)
+        return there.select(*docs.columns, SIZE, NEW, (F.col("__run_base") + F.col("__row")).alias(SLOT))
 
     put("hit").write.partitionBy(NEW).parquet(new)
     return spark.read.schema(_with(docs, SIZE, NEW, SLOT)).parquet(new).select(*docs.columns, SIZE, NEW, SLOT).unionByName(put("NOT hit"))
