@@ -179,3 +179,11 @@ def test_optimal_on_tiny_instances():
     # 3 + 3 + 4 = 10 and 6 + 4: best fit, longest first, needs one sequence more without looking ahead.
     assert sum(n for _, n in packing.pack_histogram({6: 2, 4: 2, 3: 4, 2: 0}, 10)) <= 4
     assert sum(n for _, n in packing.pack_histogram({5: 4, 10: 1}, 10)) == 3
+
+
+def test_digests_stored_twice_count_once(spark, messy):
+    cache = new_folder(spark, "cache")
+    first = token_counts.count_tokens(messy, cache, PATH).collect()
+    spark.read.parquet(cache).limit(10).write.mode("append").partitionBy("version").parquet(cache)
+    again = token_counts.count_tokens(messy, cache, PATH).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, first))

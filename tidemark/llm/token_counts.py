@@ -52,7 +52,7 @@ def count_tokens(
 ) -> DataFrame:
     """(key, n_bytes, n_tokens) of every row of ``docs``.
 
-    ``cache`` is a folder that all executors share; one job at a time may append to it.
+    ``cache`` is a folder that all executors share; a digest that it holds twice counts once.
     ``normalise`` must not change the count of a text under this tokenizer; the default
     leaves texts as they are.  A NULL text is empty: no bytes, no tokens.  Rows keep their
     number: equal texts, equal or NULL keys and repeated rows each give their own row.  All
@@ -72,5 +72,6 @@ def count_tokens(
     misses = distinct.join(known, "digest", "left_anti").select("digest", "text")
     counted = misses.mapInArrow(_counter(tokenizer), "digest binary, n_tokens bigint")
     counted.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
-    known = read_cache(spark, cache, version).select("digest", "n_tokens")
+    # Two writers may have stored a digest twice: one count each, on the partitioning of the join.
+    known = read_cache(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.join(known, "digest", "left").select(key, "n_bytes", "n_tokens")
