@@ -156,3 +156,66 @@ def test_awkward_rows(spark, messy, empty):
     assert attention.scored(empty, model).count() == 0
     none = attention.train(messy, labels.filter("doc_id < 0"))
     assert {r["score"] for r in attention.scored(messy, none).collect()} == {0.5}
+
+
+def plain_score(model, x):
+    """One document, one passage after the other."""
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    hidden, logits = [], []
+    for row in x:
+        row = np.clip((row - model.mean) / model.scale, -8, 8)
+        h = np.array([np.tanh(sum(row[i] * w["encode"][i][k] for i in range(len(row))) + w["encode_bias"][k]) for k in range(len(w["encode_bias"]))])
+        look = np.tanh(h @ w["look"])
+        gate = 1 / (1 + np.exp(-(h @ w["gate"] + w["gate_bias"])))
+        hidden.append(h)
+        logits.append(float((look * gate) @ w["attend"]))
+    weights = np.exp(np.array(logits) - max(logits))
+    z = sum(a * h for a, h in zip(weights / weights.sum(), hidden))
+    return 1 / (1 + np.exp(-float(z @ w["judge"] + w["judge_bias"][0])))
+
+
+def small_model(seed=1, bags=(1, 3, 2, 5, 1, 4)):
+    rng = np.random.default_rng(seed)
+    bag = np.concatenate([[0], np.cumsum(bags)])
+    x = rng.normal(size=(bag[-1], attention.WIDTH))
+    y = np.arange(len(bags)) % 2 * 1.0
+    model = attention.fit(x, bag, y, epochs=15)
+    return x, bag, y, attention.Model(model.mean.astype(float), model.scale.astype(float), {k: v.astype(float) for k, v in model.weights.items()})
+
+
+def test_scores_against_single_passages():
+    x, bag, _, model = small_model()
+    got = model.score(x, bag)
+    assert got == pytest.approx([plain_score(model, x[a:b]) for a, b in zip(bag, bag[1:])])
+
+
+def test_gradient_against_differences():
+    x, bag, y, model = small_model(3)
+
+    def loss():
+        s = model.score(x, bag)
+        return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
+
+    grad = attention.gradient(model, x, bag, y)
+    rng = np.random.default_rng(0)
+    for name, w in model.weights.items():
+        for _ in range(5):
+            at = tuple(rng.integers(0, n) for n in w.shape)
+            kept = w[at]
+            w[at] = kept + 1e-5
+            up = loss()
+            w[at] = kept - 1e-5
+            down = loss()
+            w[at] = kept
+            assert np.asarray(grad[name])[at] == pytest.approx((up - down) / 2e-5, abs=1e-7), name
+
+
+def test_fit_is_bounded_in_rows_and_passages(spark):
+    """Rows that repeat a key are one document; long ones give passages from all over."""
+    rows = [(k % 5, "good words here " * 10 + str(k % 3)) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id bigint, quality int")
+    _, bag, y = attention._sampled(docs, labels, "doc_id", "text", "quality", 2000)
+    assert len(y) <= 5 and len(bag) == len(y) + 1
+    x = np.arange(2000.0)[:, None]
+    assert attention.spaced(x, 100)[:, 0].tolist() == list(range(0, 2000, 20)) and len(attention.spaced(x[:40], 100)) == 40

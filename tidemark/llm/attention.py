@@ -27,6 +27,8 @@ HASHED = 16
 HIDDEN, GATE = 16, 8
 #: Bound on the labelled documents that the network is fitted on.
 SAMPLE = 2000
+#: Bound on the passages of one of them in the fit; longer documents give so many at equal distances. All are scored.
+FIT_PASSAGES = 512
 EPOCHS, RATE, DECAY = 120, 0.03, 1e-3
 
 #: Characters that count as symbols, and others that end sentences or clauses.
@@ -117,6 +119,28 @@ class Model:
         return self.forward(x, bag)["score"]
 
 
+def gradient(model: Model, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the mean log loss in every weight."""
+    sizes, at = np.diff(bag), bag[:-1]
+    f = model.forward(x, bag)
+    w = model.weights
+    error = (f["score"] - y) / len(y)
+    grad = {"judge": f["z"].T @ error, "judge_bias": np.array([error.sum()])}
+    dz = error[:, None] * w["judge"]
+    dz_each = np.repeat(dz, sizes, axis=0)
+    da = (dz_each * f["h"]).sum(axis=1)
+    mean_da = np.repeat(np.add.reduceat(f["a"] * da, at), sizes)
+    dlogit = f["a"] * (da - mean_da)
+    grad["attend"] = (f["t"] * f["g"]).T @ dlogit
+    dt = dlogit[:, None] * w["attend"] * f["g"] * (1 - f["t"] ** 2)
+    dg = dlogit[:, None] * w["attend"] * f["t"] * f["g"] * (1 - f["g"])
+    grad["look"], grad["gate"], grad["gate_bias"] = f["h"].T @ dt, f["h"].T @ dg, dg.sum(axis=0)
+    dh = f["a"][:, None] * dz_each + dt @ w["look"].T + dg @ w["gate"].T
+    dh *= 1 - f["h"] ** 2
+    grad["encode"], grad["encode_bias"] = f["x"].T @ dh, dh.sum(axis=0)
+    return grad
+
+
 def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fit by gradient descent (Adam) on the log loss of document labels; the same data gives the same model.
 
@@ -147,24 +171,8 @@ def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, see
         return model
     first = {k: np.zeros_like(v) for k, v in weights.items()}
     second = {k: np.zeros_like(v) for k, v in weights.items()}
-    sizes, at = np.diff(bag), bag[:-1]
     for step in range(1, epochs + 1):
-        f = model.forward(x, bag)
-        w = model.weights
-        error = (f["score"] - y) / len(y)
-        grad = {"judge": f["z"].T @ error, "judge_bias": np.array([error.sum()])}
-        dz = error[:, None] * w["judge"]
-        dz_each = np.repeat(dz, sizes, axis=0)
-        da = (dz_each * f["h"]).sum(axis=1)
-        mean_da = np.repeat(np.add.reduceat(f["a"] * da, at), sizes)
-        dlogit = f["a"] * (da - mean_da)
-        grad["attend"] = (f["t"] * f["g"]).T @ dlogit
-        dt = dlogit[:, None] * w["attend"] * f["g"] * (1 - f["t"] ** 2)
-        dg = dlogit[:, None] * w["attend"] * f["t"] * f["g"] * (1 - f["g"])
-        grad["look"], grad["gate"], grad["gate_bias"] = f["h"].T @ dt, f["h"].T @ dg, dg.sum(axis=0)
-        dh = f["a"][:, None] * dz_each + dt @ w["look"].T + dg @ w["gate"].T
-        dh *= 1 - f["h"] ** 2
-        grad["encode"], grad["encode_bias"] = f["x"].T @ dh, dh.sum(axis=0)
+        w, grad = model.weights, gradient(model, x, bag, y)
         for k, g in grad.items():
             if not k.endswith("bias"):
                 g = g + DECAY * w[k] / 10
@@ -174,6 +182,11 @@ def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, see
     return model
 
 
+def spaced(x: np.ndarray, limit: int = FIT_PASSAGES) -> np.ndarray:
+    """At most ``limit`` rows of a document's passages, at equal distances over the whole of it."""
+    return x if len(x) <= limit else x[np.arange(limit) * len(x) // limit]
+
+
 def _sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passages and labels of at most ``sample`` labelled documents, picked by a hash of the key among those in ``docs``."""
     doc = F.col(key).cast("bigint")
@@ -181,14 +194,15 @@ def _sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     known = known.filter(F.crc32(F.col("doc").cast("string").cast("binary")) % 5 != 0).groupBy("doc").agg(F.min("label").alias("label"))
     plain = docs.select(doc.alias("doc"), text_of(docs, text).alias("text"))
     picked = known.join(plain.select("doc"), "doc", "left_semi").orderBy(F.xxhash64("doc"), "doc").limit(sample)
-    chosen = plain.join(picked, "doc").select("doc", "label", "text")
+    # Rows that repeat a key are one document, of the first of its texts, so the bound holds for rows too.
+    chosen = plain.join(picked, "doc").groupBy("doc", "label").agg(F.min("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch):
                 x, bag = passages(texts)
                 x = x.astype("<f4")
-                rows = [x[a:b].tobytes() for a, b in zip(bag[:-1].tolist(), bag[1:].tolist())]
+                rows = [spaced(x[a:b]).tobytes() for a, b in zip(bag[:-1].tolist(), bag[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("label"), pa.array(rows, pa.binary())], names=["doc", "label", "x"])
 
     rows = chosen.mapInArrow(encode, "doc bigint, label int, x binary").collect()
