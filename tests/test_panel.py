@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tests.helpers import day, month, obs_frame, series_of, spec_frame
 from tidemark.functions import calendar as cal
 from tidemark.operators import panel
-from tidemark.operators.spline import spline_through
 
 CODES = ["lin", "chg", "ch1", "pch", "pc1", "pca", "log", "cch", "cca"]
 
@@ -99,19 +98,49 @@ def test_standardise_and_back(spark):
     assert back["a"][day("2000-04-01")] == pytest.approx(10)
 
 
-def test_spline_is_exact_on_cubics_and_keeps_knots():
-    t = np.arange(30.0)
-    y = 0.3 * t**3 - 2 * t**2 + t - 5
-    x = y.copy()
-    x[[0, 1, 5, 6, 7, 12, 20, 29]] = np.nan
-    out = spline_through(x)
-    inside = slice(2, 29)
-    assert np.allclose(out[inside], y[inside])
-    assert np.isnan(out[[0, 1, 29]]).all()
-    for known in ([3, 9], [3, 9, 14]):
-        x = np.full(20, np.nan)
-        x[known] = (np.array(known) - 4.0) ** (len(known) - 1)
-        assert np.allclose(spline_through(x)[3:9], (np.arange(3, 9) - 4.0) ** (len(known) - 1))
+def spline_through(values):
+    """The spline by a dense solve: second derivatives m, third derivative continuous at the end knots."""
+    out = np.array(values, float)
+    t = np.flatnonzero(~np.isnan(out)).astype(float)
+    n = len(t)
+    if n < 2:
+        return out
+    y, h = out[t.astype(int)], np.diff(t)
+    m = np.zeros(n)
+    if n > 2:
+        lhs, rhs = np.zeros((n, n)), np.zeros(n)
+        for i in range(1, n - 1):
+            lhs[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            rhs[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+        lhs[0, :3], lhs[-1, -3:] = (h[1], -h[0] - h[1], h[0]), (h[-1], -h[-2] - h[-1], h[-2])
+        if n == 3:
+            lhs[0], lhs[2] = (1, -1, 0), (0, 1, -1)
+        m = np.linalg.solve(lhs, rhs)
+    for k in range(n - 1):
+        for x in range(int(t[k]) + 1, int(t[k + 1])):
+            u, v = (t[k + 1] - x) / h[k], (x - t[k]) / h[k]
+            out[x] = u * y[k] + v * y[k + 1] + ((u**3 - u) * m[k] + (v**3 - v) * m[k + 1]) * h[k] ** 2 / 6
+    return out
+
+
+def test_spline_against_a_dense_solve(spark):
+    rng = np.random.default_rng(12)
+    t = np.arange(40.0)
+    series = {"cubic": 0.3 * t**3 - 2 * t**2 + t - 5, "all": rng.normal(size=40), "none": np.full(40, np.nan)}
+    series["cubic"][[0, 1, 5, 6, 7, 12, 20, 39]] = np.nan
+    for k in (1, 2, 3, 4, 5, 9, 25):
+        x = np.full(40, np.nan)
+        at = rng.choice(40, k, replace=False)
+        x[at] = rng.normal(size=k) * 10
+        series[f"k{k}"] = x
+    frame = obs_frame(spark, {n: [None if np.isnan(v) else v for v in x] for n, x in series.items()})
+    got = series_of(panel.interpolate_cubic(panel.dense_monthly(frame)))
+    for name, x in series.items():
+        if name in got:
+            want = [None if np.isnan(v) else v for v in spline_through(x)]
+            assert [got[name][month("2000-01-01", k)] for k in range(40)] == [w if w is None else pytest.approx(w, rel=1e-9, abs=1e-9) for w in want], name
+    assert len(got) == len(series) - 1  # a series without values has no rows
+    assert "InPandas" not in panel.interpolate_cubic(panel.dense_monthly(frame))._jdf.queryExecution().toString()
 
 
 def test_cubic_operator_and_fill_methods(spark):

@@ -8,13 +8,12 @@ the number of months in the calendar, not the number of source rows.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
 from tidemark.functions.labels import transformed_unit
-from tidemark.operators.spline import spline_through
+from tidemark.operators import spline
 from tidemark.schema import CELL, PANEL, SERIES
 
 
@@ -208,16 +207,21 @@ def interpolate_linear(dense: DataFrame, value: str = "value") -> DataFrame:
 def interpolate_cubic(dense: DataFrame, value: str = "value") -> DataFrame:
     """Not-a-knot cubic spline between a series' first and last observation.
 
-    One group is one series on the monthly calendar.
+    The knots' second derivatives come from one forward and one backward sweep over a series' knots; each
+    hole then takes those of its two neighbours by position.
     """
-    names = dense.columns
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("period", ignore_index=True)
-        pdf[value] = spline_through(pdf[value].to_numpy("float64", na_value=float("nan")))
-        return pdf[names]
-
-    return dense.groupBy(*SERIES).applyInPandas(fill, schema=dense.schema)
+    t = cal.month_index("period").cast("double")
+    knot = F.struct(t.alias("t"), F.col(value).cast("double").alias("y"))
+    knots = dense.where(F.col(value).isNotNull()).groupBy(*SERIES).agg(F.sort_array(F.collect_list(knot)).alias("_knots"))
+    bends = knots.select(*SERIES, spline.curvatures(F.col("_knots")).alias("_bends"))
+    seen = F.when(F.col(value).isNotNull(), knot)
+    upto, beyond = by_period().rowsBetween(Window.unboundedPreceding, 0), by_period().rowsBetween(0, Window.unboundedFollowing)
+    led = dense.join(bends, SERIES, "left").withColumns(
+        {"_a": F.last(seen, ignorenulls=True).over(upto), "_b": F.first(seen, ignorenulls=True).over(beyond), "_k": F.count(value).over(upto)}
+    )
+    k = F.col("_k").cast("int")
+    filled = spline.between(t, F.col("_a"), F.col("_b"), F.get("_bends", k - 1), F.get("_bends", k))
+    return led.withColumn(value, F.coalesce(F.col(value), filled)).select(*dense.columns)
 
 
 def fill_median(dense: DataFrame, value: str = "value") -> DataFrame:
