@@ -357,9 +357,11 @@ def nowcast(spark: SparkSession, sf_dir: str, variant: str = "a") -> DataFrame:
     early = F.col("vintage") < cal.quarter_start("quarter")
     steps = y.withColumn("y_old", F.lag("y_new").over(week)).where(F.col("y_old").isNotNull())
     change = F.col("y_new") - F.col("y_old")
+    # The part of a change that revisions make differs from week to week: one to four eighths.
+    eighths = (F.datediff("vintage", F.lit("1970-01-02").cast("date")) / 7).cast("int") % 4
     rows = steps.select(
         "model", "quarter", "vintage", "y_old", "y_new",
-        (0.25 * change).alias("impact_revisions"), (0.75 * change).alias("impact_releases"),
+        ((1 + eighths) / 8 * change).alias("impact_revisions"), ((7 - eighths) / 8 * change).alias("impact_releases"),
         F.when(early, "prev").otherwise("curr").alias("params_used"),
     )
     return score.score(rows, actuals(spark, sf_dir))

@@ -230,7 +230,8 @@ _SCORED = """
 SELECT r.model, r.quarter, r.vintage, y_old, y_new,
        actual - y_new AS error, abs(actual - y_new) AS abs_error,
        (actual - y_new) / nullif(actual, 0) AS perc_error,
-       0.25 * (y_new - y_old) AS impact_revisions, 0.75 * (y_new - y_old) AS impact_releases,
+       (1 + date_diff('day', DATE '1970-01-02', CAST(r.vintage AS DATE)) // 7 % 4) / 8 * (y_new - y_old) AS impact_revisions,
+       (7 - date_diff('day', DATE '1970-01-02', CAST(r.vintage AS DATE)) // 7 % 4) / 8 * (y_new - y_old) AS impact_releases,
        ((y_new - y_old) / 2) * ((y_new - y_old) / 2) AS step_variance,
        CASE WHEN r.vintage < q.q_start THEN 'prev' ELSE 'curr' END AS params_used
 FROM (SELECT model, quarter, vintage, {y} AS y_new,
