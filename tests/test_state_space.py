@@ -123,3 +123,30 @@ def test_empty_panel(spark):
     assert ss.local_level_scan(empty, steps_of(), 4.0, 25.0).count() == 0
     assert ss.smooth_levels(empty, steps_of(), 4.0, 25.0).count() == 0
     assert ss.fit_local_level(empty, steps_of(), 2).count() == 0
+
+
+def test_news_of_a_level_add_up(spark):
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for k in range(4):
+        old = [None if rng.random() < 0.3 else float(v) for v in rng.normal(size=30).cumsum()]
+        new = [(v + 0.5 if rng.random() < 0.2 else v) if v is not None else (float(rng.normal()) if rng.random() < 0.4 else None) for v in old]
+        rows += [(f"u{k}", t, a, b) for t, (a, b) in enumerate(zip(old, new), 100)]
+        rev = [b if a is not None else None for a, b in zip(old, new)]
+        want[f"u{k}"] = [kalman(x, 0.2, 1.0)[0][-1] for x in (old, rev, new)]
+        smooth = kalman(rev, 0.2, 1.0)[3]
+        want[f"u{k}"].append({100 + t: smooth[t + 1] for t, (a, b) in enumerate(zip(old, new)) if a is None and b is not None})
+    rows += [("same", t, 1.0 * t, 1.0 * t) for t in range(100, 105)] + [("gone", 100, 1.0, None), ("gone", 101, 2.0, 2.0)]
+    cells = spark.createDataFrame(rows, "u string, t bigint, old double, new double")
+    for width in (4, 64):
+        head, detail = ss.level_news(cells, ["u"], F.col("t"), 0.2, 1.0, width)
+        got = {r["u"]: r for r in head.collect()}
+        assert set(got) == {*want, "same", "gone"}
+        for u, (y_old, y_rev, y_new, forecasts) in want.items():
+            r = got[u]
+            assert (r["y_old"], r["y_rev"], r["y_new"]) == pytest.approx((y_old, y_rev, y_new))
+            assert (r["impact_revisions"], r["impact_releases"]) == pytest.approx((y_rev - y_old, y_new - y_rev), abs=1e-9)
+            released = {d["t"]: d["forecast"] for d in detail.where((F.col("u") == u) & (F.col("kind") == "release")).collect()}
+            assert released == {t: pytest.approx(f) for t, f in forecasts.items()} and len(released) == r["releases"] > 1
+        for u in ("same", "gone"):
+            assert (got[u]["impact_revisions"], got[u]["impact_releases"], got[u]["revisions"], got[u]["releases"]) == (0, 0, 0, 0)

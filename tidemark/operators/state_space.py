@@ -250,6 +250,72 @@ def smooth_levels(
     )
 
 
+def value_weights(paths: DataFrame, keys: list[str], levels: int, width: int = WIDTH) -> DataFrame:
+    """(keys, t, weight): what each value counts in the last filtered level; missing ones count 0.
+
+    A value enters with its step's gain, and every later value takes its own gain off what was there.
+    """
+    r = F.col("r")
+    gain = lambda x: F.when(x["x"].isNotNull(), x["spread"] / (x["spread"] + r)).otherwise(0.0)
+    back = F.reverse("path")
+    kept = F.aggregate(back, F.lit(1.0), lambda s, x: s * (1 - gain(x)))
+    items = paths.select(*keys, _positions(paths, True).alias("pos"), kept.alias("e"))
+    after = compositions(items, keys, lambda i, j: i * j, F.lit(1.0), levels, width)
+
+    def step(s: Column, x: Column) -> Column:
+        row = _struct(t=x["t"], weight=gain(x) * s["left"])
+        return _struct(left=s["left"] * (1 - gain(x)), out=F.array_append(s["out"], row))
+
+    start = _struct(left=F.col("before"), out=F.array().cast("array<struct<t:bigint, weight:double>>"))
+    led = paths.withColumn("pos", _positions(paths, True)).join(after, [*keys, "pos"])
+    return led.select(*keys, F.explode(F.aggregate(back, start, step)["out"]).alias("w")).select(*keys, "w.*")
+
+
+# ---------------------------------------------------------------- news
+
+
+def level_news(
+    cells: DataFrame, keys: list[str], t: Column, level_var: float, noise_var: float, width: int = WIDTH
+) -> tuple[DataFrame, DataFrame]:
+    """Each update of a local level's last step split over the cells behind it: (updates, changed cells).
+
+    ``cells`` has the old and new value of every step of a series up to the target step, one series for each of
+    ``keys``.  Old values that were revised are read again first (``y_old`` to ``y_rev``), then new ones are released.
+    A release counts by what the model did not expect of it, given all revised values; as the level is linear in the
+    values, weights come from the filter's gains, and revisions and releases add up to ``y_new`` exactly.  A
+    value that is withdrawn keeps its old reading.
+    """
+    old, new = F.col("old"), F.coalesce("new", "old")
+    views = F.array(
+        *(F.struct(F.lit(n).alias("view"), v.cast("double").alias("value")) for n, v in (("old", old), ("rev", F.when(old.isNotNull(), new)), ("new", new)))
+    )
+    plain = cells.select(*keys, t.cast("bigint").alias("t"), F.explode(views).alias("v")).select(*keys, "t", "v.*")
+    by = [*keys, "view"]
+    buckets = bucketed(plain, F.col("t"), "value", by, width)
+    levels = levels_of(buckets, width)
+    paths = materialise(filter_buckets(with_variances(buckets, level_var, noise_var), by, levels, width), "views")
+    end = F.element_at("path", -1)["a"]
+    at = paths.groupBy(*by).agg(F.max_by(end, "bucket").alias("y")).groupBy(*keys).agg(
+        *(F.max(F.when(F.col("view") == n, F.col("y"))).alias(f"y_{n}") for n in ("old", "rev", "new"))
+    )
+    weights = value_weights(paths.where("view <> 'old'"), by, levels, width)
+    expected = smooth_buckets(paths.where("view = 'rev'"), by, levels, width).select(*keys, F.explode("path").alias("s"))
+    expected = expected.select(*keys, "s.t", F.col("s.level").alias("expected"))
+    changed = cells.select(*keys, t.cast("bigint").alias("t"), "old", new.alias("actual")).where("NOT old <=> actual")
+    kind = F.when(F.col("old").isNull(), "release").otherwise("revision")
+    changed = changed.withColumn("kind", kind).withColumn("view", F.when(F.col("old").isNull(), "new").otherwise("rev"))
+    detail = changed.join(weights, [*by, "t"]).join(expected, [*keys, "t"]).withColumn(
+        "forecast", F.when(F.col("kind") == "release", F.col("expected")).otherwise(F.col("old"))
+    )
+    detail = detail.select(*keys, "t", "kind", "forecast", "actual", "weight", (F.col("weight") * (F.col("actual") - F.col("forecast"))).alias("impact"))
+    detail = materialise(detail, "news-cells")
+    sums = detail.groupBy(*keys).agg(
+        *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("impact"))), F.lit(0.0)).alias(f"impact_{k}s") for k in ("revision", "release")),
+        *(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("revision", "release")),
+    )
+    return at.join(sums, keys, "left").na.fill(0.0, ["impact_revisions", "impact_releases"]).na.fill(0, ["revisions", "releases"]), detail
+
+
 # ---------------------------------------------------------------- fitting
 
 

@@ -1,7 +1,10 @@
 """Queries over scalar state-space models: filter by scan, smoother and fit."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import calendar as cal
+from tidemark.operators import asof, news
 from tidemark.operators import state_space as ss
 from workload import fixtures as fx
 from workload.factor_queries import local_level_sql, stored_z
@@ -112,3 +115,63 @@ FROM (SELECT *, min(CASE WHEN converged THEN iteration END) OVER (PARTITION BY {
 def fit_local_level(spark, d):
     """Level and noise variance of every series by expectation maximisation, stopped by the rule on its own likelihood."""
     return ss.fit_local_level(stored_z(spark, d), ss.month_number(F.col("period")), ROUNDS, THRESHOLD, value="z")
+
+
+# ---------------------------------------------------------------- news of a model
+
+
+def total_cells(spark, d):
+    """Old and new published value of every month up to the end of the target quarter, for the total of each model."""
+    upto = Window.partitionBy("model", "period").orderBy("release_date")
+    events = fx.fact_events(spark, d).groupBy("model", "period", "release_date").agg(fx.wide_sum("amount").alias("amount"))
+    facts = events.select("model", F.lit("TOTAL").alias("series_id"), "period", "release_date", (fx.money(F.sum("amount").over(upto)) / 1000000).alias("value"))
+    known = asof.value_as_of(facts, fx.schedule(spark, d))
+    target = F.add_months(cal.quarter_start("quarter"), 2)
+    pairs = fx.pairs(spark, d)
+    cells = asof.pair_vintages(fx.schedule(spark, d), known, fx.available_vintages(spark, d)).drop("vintage_old", "series_id")
+    cells = cells.withColumn("t", ss.month_number(F.col("period")))
+    first = facts.groupBy("model").agg(F.min(ss.month_number(F.col("period"))).alias("first"))
+    steps = pairs.select("model", "quarter", "vintage", ss.month_number(target).alias("last")).join(first, "model")
+    steps = steps.withColumn("t", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    return steps.join(cells.drop("period"), ["model", "quarter", "vintage", "t"], "left")
+
+
+UPDATE = ["model", "quarter", "vintage"]
+
+_VIEWS = f"""
+WITH RECURSIVE total AS (SELECT model, period, release_date, sum(amount) AS amount FROM fact_events GROUP BY 1, 2, 3),
+known AS (SELECT model, period, release_date, CAST(sum(amount) OVER (PARTITION BY model, period ORDER BY release_date) AS DOUBLE) / 1000000 AS value FROM total),
+steps AS (SELECT p.model, p.quarter, p.vintage_old, p.vintage, CAST(first AS DATE) AS first, CAST(s.q_start + INTERVAL 2 MONTH AS DATE) AS last
+  FROM pairs p JOIN (SELECT DISTINCT quarter, q_start FROM schedule) s ON s.quarter = p.quarter JOIN (SELECT model, min(period) AS first FROM known GROUP BY 1) f ON f.model = p.model),
+grid AS (SELECT model, quarter, vintage_old, vintage, CAST(unnest(generate_series(first, last, INTERVAL 1 MONTH)) AS DATE) AS period FROM steps),
+cells AS (SELECT g.model, g.quarter, g.vintage, g.period, CAST(row_number() OVER (PARTITION BY g.model, g.quarter, g.vintage ORDER BY g.period) AS INTEGER) AS n,
+    max(value) FILTER (release_date <= vintage_old) AS old, max(value) FILTER (release_date <= g.vintage) AS new
+  FROM grid g LEFT JOIN known k ON k.model = g.model AND k.period = g.period AND k.release_date <= g.vintage GROUP BY 1, 2, 3, 4),
+views AS (SELECT *, 'old' AS view, old AS x FROM cells UNION ALL SELECT *, 'rev', CASE WHEN old IS NOT NULL THEN new END FROM cells UNION ALL SELECT *, 'new', new FROM cells),
+k AS (
+  SELECT DISTINCT model, quarter, vintage, view, 0 AS n, CAST(0 AS DOUBLE) AS a, CAST(1e6 AS DOUBLE) AS p FROM views
+  UNION ALL
+  SELECT k.model, k.quarter, k.vintage, k.view, d.n, CASE WHEN x IS NULL THEN a ELSE a + (p + 4) / (p + 4 + 25) * (x - a) END,
+    CASE WHEN x IS NULL THEN p + 4 ELSE (p + 4) * 25 / (p + 4 + 25) END
+  FROM k JOIN views d ON d.model = k.model AND d.quarter = k.quarter AND d.vintage = k.vintage AND d.view = k.view AND d.n = k.n + 1),
+ends AS (SELECT model, quarter, vintage, max(a) FILTER (view = 'old') AS y_old, max(a) FILTER (view = 'rev') AS y_rev, max(a) FILTER (view = 'new') AS y_new
+  FROM (SELECT *, max(n) OVER (PARTITION BY model, quarter, vintage) AS steps FROM k) WHERE n = steps GROUP BY 1, 2, 3)"""
+
+
+@query("model_news", _VIEWS + """
+SELECT e.model, e.quarter, e.vintage, y_old, y_rev, y_new, y_rev - y_old AS impact_revisions, y_new - y_rev AS impact_releases,
+  count(*) FILTER (old <> new) AS revisions, count(*) FILTER (old IS NULL AND new IS NOT NULL) AS releases
+FROM ends e JOIN cells c ON c.model = e.model AND c.quarter = e.quarter AND c.vintage = e.vintage GROUP BY ALL""",
+       "y_old y_rev y_new impact_revisions impact_releases")
+def model_news(spark, d):
+    """Updates of each model's level at the end of the target quarter; both impacts are sums over single cells.
+
+    The oracle takes them from whole filters of the three views instead.
+    """
+    return ss.level_news(total_cells(spark, d), UPDATE, F.col("t"), 4.0, 25.0)[0]
+
+
+@query("model_news_gaps", "SELECT model, quarter, count(*) AS checked, CAST(0 AS BIGINT) AS gaps FROM pairs GROUP BY 1, 2")
+def model_news_gaps(spark, d):
+    """Old figure, revisions and releases of the model add up to its new figure in every update."""
+    return news.check_decomposition(ss.level_news(total_cells(spark, d), UPDATE, F.col("t"), 4.0, 25.0)[0])
