@@ -45,6 +45,31 @@ def test_vintage_files_may_hold_different_series(spark, tmp_path):
     }
 
 
+def test_headers_are_read_by_file(spark, tmp_path):
+    write(tmp_path / "2017-01-06.csv", '\ufeff"Date","A, total",B\r\n2016-11-01,1,nan\r\n\r\n2016-12-01,"2",5\r\n')
+    write(tmp_path / "2017-01-13.csv", "B,Date\n6,2016-12-01")
+    for day_ in range(10, 30):
+        write(tmp_path / f"2018-01-{day_}.csv", f"Date,S{day_}\n2017-12-01,{day_}\n")
+    table = files.read_vintages(spark, str(tmp_path), "base")
+    got = {(str(r["vintage"]), r["series_id"], str(r["period"])): r["value"] for r in table.where("vintage < '2018-01-01'").collect()}
+    assert got == {
+        ("2017-01-06", "A, total", "2016-11-01"): 1, ("2017-01-06", "A, total", "2016-12-01"): 2, ("2017-01-06", "B", "2016-11-01"): None,
+        ("2017-01-06", "B", "2016-12-01"): 5, ("2017-01-13", "B", "2016-12-01"): 6,
+    }
+    assert table.select("series_id").distinct().count() == 22
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") == 1 and "Union" not in plan  # one scan whatever the headers
+    write(tmp_path / "2019-01-04.csv", "Day,A\n2018-12-01,1\n")
+    assert table.where("vintage = '2017-01-13'").count() == 1  # a file of another vintage is not opened
+    with pytest.raises(Exception, match="no column Date"):
+        files.read_vintages(spark, str(tmp_path), "base").collect()
+    write(tmp_path / "2019-01-04.csv", "Date,A\n2018-12-01,1,2\n")
+    with pytest.raises(Exception, match="more or fewer fields"):
+        files.read_vintages(spark, str(tmp_path), "base").collect()
+    with pytest.raises(ValueError, match="no vintage files"):
+        files.read_vintages(spark, str(tmp_path / "2017-01-06.csv").replace(".csv", ".txt") if (tmp_path / "2017-01-06.txt").write_text("x") else "", "base")
+
+
 def test_nan_becomes_null(spark):
     wide = spark.createDataFrame([(day("2017-01-01"), float("nan"), 1.0)], "Date date, a double, b double")
     got = {r["series_id"]: r["value"] for r in files.wide_to_long(wide, []).collect()}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,21 +33,21 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return reader.csv(paths).toDF(*[n.strip() for n in names])
 
 
-def number(column: str) -> Column:
+def _typed(column: str | Column, kind: str, blanks: tuple[str, ...], what: str) -> Column:
+    text = F.trim(F.col(f"`{column}`") if isinstance(column, str) else column)
+    value = text.try_cast(kind)
+    bad = F.raise_error(F.concat(F.lit(f"{column}: not a {what}: " if isinstance(column, str) else f"not a {what}: "), text)).cast(kind)
+    return F.when(text.isNull() | F.lower(text).isin(*blanks), F.lit(None).cast(kind)).when(value.isNull(), bad).otherwise(value)
+
+
+def number(column: str | Column) -> Column:
     """A text column as numbers; empty and NaN are NULL, anything else that is no number is an error."""
-    text = F.trim(F.col(f"`{column}`"))
-    value = F.expr(f"try_cast(trim(`{column}`) AS double)")
-    bad = F.raise_error(F.concat(F.lit(f"{column}: not a number: "), text)).cast("double")
-    blank = text.isNull() | (text == "") | (F.lower(text) == "nan")
-    return F.when(blank, F.lit(None).cast("double")).when(value.isNull(), bad).otherwise(value)
+    return _typed(column, "double", ("", "nan"), "number")
 
 
-def day(column: str) -> Column:
+def day(column: str | Column) -> Column:
     """A text column as dates; anything that is no date is an error."""
-    text = F.trim(F.col(f"`{column}`"))
-    value = F.expr(f"try_cast(trim(`{column}`) AS date)")
-    bad = F.raise_error(F.concat(F.lit(f"{column}: not a date: "), text)).cast("date")
-    return F.when(text.isNull() | (text == ""), F.lit(None).cast("date")).when(value.isNull(), bad).otherwise(value)
+    return _typed(column, "date", ("",), "date")
 
 
 # ---------------------------------------------------------------- spec
@@ -118,25 +117,37 @@ def _vintage_day(path: Column) -> Column:
     return F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})[^/]*(/[^/]*)?$", 1).cast("date")
 
 
+#: Fixed value: a comma that no quotes surround.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _fields(line: Column) -> Column:
+    """Fields of a line of a CSV file, without quotes around them."""
+    return F.transform(F.split(line, _COMMA, -1), lambda c: F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"))
+
+
 def _csv_vintages(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all CSV vintages below a directory; files with the same header are read together."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path)
-    first = F.split(F.decode(F.substring("content", 1, 1 << 20), "UTF-8"), "\r?\n", 2)[0]
-    # One row for each header that occurs, with its files: vintages number in the hundreds.
-    found = files.groupBy(first.alias("header")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    parts = []
-    for row in found.orderBy("header").collect():
-        wide = read_csv(spark, row["paths"])
-        if "Date" not in wide.columns:
-            raise ValueError(f"{row['paths'][0]} has no column Date")
-        series = [c for c in wide.columns if c != "Date"]
-        dated = wide.select(
-            _vintage_day(F.input_file_name()).alias("vintage"), day("Date").alias("period"), *[number(c).alias(c) for c in series]
-        )
-        parts.append(dated.unpivot(["vintage", "period"], series, "series_id", "value"))
-    if not parts:
+    """Cells of all CSV vintages below a directory, each by the header of its own file.
+
+    A file is one row, read by one task; its cells are named by position in its first line.  A
+    filter on the vintage needs the file's path alone, so other files are not opened.
+    """
+    files = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(path, wholetext=True)
+    if not files.inputFiles():
         raise ValueError(f"no vintage files below {path}")
-    return reduce(DataFrame.unionByName, parts)
+    name = F.col("_metadata.file_path")
+    lines = F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n")
+    file = files.select(_vintage_day(name).alias("vintage"), name.alias("_file"), lines.alias("_lines"))
+    # Cut the header once a file, not once a row.
+    file = file.select("vintage", "_file", _fields(F.get("_lines", F.lit(0))).alias("_head"), F.explode(F.slice("_lines", 2, F.size("_lines"))).alias("_line"))
+    rows = file.where(F.trim("_line") != "").withColumn("_cells", _fields(F.col("_line")))
+    place = F.array_position("_head", "Date")
+    stop = lambda says: F.raise_error(F.concat(F.col("_file"), F.lit(says)))
+    date = F.when(place == 0, stop(" has no column Date").cast("string")).when(
+        F.size("_cells") != F.size("_head"), stop(": a row has more or fewer fields than the header").cast("string")
+    ).otherwise(F.get("_cells", (place - 1).cast("int")))
+    cells = rows.select("vintage", day(date).alias("period"), F.explode(F.arrays_zip(F.col("_head").alias("series_id"), F.col("_cells").alias("text"))).alias("c"))
+    return cells.where("c.series_id <> 'Date'").select("vintage", "period", "c.series_id", number(F.col("c.text")).alias("value"))
 
 
 def read_vintages(spark: SparkSession, path: str, model: str | None = None, fmt: str = "csv") -> DataFrame:
@@ -167,8 +178,8 @@ def write_vintages(obs: DataFrame, path: str) -> None:
 
 
 def quarter_of_file() -> Column:
-    """``yyyy_qN`` out of the name of the file a row came from."""
-    return F.regexp_extract(F.input_file_name(), r"(\d{4}_q[1-4])[^/]*$", 1)
+    """``yyyy_qN`` out of the name of the file a row came from, or of its directory."""
+    return F.regexp_extract(F.input_file_name(), r"(\d{4}_q[1-4])[^/]*(/[^/]*)?$", 1)
 
 
 def _named(raw: DataFrame, texts: list[str], dates: list[str], numbers: list[str]) -> DataFrame:
