@@ -47,6 +47,39 @@ def test_upsert_equals_batch_over_several_runs(spark, tmp_path):
     assert got == want and sizes[-1] == len(want)
 
 
+def test_directories_of_many_batches_are_few():
+    for merge in (2, 3, 10):
+        for n in range(0, 400):
+            held = streams.live_directories(n, merge)
+            covered = [k for level, last in held for k in range(last - merge**level + 1, last + 1)]
+            assert covered == list(range(n))
+            assert len(held) <= (merge - 1) * len(str(n)) * 4
+    assert len(streams.live_directories(200, 10)) == 2 and len(streams.live_directories(10**6 - 1, 10)) == 54
+
+
+def test_merged_levels_and_replays(spark, tmp_path):
+    """Batches of one file each, merged by twos, against all rows at once; each batch is stored twice."""
+    path, rows = str(tmp_path / "out"), []
+    for k in range(9):
+        new = rows_of(3 * k, 5, "ab"[k % 2]) + rows_of(2, 1, "c")
+        rows += new
+        batch = spark.createDataFrame(new, DDL)
+        for _ in range(2):
+            streams.store_batch(batch, k, path, merge=2)
+        if k in (0, 3, 6, 8):
+            got = {(r["model"], r["series_id"], r["period"]): r["value"] for r in streams.read_panel(spark, path, batch.schema).collect()}
+            want = {}
+            for m, s, p, rel, v in sorted(rows, key=lambda r: r[3]):
+                want[m, s, p] = v
+            assert got == want
+    read = streams.read_panel(spark, path, batch.schema)
+    folders = {f.split("/out/")[1].split("/model=")[0] for f in read.inputFiles()}
+    assert folders <= {"merged-3/batch_id=7", "batch_id=8"} and len(folders) == 2
+    at_four = streams.read_panel(spark, path, batch.schema, before=4)
+    assert {f.split("/out/")[1].split("/model=")[0] for f in at_four.inputFiles()} == {"merged-2/batch_id=3"}
+    assert streams.read_panel(spark, str(tmp_path / "none"), batch.schema).count() == 0
+
+
 def test_a_batch_writes_only_the_partitions_it_touches(spark, tmp_path):
     src = str(tmp_path / "in")
     for rows in (rows_of(0, 4, "a") + rows_of(0, 4, "b"), rows_of(9, 2, "b")):

@@ -46,6 +46,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_note(spark: SparkSession, path: str) -> str | None:
+    """Text of a small file in any file system, None if it isn't there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def replace_note(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside ``path`` and rename it onto that: readers see the old text or the new one."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target, fresh = hadoop.Path(path), hadoop.Path(f"{path}-{uuid.uuid4().hex}")
+    fs = target.getFileSystem(conf)
+    stream = fs.create(fresh, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    rename = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(target), options)
+
+
 _shipped: set[str] = set()
 
 

@@ -2,17 +2,21 @@
 
 Every micro-batch overwrites its own ``batch_id`` directory, so a batch that
 is replayed after a failure replaces itself.  The panel of current values is
-kept by merging a batch into the partitions it touches; the windowed and
-running tables hold one row per key and batch, of which readers take the last.
+kept by merging a batch into the partitions it touches, and its directories are
+merged level by level; the windowed and running tables hold one row per key and batch, of which readers take the last.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.storage import read_note, replace_note
+
 WEEK = "7 days"
 
 
@@ -78,42 +82,99 @@ def _merged(rows: DataFrame) -> DataFrame:
     return latest(rows.select(*CELL, "release", "value"), CELL, F.struct("release", "value"))
 
 
-def upsert_vintages(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep the current panel below ``path``: every batch merges into the partitions it touches.
+#: So many directories of one level become one of the next.
+MERGE = 10
+MANIFEST = "_manifest"
+
+
+def live_directories(batches: int, merge: int) -> list[tuple[int, int]]:
+    """(level, last batch) of the directories that hold the first ``batches`` batches, oldest first.
+
+    A directory of a level covers ``merge`` ones of the level below: the digits of ``batches`` in base
+    ``merge`` say how many there are of each, so a reader opens a number that grows with the logarithm.
+    """
+    level = 0
+    while merge ** (level + 1) <= batches:
+        level += 1
+    found, done = [], 0
+    for k in range(level, -1, -1):
+        while done + merge**k <= batches:
+            done += merge**k
+            found.append((k, done - 1))
+    return found
+
+
+def _layout(schema: T.StructType) -> T.StructType:
+    kinds = {f.name: f.dataType for f in schema.fields}
+    return T.StructType(
+        [T.StructField(c, kinds[c]) for c in ("series_id", "period", "release", "value")]
+        + [T.StructField("model", kinds["model"]), T.StructField("month", T.DateType()), T.StructField("batch_id", T.IntegerType())]
+    )
+
+
+def _place(path: str, level: int) -> str:
+    return f"{path}/merged-{level}" if level else path
+
+
+def _latest_partitions(spark: SparkSession, path: str, schema: T.StructType, held: list[tuple[int, int]]) -> DataFrame:
+    """Rows of some directories, each partition from the last one that has it."""
+    out = None
+    for level in sorted({k for k, _ in held}):
+        base = _place(path, level)
+        folders = [f"{base}/batch_id={n}" for k, n in held if k == level]
+        rows = spark.read.schema(_layout(schema)).option("basePath", base).parquet(*folders)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        out = spark.createDataFrame([], _layout(schema))
+    # Directory names alone say which batch wrote a partition last.
+    last = out.groupBy(*PARTITION).agg(F.max("batch_id").alias("batch_id"))
+    return out.join(last, [*PARTITION, "batch_id"], "left_semi")
+
+
+def store_batch(batch: DataFrame, batch_id: int, path: str, merge: int = MERGE) -> None:
+    """Merge one batch into the panel; every step can be repeated.
 
-    A partition is a model's month.  A batch writes the merged partitions to its own ``batch_id``
-    directory and leaves all others alone; a reader takes each partition from the last batch that
-    wrote it.  A batch that is replayed reads only what earlier batches wrote, so it repeats itself.
+    The batch writes the merged partitions to a directory of its own.  When it fills up a level, the
+    level's directories are written as one of the next level.  The manifest, replaced last and at once, says
+    how many batches are in; what a batch reads follows from its number, so a replay reads what
+    the first attempt read.  Directories that were merged stay until someone removes them, as
+    readers of an older manifest may still use them.
     """
+    spark = batch.sparkSession
+    fresh = _merged(batch).withColumn("month", F.trunc("period", "MM"))
+    if batch_id:
+        before = _latest_partitions(spark, path, batch.schema, live_directories(batch_id, merge))
+        held = before.join(fresh.select(*PARTITION).distinct(), PARTITION, "left_semi")
+        fresh = _merged(held.select(*CELL, "release", "value").unionByName(fresh.select(*CELL, "release", "value"))).withColumn("month", F.trunc("period", "MM"))
+    columns = ["series_id", "period", "release", "value", *PARTITION]
+    fresh.select(*columns).write.mode("overwrite").partitionBy(*PARTITION).parquet(f"{path}/batch_id={batch_id}")
+    level = 1
+    while (batch_id + 1) % merge**level == 0:
+        step = merge ** (level - 1)
+        parts = [(level - 1, batch_id - k * step) for k in range(merge)]
+        whole = _latest_partitions(spark, path, batch.schema, parts).select(*columns)
+        out = whole.hint("rebalance", *[F.col(c) for c in PARTITION])
+        out.write.mode("overwrite").partitionBy(*PARTITION).parquet(f"{_place(path, level)}/batch_id={batch_id}")
+        level += 1
+    replace_note(spark, f"{path}/{MANIFEST}", json.dumps({"batches": batch_id + 1, "merge": merge}))
+
+
+def upsert_vintages(stream: DataFrame, path: str, checkpoint: str, once: bool = True, merge: int = MERGE) -> StreamingQuery:
+    """Keep the current panel below ``path``: every batch merges into the partitions it touches (a model's month)."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = _merged(batch).withColumn("month", F.trunc("period", "MM"))
-        before = read_panel(spark, path, batch.schema, batch_id) if batch_id else None
-        if before is not None:
-            touched = fresh.select(*PARTITION).distinct()
-            held = before.join(touched, PARTITION, "left_semi")
-            fresh = _merged(held.unionByName(fresh)).withColumn("month", F.trunc("period", "MM"))
-        out = fresh.select("series_id", "period", "release", "value", *PARTITION)
-        out.write.mode("overwrite").partitionBy(*PARTITION).parquet(f"{path}/batch_id={batch_id}")
+        store_batch(batch, batch_id, path, merge)
 
     writer = stream.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def read_panel(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The panel that ``upsert_vintages`` keeps, as of the batches below ``before`` or of all."""
-    kinds = {f.name: f.dataType for f in schema.fields}
-    layout = T.StructType(
-        [T.StructField(c, kinds[c]) for c in ("series_id", "period", "release", "value")]
-        + [T.StructField("model", kinds["model"]), T.StructField("month", T.DateType()), T.StructField("batch_id", T.IntegerType())]
-    )
-    stored = spark.read.schema(layout).option("basePath", path).parquet(path)
-    if before is not None:
-        stored = stored.where(F.col("batch_id") < before)
-    # Directory names alone say which batch wrote a partition last.
-    last = stored.groupBy(*PARTITION).agg(F.max("batch_id").alias("batch_id"))
-    return stored.join(last, [*PARTITION, "batch_id"], "left_semi").select(*CELL, "release", "value", "month")
+    """The panel that ``upsert_vintages`` keeps, as of the batches below ``before`` or of all in the manifest."""
+    note = json.loads(read_note(spark, f"{path}/{MANIFEST}") or '{"batches": 0, "merge": 10}')
+    batches = note["batches"] if before is None else min(before, note["batches"])
+    rows = _latest_partitions(spark, path, schema, live_directories(batches, note["merge"]))
+    return rows.select(*CELL, "release", "value", "month")
 
 
 # ---------------------------------------------------------------- weekly windows
