@@ -98,3 +98,37 @@ def test_convergence_rule_starts_with_the_fourth_iteration(spark):
 def test_mean_by_block_keeps_every_row(spark):
     z = frame(spark, np.arange(6.0).reshape(3, 2))
     assert factor.factor_lags(z.groupBy("model", "vintage", "period").agg(F.avg("z").alias("f"))).count() == 3
+
+
+def test_blocks_are_taken_one_after_the_other(spark):
+    """Overlapping blocks against numpy, with a quarterly member and holes."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(60, 1)) * [1, 2, 0.5, 1, 0.3, 1.5, 1] + rng.normal(size=(60, 7))
+    x[:, 6][np.arange(60) % 3 != 2] = np.nan  # a quarterly series
+    members = {"all": [0, 1, 2, 3, 4, 5, 6], "left": [0, 1, 2, 6], "mid": [2, 3, 4], "right": [4, 5, 3]}
+    names = [f"s{k}" for k in range(7)]
+    spec = spark.createDataFrame([("m", names[k], [b for b, m in members.items() if k in m]) for k in range(7)], "model string, series_id string, blocks array<string>")
+    assert factor.waves(spec, list(members)) == [["all"], ["left"], ["mid"], ["right"]]
+    assert factor.waves(spec, ["all", "left", "right", "mid"]) == [["all"], ["left", "right"], ["mid"]]
+    z = frame(spark, x, names).withColumn("frequency", F.when(F.col("series_id") == "s6", "q").otherwise("m"))
+    for order in (["all", "left", "mid"], ["all", "left", "right"]):
+        rest = x.copy()
+        for block in order:
+            m = [k for k in members[block] if k != 6]
+            v = leading(np.cov(rest[:, m], rowvar=False))
+            f = rest[:, m] @ v
+            lags = np.stack([f[4 - k : 60 - k] for k in range(5)], axis=1)
+            new = rest.copy()
+            new[4:, m] -= lags[:, :1] * v
+            if 6 in members[block]:
+                tent = lags @ [1, 2, 3, 2, 1]
+                seen = ~np.isnan(rest[4:, 6])
+                new[4:, 6] -= (rest[4:, 6][seen] @ tent[seen]) / (tent[seen] @ tent[seen]) * tent
+            rest = new
+        left, loadings, factors = factor.block_chain(z, spec, order)
+        got = {(r["series_id"], r["period"]): r["residual"] for r in left.collect()}
+        for k, n in enumerate(names):
+            for t in range(60):
+                want = rest[t, k]
+                assert got[n, month("2000-01-01", t)] == (None if np.isnan(want) else pytest.approx(want, abs=1e-6))
+        assert {r["block"] for r in loadings.select("block").distinct().collect()} == set(order) == {r["block"] for r in factors.select("block").distinct().collect()}

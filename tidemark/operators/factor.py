@@ -51,6 +51,8 @@ def panel_gram(z: DataFrame, value: str = "z", by: list[str] = PANEL) -> DataFra
 #: Squarings of the covariance matrix, which raise it to the power 2**SQUARINGS, and the largest
 #: share of a unit vector by which its image may miss a multiple of it.
 SQUARINGS, TOLERANCE = 14, 1e-7
+#: So many squarings are one query; their result is stored.
+STORED = 2
 
 
 def square_matrix(gram: DataFrame, by: list[str] = PANEL) -> DataFrame:
@@ -76,12 +78,14 @@ def leading_vector(gram: DataFrame, by: list[str] = PANEL) -> DataFrame:
     rows = entries.groupBy(*by, "i").agg(F.sum(F.abs("v")).alias("_s")).groupBy(*by).agg(F.max("_s").alias("_s"))
     diagonal = F.when(F.col("i") == F.col("j"), F.col("_s")).otherwise(0.0)
     power = entries.join(rows, by).select(*by, "i", "j", (F.col("v") + diagonal).alias("v"))
-    for _ in range(SQUARINGS):
+    for k in range(SQUARINGS):
         left = power.select(*by, "i", F.col("j").alias("k"), F.col("v").alias("_l"))
         right = power.select(*by, F.col("i").alias("k"), "j", F.col("v").alias("_r"))
         product = left.join(right, [*by, "k"]).groupBy(*by, "i", "j").agg(F.sum(F.col("_l") * F.col("_r")).alias("v"))
         trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("v"))).over(Window.partitionBy(*by))
-        power = materialise(product.withColumn("v", F.try_divide("v", trace)), "power")
+        power = product.withColumn("v", F.try_divide("v", trace))
+        if k % STORED == STORED - 1:
+            power = materialise(power, "power")
     largest = power.where("i = j").groupBy(*by).agg(F.min_by("i", F.struct(-F.round("v", 9), "i")).alias("j"))
     series = entries.select(*by, "i").distinct()
     column = series.join(power.join(largest, [*by, "j"]).select(*by, "i", "v"), [*by, "i"], "left")
@@ -118,9 +122,9 @@ def first_factor(z: DataFrame, value: str = "z", by: list[str] = PANEL) -> tuple
 # ---------------------------------------------------------------- regressions
 
 
-def factor_lags(factor: DataFrame) -> DataFrame:
-    """f_t .. f_{t-4}; one panel's calendar per group."""
-    by_time = Window.partitionBy(*PANEL).orderBy("period")
+def factor_lags(factor: DataFrame, by: list[str] = PANEL) -> DataFrame:
+    """f_t .. f_{t-4}; one factor's calendar per group."""
+    by_time = Window.partitionBy(*by).orderBy("period")
     return factor.withColumns({n: F.lag("f", k).over(by_time) for k, n in enumerate(LAG_NAMES)})
 
 
@@ -129,7 +133,7 @@ def tent_sum() -> Column:
 
 
 def restricted_loadings(
-    quarterly: DataFrame, lags: DataFrame, value: str = "z", filled: str | None = None
+    quarterly: DataFrame, lags: DataFrame, value: str = "z", filled: str | None = None, by: list[str] = PANEL
 ) -> DataFrame:
     """Loadings of quarterly series on five lags, proportional to (1, 2, 3, 2, 1).
 
@@ -137,7 +141,7 @@ def restricted_loadings(
     lags.  With fewer than seven observations the ``filled`` column is used.
     """
     ready = lags.where(F.col(LAG_NAMES[-1]).isNotNull()).select(
-        *PANEL, "period", tent_sum().alias("tent")
+        *by, "period", tent_sum().alias("tent")
     )
     tent = F.col("tent")
 
@@ -146,10 +150,11 @@ def restricted_loadings(
         return F.try_divide(F.sum(F.col(c) * tent), square)
 
     thin = slope(filled) if filled else F.lit(None).cast("double")
-    fitted = quarterly.join(ready, [*PANEL, "period"]).groupBy(*SERIES).agg(
+    keys = [*by, "series_id"]
+    fitted = quarterly.join(ready, [*by, "period"]).groupBy(*keys).agg(
         F.when(F.count(value) >= len(TENT) + 2, slope(value)).otherwise(thin).alias("b")
     )
-    return fitted.select(*SERIES, "b", *[(F.col("b") * w).alias(f"c{k}") for k, w in enumerate(TENT)])
+    return fitted.select(*keys, "b", *[(F.col("b") * w).alias(f"c{k}") for k, w in enumerate(TENT)])
 
 
 def ar1(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -168,16 +173,16 @@ def ar1(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return sums.withColumn("b", b).select(*keys, "n", "b", spread.alias("residual_variance"))
 
 
-def block_residuals(z: DataFrame, loadings: DataFrame, lags: DataFrame, value: str = "z") -> DataFrame:
+def block_residuals(z: DataFrame, loadings: DataFrame, lags: DataFrame, value: str = "z", by: list[str] = PANEL) -> DataFrame:
     """Subtract the fitted part of a block; months without five lags stay as they are.
 
     ``loadings`` has one row per series with c0..c4.  Series outside the block
     pass through.
     """
-    coefs = [f"c{k}" for k in range(len(TENT))]
-    ready = lags.where(F.col(LAG_NAMES[-1]).isNotNull()).select(*PANEL, "period", *LAG_NAMES)
-    joined = z.join(loadings.select(*SERIES, *coefs), SERIES, "left").join(
-        ready, [*PANEL, "period"], "left"
+    coefs, series = [f"c{k}" for k in range(len(TENT))], [*by, "series_id"]
+    ready = lags.where(F.col(LAG_NAMES[-1]).isNotNull()).select(*by, "period", *LAG_NAMES)
+    joined = z.join(loadings.select(*series, *coefs), series, "left").join(
+        ready, [*by, "period"], "left"
     )
     fitted = sum(
         (F.col(c) * F.col(f) for c, f in zip(coefs[1:], LAG_NAMES[1:])), F.col("c0") * F.col("f0")
@@ -187,6 +192,52 @@ def block_residuals(z: DataFrame, loadings: DataFrame, lags: DataFrame, value: s
     )
 
 
+BLOCK = [*PANEL, "block"]
+
+
+def waves(spec: DataFrame, blocks: list[str]) -> list[list[str]]:
+    """The blocks in order, those that follow each other without a common series together."""
+    pairs = spec.select("model", "series_id", F.explode("blocks").alias("a")).join(
+        spec.select("model", "series_id", F.explode("blocks").alias("b")), ["model", "series_id"]
+    )
+    # One row for each pair of blocks that meet.
+    meet = {(r["a"], r["b"]) for r in pairs.select("a", "b").distinct().collect()}
+    out: list[list[str]] = []
+    for block in blocks:
+        if out and not any((block, other) in meet for other in out[-1]):
+            out[-1].append(block)
+        else:
+            out.append([block])
+    return out
+
+
+def block_chain(z: DataFrame, spec: DataFrame, blocks: list[str], value: str = "z") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(residuals, loadings, factors) of blocks taken one after the other, each on what those before it left.
+
+    A block's factor is the first principal component of its monthly members' residuals; monthly members load on
+    the month's factor, quarterly ones on five lags in the proportion of the tent.  The fitted part is then taken
+    off all members, so a series of several blocks goes into each with what is left.  Blocks without a
+    common series don't see each other and are solved together.  ``z`` has the series' frequency.
+    """
+    rest = z.withColumn("residual", F.col(value))
+    loadings, factors = [], []
+    for wave in waves(spec, blocks):
+        members = materialise(in_blocks(rest, spec).where(F.col("block").isin(wave)), "members")
+        monthly, quarterly = members.where("frequency = 'm'"), members.where("frequency = 'q'")
+        vectors = materialise(leading_vector(panel_gram(monthly, "residual", BLOCK), BLOCK), "vectors")
+        lags = materialise(factor_lags(factor_scores(monthly, vectors, "residual", BLOCK), BLOCK), "block-lags")
+        tents = restricted_loadings(quarterly, lags, "residual", by=BLOCK).drop("b")
+        flat = vectors.select(*BLOCK, "series_id", F.col("loading").alias("c0"), *(F.lit(0.0).alias(f"c{k}") for k in range(1, len(TENT))))
+        loadings.append(flat.unionByName(tents))
+        factors.append(lags)
+        left = block_residuals(members.drop(value).withColumnRenamed("residual", "_left"), loadings[-1], lags, "_left", BLOCK)
+        left = left.select(*SERIES, "period", F.col("residual").alias("_new"), F.lit(True).alias("_in"))
+        both = rest.join(left, [*SERIES, "period"], "left")
+        rest = materialise(both.withColumn("residual", F.when(F.col("_in"), F.col("_new")).otherwise(F.col("residual"))).drop("_new", "_in"), "residuals")
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    return rest, union(loadings), union(factors)
+
+
 def em_converged(trace: DataFrame, threshold: float = 1e-4, keys: list[str] = ["model", "est_vintage"]) -> DataFrame:
     """Relative likelihood change per iteration; the rule holds from the fourth one on.  ``keys`` name a fit."""
     run = Window.partitionBy(*keys).orderBy("iteration")

@@ -130,6 +130,34 @@ def block_residuals(spark, d):
     return out.select(*KEYS, "period", "z", "residual")
 
 
+def _chain_sql() -> str:
+    """Two waves: the global block, then the regional ones on its residuals."""
+    key, same = "model, vintage, block", "a.model = b.model AND a.vintage = b.vintage AND a.block = b.block"
+    parts = ["z0 AS (SELECT model, vintage, series_id, period, frequency, z, z AS r FROM panel_z)"]
+    for k, block in ((1, "'Global'"), (2, "replace(category, ' ', '')")):
+        lags = ", ".join(f"lag(f, {n}) OVER w AS f{n}" for n in range(1, 5))
+        parts += [
+            f"m{k} AS (SELECT z.model, z.vintage, {block} AS block, z.series_id, z.period, z.frequency, z.r AS z FROM z{k - 1} z JOIN spec_t s ON s.model = z.model AND s.series_id = z.series_id)",
+            f"v{k} AS ({_power_sql(f"SELECT {key}, series_id, period, z FROM m{k} WHERE frequency = 'm'", key)})",
+            f"f{k} AS (SELECT a.model, a.vintage, a.block, a.period, sum(a.z * b.loading) AS f FROM m{k} a JOIN v{k} b ON {same} AND a.series_id = b.series_id GROUP BY ALL)",
+            f"g{k} AS (SELECT *, f AS f0, f + 2 * f1 + 3 * f2 + 2 * f3 + f4 AS tent FROM (SELECT {key}, period, f, {lags} FROM f{k} WINDOW w AS (PARTITION BY {key} ORDER BY period)) WHERE f4 IS NOT NULL)",
+            f"q{k} AS (SELECT a.model, a.vintage, a.block, a.series_id, CASE WHEN count(z) >= 7 THEN sum(z * tent) / nullif(sum(CASE WHEN z IS NOT NULL THEN tent * tent END), 0) END AS c FROM m{k} a JOIN g{k} b ON {same} AND a.period = b.period WHERE frequency = 'q' GROUP BY ALL)",
+            f"c{k} AS (SELECT {key}, series_id, loading AS c0, 0 AS c1, 0 AS c2 FROM v{k} UNION ALL SELECT {key}, series_id, c, 2 * c, 3 * c FROM q{k})",
+            f"""t{k} AS (SELECT a.model, a.vintage, a.series_id, a.period,
+    coalesce(CASE WHEN a.frequency = 'm' THEN c0 * f0 + 0 * (f1 + f2 + f3 + f4) ELSE c0 * (f0 + f4) + c1 * (f1 + f3) + c2 * f2 END, 0) AS fit
+  FROM m{k} a JOIN c{k} b ON {same} AND a.series_id = b.series_id JOIN g{k} g ON g.model = a.model AND g.vintage = a.vintage AND g.block = a.block AND g.period = a.period)""",
+            f"z{k} AS (SELECT z.* REPLACE (z.r - coalesce(fit, 0) AS r) FROM z{k - 1} z LEFT JOIN t{k} t ON t.model = z.model AND t.vintage = z.vintage AND t.series_id = z.series_id AND t.period = z.period)",
+        ]
+    return "WITH " + ",\n".join(parts) + "\nSELECT model, vintage, series_id, period, z, r AS residual FROM z2"
+
+
+@query("block_chain", _chain_sql(), "z residual")
+def block_chain(spark, d):
+    """What the global factor and then the regional ones leave of every series."""
+    z = stored_z(spark, d).select(*KEYS, "period", "frequency", "z")
+    return factor.block_chain(z, fx.spec(spark, d), fx.BLOCKS)[0].drop("frequency")
+
+
 @query("em_converged", """
 SELECT model, est_vintage, iteration, loglik, change, coalesce(iteration >= 4 AND change < 0.01, false) AS converged,
   coalesce(loglik - before < -1e-3, false) AS decreased
