@@ -149,3 +149,28 @@ def test_an_arrival_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert final.agg(F.sum("n")).first()[0] > 600
     assert len(list(tmp_path.glob("stream-*/in/part-*"))) > 5
+
+
+def test_chain_breaks_in_any_order_and_after_a_restart(spark, tmp_path):
+    """Updates in three runs, some out of order, against the batch rule; closed quarters lose their state."""
+    from tidemark.operators import score
+
+    ddl = "model string, quarter string, vintage timestamp, y_old double, y_new double"
+    rows = []
+    for q, first in (("2020_q1", dt.datetime(2020, 1, 3)), ("2020_q2", dt.datetime(2020, 4, 3)), ("2021_q1", dt.datetime(2021, 1, 1))):
+        y = 0.0
+        for k in range(8):
+            broken = k in (3, 6)
+            rows.append(("m", q, first + dt.timedelta(days=7 * k), y + (0.5 if broken else 0.0), y + 1 + k / 8))
+            y += 1 + k / 8
+    arrivals = [rows[1:4] + rows[5:8], [rows[0], rows[4]] + rows[8:16], rows[16:]]
+    for part in arrivals:
+        put(spark, part, str(tmp_path / "in"), ddl)
+        stream = streams.chain_breaks(streams.read_files(spark, str(tmp_path / "in"), ddl))
+        got = drain(spark, stream, tmp_path, "update")
+    batch = score.chain_breaks(spark.createDataFrame(rows, ddl))
+    want = {(r["quarter"], r["vintage"], r["y_old"], r["previous_y_new"]) for r in batch.collect()}
+    assert {(r["quarter"], r["vintage"], r["y_old"], r["previous_y_new"]) for r in streams.broken_links(got).collect()} == want
+    assert len(want) == 6
+    state = spark.read.format("statestore").load(f"{tmp_path}/state")
+    assert {r["key"]["quarter"] for r in state.select("key").collect()} <= {"2020_q2", "2021_q1"}

@@ -8,8 +8,10 @@ merged level by level; the windowed and running tables hold one row per key and
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,3 +217,60 @@ def accuracy_from_sums(stored: DataFrame) -> DataFrame:
         "model", "quarter", F.sqrt(F.col("sum_square_error") / n).alias("rmse"),
         (F.col("sum_abs_error") / n).alias("mae"), (F.col("sum_error") / n).alias("bias"), "n",
     )
+
+
+# ---------------------------------------------------------------- order
+
+
+CHAIN_DDL = "model string, quarter string, vintage timestamp, y_old double, y_new double, previous_y_new double, broken boolean"
+
+
+def _closes(quarter: str) -> int:
+    """Milliseconds at which the month of a quarter's publication is over, in UTC."""
+    year, q = int(quarter[:4]), int(quarter[-1])
+    month = year * 12 + 3 * q + 1
+    return int(dt.datetime(month // 12, month % 12 + 1, 1, tzinfo=dt.timezone.utc).timestamp() * 1000)
+
+
+def chain_breaks(stream: DataFrame, tolerance: float = 1e-9, lateness: str = "30 days") -> DataFrame:
+    """Whether each update starts from the figure of the one before it, said again when an earlier one arrives later.
+
+    ``stream`` has model, quarter, vintage (a timestamp), y_old and y_new, one row an update, in any order.  The state
+    of a quarter is its chain so far, some twenty updates; a timer removes it once the watermark has passed the
+    quarter's publication.  Each batch gives the rows whose answer is new; of a row's answers the last one holds.  An
+    update that is sent twice counts as it was sent last.
+    """
+
+    def follow(key, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        chain = {v: (a, b) for v, a, b in json.loads(state.get[0])} if state.exists else {}
+        new = {}
+        for part in parts:
+            for v, a, b in zip(part["vintage"].astype("datetime64[us]").astype("int64"), part["y_old"], part["y_new"]):
+                new[int(v)] = tuple(None if pd.isna(x) else float(x) for x in (a, b))
+        chain.update(new)
+        order = sorted(chain)
+        rows = []
+        for before, v in zip([None, *order], order):
+            if v in new or before in new:
+                last, (old, figure) = chain[before][1] if before is not None else None, chain[v]
+                broken = last is not None and old is not None and abs(old - last) > tolerance
+                rows.append((*key, pd.Timestamp(v, unit="us"), old, figure, last, broken))
+        closing = _closes(key[1])
+        if closing > state.getCurrentWatermarkMs():
+            state.update((json.dumps([(v, *chain[v]) for v in order]),))
+            state.setTimeoutTimestamp(closing)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHAIN_DDL.split(", ")])
+
+    timed = stream.select("model", "quarter", "vintage", "y_old", "y_new").withWatermark("vintage", lateness)
+    return timed.groupBy("model", "quarter").applyInPandasWithState(follow, CHAIN_DDL, "chain string", "update", "EventTimeTimeout")
+
+
+def broken_links(stored: DataFrame) -> DataFrame:
+    """The updates that broke a chain, by the last answer to each."""
+    final = latest(stored, ["model", "quarter", "vintage"], F.col("batch_id"))
+    return final.where("broken").select("model", "quarter", "vintage", "y_old", "y_new", "previous_y_new")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import calendar as cal
-from tidemark.storage import ensure_checkpoint_dir
+from tidemark.storage import ensure_checkpoint_dir, materialise
 from tidemark.streaming import streams
 from workload import fixtures as fx
 from workload.registry import query
@@ -103,3 +103,26 @@ def stream_late_events(spark, d):
     return final.select(
         F.col("week_start").cast("date").alias("week_start"), "event_type", "n", F.col("total").cast("double").alias("total")
     )
+
+
+@query("stream_chain_breaks", """
+SELECT model, quarter, vintage, y_old, y_new, previous_y_new
+FROM (SELECT *, lag(y_new) OVER (PARTITION BY model, quarter ORDER BY vintage) AS previous_y_new
+  FROM (SELECT n.* FROM nowcast_a n JOIN available a ON a.model = n.model AND a.vintage = n.vintage))
+WHERE abs(y_old - previous_y_new) > 1e-9""", "y_old y_new previous_y_new")
+def stream_chain_breaks(spark, d):
+    """The breaks of ``chain_breaks``, found while updates arrive: the odd weeks of three years after the even ones."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    kept = fx.nowcast(spark, d).join(fx.available_vintages(spark, d), ["model", "vintage"], "left_semi")
+    week = (F.datediff("vintage", F.lit("1970-01-02").cast("date")) / 7).cast("int")
+    rows = materialise(kept.select("model", "quarter", F.col("vintage").cast("timestamp").alias("vintage"), "y_old", "y_new", (week % 2).alias("even"), F.year("vintage").alias("year")), "updates")
+    schema = "model string, quarter string, vintage timestamp, y_old double, y_new double"
+    years = rows.agg(F.min("year").alias("first"), F.max("year").alias("last")).first()
+    for low in range(years["first"], years["last"] + 1, 3):
+        for even in (0, 1):
+            rows.where(F.col("year").between(low, low + 2) & (F.col("even") == even)).drop("year", "even").write.mode("append").parquet(f"{base}/in")
+            # A whole arrival is one batch; three years stay open, so no update is behind the watermark.
+            found = streams.chain_breaks(streams.read_files(spark, f"{base}/in", schema, files_per_batch=_WHOLE), lateness="1200 days")
+            streams.write_batches(found, f"{base}/out", f"{base}/state", "update").awaitTermination()
+    stored = T.StructType([*found.schema.fields, T.StructField("batch_id", T.IntegerType())])
+    return streams.broken_links(streams.read_batches(spark, f"{base}/out", stored)).withColumn("vintage", F.col("vintage").cast("date"))
