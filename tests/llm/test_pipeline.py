@@ -42,9 +42,9 @@ def test_oracles(spark, name):
     cur = con.execute(ORACLES[name])
     names = [c[0] for c in cur.description]
     df = QUERIES[name](spark, DIR)
-    got = sorted(tuple(r[n] for n in sorted(names)) for r in df.collect())
-    want = sorted(tuple(r[names.index(n)] for n in sorted(names)) for r in cur.fetchall())
-    assert [[str(x) for x in r] for r in got] == [[str(x) for x in r] for r in want]
+    got = sorted([str(r[n]) for n in sorted(names)] for r in df.collect())
+    want = sorted([str(r[names.index(n)]) for n in sorted(names)] for r in cur.fetchall())
+    assert got == want
 
 
 def test_op1_op2_op10(spark, documents):
