@@ -77,6 +77,32 @@ def test_close_eigenvalues_and_blocks_without_variance(spark):
     assert len(flat) == 2 and all(r["loading"] is None for r in flat)
 
 
+def test_several_factors_match_eigh(spark):
+    """Blocks side by side: flat spectrum, a value far below 0, fewer series than directions, no variance."""
+    rng = np.random.default_rng(5)
+    flat = np.cov(rng.normal(size=(40, 14)), rowvar=False)
+    q = np.linalg.qr(rng.normal(size=(10, 10)))[0]
+    signed = q @ np.diag([-9.0, 5, 4, 3.9, 1, 0.5, 0.2, 0, -0.1, -6]) @ q.T
+    blocks = {"flat": flat, "signed": signed, "pair": np.array([[2.0, 0.5], [0.5, 1.0]]), "none": np.zeros((3, 3))}
+    rows = [
+        (name, day("2005-01-07"), f"s{i:02}", f"s{j:02}", 9, float(g[i, j]))
+        for name, g in blocks.items() for i in range(len(g)) for j in range(i, len(g))
+    ]
+    gram = spark.createDataFrame(rows, "model string, vintage date, series_i string, series_j string, n int, cov double")
+    got = factor.leading_vectors(gram, 3).orderBy("model", "factor", "series_id").collect()
+    for name, g in blocks.items():
+        values, vectors = np.linalg.eigh(g)
+        for k in range(1, 4):
+            mine = [r for r in got if r["model"] == name and r["factor"] == k]
+            if k > len(g) or name == "none":
+                assert not mine
+            else:
+                v = vectors[:, -k] * (-1 if vectors[:, -k].sum() < 0 else 1)
+                assert [r["loading"] for r in mine] == pytest.approx(list(v), abs=1e-6)
+                assert mine[0]["value"] == pytest.approx(values[-k])
+    assert factor.leading_vectors(gram.where("n < 0"), 2).count() == 0
+
+
 def test_autoregression_far_from_zero(spark):
     rng = np.random.default_rng(3)
     x = 1e7 + np.cumsum(rng.normal(size=50))

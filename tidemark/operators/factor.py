@@ -106,6 +106,173 @@ def leading_vector(gram: DataFrame, by: list[str] = PANEL) -> DataFrame:
     )
 
 
+#: Directions that are iterated beside the ones asked for, degree of the polynomial of a round, rounds at most.
+GUARD, DEGREE, ROUNDS = 3, 8, 30
+#: The largest share of the largest value of a block that counts as 0.
+SMALLEST = 1e-13
+#: Sweeps of rotations over the small matrix of a block; eight leave nothing off its diagonal.
+SWEEPS = 8
+
+
+def diagonalised(matrix: Column, p: int) -> Column:
+    """Rotations that make a symmetric p x p matrix (a flat array) diagonal: struct of ``m``, the matrix, and ``v``.
+
+    Column k of ``v`` belongs to entry (k, k) of ``m``.  One array fold over the pairs of each sweep.
+    """
+    unit = F.array(*(F.lit(float(k // p == k % p)) for k in range(p * p)))
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(p) for b in range(a + 1, p)]
+
+    def turn(s: Column, pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        off = s["m"][a * p + b]
+        theta = F.try_divide(s["m"][b * p + b] - s["m"][a * p + a], 2 * off)
+        t = F.when(theta < 0, -1.0).otherwise(1.0) / (F.abs(theta) + F.sqrt(theta * theta + 1))
+        cos = F.coalesce(1 / F.sqrt(t * t + 1), F.lit(1.0))
+        rotation = F.struct(s["m"].alias("m"), s["v"].alias("v"), cos.alias("c"), F.coalesce(t * cos, F.lit(0.0)).alias("s"))
+
+        def columns(x: Column, r: Column) -> Column:
+            def cell(value: Column, k: Column) -> Column:
+                row, col = (k - k % p), k % p
+                return (
+                    F.when(col == a, r["c"] * value - r["s"] * x[row + b])
+                    .when(col == b, r["s"] * x[row + a] + r["c"] * value)
+                    .otherwise(value)
+                )
+
+            return F.transform(x, cell)
+
+        def rows(x: Column, r: Column) -> Column:
+            def cell(value: Column, k: Column) -> Column:
+                row, col = F.floor(k / p).cast("int"), k % p
+                return (
+                    F.when(row == a, r["c"] * value - r["s"] * x[b * p + col])
+                    .when(row == b, r["s"] * x[a * p + col] + r["c"] * value)
+                    .otherwise(value)
+                )
+
+            return F.transform(x, cell)
+
+        # One-element arrays name what is used many times, so that it is computed once.
+        turned = F.transform(F.array(rotation), lambda r: F.struct(columns(r["m"], r).alias("m"), columns(r["v"], r).alias("v"), r["c"].alias("c"), r["s"].alias("s")))
+        return F.transform(turned, lambda r: F.struct(rows(r["m"], r).alias("m"), r["v"].alias("v")))[0]
+
+    if p == 1:
+        return F.struct(matrix.alias("m"), unit.alias("v"))
+    return F.aggregate(F.flatten(F.array_repeat(F.array(*pairs), SWEEPS)), F.struct(matrix.alias("m"), unit.alias("v")), turn)
+
+
+def _names(letter: str, p: int) -> list[str]:
+    return [f"{letter}{a}" for a in range(p)]
+
+
+def _image(entries: DataFrame, state: DataFrame, p: int, by: list[str]) -> DataFrame:
+    """Rows (by, i) with the directions x0, x1, ... and their images y0, y1, ...: one join, N^2 products a block."""
+    given = state.select(*by, F.col("i").alias("j"), "x")
+    own = F.col("i") == F.col("j")
+    return entries.join(given, [*by, "j"]).groupBy(*by, "i").agg(
+        *(F.sum(F.when(own, F.col("x")[a])).alias(f"x{a}") for a in range(p)),
+        *(F.sum(F.col("v") * F.col("x")[a]).alias(f"y{a}") for a in range(p)),
+    )
+
+
+def _orthonormal(image: DataFrame, p: int, by: list[str]) -> DataFrame:
+    """(by, i, x, was, value, miss): the images made orthonormal, by falling length.
+
+    ``value`` and ``miss`` say how near the directions ``was`` were to eigenvectors.  A direction whose image has
+    no length of its own becomes 0.
+    """
+    x, y = ([F.col(n) for n in _names(letter, p)] for letter in "xy")
+    products = [F.sum(y[a] * y[b]).alias(f"s{a}_{b}") for a in range(p) for b in range(a, p)]
+    small = image.groupBy(*by).agg(*products, *(F.sum(x[a] * y[a]).alias(f"h{a}") for a in range(p)), *(F.max(F.abs(x[a])).alias(f"m{a}") for a in range(p)))
+    matrix = F.array(*(F.col(f"s{min(a, b)}_{max(a, b)}") for a in range(p) for b in range(p)))
+    h = [F.when(F.col(f"m{a}") > 0, F.col(f"h{a}")) for a in range(p)]
+    miss = [F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(f"s{a}_{a}") - h[a] * h[a], h[a] * h[a]))) for a in range(p)]
+    solved = small.select(*by, F.array(*h).alias("value"), F.array(*miss).alias("miss"), diagonalised(matrix, p).alias("d"))
+    places = F.sequence(F.lit(0), F.lit(p - 1))
+    ordered = solved.withColumn("o", F.sort_array(F.transform(places, lambda k: F.struct(F.col("d.m")[k * p + k].alias("l"), k.alias("k"))), asc=False))
+    scale = lambda o: F.when(o["l"] > SMALLEST * F.col("o")[0]["l"], 1 / F.sqrt(o["l"])).otherwise(0.0)
+    weights = F.transform("o", lambda o: F.transform(places, lambda a: F.col("d.v")[a * p + o["k"]] * scale(o)))
+    turned = F.transform("w", lambda w: sum((w[a] * y[a] for a in range(1, p)), w[0] * y[0]))
+    return image.join(ordered.select(*by, "value", "miss", weights.alias("w")), by).select(
+        *by, "i", turned.alias("x"), F.array(*x).alias("was"), "value", "miss"
+    )
+
+
+def _filtered(entries: DataFrame, state: DataFrame, r: int, p: int, by: list[str]) -> DataFrame:
+    """The directions under a Chebyshev polynomial of the matrix, orthonormal again.
+
+    It stays within 1 between the lowest value seen (0 at most) and the second of the values behind the ``r``
+    largest, and grows fast above, so that the largest values win, not the largest in size.
+    """
+    known = F.sort_array(F.filter("value", lambda v: v.isNotNull()), asc=False)
+    size = F.array_max(F.transform("value", lambda v: F.abs(v)))
+    low = F.least(F.lit(0.0), 1.05 * F.array_min("value"))
+    high = F.coalesce(F.get(known, F.lit(r + 1)), F.lit(0.0))
+    half = F.greatest((high - low) / 2, 0.05 * size)
+    own = "CASE WHEN i = j THEN"
+    sums = [f"sum((v - {own} c ELSE 0 END) * x{a}) AS y{a}" for a in range(p)] + [f"sum({own} x{a} END) AS w{a}" for a in range(p)]
+    sums += [f"sum({own} u{a} END) AS u{a}" for a in range(p)] + ["max(e) AS e", "max(c) AS c"]
+    step = state.select(*by, "i", *(F.lit(0.0).alias(n) for n in _names("u", p)), *(F.col("x")[a].alias(f"x{a}") for a in range(p)), half.alias("e"), (low + half).alias("c"))
+    for k in range(DEGREE):
+        image = entries.join(step.withColumnRenamed("i", "j"), [*by, "j"]).groupBy(*by, "i").agg(*map(F.expr, sums))
+        fresh = [f"coalesce(try_divide({2 if k else 1} * y{a}, e), 0) - u{a} AS x{a}" for a in range(p)]
+        step = image.selectExpr(*by, "i", *(f"w{a} AS u{a}" for a in range(p)), *fresh, "e", "c")
+    # Stored before the small matrices: their long expressions would be planned again behind every join.
+    step = materialise(step.selectExpr(*by, "i", *_names("x", p), *(f"x{a} AS y{a}" for a in range(p))), "filtered")
+    return _orthonormal(step, p, by).select(*by, "i", "x")
+
+
+def leading_vectors(gram: DataFrame, r: int = 1, by: list[str] = PANEL) -> DataFrame:
+    """(by, factor from 1, series_id, loading, value): the leading ``r`` eigenvectors of each block's covariance.
+
+    Subspace iteration for all blocks together: r + GUARD directions start from hashes of the names; a round
+    filters them by a polynomial of the matrix (``DEGREE`` joins of N^2 products each) and makes them orthonormal
+    again through the small matrix of their products, one row a block, which also separates them.  A round is
+    one query, whose result is stored, until the image of every vector misses a multiple of it by at most
+    ``TOLERANCE``; after ``ROUNDS`` the rows fail.  A vector has a non-negative sum; where that is 0, its largest
+    entry is positive, of equal ones the first by name.  Vectors of the value 0 are not
+    determined and left out, so a block without variance has none; no block has more than series.
+    """
+    p = r + GUARD
+    entries = materialise(square_matrix(gram, by), "gram")
+    start = F.array(*(F.xxhash64("i", F.lit(a)) / float(1 << 63) for a in range(p)))
+    state = _orthonormal(_image(entries, entries.select(*by, "i").distinct().withColumn("x", start), p, by), p, by)
+    state = materialise(_orthonormal(_image(entries, state, p, by), p, by), "directions")
+    for _ in range(ROUNDS):
+        if state.where(~_settled(r)).isEmpty():
+            break
+        filtered = _filtered(entries, state, r, p, by)
+        state = materialise(_orthonormal(_image(entries, filtered, p, by), p, by), "directions")
+    return _named_vectors(state, r, by)
+
+
+def _best(r: int) -> Column:
+    """Value and place of the ``r`` largest, without directions that are 0."""
+    placed = F.transform("value", lambda v, k: F.struct(v.alias("v"), (-k).alias("k")))
+    return F.slice(F.sort_array(F.filter(placed, lambda s: s["v"].isNotNull()), asc=False), 1, r)
+
+
+def _settled(r: int) -> Column:
+    size = F.array_max(F.transform("value", lambda v: F.abs(v)))
+    near = lambda s: (F.abs(s["v"]) <= SMALLEST * size) | (F.col("miss")[-s["k"]] <= TOLERANCE)
+    return F.coalesce(F.forall(_best(r), near), F.lit(True))
+
+
+def _named_vectors(state: DataFrame, r: int, by: list[str]) -> DataFrame:
+    most = F.array_max(F.transform("value", lambda v: F.abs(v)))
+    picked = state.select(*by, "i", "was", _settled(r).alias("ok"), most.alias("_most"), F.posexplode(_best(r)).alias("_f", "_b"))
+    picked = picked.where(F.abs(F.col("_b.v")) > SMALLEST * F.col("_most"))
+    x = F.col("was")[-F.col("_b.k")].alias("x")
+    flat = picked.select(*by, (F.col("_f") + 1).alias("factor"), F.col("i").alias("series_id"), F.col("_b.v").alias("value"), "ok", x)
+    vector = Window.partitionBy(*by, "factor")
+    total = F.round(F.sum("x").over(vector), 9)
+    largest = F.min(F.struct(-F.round(F.abs("x"), 9), "series_id", F.col("x").alias("x"))).over(vector)["x"]
+    sign = F.when((total < 0) | ((total == 0) & (largest < 0)), -1.0).otherwise(1.0)
+    unit = sign * F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(vector))
+    failed = F.raise_error(F.lit("the leading directions of a block were not reached")).cast("double")
+    return flat.select(*by, "factor", "series_id", F.when(F.col("ok"), unit).otherwise(failed).alias("loading"), "value")
+
+
 def factor_scores(z: DataFrame, loadings: DataFrame, value: str = "z", by: list[str] = PANEL) -> DataFrame:
     """Factor by period: the block projected on the loadings."""
     return z.join(loadings, [*by, "series_id"]).groupBy(*by, "period").agg(

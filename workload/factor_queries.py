@@ -74,6 +74,32 @@ def first_factor_loadings(spark, d):
     return factor.leading_vector(factor.panel_gram(stored_z(spark, d)))
 
 
+def _deflated_sql(r: int) -> str:
+    """The first ``r`` eigenvectors of (model, vintage), each by squaring what the ones before it leave."""
+    head, tail = _LOADINGS.split("shifted AS (")
+    parts, rows = [head + "m1 AS (SELECT model, vintage, ids, g FROM mats)"], []
+    step = "shifted AS (" + tail[: tail.index("SELECT model, vintage, unnest(ids)")]
+    for k in range(1, r + 1):
+        names = {"shifted": f"s{k}", "FROM mats": f"FROM m{k}", "FROM it ": f"FROM it{k} ", "it AS (": f"it{k} AS (", "picked": f"p{k}", "done": f"d{k}"}
+        sql = step.rstrip()
+        for a, b in names.items():
+            sql = sql.replace(a, b)
+        image = "list_transform(g, lambda row: list_dot_product(row, v))"
+        parts.append(sql)
+        parts.append(f"""l{k} AS (SELECT d.model, d.vintage, d.ids, v, g, list_dot_product(v, {image}) AS value
+  FROM d{k} d JOIN m{k} m ON m.model = d.model AND m.vintage = d.vintage)""")
+        parts.append(f"""m{k + 1} AS (SELECT model, vintage, ids, list_transform(range(len(g)), lambda a: list_transform(range(len(g)),
+    lambda b: g[a + 1][b + 1] - value * v[a + 1] * v[b + 1])) AS g FROM l{k})""")
+        rows.append(f"SELECT model, vintage, CAST({k} AS INTEGER) AS factor, unnest(ids) AS series_id, unnest(v) AS loading, value FROM l{k}")
+    return ",\n".join(parts) + "\n" + " UNION ALL ".join(rows)
+
+
+@query("factor_loadings", _deflated_sql(3), "loading value")
+def factor_loadings(spark, d):
+    """Three factors of every panel by subspace iteration."""
+    return factor.leading_vectors(factor.panel_gram(stored_z(spark, d)), 3)
+
+
 @query("first_factor_scores", f"""
 SELECT z.model, z.vintage, z.block, z.period, sum(z.z * l.loading) AS f
 FROM ({_BLOCKS}) z JOIN ({_power_sql(_BLOCKS, "model, vintage, block")}) l
