@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -187,3 +188,32 @@ def test_digests_stored_twice_count_once(spark, messy):
     spark.read.parquet(cache).limit(10).write.mode("append").partitionBy("version").parquet(cache)
     again = token_counts.count_tokens(messy, cache, PATH).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, first))
+
+
+@pytest.mark.parametrize("histogram, capacity, optimum", [({6: 4, 4: 4}, 10, 4), ({5: 10}, 10, 5), ({7: 3, 3: 9}, 10, 5), ({6: 7}, 10, 7), ({10: 2, 1: 5}, 10, 2.5), ({5: 1, 4: 1, 3: 1, 2: 1}, 7, 2)])
+def test_configuration_program_on_small_instances(histogram, capacity, optimum):
+    """Known optima: the amounts cover every demand exactly, and the bound is below the optimum."""
+    amounts, bound = packing.fractional(histogram, capacity)
+    covered = Counter()
+    for config, x in amounts.items():
+        assert x > 0 and sum(length * k for length, k in config) <= capacity
+        covered.update({length: k * x for length, k in config})
+    assert dict(covered) == pytest.approx(histogram)
+    assert bound <= optimum + 1e-9 and optimum - 1e-9 <= sum(amounts.values()) <= 1.1 * optimum
+    whole, rest = packing.rounded(amounts, histogram, capacity)
+    held = Counter(rest)
+    for config, n in whole:
+        assert n > 0 and sum(length * k for length, k in config.items()) == capacity
+        held.update({length: k * n for length, k in config.items()})
+    assert held == Counter(histogram)
+    assert sum(n for _, n in packing.pack_histogram(histogram, capacity)) == math.ceil(optimum)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_configuration_program_is_near_its_bound(seed):
+    rng = random.Random(seed)
+    histogram = Counter(min(256, max(1, int(rng.lognormvariate(4, 0.8)))) for _ in range(20000))
+    histogram.pop(256, None)
+    amounts, bound = packing.fractional(histogram, 256)
+    assert bound <= sum(amounts.values()) <= 1.05 * bound
+    assert sum(n for _, n in packing.pack_histogram(histogram, 256)) >= bound - 1e-6

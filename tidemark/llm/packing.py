@@ -1,12 +1,14 @@
-"""Packing documents into token sequences by configurations, greedily with multiplicative weights.
-
-A configuration is a multiset of lengths that fits into one sequence.  A length gains weight
-while it is covered less than the others, and the best configuration for the weights is found
-by a knapsack dynamic program.  No fractional program is solved: each round takes whole numbers
-of configurations that fill a sequence exactly, and what is left in the end is packed best fit,
-longest first.  All of this works on the
-histogram (at most one entry for each length up to the capacity), whatever the number of
-documents.  Tasks then look up the sequence of every piece by its rank among equal lengths.
+"""Packing documents into token sequences by the configuration linear program.
+
+A configuration is a multiset of lengths that fits into one sequence.  The program asks for the
+smallest total of fractional amounts of configurations that covers every length as often as it
+occurs.  Multiplicative weights solve it: a length gains weight while it lags behind, and a
+knapsack dynamic program prices the configurations.  The same weights bound the optimum from
+below.  The amounts are then rounded down, and up again where the demand allows it; what is left
+goes into whole configurations that fill a sequence, and in the end best fit, longest first.
+All of this works on the histogram (at most one entry for each length up to the capacity),
+whatever the number of documents.  Tasks then look up the sequence of every piece by its rank
+among equal lengths.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from tidemark.llm.encoding import library_encoder
 CAPACITY = 2048
 #: Rounds of multiplicative weights, and how strongly the part still uncovered raises a weight.
 ROUNDS, STEP = 40, 6.0
+#: Rounds that price the program.
+PRICED = 20
 #: Shares of the demand that are tried for the program; the rest of each length is there to fill what rounding leaves.
-SHARES = (1.0, 0.8)
+SHARES = (1.0, 0.4)
 
 PIECE = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -80,8 +84,80 @@ def configuration(length: int, left: np.ndarray, lengths: np.ndarray, weights: n
     return out
 
 
+def fractional(histogram: dict[int, int], capacity: int, rounds: int = PRICED) -> tuple[dict[tuple, float], float]:
+    """(amounts by configuration, lower bound of their total): the configuration program by multiplicative weights.
+
+    In round t every length may be covered up to t / rounds of its demand.  The weight of a length is its size
+    times exp(STEP * how far it lags behind that); one knapsack table prices the round.  Each length takes the
+    best configuration that holds it and lengths that still lag, in the largest amount that they all allow, as
+    long as that fills a sequence; else it waits and gains weight.  The last round takes what is missing in any
+    configuration, so every demand is covered exactly.  Any weights bound the program from below by
+    duality: the weight of the demand over that of the best configuration.
+    """
+    lengths = np.array(sorted(histogram, reverse=True), np.int64)
+    demand, covered, weights = (np.zeros(capacity + 1) for _ in range(3))
+    demand[lengths] = [histogram[x] for x in lengths.tolist()]
+    amounts: dict[tuple, float] = defaultdict(float)
+    bound = 0.0
+    for t in range(1, rounds + 1):
+        lag = t / rounds - covered[lengths] / demand[lengths]
+        weights[lengths] = lengths * np.exp(STEP * (lag - lag.mean()))
+        priced = knapsack(lengths, weights[lengths], capacity)
+        bound = max(bound, float(demand[lengths] @ weights[lengths] / priced[0][capacity]))
+        left = demand * t / rounds - covered
+        left[left < 1e-9 * demand] = 0.0
+        for length in lengths.tolist():
+            while left[length] > 0:
+                config = _open_configuration(length, left > 0, lengths, weights, priced, capacity)
+                if t < rounds and sum(x * k for x, k in config.items()) != capacity:
+                    break
+                amount, least = min((left[x] / k, x) for x, k in config.items())
+                for x, k in config.items():
+                    left[x] = max(0.0, left[x] - k * amount)
+                    covered[x] += k * amount
+                left[least] = 0.0
+                amounts[tuple(sorted(config.items(), reverse=True))] += amount
+    return dict(amounts), bound
+
+
+def _open_configuration(length: int, is_open: np.ndarray, lengths: np.ndarray, weights: np.ndarray, priced: tuple, capacity: int) -> dict[int, int]:
+    """The best configuration that holds ``length``; a length that is not open gives way to the next best."""
+    value, choice = priced
+    out, room = {length: 1}, capacity - length
+    while room > 0:
+        take = int(choice[room])
+        if take and not is_open[take]:
+            fits = lengths[(lengths <= room) & is_open[lengths]]
+            if not len(fits):
+                break
+            take = int(fits[(value[room - fits] + weights[fits]).argmax()])
+        if take:
+            out[take] = out.get(take, 0) + 1
+        room -= take or 1
+    return out
+
+
+def rounded(amounts: dict[tuple, float], histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Whole numbers of configurations, and the histogram of what they leave.
+
+    Amounts are rounded down first, then up by falling fraction, each as far as no length's demand stands
+    against it.  Only configurations that fill a sequence completely are taken.
+    """
+    left = dict(histogram)
+    out: Counter = Counter()
+    full = [(c, x) for c, x in amounts.items() if sum(length * k for length, k in c) == capacity]
+    up = sorted(((c, 1) for c, x in full), key=lambda p: (int(amounts[p[0]]) - amounts[p[0]], p[0]))
+    for config, most in [(c, int(x)) for c, x in full] + up:
+        n = min([most, *(left.get(length, 0) // k for length, k in config)])
+        if n > 0:
+            out[config] += n
+            for length, k in config:
+                left[length] -= n * k
+    return [(dict(c), n) for c, n in out.items()], {x: n for x, n in left.items() if n}
+
+
 def cover(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """Configurations with whole numbers of sequences, and the histogram of what they leave.
+    """What rounding leaves: whole numbers of configurations, and the histogram of what stays.
 
     Multiplicative weights on the covering program: the weight of a length is its size times
     exp(STEP * the share of its demand that is uncovered).  One knapsack table prices a round,
@@ -175,12 +251,14 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
         return out
 
     found = []
+    amounts, _ = fractional(left, capacity)
     for share in SHARES:
         part = {x: int(n * share) for x, n in left.items()}
-        covered, rest = cover({x: n for x, n in part.items() if n}, capacity)
+        whole, rest = rounded({c: x * share for c, x in amounts.items()}, {x: n for x, n in part.items() if n}, capacity)
+        covered, rest = cover(rest, capacity)
         for x, n in left.items():
             rest[x] = rest.get(x, 0) + n - part[x]
-        found.append(covered + best_fit({x: n for x, n in rest.items() if n}, capacity))
+        found.append(whole + covered + best_fit({x: n for x, n in rest.items() if n}, capacity))
     return out + min(found, key=lambda f: sum(n for _, n in f))
 
 
