@@ -5,9 +5,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.cases import WORDS, messy_rows, prose, shingles, words
 from tidemark.llm import components, near_copies, one_permutation, simhash, suffix_trees, wordhash
+from tidemark.llm.common import stored
 
 
 def test_word_hashes_depend_on_the_word_alone():
@@ -355,3 +357,50 @@ def test_groups_go_on_over_batches():
         return {(d, k) for b in suffix_trees._nodes(iter(batches)) for d, s, e in zip(*(c.to_pylist() for c in b.columns)) for k in range(s, e)}
 
     assert places([whole]) == places([whole.slice(k, 7) for k in range(0, n, 7)])
+
+
+def similar_sets(rng, shared, percent):
+    """Two sets of hashes whose Jaccard similarity is ``percent`` or just above."""
+    extra = shared * (100 - percent) // percent
+    x = rng.integers(0, 1 << 63, shared + extra).astype(np.uint64)
+    return np.sort(x[: shared + extra // 2]), np.sort(np.concatenate([x[:shared], x[shared + extra // 2 :]]))
+
+
+def test_simhash_of_near_copies_against_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 300, 1000):
+        shingles = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        hashes = [b"".join(int(h).to_bytes(8, "little") for h in wordhash.mix64(s ^ near_copies._WORDS)) for s in shingles]
+        counts = [sum(h[k // 8] >> (7 - k % 8) & 1 for h in hashes) for k in range(near_copies.BITS)]
+        balance = near_copies.balances(shingles)
+        assert balance.tolist() == [2 * c - n for c in counts]
+        bits = np.unpackbits(near_copies.simhash(balance).view(np.uint8))
+        assert bits.tolist() == [int(2 * c > n) for c in counts]
+
+
+def test_simhash_keys_find_similar_sets_and_the_radius_discards_none():
+    rng = np.random.default_rng(4)
+    found = []
+    for k in range(600):
+        x, y = (near_copies.balances(s) for s in similar_sets(rng, 40 + 4 * k, 80))
+        a, b = near_copies.simhash(x), near_copies.simhash(y)
+        differ = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+        assert np.abs(near_copies.distances(a) - near_copies.distances(b)).max() <= differ <= near_copies.RADIUS
+        found.append(bool((near_copies.keys(x) == near_copies.keys(y)).any()))
+    assert np.mean(found) >= 0.9  # at the limit itself; more above it
+    apart = [near_copies.balances(rng.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(300)]
+    prints = [near_copies.simhash(x) for x in apart]
+    assert min(int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) for k, a in enumerate(prints) for b in prints[:k]) > near_copies.RADIUS
+
+
+def test_simhash_keys_alone_find_the_groups(spark):
+    """Without MinHash bands the stage still links nearly all near copies."""
+    rows = [r[:2] for r in near_rows() if r[0] is not None]
+    plain = spark.createDataFrame([(k, k, k, t) for k, t in rows], "key bigint, t bigint, k bigint, text string")
+    classes = near_copies._classes(plain, "bigint").withColumn("bands", F.array().cast("array<bigint>"))
+    sets = stored(plain.select("text").mapInArrow(near_copies._sets, "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
+    pairs = {(r["a"], r["b"]) for r in near_copies.links(classes, lambda ids: sets.join(ids, "id")).collect()}
+    ids = [r["id"] for r in classes.collect()]
+    groups = len(set(grouped(pairs, ids).values()))
+    want = len(kept_by_brute_force(rows))
+    assert want <= groups <= want + (len(ids) - want) // 10

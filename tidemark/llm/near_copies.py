@@ -1,18 +1,25 @@
 """Groups of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints here are ``BITS`` parity bits: each shingle flips one.  Two fingerprints differ in at
-most as many bits as there are shingles in one set only, so unlike those of ``simhash`` they bound the
-similarity from above.  As there, the distances to fixed reference fingerprints are tabled, pairs are
-discarded by the largest difference of a coordinate, then by the distance of the two, and survivors
-are verified, here on the whole shingle sets: no discarded pair can reach the similarity.
-
-Candidates share a band of a MinHash signature: ``BANDS`` bands of ``ROWS`` minima each, so a
-pair of similarity s shares none with probability (1 - s**ROWS)**BANDS, 3 in a million at 0.8.
+As in ``simhash`` a fingerprint has a bit for each place, set if it is set in over half of the shingles'
+hashes; here it has ``BITS`` of them.  The distances to fixed reference fingerprints are tabled, pairs are
+discarded by the largest difference of a coordinate, then by more than ``RADIUS`` differing bits, and survivors
+are verified on the whole shingle sets.  A bit of two sets of similarity 0.8 differs with probability 0.15,
+0.19 at most for small sets, so 1024 bits differ in more than 300 with probability below 1e-15.
+
+Candidates share a key.  Blocks of equal bits as in ``simhash`` are no use at 15 per cent of differing bits.
+A fingerprint has 64 groups of 16 bits instead, and a group's symbol is the bit whose count stands farthest
+from half, and on which side: it is the same for two sets of similarity 0.8 with probability 0.53.  A key is five
+symbols, and each of ``KEYS`` keys takes other groups: nine in ten pairs at 0.8 share one, nearly all at 0.9.
+
+The pairs near the limit that no key finds are looked for by MinHash afterwards: ``BANDS`` bands of ``ROWS``
+minima each, so a pair of similarity s shares none with probability (1 - s**ROWS)**BANDS, 3 in a million at
+0.8.  Pairs of both kinds are also discarded by parity bits: each shingle flips one, and two sets differ in
+at most as many as there are shingles in one set only, which bounds the similarity of short texts from above.
 
 A group is found without listing its pairs.  In ``ROUNDS`` rounds each bucket has a leader, picked by
 a hash, and its texts outside the leader's group are compared with the leader: at most one pair for
-every text and bucket.  As the 32 buckets of a text have different leaders, a group hangs together
-after that.  What is left are links between different groups of a bucket: these are looked for in one
+every text and bucket.  The first round has buckets of SimHash keys alone, the others those of all keys and
+bands.  As the buckets of a text have different leaders, a group hangs together after that.  What is left are links between different groups of a bucket: these are looked for in one
 join that discards as above before it puts out a pair, so only pairs that are links, or nearly, leave it.
 """
 
@@ -22,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix64, pieces, stored, text_of
@@ -32,12 +39,20 @@ from tidemark.llm.one_permutation import SHINGLE, shingle_hashes
 #: Similarity from which two texts link, in per cent of the shingles of both.
 LEAST_PERCENT = 80
 BANDS, ROWS = 32, 5
-BITS, PIVOTS, ROUNDS = 1024, 8, 2
+BITS, PIVOTS = 1024, 8
+#: SimHash: bits in which two fingerprints may differ, keys, bits of a group and groups of a key.
+RADIUS, KEYS, GROUP, PER_KEY = 300, 96, 16, 5
+#: How many places, keys before bands, have buckets in each round.
+ROUNDS = (32, KEYS + BANDS, KEYS + BANDS)
 
 _seeds = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ADD, _TIMES = (_seeds[0::2] >> np.uint64(32)).astype(np.uint32)[:, None], (_seeds[1::2] >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 _REFERENCE = mix64(np.arange(1, PIVOTS * BITS // 64 + 1, dtype=np.uint64) * _FOLD).view(np.uint8).reshape(PIVOTS, BITS // 8)
+_WORDS = mix64(np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+#: Groups of each key: a few random orders of all groups, cut into keys.
+_ORDERS = mix64(np.arange(KEYS * PER_KEY * BITS // GROUP, dtype=np.uint64) ^ _FOLD).reshape(-1, BITS // GROUP).argsort(axis=1)
+_GROUPS = _ORDERS[:, : BITS // GROUP // PER_KEY * PER_KEY].reshape(-1, PER_KEY)[:KEYS]
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -64,6 +79,28 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def balances(shingles: np.ndarray) -> np.ndarray:
+    """For each of the ``BITS`` places: by how much the hashes with the bit set outnumber the others."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), 255):  # as many as a byte can count
+        hashes = mix64(shingles[at : at + 255, None] ^ _WORDS)
+        counts += np.unpackbits(hashes.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return 2 * counts - len(shingles)
+
+
+def simhash(balance: np.ndarray) -> np.ndarray:
+    """SimHash bits, set where over half of the hashes have the bit, as signed 64-bit words."""
+    return np.packbits(balance > 0).view(np.int64)
+
+
+def keys(balance: np.ndarray) -> np.ndarray:
+    """The keys of a fingerprint, from the bit of each group that stands farthest from half."""
+    groups = balance.reshape(-1, GROUP)
+    strongest = np.abs(groups).argmax(axis=1)
+    symbols = 2 * strongest + (groups[np.arange(len(groups)), strongest] > 0)
+    return symbols[_GROUPS] @ (2 * GROUP) ** np.arange(PER_KEY)
+
+
 def fingerprint(shingles: np.ndarray) -> np.ndarray:
     """Parity bits of a set, as signed 64-bit words."""
     flips = np.bincount((mix64(shingles) >> np.uint64(8)).astype(np.int64) % BITS, minlength=BITS)
@@ -80,14 +117,21 @@ def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.withColumns({"__t": F.xxhash64(text_of(docs, text)), "__k": F.xxhash64(F.col(key))})
 
 
+#: Keys, bands, SimHash bits, their distances to the reference fingerprints, parity bits.
+SIGNATURE = ("keys", "bands", "bits", "far", "parity")
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in pieces(batch):
             sets = shingle_sets(texts)
             columns = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            prints = [fingerprint(s) for s in sets]
-            columns += [pa.array(x, pa.list_(kind)) for x, kind in (([bands(s) for s in sets], pa.int64()), (prints, pa.int64()), ([distances(b) for b in prints], pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "t", "k")), *columns], names=["key", "t", "k", "id", "n", "bands", "bits", "far"])
+            sums = [balances(s) for s in sets]
+            prints = [simhash(x) for x in sums]
+            lists = [([keys(x) if len(s) else [] for s, x in zip(sets, sums)], pa.int32()), ([bands(s) for s in sets], pa.int64())]
+            lists += [(prints, pa.int64()), ([distances(x) for x in prints], pa.int32()), ([fingerprint(s) for s in sets], pa.int64())]
+            columns += [pa.array(x, pa.list_(kind)) for x, kind in lists]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "t", "k")), *columns], names=["key", "t", "k", "id", "n", *SIGNATURE])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,19 +158,23 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _may_link(x: str, y: str):
-    """Whether two fingerprints leave room for the similarity; discards no pair that has it."""
+    """Whether two signatures leave room for the similarity."""
     get = lambda side, c: F.col(f"{side}.{c}")
     both = get(x, "n") + get(y, "n")
     apart = F.greatest(*(F.abs(get(x, "far")[k] - get(y, "far")[k]) for k in range(PIVOTS)))
-    differ = sum((F.bit_count(get(x, "bits")[k].bitwiseXOR(get(y, "bits")[k])) for k in range(1, BITS // 64)), F.bit_count(get(x, "bits")[0].bitwiseXOR(get(y, "bits")[0])))
+
+    def differ(bits: str):
+        words = [F.bit_count(get(x, bits)[k].bitwiseXOR(get(y, bits)[k])) for k in range(BITS // 64)]
+        return sum(words[1:], words[0])
+
     # Similarity p per cent of sets of n and m shingles leaves (n + m) * (100 - p) / (100 + p) that are in one only.
-    room = lambda d: (100 + LEAST_PERCENT) * d <= (100 - LEAST_PERCENT) * both
+    room = (100 + LEAST_PERCENT) * differ("parity") <= (100 - LEAST_PERCENT) * both
     alike = 100 * F.least(get(x, "n"), get(y, "n")) >= LEAST_PERCENT * F.greatest(get(x, "n"), get(y, "n"))
-    return alike & room(apart) & room(differ)
+    return alike & (apart <= RADIUS) & (differ("bits") <= RADIUS) & room
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) whose fingerprints leave room for the similarity."""
+    """The distinct pairs (a, b) whose signatures leave room for the similarity."""
     x, y = classes.alias("x"), classes.alias("y")
     found = pairs.distinct().join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & _may_link("x", "y"))
     return found.select("a", "b")
@@ -137,16 +185,18 @@ def _ordered(x, y) -> list:
 
 
 def links(classes: DataFrame, sets_of) -> DataFrame:
-    """(a, b): links that connect every group of ``classes`` (id, n, bands, bits, far); ``sets_of`` gives the sets of some ids."""
-    prints = classes.select("id", "n", "bits", "far")
-    members = classes.select("id", F.posexplode("bands").alias("band", "h"))
-    sizes = members.groupBy("band", "h").count().filter("count > 1").select("band", "h")
-    shared = stored(members.join(sizes, ["band", "h"]).select("band", "h", "id"), "bands")
+    """(a, b): links that connect every group of ``classes`` (id, n and a signature); ``sets_of`` gives the sets of some ids."""
+    prints = classes.select("id", "n", "bits", "far", "parity")
+    # Places below KEYS are those of SimHash keys; a class without words has neither keys nor bands.
+    members = classes.select("id", F.posexplode(F.concat(F.col("keys").cast("array<bigint>"), "bands")).alias("band", "h"))
+    size = F.count("*").over(Window.partitionBy("band", "h"))
+    shared = stored(members.withColumn("size", size).filter("size > 1").select("band", "h", "id"), "buckets")
     sets = stored(sets_of(shared.select("id").distinct()), "shingles")
     mixed, found = shared.withColumn("label", F.col("id")), None
-    for k in range(ROUNDS):
-        lead = mixed.groupBy("band", "h").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "band", F.lit(k))).alias("lead"))
-        pairs = mixed.join(lead, ["band", "h"]).filter("label <> lead.label").select(*_ordered(F.col("id"), F.col("lead.id")))
+    for k, places in enumerate(ROUNDS):
+        buckets = mixed.filter(F.col("band") < places)
+        lead = buckets.groupBy("band", "h").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "band", F.lit(k))).alias("lead"))
+        pairs = buckets.join(lead, ["band", "h"]).filter("label <> lead.label").select(*_ordered(F.col("id"), F.col("lead.id")))
         new = _checked(_plausible(pairs, prints), sets)
         if found is not None and new.isEmpty():
             continue
@@ -162,6 +212,14 @@ def links(classes: DataFrame, sets_of) -> DataFrame:
     return found.unionByName(_checked(between, sets))
 
 
+def _classes(plain: DataFrame, kind: str) -> DataFrame:
+    """(id, head, n and a signature) of each shingle set of ``plain`` (key, t, k, text); ``head`` is its smallest row."""
+    ddl = "keys array<int>, bands array<bigint>, bits array<bigint>, far array<int>, parity array<bigint>"
+    rows = stored(plain.mapInArrow(_signed, f"key {kind}, t bigint, k bigint, id bigint, n bigint, {ddl}"), "signatures")
+    head = F.min(F.struct(F.isnull("key").alias("nokey"), "key", "t", "k")).alias("head")
+    return stored(rows.groupBy("id").agg(head, *(F.first(c).alias(c) for c in ("n", *SIGNATURE))), "classes")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` that stay: of each group that chains of links connect, the one with the smallest key.
 
@@ -172,9 +230,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     named = _named(docs, key, text)
     plain = named.select(F.col(key).alias("key"), F.col("__t").alias("t"), F.col("__k").alias("k"), text_of(named, text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    rows = stored(plain.mapInArrow(_signed, f"key {kind}, t bigint, k bigint, id bigint, n bigint, bands array<bigint>, bits array<bigint>, far array<int>"), "signatures")
-    head = F.min(F.struct(F.isnull("key").alias("nokey"), "key", "t", "k")).alias("head")
-    classes = stored(rows.groupBy("id").agg(head, *(F.first(c).alias(c) for c in ("n", "bands", "bits", "far"))), "classes")
+    classes = _classes(plain, kind)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = classes.join(ids, "id", "left_semi").select("head.t", "head.k")
