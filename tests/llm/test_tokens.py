@@ -39,6 +39,31 @@ def test_memo_bound_does_not_change_ids():
         assert small.encode([t]) == [encoding.to_bytes(ids_of(t))]
 
 
+def test_new_pieces_are_encoded_in_one_run(monkeypatch):
+    """New Latin pieces are one call of the library, with the same ids; the bound of the memo changes none."""
+    made = encoding.library_encoder(PATH)
+    calls = []
+
+    def counted(text):
+        calls.append(text)
+        return made.encode_latin(text)
+
+    single = lambda pieces: [calls.append(p) or i for p, i in zip(pieces, made.encode_pieces(pieces))]
+    for entries in (3, 10**6):
+        encoder = encoding.ArrayEncoder(single, made.encode_whole, made.special, counted, made.widths, entries)
+        texts = ["x" + "".join(f" wörd{k},{j}" for j in range(40)) for k in range(100)]
+        assert encoder.encode(texts) == [encoding.to_bytes(ids_of(t)) for t in texts]
+        assert len(calls) == 2  # the run, and the one piece that follows no space
+        assert encoder.encode([""]) == [b""] and encoder.encode([]) == []
+        for t in odd_texts(300, 9):
+            assert encoder.encode([t, "", t]) == [encoding.to_bytes(ids_of(x)) for x in (t, "", t)]
+        monkeypatch.setattr(encoding, "RUN_BYTES", 64)
+        texts = odd_texts(500, 4) + [r[1] or "" for r in messy_rows(WORDS)]
+        assert encoder.encode(texts) == [encoding.to_bytes(ids_of(t)) for t in texts]
+        monkeypatch.undo()
+        calls.clear()
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers_by_whole_texts(spark, messy, name):
     path = public_tokenizers.path(name)

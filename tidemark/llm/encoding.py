@@ -2,7 +2,8 @@
 
 A text is cut in front of a space wherever no token of a byte-level pre-tokenizer can
 cross: the space is not between two other white-space characters.  Each distinct piece
-is encoded once per memo, and the ids of a text are the ids of its pieces in order.
+is encoded once per memo, and the ids of a text are the ids of its pieces in order.  New
+pieces of Latin text are encoded as one run, which is cut again by the bytes of its tokens.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ import json
 import os
 from collections.abc import Callable
 
+import numpy as np
+
+from tidemark.llm.wordhash import span_hashes
+
 #: Entries of a worker's memo; it is emptied when it grows past this.
 MEMO_ENTRIES = 500_000
 
@@ -112,6 +117,105 @@ class PieceEncoder:
         return out
 
 
+#: Bytes of text that are hashed at a time; a longer text is hashed alone.
+RUN_BYTES = 1 << 19
+
+
+class ArrayEncoder(PieceEncoder):
+    """The same ids with the memo in arrays: pieces are found by two 64-bit hashes, many texts at a time.
+
+    New pieces of Latin letters, digits and signs that follow a space are one run for ``encode_latin``, which is
+    cut again by the ``widths`` of its tokens in bytes.  Texts with white space at the edge of a piece, or
+    a piece whose second hash is not that of the memo, go through ``PieceEncoder``.
+    """
+
+    def __init__(self, encode_pieces, encode_whole, special, encode_latin: Callable[[str], list[int]], widths: np.ndarray, entries: int = MEMO_ENTRIES):
+        super().__init__(encode_pieces, encode_whole, special, entries)
+        self.encode_latin, self.widths = encode_latin, widths
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.edge = np.zeros(0, bool)  # pieces that are empty, or start or end with white space
+        self.ids = np.zeros(0, np.uint32)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        marked = {k for s in self.special for k, text in enumerate(texts) if s in text}
+        out: list[bytes | None] = [self.encode_whole(t) if k in marked else None for k, t in enumerate(texts)]
+        run, size = [], 0
+        for k, text in enumerate(texts):
+            if k not in marked:
+                run.append((k, text.encode()))
+                size += len(run[-1][1])
+            if run and (size >= RUN_BYTES or k + 1 == len(texts)):
+                for (at, _), ids in zip(run, self._encode_run([raw for _, raw in run])):
+                    out[at] = ids
+                run, size = [], 0
+        hard = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(hard, super().encode([texts[k] for k in hard])):
+            out[k] = ids
+        return out
+
+    def _encode_run(self, texts: list[bytes]) -> list[bytes | None]:
+        """ids of each text; None for one that has to go another way."""
+        joined = b" ".join(texts)
+        raw = np.frombuffer(joined, np.uint8)
+        spaces = np.flatnonzero(raw == 0x20)
+        starts, ends = np.append(0, spaces + 1), np.append(spaces, len(raw))
+        head = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))  # first piece of each text
+        follows = np.ones(len(starts), bool)
+        follows[head[:-1]] = False
+        name = span_hashes(raw, starts, ends) ^ follows
+        second = span_hashes(raw, starts, ends, second=True)
+        distinct, where, inverse = np.unique(name, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, distinct)
+        new = place == len(self.keys)
+        new[~new] = self.keys[place[~new]] != distinct[~new]
+        if len(self.keys) + new.sum() > self.entries:
+            self._forget()
+            new[:], place[:] = True, 0
+        if new.any():
+            at = where[new]
+            ids, size, edge = self._ids_of(joined, raw, starts[at], ends[at], follows[at])
+            place = place[new]
+            self.keys = np.insert(self.keys, place, distinct[new])
+            self.second = np.insert(self.second, place, second[at])
+            self.first = np.insert(self.first, place, len(self.ids) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, place, size)
+            self.edge = np.insert(self.edge, place, edge)
+            self.ids = np.append(self.ids, ids)
+        slot = np.searchsorted(self.keys, distinct)[inverse]
+        size = self.size[slot]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.first[slot] - ends + size, size) + np.arange(ends[-1])].astype("<u4").tobytes()
+        hard = np.add.reduceat((self.edge[slot] | (self.second[slot] != second)).astype(np.int64), head[:-1])
+        edges = [0, *(4 * ends[head[1:] - 1]).tolist()]
+        return [None if h else ids[a:b] for h, a, b in zip(hard.tolist(), edges, edges[1:])]
+
+
+    def _ids_of(self, joined: bytes, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pieces, their number by piece, whether a piece is empty or has white space at an edge)."""
+        raw = np.append(raw, np.uint8(0))  # a place to read for the only piece of no bytes
+        wide = np.append(0, np.cumsum(raw >= 0xC6))  # first bytes of characters after LAST_LATIN
+        first, last, before = (raw[np.clip(k, 0, len(raw) - 1)] for k in (starts, ends - 1, ends - 2))
+        # The only white space in Latin text is up to the space, or starts with the byte C2.
+        latin = follows & (ends > starts) & (wide[starts] == wide[ends]) & (first > 0x20) & (first != 0xC2) & (last > 0x20) & (before != 0xC2)
+        edge, size = np.zeros(len(starts), bool), np.zeros(len(starts), np.int64)
+        other = np.flatnonzero(~latin)
+        texts = [joined[a:b].decode() for a, b in zip(starts[other].tolist(), ends[other].tolist())]
+        edge[other] = [not t or t != t.strip() for t in texts]
+        rest = self.encode_pieces([f" {t}" if f else t for t, f in zip(texts, follows[other].tolist())])
+        size[other] = [len(i) // 4 for i in rest]
+        a, b = starts[latin] - 1, ends[latin]
+        run = np.array(self.encode_latin(b"".join([joined[x:y] for x, y in zip(a.tolist(), b.tolist())]).decode()), np.uint32)
+        size[latin] = np.diff(np.searchsorted(np.cumsum(self.widths[run]), np.cumsum(b - a)) + 1, prepend=0)
+        ids = np.empty(size.sum(), np.uint32)
+        of_run = np.repeat(latin, size)
+        ids[of_run], ids[~of_run] = run, np.frombuffer(b"".join(rest), "<u4")
+        return ids, size, edge
+
+
 def to_bytes(ids: list[int]) -> bytes:
     return array.array("I", ids).tobytes()
 
@@ -153,7 +257,10 @@ def library_encoder(path: str) -> PieceEncoder | Callable:
         and pre.get("use_regex", True)
         and not setup.get("normalizer")
     )
-    return PieceEncoder(many, whole, [t["content"] for t in added]) if by_pieces else _Whole(whole)
+    special = [t["content"] for t in added]
+    if by_pieces and ranked:
+        return ArrayEncoder(many, whole, special, ranked, token_bytes(setup))
+    return PieceEncoder(many, whole, special) if by_pieces else _Whole(whole)
 
 
 def ranked_encoder(setup: dict) -> Callable[[str], list[int]] | None:
@@ -181,6 +288,14 @@ def ranked_encoder(setup: dict) -> Callable[[str], list[int]] | None:
     return made.encode_ordinary
 
 
+def token_bytes(setup: dict) -> np.ndarray:
+    """Bytes of each token of a byte-level vocabulary, by id."""
+    vocab = setup["model"]["vocab"]
+    widths = np.zeros(max(vocab.values()) + 1, np.int64)
+    widths[list(vocab.values())] = [len(t) for t in vocab]
+    return widths
+
+
 class _Whole:
     def __init__(self, encode_one: Callable[[str], bytes]):
         self.encode_one = encode_one

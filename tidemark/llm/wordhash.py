@@ -16,6 +16,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
+_SECOND = 0xC2B2AE3D27D4EB4F
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -53,10 +54,16 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = np.searchsorted(starts, offsets)
     if len(starts) == 0:
         return np.zeros(0, np.uint64), first
+    return span_hashes(raw, starts, ends), first
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hashes of byte ranges that don't run past the end; ``second`` takes another base."""
+    base, inverse = (_SECOND, pow(_SECOND, -1, 1 << 64)) if second else (_BASE, _INVERSE)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _power(_INVERSE, len(raw))[starts]
-    return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first
+    np.cumsum(_BYTE[raw] * _power(base, len(raw)), out=sums[1:])
+    value = (sums[ends] - sums[starts]) * _power(inverse, len(raw) + 1)[starts]
+    return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
