@@ -404,3 +404,80 @@ def test_simhash_keys_alone_find_the_groups(spark):
     groups = len(set(grouped(pairs, ids).values()))
     want = len(kept_by_brute_force(rows))
     assert want <= groups <= want + (len(ids) - want) // 10
+
+
+def test_a_large_group_meets_few_leaders(spark, monkeypatch):
+    """Pairs that leave the join of buckets and leaders, repeats included: a few for each text of a group, not one a bucket."""
+    counts, check = [], near_copies._plausible
+
+    def watched(pairs, classes):
+        counts.append(pairs.count())
+        return check(pairs, classes)
+
+    monkeypatch.setattr(near_copies, "_plausible", watched)
+    rows = list(edited_copies(400, 1))
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+    assert 0 < sum(counts) <= 8 * 400
+
+
+def test_sets_are_made_for_plausible_pairs_alone(spark):
+    """Unlike texts that share their keys by chance are discarded before any shingle set of theirs is asked for."""
+    rng = random.Random(6)
+    rows = [(k, k, k, prose(rng, 40 + 3 * k)) for k in range(60)]
+    plain = spark.createDataFrame(rows, "key bigint, t bigint, k bigint, text string")
+    classes = near_copies._classes(plain, "bigint").withColumn("keys", F.array_repeat(F.lit(7), near_copies.KEYS))
+    asked = []
+
+    def sets_of(ids):
+        asked.extend(r["id"] for r in ids.collect())
+        return plain.select("text").mapInArrow(near_copies._sets, "id bigint, shingles binary").dropDuplicates(["id"])
+
+    assert near_copies.links(classes, sets_of).count() == 0
+    assert asked == []
+
+
+def test_buckets_keep_texts_whose_size_fits_a_neighbour(spark):
+    """A pair of similar sets is found among texts of all sizes in one bucket."""
+    rng = random.Random(9)
+    base = prose(rng, 300)
+    texts = [base, base + " one more"] + [prose(rng, n) for n in (10, 100, 215, 420, 700, 1500)]
+    plain = spark.createDataFrame([(k, k, k, t) for k, t in enumerate(texts)], "key bigint, t bigint, k bigint, text string")
+    classes = near_copies._classes(plain, "bigint").withColumn("keys", F.array_repeat(F.lit(7), near_copies.KEYS))
+    sets = plain.select("text").mapInArrow(near_copies._sets, "id bigint, shingles binary").dropDuplicates(["id"])
+    want = {near_copies.set_id(s) for s in near_copies.shingle_sets([t.encode() for t in texts[:2]])}
+    assert {(r["a"], r["b"]) for r in near_copies.links(classes, lambda ids: sets).distinct().collect()} == {tuple(sorted(want))}
+
+
+def test_bitmap_passes_every_wanted_row_and_few_others(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("t"), (F.col("id") % 7).alias("k"), F.col("id").cast("string").alias("text"))
+    wanted = rows.filter("pmod(t, 10) = 3").select("t", "k")
+    got = near_copies._may_be_in(rows, wanted, ["t", "k"])
+    assert got.columns == ["t", "k", "text", "__hit"] and got.count() == 20_000
+    hit = {r["t"] for r in got.filter("__hit").collect()}
+    need = {r["t"] for r in wanted.collect()}
+    assert need <= hit and len(hit) <= len(need) + 20
+    assert near_copies._may_be_in(rows, wanted.limit(0), ["t", "k"]).filter("__hit").count() == 0
+
+
+def test_rows_that_stay_do_not_travel(spark):
+    """Only rows to drop or that repeat reach the joins with their text."""
+    rng = random.Random(12)
+    alone = [(k, prose(rng, 80)) for k in range(300)]
+    rows = alone + [alone[5], (900, alone[6][1]), (901, edited(rng, alone[7][1], 1))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, may = [], near_copies._may_be_in
+
+    def watched(table, wanted, names):
+        if "doc_id" in table.columns:
+            seen.append(may(table, wanted, names))
+            return seen[-1]
+        return may(table, wanted, names)
+
+    near_copies._may_be_in = watched
+    try:
+        kept = near_copies.keep_one(frame)
+    finally:
+        near_copies._may_be_in = may
+    assert Counter(r["doc_id"] for r in kept.collect()) == kept_by_brute_force(rows)
+    assert len(seen) == 1 and seen[0].filter("__hit").count() <= 6

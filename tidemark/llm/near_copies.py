@@ -17,10 +17,16 @@ minima each, so a pair of similarity s shares none with probability (1 - s**ROWS
 at most as many as there are shingles in one set only, which bounds the similarity of short texts from above.
 
 A group is found without listing its pairs.  In ``ROUNDS`` rounds each bucket has a leader, picked by
-a hash, and its texts outside the leader's group are compared with the leader: at most one pair for
-every text and bucket.  The first round has buckets of SimHash keys alone, the others those of all keys and
+a hash from the group with most texts in it, and its texts outside that group are compared with the leader:
+at most one pair for every text and bucket.  The first rounds have a few buckets of SimHash keys alone, so that a
+large group hangs together before its other buckets are read; the last ones have those of all keys and
 bands.  As the buckets of a text have different leaders, a group hangs together after that.  What is left are links between different groups of a bucket: these are looked for in one
 join that discards as above before it puts out a pair, so only pairs that are links, or nearly, leave it.
+
+Little travels.  A text stays in a bucket only if the sizes of its neighbours in it, by number of shingles, leave
+room for a link.  Shingle sets are made anew in each round, for the texts of pairs that no fingerprint discards.
+Texts are found, and the rows that stay are picked, by a bitmap of ``MARK_BITS`` bits that goes to every task: a
+clash only lets a row through to an exact join that it did not need.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix64, pieces, stored, text_of
@@ -43,7 +49,9 @@ BITS, PIVOTS = 1024, 8
 #: SimHash: bits in which two fingerprints may differ, keys, bits of a group and groups of a key.
 RADIUS, KEYS, GROUP, PER_KEY = 300, 96, 16, 5
 #: How many places, keys before bands, have buckets in each round.
-ROUNDS = (32, KEYS + BANDS, KEYS + BANDS)
+ROUNDS = (4, 32, KEYS + BANDS, KEYS + BANDS)
+#: Bits of the bitmaps that rows are picked by (4 MB): a fixed size, whatever the size of the corpus.
+MARK_BITS = 25
 
 _seeds = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ADD, _TIMES = (_seeds[0::2] >> np.uint64(32)).astype(np.uint32)[:, None], (_seeds[1::2] >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
@@ -117,6 +125,19 @@ def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.withColumns({"__t": F.xxhash64(text_of(docs, text)), "__k": F.xxhash64(F.col(key))})
 
 
+def _may_be_in(rows: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with ``__hit``: false only where ``wanted`` has no row of the same ``names``.
+
+    The bitmap is a table of at most 2**MARK_BITS / 32768 rows of 4 KB, which Spark broadcasts.
+    """
+    place = F.xxhash64(*names).bitwiseAND(F.lit((1 << MARK_BITS) - 1)) + 1
+    marks = wanted.groupBy(F.bitmap_bucket_number(place).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__marks"))
+    placed = rows.withColumns({"__part": F.bitmap_bucket_number(place), "__bit": F.bitmap_bit_position(place)})
+    byte = F.conv(F.hex(F.substring("__marks", (F.floor(F.col("__bit") / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False))
+    return placed.join(F.broadcast(marks), "__part", "left").withColumn("__hit", hit).drop("__part", "__bit", "__marks")
+
+
 #: Keys, bands, SimHash bits, their distances to the reference fingerprints, parity bits.
 SIGNATURE = ("keys", "bands", "bits", "far", "parity")
 
@@ -151,12 +172,19 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, sets_of) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
+    pairs = stored(pairs, "plausible")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     x, y = (sets.select(F.col("id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
     return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a bigint, b bigint"), "similar")
 
 
+def _sizes_fit(n: Column, m: Column) -> Column:
+    """Whether sets of n and m shingles can be similar enough."""
+    return 100 * F.least(n, m) >= LEAST_PERCENT * F.greatest(n, m)
+
+
 def _may_link(x: str, y: str):
     """Whether two signatures leave room for the similarity."""
     get = lambda side, c: F.col(f"{side}.{c}")
@@ -169,8 +197,7 @@ def _may_link(x: str, y: str):
 
     # Similarity p per cent of sets of n and m shingles leaves (n + m) * (100 - p) / (100 + p) that are in one only.
     room = (100 + LEAST_PERCENT) * differ("parity") <= (100 - LEAST_PERCENT) * both
-    alike = 100 * F.least(get(x, "n"), get(y, "n")) >= LEAST_PERCENT * F.greatest(get(x, "n"), get(y, "n"))
-    return alike & (apart <= RADIUS) & (differ("bits") <= RADIUS) & room
+    return _sizes_fit(get(x, "n"), get(y, "n")) & (apart <= RADIUS) & (differ("bits") <= RADIUS) & room
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -185,37 +212,43 @@ def _ordered(x, y) -> list:
 
 
 def links(classes: DataFrame, sets_of) -> DataFrame:
-    """(a, b): links that connect every group of ``classes`` (id, n and a signature); ``sets_of`` gives the sets of some ids."""
-    prints = classes.select("id", "n", "bits", "far", "parity")
+    """(a, b): links that connect every group of ``classes`` (id, n and a signature); ``sets_of`` gives the sets of some ids, others may come too."""
     # Places below KEYS are those of SimHash keys; a class without words has neither keys nor bands.
-    members = classes.select("id", F.posexplode(F.concat(F.col("keys").cast("array<bigint>"), "bands")).alias("band", "h"))
-    size = F.count("*").over(Window.partitionBy("band", "h"))
-    shared = stored(members.withColumn("size", size).filter("size > 1").select("band", "h", "id"), "buckets")
-    sets = stored(sets_of(shared.select("id").distinct()), "shingles")
+    members = classes.select("id", "n", F.posexplode(F.concat(F.col("keys").cast("array<bigint>"), "bands")).alias("band", "h"))
+    # In a bucket in order of size, one that fits neither neighbour fits no other.
+    by_size = Window.partitionBy("band", "h").orderBy("n")
+    beside = members.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    fits = (F.col("less").isNotNull() & _sizes_fit(F.col("less"), F.col("n"))) | (F.col("more").isNotNull() & _sizes_fit(F.col("n"), F.col("more")))
+    shared = stored(beside.filter(fits).select("band", "h", "id", "n"), "buckets")
+    prints = classes.select("id", "n", "bits", "far", "parity").join(shared.select("id").distinct(), "id", "left_semi")
+    prints = stored(prints, "prints")
     mixed, found = shared.withColumn("label", F.col("id")), None
     for k, places in enumerate(ROUNDS):
         buckets = mixed.filter(F.col("band") < places)
-        lead = buckets.groupBy("band", "h").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "band", F.lit(k))).alias("lead"))
-        pairs = buckets.join(lead, ["band", "h"]).filter("label <> lead.label").select(*_ordered(F.col("id"), F.col("lead.id")))
-        new = _checked(_plausible(pairs, prints), sets)
+        order = F.xxhash64("id", "band", F.lit(k))
+        groups = buckets.groupBy("band", "h", "label").agg(F.count("*").alias("size"), F.min_by(F.struct("id", "n"), order).alias("first"))
+        lead = groups.groupBy("band", "h").agg(F.max_by(F.struct("first.id", "first.n", "label"), F.struct("size", F.xxhash64("first.id", "band", F.lit(k)))).alias("lead"))
+        outside = buckets.join(lead, ["band", "h"]).filter((F.col("label") != F.col("lead.label")) & _sizes_fit(F.col("n"), F.col("lead.n")))
+        pairs = outside.select(*_ordered(F.col("id"), F.col("lead.id")))
+        new = _checked(_plausible(pairs, prints), sets_of)
         if found is not None and new.isEmpty():
             continue
         found = new if found is None else found.unionByName(new)
         label = connected_components(found).select(F.col("node").alias("id"), "component")
-        labelled = mixed.select("band", "h", "id").join(label, "id", "left").select("band", "h", "id", F.coalesce("component", "id").alias("label"))
+        labelled = mixed.select("band", "h", "id", "n").join(label, "id", "left").select("band", "h", "id", "n", F.coalesce("component", "id").alias("label"))
         several = labelled.groupBy("band", "h").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
         mixed = stored(labelled.join(several.select("band", "h"), ["band", "h"], "left_semi"), "mixed")
-    rest = mixed.join(prints, "id")
+    rest = mixed.drop("n").join(prints, "id")
     x, y = rest.alias("x"), rest.alias("y")
     on = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
     between = x.join(y, on & _may_link("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return found.unionByName(_checked(between, sets))
+    return found.unionByName(_checked(between, sets_of))
 
 
 def _classes(plain: DataFrame, kind: str) -> DataFrame:
     """(id, head, n and a signature) of each shingle set of ``plain`` (key, t, k, text); ``head`` is its smallest row."""
     ddl = "keys array<int>, bands array<bigint>, bits array<bigint>, far array<int>, parity array<bigint>"
-    rows = stored(plain.mapInArrow(_signed, f"key {kind}, t bigint, k bigint, id bigint, n bigint, {ddl}"), "signatures")
+    rows = plain.mapInArrow(_signed, f"key {kind}, t bigint, k bigint, id bigint, n bigint, {ddl}")
     head = F.min(F.struct(F.isnull("key").alias("nokey"), "key", "t", "k")).alias("head")
     return stored(rows.groupBy("id").agg(head, *(F.first(c).alias(c) for c in ("n", *SIGNATURE))), "classes")
 
@@ -234,7 +267,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = classes.join(ids, "id", "left_semi").select("head.t", "head.k")
-        texts = plain.join(wanted, ["t", "k"], "left_semi").select("text")
+        texts = _may_be_in(plain.select("t", "k", "text"), wanted, ["t", "k"]).filter("__hit").select("text")
         return texts.mapInArrow(_sets, "id bigint, shingles binary").dropDuplicates(["id"])
 
     found = connected_components(links(classes, sets_of))
@@ -242,5 +275,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     heads = root.groupBy(F.coalesce("component", "id").alias("root")).agg(F.min("head").alias("head")).select("head.*")
     # Of texts that repeat a key and lead several groups, one stays.
     once = heads.groupBy("k", F.when(F.col("nokey"), F.col("t")).alias("own")).agg(F.min("t").alias("t"))
-    kept = named.join(once.select(F.col("t").alias("__t"), F.col("k").alias("__k")), ["__t", "__k"], "left_semi")
-    return kept.dropDuplicates(["__t", "__k"]).select(docs.columns)
+    once = stored(once.select(F.col("t").alias("__t"), F.col("k").alias("__k")), "kept")
+    # Rows to drop and rows that repeat go through joins; all others stay where they are.
+    names = named.groupBy("__t", "__k").agg(F.count("*").alias("n")).join(once.withColumn("stays", F.lit(True)), ["__t", "__k"], "left")
+    picked = _may_be_in(named, names.filter("stays IS NULL OR n > 1"), ["__t", "__k"])
+    alone = picked.filter("NOT __hit")
+    doubtful = picked.filter("__hit").join(once, ["__t", "__k"], "left_semi").dropDuplicates(["__t", "__k"])
+    return alone.select(docs.columns).unionByName(doubtful.select(docs.columns))
