@@ -481,3 +481,35 @@ def test_rows_that_stay_do_not_travel(spark):
         near_copies._may_be_in = may
     assert Counter(r["doc_id"] for r in kept.collect()) == kept_by_brute_force(rows)
     assert len(seen) == 1 and seen[0].filter("__hit").count() <= 6
+
+
+def tables_of_components(monkeypatch):
+    """Names of the tables that the search for components writes from now on."""
+    names, store = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: names.append(name) or store(df, name))
+    return names
+
+
+def test_components_write_a_table_a_round(spark, monkeypatch):
+    """Stars are done when they are written; a round of others is one table, and no round only confirms the last."""
+    names = tables_of_components(monkeypatch)
+    for pairs, most in (([], 1), ([(0, k) for k in range(1, 40)] + [(50, 60), (60, 50)], 1), ([(k, k + 1) for k in range(64)], 8)):
+        names.clear()
+        found = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+        assert found == grouped(pairs, {x for p in pairs for x in p})
+        assert 1 <= len(names) <= most
+
+
+def test_links_are_grouped_anew_by_label_alone(spark, monkeypatch):
+    """Later rounds hang texts on the groups that are known, so few tables are written; groups are those of the links."""
+    names = tables_of_components(monkeypatch)
+    rows = [r[:2] for r in near_rows() if r[0] is not None]
+    plain = stored(spark.createDataFrame([(k, k, k, t) for k, t in rows], "key bigint, t bigint, k bigint, text string"), "plain")
+    classes = near_copies._classes(plain, "bigint")
+    found, label = near_copies.linked(classes, lambda ids: plain.select("text").mapInArrow(near_copies._sets, "id bigint, shingles binary").dropDuplicates(["id"]).join(ids, "id"))
+    pairs = {(r["a"], r["b"]) for r in found.collect()}
+    ids = [r["id"] for r in classes.collect()]
+    got = {r["id"]: r["label"] for r in label.collect()}
+    assert len(pairs) > 20 and all(k != v for k, v in got.items())
+    assert {k: got.get(k, k) for k in ids} == grouped(pairs, ids)
+    assert len(names) <= 2 * (len(near_copies.ROUNDS) + 1)

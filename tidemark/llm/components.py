@@ -9,39 +9,39 @@ from tidemark.llm.common import stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): smallest node that each node of ``edges`` can reach.
+    """(node, component): smallest node that each node of ``edges`` can reach; nodes without an edge are not in the result."""
+    stars = pointers(edges, a, b)
+    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
-    Alternates two steps until nothing changes: every node hands its smallest neighbour to its
-    larger neighbours, then to its smaller ones and itself (large-star and small-star), which
-    takes a number of rounds that grows with the logarithm of the longest path.  Each round is
-    a table in the shared folder, so lost executors cost one round.  Nodes without an edge are
-    not in the result.  A node with very many neighbours is only ever aggregated, never listed.
+
+def pointers(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """As ``connected_components``, without the smallest nodes themselves.
+
+    Until every node points to the centre of a star, each round hands a node's smallest neighbour
+    to its larger neighbours, then to its smaller ones and itself (large-star and small-star),
+    which takes a number of rounds that grows with the logarithm of the longest path.  Each round
+    is one job and a table in the shared folder, so lost executors cost one round.  A node with
+    very many neighbours is only ever aggregated, never listed.
     """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
-    links = stored(pairs, "links")
-    state = None
-    while True:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = stored(large, "large-star")
-        # Now every b is smaller than its a: each node points to smaller ones.
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a")
-        links = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        links = stored(links.filter("a <> b").distinct(), "small-star")
-        now = links.agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"),
-        ).first()
-        if state == (now["n"], now["h"]):
-            return _stars(links)
-        state = (now["n"], now["h"])
-
-
-def _stars(links: DataFrame) -> DataFrame:
-    """Stars have every node point to its centre; centres belong to themselves."""
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    links = stored(pairs.distinct(), "links")
+    while not _all_stars(links):
+        both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        large = _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        # Every b is smaller than its a: each node points to smaller ones.
+        small = _with_least(large).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        links = stored(small.select("e.*").filter("a <> b").distinct(), "stars")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the smallest b of each a as m; a row travels once, or twice if it is filtered later."""
+    dealt = pairs.repartition("a")
+    return dealt.join(dealt.groupBy("a").agg(F.min("b").alias("m")).hint("merge"), "a")
+
+
+def _all_stars(links: DataFrame) -> bool:
+    """Whether each a of the distinct ``links`` (a, b), a > b, has one b alone, and no b points on."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("centre")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("centre")))).alias("e"))
+    odd = ends.select("e.*").groupBy("node").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).filter("up > 1 OR up = 1 AND centre = 1")
+    return odd.agg(F.count("*")).first()[0] == 0

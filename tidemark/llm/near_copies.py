@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix64, pieces, stored, text_of
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import pointers
 from tidemark.llm.one_permutation import SHINGLE, shingle_hashes
 
 #: Similarity from which two texts link, in per cent of the shingles of both.
@@ -169,15 +169,16 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= LEAST_PERCENT * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.drop_columns(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _checked(pairs: DataFrame, sets_of) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     pairs = stored(pairs, "plausible")
+    names = [c for c in pairs.columns if c in ("a", "b", *LABELS)]
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     x, y = (sets.select(F.col("id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
-    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a bigint, b bigint"), "similar")
+    return stored(pairs.join(x, "a").join(y, "b").select(*names, "x", "y").mapInArrow(_similar, ", ".join(f"{c} bigint" for c in names)), "similar")
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:
@@ -204,45 +205,68 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) whose signatures leave room for the similarity."""
     x, y = classes.alias("x"), classes.alias("y")
     found = pairs.distinct().join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & _may_link("x", "y"))
-    return found.select("a", "b")
+    return found.select(pairs.columns)
 
 
-def _ordered(x, y) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+#: What a and b belonged to when their pair was found.
+LABELS = ("of_a", "of_b")
+
+
+def _ordered(x: Column, y: Column) -> list[Column]:
+    """a, b and their labels, from two structs of id and label."""
+    low, high = F.least(x, y), F.greatest(x, y)
+    return [low["id"].alias("a"), high["id"].alias("b"), low["label"].alias("of_a"), high["label"].alias("of_b")]
+
+
+def _joined(label: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``label`` (id, label; an id without a row is its own) after new links: labels are linked, texts hang on theirs."""
+    edges = new.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    if label is not None:
+        edges = edges.unionByName(label.select(F.col("id").alias("a"), F.col("label").alias("b")))
+    return pointers(edges).select(F.col("node").alias("id"), F.col("component").alias("label"))
 
 
 def links(classes: DataFrame, sets_of) -> DataFrame:
     """(a, b): links that connect every group of ``classes`` (id, n and a signature); ``sets_of`` gives the sets of some ids, others may come too."""
+    return linked(classes, sets_of)[0]
+
+
+def linked(classes: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
+    """The ``links`` and the groups that they make: (id, label), without the ids that are their own label."""
     # Places below KEYS are those of SimHash keys; a class without words has neither keys nor bands.
     members = classes.select("id", "n", F.posexplode(F.concat(F.col("keys").cast("array<bigint>"), "bands")).alias("band", "h"))
     # In a bucket in order of size, one that fits neither neighbour fits no other.
-    by_size = Window.partitionBy("band", "h").orderBy("n")
+    bucket = Window.partitionBy("band", "h")
+    by_size = bucket.orderBy("n")
     beside = members.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
     fits = (F.col("less").isNotNull() & _sizes_fit(F.col("less"), F.col("n"))) | (F.col("more").isNotNull() & _sizes_fit(F.col("n"), F.col("more")))
     shared = stored(beside.filter(fits).select("band", "h", "id", "n"), "buckets")
     prints = classes.select("id", "n", "bits", "far", "parity").join(shared.select("id").distinct(), "id", "left_semi")
     prints = stored(prints, "prints")
-    mixed, found = shared.withColumn("label", F.col("id")), None
+    mixed, found, label = shared.withColumn("label", F.col("id")), None, None
     for k, places in enumerate(ROUNDS):
-        buckets = mixed.filter(F.col("band") < places)
+        # Groups, leaders and texts of a bucket travel once; with no NULL left, both sides of the join are one exchange.
+        buckets = mixed.filter(F.col("band") < places).dropna().repartition("band", "h")
         order = F.xxhash64("id", "band", F.lit(k))
         groups = buckets.groupBy("band", "h", "label").agg(F.count("*").alias("size"), F.min_by(F.struct("id", "n"), order).alias("first"))
         lead = groups.groupBy("band", "h").agg(F.max_by(F.struct("first.id", "first.n", "label"), F.struct("size", F.xxhash64("first.id", "band", F.lit(k)))).alias("lead"))
-        outside = buckets.join(lead, ["band", "h"]).filter((F.col("label") != F.col("lead.label")) & _sizes_fit(F.col("n"), F.col("lead.n")))
-        pairs = outside.select(*_ordered(F.col("id"), F.col("lead.id")))
+        outside = buckets.join(lead.hint("merge"), ["band", "h"]).filter((F.col("label") != F.col("lead.label")) & _sizes_fit(F.col("n"), F.col("lead.n")))
+        pairs = outside.select(*_ordered(F.struct("id", "label"), F.struct("lead.id", "lead.label")))
         new = _checked(_plausible(pairs, prints), sets_of)
         if found is not None and new.isEmpty():
             continue
-        found = new if found is None else found.unionByName(new)
-        label = connected_components(found).select(F.col("node").alias("id"), "component")
-        labelled = mixed.select("band", "h", "id", "n").join(label, "id", "left").select("band", "h", "id", "n", F.coalesce("component", "id").alias("label"))
-        several = labelled.groupBy("band", "h").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-        mixed = stored(labelled.join(several.select("band", "h"), ["band", "h"], "left_semi"), "mixed")
+        found, label = new if found is None else found.unionByName(new), _joined(label, new)
+        labelled = mixed.select("band", "h", "id", "n").join(label, "id", "left").select("band", "h", "id", "n", F.coalesce("label", "id").alias("label"))
+        several = F.min("label").over(bucket) != F.max("label").over(bucket)
+        mixed = stored(labelled.withColumn("several", several).filter("several").drop("several"), "mixed")
     rest = mixed.drop("n").join(prints, "id")
     x, y = rest.alias("x"), rest.alias("y")
     on = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
-    between = x.join(y, on & _may_link("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return found.unionByName(_checked(between, sets_of))
+    between = x.join(y, on & _may_link("x", "y")).select(*_ordered(F.struct("x.id", "x.label"), F.struct("y.id", "y.label"))).distinct()
+    new = _checked(between, sets_of)
+    if not new.isEmpty():
+        found, label = found.unionByName(new), _joined(label, new)
+    return found.select("a", "b"), label
 
 
 def _classes(plain: DataFrame, kind: str) -> DataFrame:
@@ -270,9 +294,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         texts = _may_be_in(plain.select("t", "k", "text"), wanted, ["t", "k"]).filter("__hit").select("text")
         return texts.mapInArrow(_sets, "id bigint, shingles binary").dropDuplicates(["id"])
 
-    found = connected_components(links(classes, sets_of))
-    root = classes.select("id", "head").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
-    heads = root.groupBy(F.coalesce("component", "id").alias("root")).agg(F.min("head").alias("head")).select("head.*")
+    root = classes.select("id", "head").join(linked(classes, sets_of)[1], "id", "left")
+    heads = root.groupBy(F.coalesce("label", "id").alias("root")).agg(F.min("head").alias("head")).select("head.*")
     # Of texts that repeat a key and lead several groups, one stays.
     once = heads.groupBy("k", F.when(F.col("nokey"), F.col("t")).alias("own")).agg(F.min("t").alias("t"))
     once = stored(once.select(F.col("t").alias("__t"), F.col("k").alias("__k")), "kept")
